@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam
+from . import bpe, decontam, exact_dedup, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": bpe.documents_query,
         "op2_decontaminate": decontam.documents_query,
+        "op3_exact_dedup": exact_dedup.documents_query,
+        "op9_shard": sharding.documents_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": decontam.ORACLE,
+        "op3_exact_dedup": exact_dedup.ORACLE,
     }
