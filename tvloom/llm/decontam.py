@@ -31,71 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import table, written
+from .words import STEP, U, Words, chunks, mixed
 
 WINDOW = 10
 GRAM = 5
 #: Most benchmark text sent to a worker at once.
 BLOCK_BYTES = 8_000_000
-#: Text worked on at once; a longer text is still taken whole.
-CHUNK_BYTES = 1_000_000
-
-U = np.uint64
-_BASE, _STEP = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
-_IS_WORD = np.zeros(256, bool)
-_IS_WORD[ord("0") : ord("9") + 1] = _IS_WORD[ord("A") : ord("Z") + 1] = _IS_WORD[ord("a") : ord("z") + 1] = _IS_WORD[128:] = True
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, U), "down": np.ones(1, U)}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2**64."""
-    if len(_powers["up"]) < n:
-        size = 1 << (n - 1).bit_length()
-        inverse = U(pow(int(_BASE), -1, 1 << 64))
-        for name, base in (("up", _BASE), ("down", inverse)):
-            powers = np.full(size, base, U)
-            powers[0] = 1
-            _powers[name] = np.multiply.accumulate(powers)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(32))) * _STEP
-    return x ^ (x >> U(29))
-
-
-class Words:
-    """The words of several texts: bytes, hashes, and the range of word positions of each text."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.low = _LOWER[data]
-        n = len(data)
-        word = np.zeros(n + 1, bool)
-        word[:n] = _IS_WORD[data]
-        edge = np.zeros(n + 1, bool)
-        edge[offsets] = True
-        begins, ends = word.copy(), word.copy()
-        begins[1:] &= ~word[:-1] | edge[1:]
-        ends[:-1] &= ~word[1:] | edge[1:]
-        self.begin, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        up, down = _power(n + 1)
-        sums = np.zeros(n + 1, U)
-        np.cumsum((self.low.astype(U) + U(1)) * up[:n], out=sums[1:])
-        self.hash = _mixed((sums[self.end] - sums[self.begin]) * down[self.begin])
-        self.first = np.searchsorted(self.begin, offsets)
-        self.bytes = self.low.tobytes()
-
-    def left(self) -> np.ndarray:
-        """For each word, the words from it to the end of its text."""
-        counts = np.diff(self.first)
-        return np.repeat(self.first[1:], counts) - np.arange(len(self.begin))
-
-    def window(self, at: int, size: int) -> bytes:
-        """The words at..at+size-1, joined by spaces."""
-        return b" ".join([self.bytes[self.begin[i] : self.end[i]] for i in range(at, at + size)])
-
-
 def winnow(words: Words, size: int, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the k-grams kept for spans of `size` words."""
     k = min(GRAM, size)
@@ -104,8 +45,8 @@ def winnow(words: Words, size: int, left: np.ndarray) -> tuple[np.ndarray, np.nd
         return np.empty(0, np.int64), np.empty(0, U)
     grams = np.zeros(n + size - k, U)
     for j in range(k):
-        grams = grams * _STEP + words.hash[j : j + n + size - k]
-    grams = _mixed(grams)
+        grams = grams * STEP + words.hash[j : j + n + size - k]
+    grams = mixed(grams)
     least, at = grams[:n].copy(), np.zeros(n, np.int8)
     for shift in range(1, size - k + 1):
         later = grams[shift : shift + n]
@@ -184,18 +125,6 @@ def _merged(ranges: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def _chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """First and last row, bytes and offsets of neighbouring texts of CHUNK_BYTES together, or one longer text."""
-    texts = texts.cast(pa.large_string()).fill_null("")
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-    row = 0
-    while row < len(texts):
-        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES, "right")) - 1)
-        yield row, stop, data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row]
-        row = stop
-
-
 def _pass(docs: DataFrame, items: list[tuple[str | None, str]]) -> DataFrame:
     """docs with `__text`, `n_words`, `spans` and `items`, once more against a block of items."""
     shipped, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
@@ -209,7 +138,7 @@ def _pass(docs: DataFrame, items: list[tuple[str | None, str]]) -> DataFrame:
         index = _INDEXES[key]
         for batch in batches:
             n_words, spans, named = [], batch.column(at["spans"]).to_pylist(), batch.column(at["items"]).to_pylist()
-            for row, stop, data, offsets in _chunks(batch.column(at["__text"])):
+            for row, stop, data, offsets in chunks(batch.column(at["__text"])):
                 words = Words(data, offsets)
                 n_words += np.diff(words.first).tolist()
                 for text, (ranges, items) in hits(words, index).items():
