@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, exact_dedup, sharding
+from . import bpe, decontam, exact_dedup, langid, near_dedup, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe": bpe.documents_query,
         "op2_decontaminate": decontam.documents_query,
         "op3_exact_dedup": exact_dedup.documents_query,
+        "op5_language": langid.documents_query,
+        "op7_near_dedup": near_dedup.documents_query,
         "op9_shard": sharding.documents_query,
     }
 
