@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, exact_dedup, langid, near_dedup, sharding
+from . import bpe, decontam, exact_dedup, html_extract, langid, near_dedup, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,7 +16,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": exact_dedup.documents_query,
         "op5_language": langid.documents_query,
         "op7_near_dedup": near_dedup.documents_query,
+        "op8_html": html_extract.pages_query,
         "op9_shard": sharding.documents_query,
+        "op10_warc": warc.pages_query,
     }
 
 
