@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, exact_dedup, html_extract, langid, near_dedup, sharding, warc
+from . import bpe, decontam, exact_dedup, html_extract, langid, line_dedup, near_dedup, pii, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +14,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe": bpe.documents_query,
         "op2_decontaminate": decontam.documents_query,
         "op3_exact_dedup": exact_dedup.documents_query,
+        "op4_line_dedup": line_dedup.documents_query,
         "op5_language": langid.documents_query,
+        "op6_pii": pii.documents_query,
         "op7_near_dedup": near_dedup.documents_query,
         "op8_html": html_extract.pages_query,
         "op9_shard": sharding.documents_query,
