@@ -46,18 +46,16 @@ def _key(length: Column, i: int, part: Column) -> Column:
 
 
 def segment_keys(line: Column, length: Column, edits: int) -> Column:
-    """Keys of a line with `indexed`: whether it is one of the line's own segments."""
+    """Keys of a line with `indexed`: whether it is one of the line's own segments. Lines have 2 * edits + 1 characters."""
     out = []
     for less in range(edits + 1):  # a partner is this much shorter
         other = length - less
         for i in range(edits + 1):
             begin, size = _segment(other, edits, i)
             for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
-                own = less == 0 and shift == 0
-                at = begin + shift
-                fits = (at >= 0) & (at + size <= length)
-                out.append(F.when(fits, F.struct(_key(other, i, F.substring(line, at + 1, size)).alias("key"), F.lit(own).alias("indexed"))))
-    return F.filter(F.array(*out), lambda k: k.isNotNull())
+                part = F.substring(line, begin + shift + 1, size)
+                out.append(F.struct(_key(other, i, part).alias("key"), F.lit(less == 0 and shift == 0).alias("indexed")))
+    return F.array(*out)
 
 
 def hole_keys(line: Column, length: Column) -> Column:
@@ -76,37 +74,42 @@ def within(a: Column, b: Column, edits: int) -> Column:
     """Whether strings a and b, a as long or longer by up to `edits`, are within that many edits."""
     width = 2 * edits + 1
     full = (1 << width) - 1
-    long, short = F.split(a, ""), F.split(b, "")
-    m, n = F.length(a), F.length(b)
 
     def no(x: Column) -> Column:
         return F.bitwise_not(x).bitwiseAND(F.lit(full))
 
-    def step(s: Column, j: Column) -> Column:
-        char = F.get(short, j)
-        match = sum((F.when(F.get(long, j - edits + k) == char, F.lit(1 << k)).otherwise(F.lit(0)) for k in range(1, width)), F.when(F.get(long, j - edits) == char, F.lit(1)).otherwise(F.lit(0)))
-        return _next(s["vp"], s["vn"], s["d"], match, j)
+    def advance(s: Column, j: Column, x: Column) -> Column:
+        """The band one character on: vp and vn, the places where the column rises and falls, and the distance d."""
+        char = F.get(x["short"], j)
+        match = F.lit(0)
+        for k in range(width):
+            match = match + F.when(F.get(x["long"], j - edits + k) == char, F.lit(1 << k)).otherwise(F.lit(0))
+        last = F.lit(width - 2) - (j - (x["m"] - edits))
+
+        def on(value: Column) -> Column:
+            return F.call_function("shiftright", value, last).bitwiseAND(F.lit(1))
 
-    def _next(vp: Column, vn: Column, d: Column, match: Column, j: Column) -> Column:
-        # each value is bound once, as the only element of an array
-        def diagonal(x: Column) -> Column:
-            d0 = ((x.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn)).bitwiseAND(F.lit(full))
-            return F.struct(d0.alias("d0"), vn.bitwiseOR(no(d0.bitwiseOR(vp))).alias("hp"), d0.bitwiseAND(vp).alias("hn"))
+        def diagonal(hit: Column) -> Column:
+            d0 = (hit.bitwiseAND(s["vp"]) + s["vp"]).bitwiseXOR(s["vp"]).bitwiseOR(hit).bitwiseOR(s["vn"]).bitwiseAND(F.lit(full))
+            return F.struct(d0.alias("d0"), s["vn"].bitwiseOR(no(d0.bitwiseOR(s["vp"]))).alias("hp"), d0.bitwiseAND(s["vp"]).alias("hn"))
 
-        def advance(v: Column) -> Column:
+        def shifted(v: Column) -> Column:
             down = F.shiftright(v["d0"], 1)
-            last = F.lit(width - 2) - (j - (m - edits))
+            step = F.when(j < x["m"] - edits, F.when(v["d0"] >= (1 << (width - 1)), 0).otherwise(1)).otherwise(on(v["hp"]) - on(v["hn"]))
+            return F.struct(v["hn"].bitwiseOR(no(down.bitwiseOR(v["hp"]))).alias("vp"), down.bitwiseAND(v["hp"]).alias("vn"), (s["d"] + step).cast("int").alias("d"))
+
+        return _bound(_bound(match, diagonal), shifted)
 
-            def on(x: Column) -> Column:
-                return F.call_function("shiftright", x, last).bitwiseAND(F.lit(1))
+    def near(x: Column) -> Column:
+        start = F.struct(F.lit((full << edits) & full).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("d"))
+        return F.aggregate(F.sequence(F.lit(0), x["n"] - 1), start, lambda s, j: advance(s, j, x), lambda s: s["d"] <= edits)
 
-            d_new = d + F.when(j < m - edits, F.when(v["d0"] >= (1 << (width - 1)), 0).otherwise(1)).otherwise(on(v["hp"]) - on(v["hn"]))
-            return F.struct(v["hn"].bitwiseOR(no(down.bitwiseOR(v["hp"]))).alias("vp"), down.bitwiseAND(v["hp"]).alias("vn"), d_new.cast("int").alias("d"))
+    return _bound(F.struct(F.split(a, "").alias("long"), F.split(b, "").alias("short"), F.length(a).alias("m"), F.length(b).alias("n")), near)
 
-        return F.transform(F.transform(F.array(match), diagonal), advance)[0]
 
-    start = F.struct(F.lit((full << edits) & full).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("d"))
-    return F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda s: s["d"] <= edits)
+def _bound(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _verified(pairs: DataFrame, edits: int) -> DataFrame:
@@ -129,8 +132,10 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 
 def near_lines(lines: DataFrame, edits: int, hot: int = HOT) -> DataFrame:
-    """h and g of the lines with an earlier line within `edits`. lines: line, h, g, place."""
-    keyed = lines.where(F.length("line") >= SHORTEST).withColumn("k", F.explode(segment_keys(F.col("line"), F.length("line"), edits))).select("h", "g", "line", "place", "k.*")
+    """h and g of the lines with an earlier line within `edits`. lines: line, n (its length), h, g, place."""
+    if SHORTEST < 2 * edits + 1:
+        raise ValueError("too many edits for the shortest lines")
+    keyed = lines.where(F.col("n") >= SHORTEST).select("h", "g", "line", "place", F.explode(segment_keys(F.col("line"), F.col("n"), edits)).alias("k")).select("h", "g", "line", "place", "k.*")
     shared = written(keyed.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most"), F.max("indexed").alias("any")).where("any and least <> most").select("key"), "keys")
     # grouped by a hash of the key, so that occurrences of one line are summed before they move
     rows = keyed.join(shared, "key").groupBy(F.xxhash64("key").alias("key"), "h", "g", "indexed").agg(F.min("place").alias("place"), F.any_value("line").alias("line"))
@@ -151,7 +156,7 @@ def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", keep: list
         raise ValueError(f"columns in keep and in the result: {sorted(clash)}")
     named = docs.select(*[docs[c] for c in keep if c != text], docs[id].alias("__id"), docs[text].alias("__text")).withColumn("__t", F.xxhash64("__text"))
     split = named.select(F.col("__id").alias("id"), F.col("__t").alias("t"), F.posexplode(F.split("__text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(r"\S"))
-    lines = split.select(F.struct("id", "line_no", "t").alias("place"), "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
+    lines = split.select(F.struct("id", "line_no", "t").alias("place"), "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), F.length("line").alias("n"))
 
     near = near_lines(lines, edits, hot).withColumn("near", F.lit(True))
     same = lines.groupBy("h", "g").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g", "first")
