@@ -1,7 +1,8 @@
 """Near-duplicate documents by order MinHash and banded alignment.
 
 A text's shingles are its runs of five words; a text of fewer words is one
-shingle. Each shingle is labelled with its occurrence number in the text, so
+shingle. Of a phrase said over and over, the repeats right after it don't count:
+a shingle that stands among the REPEAT before it is left out. Each shingle is labelled with its occurrence number in the text, so
 repeats count. A sketch orders the labelled shingles by a random function,
 takes the least two and keeps them in text order; texts with a sketch in common
 are candidates. With SKETCHES sketches, texts at similarity 0.8 share none with
@@ -13,11 +14,15 @@ subsequence inside the band that any such alignment stays in, computed on the
 bits of an integer that slides along the diagonal.
 
 Texts equal in all words are one node, so copies never meet in pairs. Within a
-bucket of texts with the same sketch, each node is compared with the least
-node; then, while nodes of a bucket still lie in different classes, only pairs
-across classes are compared. A class is a connected component of links. No
-candidate is dropped: a pair of a bucket is left out only when both texts are
-in one class already.
+bucket of nodes with the same sketch, each is compared with the most central
+one, which shares most sketches with others. While buckets still hold nodes of
+different classes in numbers, further rounds compare each bucket's next central
+node with the nodes of other classes; the pairs across classes that remain then
+are all compared. A class is a connected component of links. A pair of a bucket
+is left out only when both are in one class already, or when their signatures
+(PLANES bits of the least shingle in each of BINS bins) differ in more bins than
+a pair at the threshold can: never more than the shingles that only one of the
+two has, nor, but for one pair in 1e9, six standard deviations over the mean.
 
 Texts without words are each a class of their own. Null ids are least.
 """
@@ -26,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +39,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import table, written
+from .shared import batches_of, table, written
 from .words import STEP, U, Words, chunks, mixed
 
 SHINGLE = 5
+#: A shingle that stood among as many before it is the same phrase said again.
+REPEAT = 10
 SIMILAR = 0.8
 SKETCHES = 10
+BINS, PLANES = 512, 4
+SIGNED = BINS // 64 * PLANES
+BITS = "struct<" + ",".join(f"s{i}:long" for i in range(SIGNED)) + ">"
+#: Pairs across classes, for each member of the buckets that hold them, up to which all are compared at once.
+FEW = 8
+ROUNDS = 2
+#: Pairs of texts that a Python worker gets at once.
+PAIRS = 500
 _SEEDS = mixed(np.arange(1, 65, dtype=U) * U(0x9E3779B97F4A7C15))
 
 
 def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles, and where those of each text begin (one more than there are texts)."""
+    """Hashes of the shingles, and where those of each text begin (one more than there are texts)."""
     counts = np.diff(words.first)
     n = len(words.hash)
     padded = np.concatenate([words.hash, np.zeros(SHINGLE, U)])
@@ -55,16 +71,23 @@ def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
     begins[(left < SHINGLE)] = False
     begins[words.first[:-1][counts > 0]] = True
     first = np.concatenate([[0], np.cumsum(np.minimum(counts, np.maximum(counts - SHINGLE + 1, 1)))])
-    return mixed(hashed[begins]), first
-
-
-def sketches(hashed: np.ndarray, first: np.ndarray, n: int = SKETCHES) -> np.ndarray:
-    """Rows of n sketches for each text; texts without shingles get zeros."""
+    hashed = mixed(hashed[begins])
+    # how far each is into its text, and whether one of the REPEAT before it there is the same
+    place = np.arange(len(hashed)) - np.repeat(first[:-1], np.diff(first))
+    again = np.zeros(len(hashed), bool)
+    for back in range(1, min(REPEAT, len(hashed) - 1) + 1):
+        again[back:] |= (hashed[back:] == hashed[:-back]) & (place[back:] >= back)
+    kept = ~again
+    return hashed[kept], np.concatenate([[0], np.cumsum(kept)])[first]
+
+
+def sketches(hashed: np.ndarray, first: np.ndarray, n: int = SKETCHES) -> tuple[np.ndarray, np.ndarray]:
+    """For each text, n sketches and the planes of its signature as 64-bit integers; zeros for texts without shingles."""
     counts = np.diff(first)
     texts = np.flatnonzero(counts)
-    out = np.zeros((len(counts), n), np.int64)
+    out, bits = np.zeros((len(counts), n), np.int64), np.zeros((len(counts), SIGNED), np.int64)
     if not len(texts):
-        return out
+        return out, bits
     owner = np.repeat(np.arange(len(counts)), counts).astype(U)
     # the occurrence number of each shingle in its text
     same = mixed(hashed ^ (owner * STEP))
@@ -75,6 +98,10 @@ def sketches(hashed: np.ndarray, first: np.ndarray, n: int = SKETCHES) -> np.nda
     number = np.empty(len(same), U)
     number[order] = (np.arange(len(same)) - np.repeat(starts, np.diff(np.append(starts, len(same))))).astype(U)
     labelled = mixed(hashed + number * U(0xA0761D6478BD642F))
+    least = np.full(len(counts) * BINS, 0xFFFFFFFF, np.uint32)
+    np.minimum.at(least, owner.astype(np.int64) * BINS + (labelled >> U(64 - 9)).astype(np.int64), (labelled >> U(20)).astype(np.uint32))
+    planes = [np.packbits(least.reshape(len(counts), BINS) >> p & 1, axis=1).view(np.int64) for p in range(PLANES)]
+    bits[:] = np.concatenate(planes, axis=1)
     begin, own = first[:-1][texts], counts[texts]
     for s in range(n):
         value = mixed(labelled ^ _SEEDS[s])
@@ -88,7 +115,7 @@ def sketches(hashed: np.ndarray, first: np.ndarray, n: int = SKETCHES) -> np.nda
             value[places] = U(0xFFFFFFFFFFFFFFFF)
         one, two = np.minimum(*at), np.maximum(*at)
         out[texts, s] = mixed(labelled[one] * STEP + labelled[two] + _SEEDS[s]).astype(np.int64)
-    return out
+    return out, bits
 
 
 def aligned(a: np.ndarray, b: np.ndarray, similar: float = SIMILAR) -> bool:
@@ -116,7 +143,10 @@ def aligned(a: np.ndarray, b: np.ndarray, similar: float = SIMILAR) -> bool:
     width = 2 * band + 1
     full = (1 << width) - 1
     row, low = full, 0  # bit i: place low + i of a; zeros are matched places
+    wanted = needed - matched
     for j, x in enumerate(b.tolist()):
+        if j & 31 == 31 and matched - head - tail + width - row.bit_count() + len(b) - j < wanted:
+            return False
         if j - band > low:
             matched += not row & 1
             row = row >> 1 | 1 << (width - 1)
@@ -129,12 +159,12 @@ def aligned(a: np.ndarray, b: np.ndarray, similar: float = SIMILAR) -> bool:
 
 
 def sketch(docs: DataFrame, id: str, text: str, n: int = SKETCHES) -> DataFrame:
-    """id, t (hash of the text), node (digest of the words), size (shingles) and bands (sketches) of each row."""
-    schema = T.StructType([T.StructField("id", docs.schema[id].dataType), *T._parse_datatype_string("t long, node binary, size long, bands array<long>").fields])
+    """id, t (hash of the text), node (digest of the words), size (shingles), bands (sketches) and bits (signature) of each row."""
+    schema = T.StructType([T.StructField("id", docs.schema[id].dataType), *T._parse_datatype_string("t long, node binary, size long, bands array<long>, bits " + BITS).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, bands = [], [], []
+            nodes, sizes, bands, signed = [], [], [], [np.zeros((0, SIGNED), np.int64)]
             for _, _, data, offsets in chunks(batch.column(2)):
                 words = Words(data, offsets)
                 hashed, first = shingles(words)
@@ -142,8 +172,10 @@ def sketch(docs: DataFrame, id: str, text: str, n: int = SKETCHES) -> DataFrame:
                 sizes += counts.tolist()
                 content = words.hash.tobytes()
                 nodes += [hashlib.md5(content[8 * a : 8 * b]).digest() for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist())]
-                bands += [list(dict.fromkeys(row)) if size else [] for row, size in zip(sketches(hashed, first, n).tolist(), counts.tolist())]
-            arrays = [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+                found, bits = sketches(hashed, first, n)
+                bands += [row if size else [] for row, size in zip(found.tolist(), counts.tolist())]
+                signed.append(bits)
+            arrays = [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.StructArray.from_arrays([pa.array(c) for c in np.concatenate(signed).T], [f"s{i}" for i in range(SIGNED)])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=schema.names)
 
     return docs.select(docs[id].alias("id"), F.xxhash64(docs[text]).alias("t"), docs[text].alias("text")).mapInArrow(run, schema)
@@ -190,37 +222,51 @@ def components(links: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, *, id: str = "doc_id", text: str = "text", n: int = SKETCHES) -> DataFrame:
     """One row per row of docs: id, class_id (least id of its class) and class_size (its rows)."""
+    spark = docs.sparkSession
     rows = written(sketch(docs, id, text, n), "sketches")
-    nodes = written(rows.where("size > 0").groupBy("node").agg(F.min(F.struct("id", "t")).alias("row"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
-    bands = nodes.select("node", "size", F.explode("bands").alias("band"))
-
-    leaders = bands.groupBy("band").agg(F.min(F.struct("node", "size")).alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", F.col("leader.node").alias("a"), F.col("leader.size").alias("a_size"))
-    shared = written(bands.join(leaders, "band"), "buckets")
-    stars = written(shared.where(_comparable("a_size", "size")).where("a <> node").groupBy("a", F.col("node").alias("b")).agg(F.lit(1).alias("one")).select("a", "b"), "stars")
+    nodes = written(rows.where("size > 0").groupBy("node").agg(F.min(F.struct("id", "t")).alias("row"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "nodes")
+    bands = nodes.select("node", F.posexplode("bands").alias("nth", "band"))
+    shared = bands.join(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band")
+    central = shared.groupBy("node").agg(F.sum("n").alias("central"))
+    shared = written(shared.drop("n").join(central.join(nodes.select("node", "size", "bits", F.struct(*[F.get("bands", i).alias(f"c{i}") for i in range(n)]).alias("bands")), "node"), "node"), "buckets")
 
     # texts of the nodes that share a bucket, by id and hash of the text
-    wanted = shared.select("node").distinct().join(nodes.select("node", "row"), "node").select("node", F.col("row.id").alias("w_id"), F.col("row.t").alias("w_t"))
+    wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("row.id").alias("w_id"), F.col("row.t").alias("w_t"))
     source = docs.select(docs[id].alias("id"), F.xxhash64(docs[text]).alias("t"), docs[text].alias("text"))
     texts = written(source.join(wanted, source["id"].eqNullSafe(wanted["w_id"]) & (source["t"] == wanted["w_t"])).select("node", "text").dropDuplicates(["node"]), "texts")
+    a_texts, b_texts = texts.toDF("a", "a_text"), texts.toDF("b", "b_text")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
-        b = texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
-        return written(_verified(pairs.join(a, "a").join(b, "b")), "verified")
-
-    links = verified(stars)
-    labels = components(links)
-    label = F.coalesce("label", "node")
-    split = shared.join(labels, "node", "left").select("band", "node", "size", label.alias("label"))
-    mixed_bands = split.groupBy("band").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("band")
-    left = written(split.join(mixed_bands, "band"), "mixed")
-    if left.take(1):
-        a, b = left.toDF("band", "a", "a_size", "a_label"), left.toDF("band", "b", "b_size", "b_label")
-        across = a.join(b, "band").where("a_label < b_label").where(_comparable("a_size", "b_size")).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
-        more = verified(across.join(stars, ["a", "b"], "left_anti"))
-        links = links.union(more)
+        with batches_of(spark, PAIRS):
+            return written(_verified(pairs.join(a_texts, "a").join(b_texts, "b")), "links")
+
+    def stars(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The most central node of each bucket, and its pairs with nodes of other classes."""
+        heads = written(members.groupBy("band").agg(F.max(F.struct("central", "node", "size", "bits", "label")).alias("head")).select("band", "head.*").drop("central"), "heads")
+        pairs = _across(heads, members).groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
+        return heads.select("band", "node"), written(pairs, "pairs")
+
+    members = shared.withColumn("label", F.col("node"))
+    links = done = labels = None
+    for _ in range(ROUNDS):
+        heads, pairs = stars(members)
+        links = verified(pairs) if links is None else links.union(verified(pairs.join(done, ["a", "b"], "left_anti")))
+        done = pairs if done is None else done.union(pairs)
+        labels = components(links)
+        members = members.drop("label").join(heads, ["band", "node"], "left_anti").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed_bands = members.groupBy("band").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("band")
+        members = written(members.join(mixed_bands, "band"), "members")
+        by_label = members.groupBy("band", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        sums = by_label.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("across"), F.sum("n").alias("n")).first()
+        if not sums["n"] or sums["across"] <= FEW * sums["n"]:
+            break
+    if sums["n"]:
+        pairs = _across(members, members, n).where("a_label < b_label").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        turned = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        links = links.union(verified(pairs.join(turned, ["a", "b"], "left_anti")))
         labels = components(links)
 
+    label = F.coalesce("label", "node")
     found = rows.join(labels, "node", "left").select("id", "size", label.alias("label"))
     heads = found.where("size > 0").groupBy("label").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     known = found.where("size > 0").join(heads, "label").select(F.col("id").alias(id), "class_id", "class_size")
@@ -228,9 +274,27 @@ def classes(docs: DataFrame, *, id: str = "doc_id", text: str = "text", n: int =
     return known.union(wordless)
 
 
-def _comparable(a: str, b: str):
-    """Whether sizes alone allow the similarity: a common subsequence is no longer than the shorter text."""
-    return F.least(a, b) >= F.ceil(F.lit(SIMILAR) * (F.col(a) + F.col(b)) / (1 + SIMILAR) - 1e-9)
+def _across(one: DataFrame, other: DataFrame, once: int = 0) -> DataFrame:
+    """Pairs (a, b) of a bucket whose labels differ and whose sizes and signatures allow the similarity.
+
+    once: the number of sketches, if a pair is to meet in the first bucket that it shares only.
+    """
+    names = ("node", "size", "bits", "label", *(["nth", "bands"] if once else []))
+    a = one.select("band", *[F.col(c).alias(f"a_{c}") for c in names])
+    b = other.select("band", *[F.col(c).alias(f"b_{c}") for c in names])
+    total = F.col("a_size") + F.col("b_size")
+    # a common subsequence is no longer than the shorter text
+    sizes = F.least("a_size", "b_size") >= F.ceil(F.lit(SIMILAR) * total / (1 + SIMILAR) - 1e-9)
+    words = BINS // 64
+    apart = [F.col(f"a_bits.s{i}").bitwiseXOR(F.col(f"b_bits.s{i}")) for i in range(SIGNED)]
+    differing = sum((F.bit_count(reduce(lambda x, y: x.bitwiseOR(y), apart[w::words])) for w in range(words)), F.lit(0))
+    filled, part = BINS * (1 - F.exp(-total / (1 + SIMILAR) / BINS)), 1 - SIMILAR
+    likely = part * filled + 6 * F.sqrt(part * (1 - part) * filled) + 2
+    bits = differing <= F.least(likely, total * ((1 - SIMILAR) / (1 + SIMILAR)) + 1e-9)
+    met = [(F.col("a_nth") > i) & (F.col(f"a_bands.c{i}") == F.col(f"b_bands.c{i}")) for i in range(once)]
+    new = ~reduce(lambda x, y: x | y, met) if met else F.lit(True)
+    found = a.join(b, (a["band"] == b["band"]) & (F.col("a_node") != F.col("b_node")) & (F.col("a_label") != F.col("b_label")) & sizes & new & bits)
+    return found.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_label", "b_label")
 
 
 def documents_query(spark: SparkSession, sf_dir: str) -> DataFrame:
