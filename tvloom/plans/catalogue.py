@@ -1,11 +1,546 @@
-"""Registered queries of the playlist and guide operators."""
+"""Registered queries: each puts an operator to work on whole driver tables, with the SQL that must agree.
+
+The driver's tables stand in for playlists, guides and probes: documents, pages, parts, customers and suppliers for
+channels and sources, events for programmes and probes.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import constants as C
+from ..functions import scores, text, urls
+from ..operators import alternates, cluster, dedupe, export, guide, health, keyed, match, policy, rank, source_registry
+from ..sources import catalog, playlist
+
+NO_ATTRIBUTES = "cast(map() as map<string,string>)"
+NO_DIRECTIVES = "cast(array() as array<string>)"
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- documents as candidates of a name --------------------------------------------------
+
+FIRST_WORD = "regexp_extract(lower(coalesce(text, '')), '[a-z]+', 0)"
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id", "left")
+    return docs.select(
+        F.expr(FIRST_WORD).alias("key"),
+        F.col("doc_id").alias("ord"),
+        (F.coalesce("quality", F.lit(0)) * 50.0).alias("health_score"),
+        F.substring("source", 4, 9).cast("int").alias("source_priority"),
+        F.when(F.col("lang") == "en", 200).otherwise(100).alias("quality_score"),
+        F.least(F.floor(F.col("n_chars") / 500), F.lit(5)).cast("int").alias("metadata_score"),
+        F.when(F.col("n_chars") % 2 == 0, 20).otherwise(10).alias("transport_score"),
+    )
+
+
+_CANDIDATES_SQL = """
+WITH q AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
+c AS (SELECT regexp_extract(lower(coalesce(text, '')), '[a-z]+') AS key, d.doc_id AS ord, coalesce(quality, 0) * 50.0::DOUBLE AS health_score,
+  CAST(substr(source, 4, 9) AS INT) AS source_priority, CASE WHEN lang = 'en' THEN 200 ELSE 100 END AS quality_score,
+  CAST(least(floor(n_chars / 500.0), 5) AS INT) AS metadata_score, CASE WHEN n_chars % 2 = 0 THEN 20 ELSE 10 END AS transport_score
+  FROM documents d LEFT JOIN q USING (doc_id)),
+w AS (SELECT *, row_number() OVER o AS place, lead(health_score) OVER o AS h2, lead(source_priority) OVER o AS p2, lead(quality_score) OVER o AS q2,
+  lead(metadata_score) OVER o AS m2, lead(transport_score) OVER o AS t2, lead(ord) OVER o AS o2, count(*) OVER (PARTITION BY key) AS size
+  FROM c WINDOW o AS (PARTITION BY key ORDER BY health_score DESC, source_priority, quality_score DESC, metadata_score DESC, transport_score DESC, ord))
+"""
+
+
+def q03(spark, sf_dir):
+    best = rank.rank(_candidates(spark, sf_dir), "key").where("rank = 1")
+    return best.select("key", F.col("ord").alias("doc_id"), "health_score", "source_priority", "metadata_score")
+
+
+def q04(spark, sf_dir):
+    chosen = rank.with_reason(rank.rank(_candidates(spark, sf_dir), "key"), "key")
+    return chosen.where("size > 1").select("key", F.col("ord").alias("doc_id"), "size", "reason")
+
+
+# --- URLs of pages ----------------------------------------------------------------------
+
+_URL_KEY_SQL = r"""
+lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) || '://' ||
+CASE WHEN lower(url) LIKE 'http://%' THEN regexp_replace(h, ':80$', '') WHEN lower(url) LIKE 'https://%' THEN regexp_replace(h, ':443$', '') ELSE h END ||
+regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) || CASE WHEN q = '' THEN '' ELSE '?' || q END
+"""
+_URL_PARTS_SQL = r"SELECT *, lower(regexp_replace(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1), '^.*@', '')) AS h, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS q FROM pages"
+
+
+def q01(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", urls.identity_url(F.col("url")).alias("url_key"))
+
+
+def q02(spark, sf_dir):
+    pages = _t(spark, sf_dir, "pages").withColumn("key", urls.host(F.col("url")))
+    return keyed.first_wins(pages.withColumn("ord", F.col("page_id")), "key").select("key", "page_id")
+
+
+def q02_upsert(spark, sf_dir):
+    pages = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), F.col("page_id").alias("last_page"), urls.host(F.col("url")).alias("key"))
+    return keyed.upsert(pages, F.col("key")).select("key", F.col("ord").alias("place"), "last_page")
+
+
+def _stitched(spark, sf_dir):
+    """Pages as stitched streams; every fifth is the resolver of the page before."""
+    pages = _t(spark, sf_dir, "pages")
+    own = F.substring(F.md5("url"), 1, 24)
+    resolver = F.concat(F.lit("https://jmp2.uk/plu-"), F.substring(F.md5(F.concat(F.lit("x"), (F.col("page_id") - 1).cast("string"))), 1, 24), F.lit(".m3u8"))
+    url = F.when(F.col("page_id") % 5 == 0, resolver).otherwise(F.concat(F.lit("https://service.pluto.tv/v2/stitch/hls/channel/"), F.when(F.col("page_id") % 5 == 4, F.substring(F.md5(F.concat(F.lit("x"), F.col("page_id").cast("string"))), 1, 24)).otherwise(own), F.lit("/master.m3u8")))
+    return pages.select(F.lit("s").alias("source_id"), F.col("page_id").alias("ord"), F.lit("n").alias("name"), url.alias("stream_url"), F.lit("").alias("group"), F.lit("").alias("tvg_id"), F.lit("").alias("tvg_name"), F.lit("").alias("logo"), F.expr(NO_ATTRIBUTES).alias("attributes"), F.expr(NO_DIRECTIVES).alias("extra_directives"))
+
+
+def q19(spark, sf_dir):
+    return alternates.generated(_stitched(spark, sf_dir)).select((F.col("ord") - (1 << 40)).alias("page_id"), "stream_url", F.try_element_at("attributes", F.lit("pluto-channel-id")).alias("channel_id"))
+
+
+def q19_stats(spark, sf_dir):
+    return alternates.stats(_stitched(spark, sf_dir))
+
+
+_STITCHED_SQL = """
+WITH p AS (SELECT page_id, CASE WHEN page_id % 5 = 4 THEN substr(md5('x' || page_id), 1, 24) ELSE substr(md5(url), 1, 24) END AS id FROM pages WHERE page_id % 5 <> 0),
+k AS (SELECT DISTINCT substr(md5('x' || (page_id - 1)), 1, 24) AS id FROM pages WHERE page_id % 5 = 0),
+g AS (SELECT min(page_id) AS page_id, id FROM p WHERE id NOT IN (SELECT id FROM k) GROUP BY id)
+"""
+
+
+def q22(spark, sf_dir):
+    head = F.substring_index("html", "<body", 1)
+    tags = F.array_join(F.regexp_extract_all(head, F.lit(r"<(?:html|meta)\b[^>]*>"), F.lit(0)), " ")
+    got = _t(spark, sf_dir, "pages").select("page_id", playlist.attributes(tags).alias("a"))
+    return got.select("page_id", F.try_element_at("a", F.lit("lang")).alias("lang"), F.try_element_at("a", F.lit("charset")).alias("charset"))
+
+
+# --- clusters of documents --------------------------------------------------------------
+
+
+def _members(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    keys = F.array(F.struct(F.lit("text").alias("type"), F.md5("text").alias("key")), F.struct(F.lit("begin").alias("type"), F.lower(F.substring("text", 1, 40)).alias("key")))
+    return docs.select(F.col("doc_id").alias("ord"), F.explode(keys).alias("k")).select("ord", "k.*")
+
+
+def q05(spark, sf_dir):
+    return cluster.components(_members(spark, sf_dir)).select(F.col("ord").alias("doc_id"), "cluster")
+
+
+def q06(spark, sf_dir):
+    return cluster.cluster_stats(cluster.components(_members(spark, sf_dir)))
+
+
+def q06_collisions(spark, sf_dir):
+    return cluster.collisions(_members(spark, sf_dir))
+
+
+_MEMBERS_SQL = """
+WITH RECURSIVE m AS (SELECT doc_id, 'text' AS type, md5(text) AS key FROM documents UNION ALL SELECT doc_id, 'begin', lower(substr(text, 1, 40)) FROM documents),
+e AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM m a JOIN m b USING (type, key)),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS cluster FROM r GROUP BY a)
+"""
+
+
+def q24(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").withColumn("ord", F.col("doc_id"))
+    return dedupe.greedy(docs, F.md5("text"), F.lower(F.substring("text", 1, 40))).select("doc_id")
+
+
+# --- categories, names and text ---------------------------------------------------------
+
+_NAMES = ["concat('Rai ', p_partkey % 30)", "'Canale 5 HD'", "'DMAX (720p)'", "'Sky Sport 24'", "'Pluto TV Film'", "'Kids & Co'", "'Radio Uno'", "p_name"]
+_NAME_CASE = "CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN {n}" for i, n in enumerate(_NAMES)) + " END"
+
+
+def q07(spark, sf_dir):
+    parts = _t(spark, sf_dir, "part").select("p_partkey", F.expr(_NAME_CASE).alias("name"), F.col("p_type").alias("group"), F.col("p_brand").alias("source_id"))
+    return export.with_category(parts).select("p_partkey", "category", "category_rank")
+
+
+def _category_sql() -> str:
+    n = "regexp_replace(trim(regexp_replace(regexp_replace(replace(lower(name), '&', ' e '), '[\\(\\[].*?[\\)\\]]', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')), '( (" + "|".join(C.QUALITY_SUFFIXES) + "))+$', '')"
+    cases = ["WHEN regexp_matches(n, '^rai(?:\\s|[0-9]|$)') THEN 'RAI'"]
+    cases += [f"WHEN regexp_matches(n, '^(?:{names})(?: |$)') THEN '{brand}'" for brand, names in C.BRANDS.items()]
+    cases += ["WHEN n LIKE 'pluto tv%' THEN 'PLUTO TV'"]
+    cases += [f"WHEN regexp_matches(t, '{words}') THEN '{kind}'" for kind, words in C.KEYWORDS]
+    ranks = " ".join(f"WHEN '{k}' THEN {v}" for k, v in C.CATEGORY_ORDER.items())
+    return f"""
+WITH a AS (SELECT p_partkey, {_NAME_CASE} AS name, p_type FROM part), b AS (SELECT *, {n} AS n FROM a),
+c AS (SELECT *, ' ' || n || ' ' || trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM b),
+d AS (SELECT p_partkey, CASE {' '.join(cases)} ELSE 'ALTRO' END AS category FROM c)
+SELECT p_partkey, category, CAST(CASE category {ranks} END AS INT) AS category_rank FROM d"""
+
+
+def q27(spark, sf_dir):
+    name = F.substring_index("text", "\n", 1)
+    return _t(spark, sf_dir, "documents").select("doc_id", text.name_key(text.fold(name)).alias("name_key"))
+
+
+def q27_quality(spark, sf_dir):
+    name = F.expr("concat(p_name, ' ', element_at(array('4K', 'Full HD', '720p', 'SD', ''), cast(p_partkey % 5 as int) + 1))")
+    return _t(spark, sf_dir, "part").select("p_partkey", scores.quality(F.lower(name)).alias("quality_score"))
+
+
+# --- matching ---------------------------------------------------------------------------
+
+
+def _guide_of_nations(spark, sf_dir):
+    return _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("ord"), F.concat("n_name", F.lit(".it")).alias("channel_id"), F.array(F.concat(F.lit("Tele "), "n_name")).alias("display_names"), F.concat(F.lit("http://icon/"), "n_nationkey").alias("icon_url"))
+
+
+def _playlist_of_customers(spark, sf_dir):
+    rows = _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    kind = F.col("c_custkey") % 4
+    tvg = F.when(kind == 0, F.concat(F.upper("n_name"), F.lit(".IT"))).when(kind == 1, F.concat("n_name", F.lit(".it@HD"))).otherwise("")
+    name = F.when(kind == 2, F.concat(F.lit("Tele "), "n_name", F.lit(" (720p)"))).when(kind == 3, F.lit("Zz")).otherwise("Other")
+    return rows.select(F.col("c_custkey").alias("ord"), name.alias("name"), tvg.alias("tvg_id"), F.lit("").alias("tvg_name"), F.lit("").alias("logo"))
+
+
+def q08(spark, sf_dir):
+    found = match.match(_playlist_of_customers(spark, sf_dir), _guide_of_nations(spark, sf_dir))
+    return found.select(F.col("ord").alias("c_custkey"), "status", "guide_id", "score", "method")
+
+
+def q08_stats(spark, sf_dir):
+    found = match.match(_playlist_of_customers(spark, sf_dir), _guide_of_nations(spark, sf_dir))
+    return match.stats(found).select("playlist_channels", "matched", "unmatched", "ambiguous", "exact_tvg_id", "normalized_tvg_id", "exact_name", "coverage_percent")
+
+
+_MATCH_SQL = """
+WITH m AS (SELECT c_custkey, c_custkey % 4 AS k, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey)
+"""
+
+
+def q09(spark, sf_dir):
+    parts = _t(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("ord"))
+    listed = parts.select("ord", F.concat("p_name", F.lit("x")).alias("name"), F.lit("").alias("tvg_id"), F.lit("").alias("tvg_name"))
+    shown = parts.select("ord", F.concat(F.lit("g"), "ord").alias("channel_id"), F.array("p_name").alias("display_names"))
+    return match.match(listed, shown).select("ord", "status", "guide_id", "score", "method")
+
+
+def q17(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    good = _t(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    channels = docs.select(F.col("doc_id").alias("ord"), F.col("source").alias("tvg_id"), F.when(F.col("lang") == "en", "").otherwise(F.col("lang")).alias("tvg_name"), F.when(F.col("doc_id") % 3 == 0, "l").otherwise("").alias("logo"))
+    matched = docs.join(good, "doc_id").select(F.col("doc_id").alias("ord"), F.when(F.col("quality") == 1, "matched").otherwise("unmatched").alias("status"), F.concat(F.col("source"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(".it")).alias("guide_id"))
+    shown = docs.select(F.col("doc_id").alias("ord"), F.col("source").alias("channel_id"), F.array(F.upper("source")).alias("display_names"), F.concat(F.lit("http://"), "source").alias("icon_url"))
+    both = shown.union(shown.withColumn("channel_id", F.concat("channel_id", F.lit(".it"))))
+    return match.fill(channels, matched, both).withColumnRenamed("ord", "doc_id")
+
+
+# --- guides -----------------------------------------------------------------------------
+
+
+def q10(spark, sf_dir):
+    items = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    some = lambda test: F.when(test, "x").otherwise("")
+    programmes = items.select(
+        F.col("l_orderkey").alias("doc_ord"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("ord"), F.concat(F.lit("S"), "l_suppkey").alias("channel_id"),
+        F.date_format("l_shipdate", "yyyyMM").alias("start"), F.lit("").alias("stop"), F.col("l_returnflag").alias("title"), some(F.col("l_tax") > 0.04).alias("subtitle"),
+        some(F.col("l_discount") > 0.05).alias("description"), F.when(F.col("l_linestatus") == "O", F.array("o_orderstatus", "o_orderpriority")).otherwise(F.expr(NO_DIRECTIVES)).alias("categories"),
+        some(F.col("l_quantity") > 25).alias("icon_url"), F.lit("").alias("episode_num"), F.lit("").alias("source_url"),
+    )
+    channels = _t(spark, sf_dir, "supplier").select(F.lit(0).cast("long").alias("doc_ord"), F.col("s_suppkey").alias("ord"), F.concat(F.lit("s"), "s_suppkey").alias("channel_id"), F.array("s_name").alias("display_names"), F.lit("").alias("icon_url"), F.lit("").alias("source_url"))
+    return guide.merge_programmes(programmes, guide.merge_channels(channels)).select("channel_id", "start", "title", F.col("doc_ord").alias("l_orderkey"), F.col("ord").alias("line"), F.col("richness").cast("long").alias("richness"))
+
+
+def q11(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.concat(F.lit("u"), "user_id").alias("channel_id"), F.date_format("ts", "yyyyMMdd").alias("start"), F.lit("").alias("stop"), F.col("event_type").alias("title"), F.floor("value").cast("int").alias("source_priority"))
+    return guide.merge_by_priority(rows).select("channel_id", "start", "title", F.col("ord").alias("event_id"), "source_priority")
+
+
+NOW = "2024-01-15 12:00:00"
+
+
+def _programmes(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("start"), F.col("event_type").alias("title"))
+    return guide.with_lead_stop(rows, "user_id", "start")
+
+
+def q12(spark, sf_dir):
+    now = F.lit(NOW).cast("timestamp")
+    shown = guide.now_playing(_programmes(spark, sf_dir), now, "user_id")
+    return shown.select("user_id", "event_id", F.round(guide.progress(F.col("start"), F.col("stop"), now), 4).alias("progress"))
+
+
+def q12_airing(spark, sf_dir):
+    now = F.lit(NOW).cast("timestamp")
+    return _programmes(spark, sf_dir).where("stop is not null").groupBy(guide.airing(F.col("start"), F.col("stop"), now).alias("airing")).agg(F.count(F.lit(1)).alias("programmes"))
+
+
+def q12_at_instants(spark, sf_dir):
+    """What was on for each user at noon of each day."""
+    days = _t(spark, sf_dir, "events").select("user_id", F.timestamp_seconds(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86400) * 86400 + 43200).alias("at")).distinct()
+    return guide.playing_at(_programmes(spark, sf_dir).where("stop is not null"), days, "user_id").select("user_id", F.unix_seconds("at").alias("at_seconds"), "event_id")
+
+
+def q13(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp").alias("start"))
+    return guide.days(rows, "event_type").select("event_type", F.date_format("day", "yyyy-MM-dd").alias("day"), "programmes")
+
+
+# --- probes -----------------------------------------------------------------------------
+
+_STATUS = "CASE event_type WHEN 'error' THEN 'offline' WHEN 'click' THEN 'reachable' ELSE 'online' END"
+_REASON = "CASE event_type WHEN 'error' THEN 'http_error' WHEN 'signup' THEN 'token_expired' WHEN 'click' THEN 'hls_segment_http_error' ELSE 'hls_signature' END"
+
+
+def _health(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select(
+        F.col("event_id").alias("ord"), F.concat(F.lit(" u"), F.col("user_id").cast("string"), F.lit(" ")).alias("stream_url"), F.expr(_STATUS).alias("status"), F.expr(_REASON).alias("classification_reason"),
+        F.when(F.col("value") > 50, 404).otherwise(503).alias("http_status"), F.when(F.col("event_id") % 2 == 0, 410).otherwise(500).alias("segment_http_status"),
+        F.floor(F.col("value") * 40).cast("int").alias("response_ms"), (F.col("event_id") % 3 == 0).alias("redirected"), F.expr("event_id % 101").cast("int").alias("base"),
+    )
+
+
+def q14(spark, sf_dir):
+    users = _t(spark, sf_dir, "events").select(F.col("user_id").alias("ord")).distinct().withColumn("url", F.concat(F.lit("u"), F.col("ord").cast("string")))
+    more = users.union(users.select(F.col("ord") + 1000000, F.concat("url", F.lit("-unknown"))))
+    return policy.apply(more, _health(spark, sf_dir)).select("url", "hard", "uncertain")
+
+
+def q14_stats(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"))
+    return policy.policy_stats(policy.apply(rows, _health(spark, sf_dir)))
+
+
+def q15(spark, sf_dir):
+    rows = _health(spark, sf_dir)
+    scored = rows.withColumn("health_score", scores.health_score(F.col("status"), F.col("base"), F.col("response_ms"), F.col("redirected")))
+    return health.stats(scored)
+
+
+def q16(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.concat(F.lit("g"), F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("group_id"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("stream_url"), F.expr(_STATUS).alias("status"))
+    initial, final = keyed.first_wins(e, "group_id"), keyed.best(e, ["group_id"], [F.desc("ord")])
+    return policy.recovery(initial, final, e, e).select("group_id", "outcome")
+
+
+def q16_stats(spark, sf_dir):
+    return q16(spark, sf_dir).transform(policy.recovery_stats)
+
+
+_OUTCOME_SQL = """
+WITH e AS (SELECT event_id, 'g' || user_id || '-' || strftime(ts, '%Y%m%d') AS group_id, event_type <> 'error' AS good FROM events),
+g AS (SELECT group_id, bool_or(good) AS any_good, min(event_id) <> max(event_id) AS changed, arg_min(good, event_id) AS i, arg_max(good, event_id) AS f FROM e GROUP BY group_id),
+o AS (SELECT group_id, CASE WHEN NOT any_good THEN 'all_candidates_failed' WHEN changed AND NOT i AND f THEN 'recovered_from_alternative'
+  WHEN changed AND f THEN 'upgraded_to_better_alternative' WHEN f THEN 'selected_primary' ELSE 'selection_not_publishable' END AS outcome FROM g)
+"""
+
+
+def q40(spark, sf_dir):
+    """Channels that a device may show: those of others, and the provider's that were accepted."""
+    channels = _t(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.when(F.col("user_id") % 2 == 0, "PlutoTV").otherwise("other").alias("source_id"), F.lit("g").alias("group"), F.lit("n").alias("name"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("stream_url"))
+    probed = _health(spark, sf_dir).withColumn("health_score", F.col("base"))
+    return policy.device_channels(channels, policy.verify_provider(channels, probed, minimum=40)).select(F.col("ord").alias("event_id"))
+
+
+def q20(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_quantity") > 25, "1280x720").otherwise("3840x2160").alias("resolution"), F.when(F.col("l_returnflag") == "A", "avc1.4d").otherwise("vp9").alias("codecs"), F.floor(F.col("l_extendedprice") * 200).cast("long").alias("bandwidth"))
+    top = health.top_variants(rows, ["l_orderkey"], [*health.variant_order(F.col("resolution"), F.col("codecs"), F.col("bandwidth")), "l_linenumber", "l_partkey", "bandwidth"])
+    return top.select("l_orderkey", "l_linenumber", "l_partkey", F.col("place").cast("long").alias("place"))
+
+
+# --- playlists --------------------------------------------------------------------------
+
+
+def _records(spark, sf_dir):
+    body = F.concat(F.lit('#EXTINF:-1 tvg-id="i",'), F.replace(F.regexp_replace("text", "[\"'\\\\#]", ""), F.lit("\n"), F.lit('\n#note\nhttp://x/y\n#EXTINF:-1 tvg-id="i",')))
+    return _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_id"), F.concat(F.lit("orphan\n"), body).alias("text"))
+
+
+_RECORDS_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '["''\\#]', '', 'g'), chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos, len(string_split(text, chr(10))) AS n FROM documents),
+r AS (SELECT *, trim(regexp_replace(line, '\s+', ' ', 'g')) AS name FROM l)
+"""
+
+
+def q21(spark, sf_dir):
+    channels, _, _ = playlist.parse(_records(spark, sf_dir))
+    return channels.select("source_id", "ord", "name", "tvg_id", "stream_url", F.size("extra_directives").alias("directives"))
+
+
+def q21_stats(spark, sf_dir):
+    _, _, stats = playlist.parse(_records(spark, sf_dir))
+    return stats.select("source_id", "extinf_records", "channels_created", "missing_url", "missing_name", "orphan_lines")
+
+
+def q21_entries(spark, sf_dir):
+    return playlist.entries(_records(spark, sf_dir)).select("source_id", "ord", F.size("lines").alias("n_lines"), "url")
+
+
+def q29(spark, sf_dir):
+    """Look-ahead dialects: info lines that share the next URL."""
+    lines = F.concat(F.lit("#EXTINF:-1,"), F.replace(F.regexp_replace("text", "#", ""), F.lit("\n"), F.lit("\n#EXTINF:-1,")), F.lit("\nhttp://end"))
+    texts = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_id"), lines.alias("text"))
+    shared, swallowed = playlist.parse_ahead(texts, swallow=False, default_group="Altro"), playlist.parse_ahead(texts, swallow=True)
+    count = lambda df, name: df.groupBy("source_id").agg(F.count(F.lit(1)).alias(name), F.max("url").alias(f"{name}_url"))
+    return count(shared, "web").join(count(swallowed, "v2"), "source_id")
+
+
+def q23(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").select("event_type", F.from_json("props", "k int").alias("p"))
+    return rows.groupBy("event_type").agg(F.sum("p.k").alias("total"), F.count("p.k").alias("known"))
+
+
+def q25(spark, sf_dir):
+    rows = _t(spark, sf_dir, "conversations")
+    return rows.groupBy("conv_id").agg(F.array_join(keyed.ordered_distinct(F.col("role"), F.struct("turn", "text")), ",").alias("roles"), F.count(F.lit(1)).alias("turns"))
+
+
+# --- sources and registries -------------------------------------------------------------
+
+
+def _sources(spark, sf_dir):
+    rows = _t(spark, sf_dir, "supplier").join(_t(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return rows.select(
+        F.col("s_suppkey").alias("ord"), F.concat(F.lit("s"), (F.col("s_suppkey") % 60).cast("string")).alias("id"), F.col("s_name").alias("name"),
+        F.concat(F.lit("HTTPS://Host"), (F.col("s_suppkey") % 45).cast("string"), F.lit(".test:443/list#x")).alias("url"), (F.col("s_acctbal") > 0).alias("enabled"),
+        F.expr("cast(s_suppkey % 10 as int)").alias("priority"), F.when(F.col("s_suppkey") % 7 == 0, "api").otherwise("playlist").alias("kind"),
+        F.when(F.col("n_regionkey") == 0, "IT").when(F.col("n_regionkey") == 1, "").otherwise("FR").alias("country"), F.lit("it").alias("language"),
+        (F.col("s_suppkey") % 7 == 0).alias("discovery_enabled"), F.when(F.col("s_suppkey") % 7 == 0, "api").otherwise("static").alias("discovery_mode"),
+        F.expr("cast(s_suppkey % 100 as int)").alias("trust_score"), F.lit(24).alias("refresh_hours"), F.lit("").alias("origin"), F.array(F.concat(F.lit("r"), "n_regionkey")).alias("tags"),
+    )
+
+
+def q18(spark, sf_dir):
+    found = source_registry.search(_sources(spark, sf_dir), country="italia", tags=["R0", "r1"], enabled_only=True, min_trust_score=20, match_unclassified=True)
+    return found.select("ord", "priority", "trust_score")
+
+
+def q18_stats(spark, sf_dir):
+    return source_registry.stats(_sources(spark, sf_dir)).drop("kinds")
+
+
+def q18_register(spark, sf_dir):
+    kept, _, _ = source_registry.add(_sources(spark, sf_dir))
+    return kept.select("ord", "id")
+
+
+def q18_upsert(spark, sf_dir):
+    return source_registry.upsert(_sources(spark, sf_dir)).groupBy("action").agg(F.count(F.lit(1)).alias("rows"), F.count("place").alias("standing"))
+
+
+def _channels(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    return docs.select(F.col("source").alias("source_id"), F.col("doc_id").alias("ord"), F.substring("text", 1, 30).alias("name"), F.concat(F.lit(" http://x/"), F.md5("text"), F.lit(" ")).alias("stream_url"), F.upper("lang").alias("group"), F.lit("").alias("tvg_id"), F.lit("").alias("tvg_name"), F.lit("").alias("logo"), F.expr(NO_ATTRIBUTES).alias("attributes"), F.expr(NO_DIRECTIVES).alias("extra_directives"))
+
+
+def q30(spark, sf_dir):
+    return keyed.registry_stats(keyed.register(_channels(spark, sf_dir)))
+
+
+def q30_search(spark, sf_dir):
+    return keyed.search(keyed.register(_channels(spark, sf_dir)), " the  ").select(F.col("ord").alias("doc_id"))
+
+
+def q26(spark, sf_dir):
+    customers, orders = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders")
+    has = customers.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_semi").withColumn("ordered", F.lit(True))
+    none = customers.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").withColumn("ordered", F.lit(False))
+    return has.union(none).groupBy("c_mktsegment", "ordered").agg(F.count(F.lit(1)).alias("customers"))
+
+
+def q28(spark, sf_dir):
+    """Rows of several sources in one order, the first of each text."""
+    parts = [("documents", "doc_id"), ("benchmark", "item_id"), ("conversations", "conv_id")]
+    rows = [_t(spark, sf_dir, t).select(F.lit(i).alias("s"), F.lit(t).alias("source"), F.col(k).alias("id"), *([F.col("turn")] if t == "conversations" else [F.lit(0).alias("turn")]), "text") for i, (t, k) in enumerate(parts)]
+    union = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return keyed.best(union, [F.md5("text")], ["s", "id", "turn"]).groupBy("source").agg(F.count(F.lit(1)).alias("first_texts"))
+
+
+def q31(spark, sf_dir):
+    """Expiry, country and key of tokens in URLs."""
+    url = F.concat(F.col("url"), F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), F.lit("exp="), (F.lit(1700000000) + F.col("page_id") * 1000).cast("string"), F.lit("&Country="), F.when(F.col("page_id") % 2 == 0, "it").otherwise("fr"))
+    pages = _t(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "#.*$", "").alias("url")).withColumn("u", url)
+    return pages.select("page_id", urls.token_expired(F.col("u"), 1700100000).alias("expired"), urls.country_check(F.expr(NO_ATTRIBUTES), F.col("u"), "IT").alias("country"))
+
+
+def q32(spark, sf_dir):
+    """Entities of a seeded registry."""
+    seed = _t(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("ord"), F.concat(F.lit("it."), F.lower("r_name")).alias("channel_id"), F.col("r_name").alias("name"), F.array(F.concat("r_name", F.lit(" HD"))).alias("aliases"), F.lit("NEWS").alias("category"))
+    rows = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    name = F.when(F.col("n_nationkey") % 2 == 0, F.concat("r_name", F.lit(" (720p)"))).otherwise(F.col("n_name"))
+    channels = rows.select(F.col("n_nationkey").alias("ord"), name.alias("name"), F.lit("").alias("tvg_id"), F.lit("").alias("tvg_name"), F.concat(F.lit("http://"), "n_nationkey").alias("url"))
+    built = guide.build_entities(guide.resolve(channels, seed))
+    return built.select("channel_id", "category", F.array_join("aliases", "|").alias("aliases"), F.array_join("streams", "|").alias("streams"))
+
+
+def q33(spark, sf_dir):
+    """Curated and found sources: accepted playlists of a code search."""
+    items = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), F.concat(F.lit("lists/"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 3 == 0, ".m3u").otherwise(".md")).alias("path"), F.lit("a/b").alias("repository"), F.concat(F.when(F.col("page_id") % 2 == 0, "https").otherwise("http"), F.lit("://raw.githubusercontent.com/"), (F.col("page_id") % 40).cast("string")).alias("download_url"))
+    made, _ = catalog.search_results(items)
+    return made.select("ord", "id", "priority", "trust_score")
+
 
 def queries() -> dict:
-    return {}
+    return {
+        "q01_url_key": q01, "q02_url_first_wins": q02, "q02_upsert_keeps_place": q02_upsert, "q03_best_per_key": q03, "q04_selection_reason": q04, "q05_components": q05,
+        "q06_cluster_stats": q06, "q06_collisions": q06_collisions, "q07_category_cascade": q07, "q08_tiered_match": q08, "q08_match_stats": q08_stats, "q09_fuzzy_match": q09,
+        "q10_richness_merge": q10, "q11_priority_merge": q11, "q12_now_playing": q12, "q12_airing": q12_airing, "q12_at_instants": q12_at_instants, "q13_rome_day_counts": q13,
+        "q14_hard_failure_filter": q14, "q14_policy_stats": q14_stats, "q15_health_stats": q15, "q16_recovery_outcome": q16, "q16_recovery_stats": q16_stats, "q17_metadata_fill": q17,
+        "q18_source_search": q18, "q18_source_stats": q18_stats, "q18_register": q18_register, "q18_upsert": q18_upsert, "q19_anti_alternates": q19, "q19_alternate_stats": q19_stats,
+        "q20_topk_variants": q20, "q21_line_records": q21, "q21_parse_stats": q21_stats, "q21_entries": q21_entries, "q22_attributes": q22, "q23_json_props": q23,
+        "q24_greedy_dedupe": q24, "q25_ordered_distinct": q25, "q26_anti_semi": q26, "q27_name_fold": q27, "q27_quality_score": q27_quality, "q28_union_sources": q28,
+        "q29_look_ahead": q29, "q30_registry_stats": q30, "q30_registry_search": q30_search, "q31_token_country": q31, "q32_entities": q32, "q33_code_search": q33, "q40_device_filter": q40,
+    }
+
+
+_LAST_HEALTH = f"SELECT user_id, arg_max({_STATUS}, event_id) AS status, arg_max({_REASON}, event_id) AS reason, arg_max(CASE WHEN value > 50 THEN 404 ELSE 503 END, event_id) AS http, arg_max(CASE WHEN event_id % 2 = 0 THEN 410 ELSE 500 END, event_id) AS seg, arg_max(event_id % 101, event_id) AS score FROM events GROUP BY user_id"
+_HARD = "(reason = 'token_expired' OR (reason = 'http_error' AND http = 404) OR (reason = 'hls_segment_http_error' AND seg = 410))"
+_SOURCES_SQL = "SELECT *, CASE n_regionkey WHEN 0 THEN 'IT' WHEN 1 THEN '' ELSE 'FR' END AS country FROM supplier JOIN nation ON s_nationkey = n_nationkey"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "q01_url_key": f"SELECT page_id, {_URL_KEY_SQL} AS url_key FROM ({_URL_PARTS_SQL})",
+        "q02_url_first_wins": f"SELECT regexp_replace(h, ':[0-9]*$', '') AS key, min(page_id) AS page_id FROM ({_URL_PARTS_SQL}) GROUP BY 1",
+        "q02_upsert_keeps_place": f"SELECT regexp_replace(h, ':[0-9]*$', '') AS key, min(page_id) AS place, max(page_id) AS last_page FROM ({_URL_PARTS_SQL}) GROUP BY 1",
+        "q03_best_per_key": _CANDIDATES_SQL + "SELECT key, ord AS doc_id, health_score, source_priority, metadata_score FROM w WHERE place = 1",
+        "q04_selection_reason": _CANDIDATES_SQL + "SELECT key, ord AS doc_id, size, CASE WHEN health_score <> h2 THEN 'higher_health_score' WHEN source_priority <> p2 THEN 'better_source_priority' WHEN quality_score <> q2 THEN 'higher_video_quality' WHEN metadata_score <> m2 THEN 'richer_metadata' WHEN transport_score <> t2 THEN 'better_transport' ELSE 'earlier_insertion_order' END AS reason FROM w WHERE place = 1 AND size > 1",
+        "q05_components": _MEMBERS_SQL + "SELECT doc_id, cluster FROM c",
+        "q06_cluster_stats": _MEMBERS_SQL + "SELECT CAST(sum(n) AS BIGINT) AS input_channels, count(*) AS groups, count(*) FILTER (n = 1) AS singleton_groups, count(*) FILTER (n > 1) AS duplicate_groups, CAST(sum(n - 1) AS BIGINT) AS alternatives FROM (SELECT cluster, count(*) AS n FROM c GROUP BY cluster)",
+        "q06_collisions": "WITH m AS (SELECT 'text' AS type, md5(text) AS key FROM documents UNION ALL SELECT 'begin', lower(substr(text, 1, 40)) FROM documents) SELECT type, count(*) - count(DISTINCT key) AS collisions FROM m GROUP BY type",
+        "q07_category_cascade": _category_sql(),
+        "q08_tiered_match": _MATCH_SQL + "SELECT c_custkey, CASE WHEN k = 3 THEN 'unmatched' ELSE 'matched' END AS status, CASE WHEN k < 3 THEN n_name || '.it' END AS guide_id, CAST(CASE k WHEN 0 THEN 100 WHEN 1 THEN 97 WHEN 2 THEN 92 END AS DOUBLE) AS score, CASE k WHEN 0 THEN 'exact_tvg_id' WHEN 1 THEN 'normalized_tvg_id' WHEN 2 THEN 'exact_name' END AS method FROM m",
+        "q08_match_stats": _MATCH_SQL + "SELECT count(*) AS playlist_channels, count(*) FILTER (k < 3) AS matched, count(*) FILTER (k = 3) AS unmatched, CAST(0 AS BIGINT) AS ambiguous, count(*) FILTER (k = 0) AS exact_tvg_id, count(*) FILTER (k = 1) AS normalized_tvg_id, count(*) FILTER (k = 2) AS exact_name, round_even(100.0 * count(*) FILTER (k < 3) / count(*), 2)::DOUBLE AS coverage_percent FROM m",
+        "q10_richness_merge": "WITH p AS (SELECT 's' || l_suppkey AS channel_id, strftime(l_shipdate, '%Y%m') AS start, l_returnflag AS title, l_orderkey, l_linenumber * 1000000 + l_partkey AS line, CAST((l_tax > 0.04)::INT + (l_discount > 0.05)::INT + CASE WHEN l_linestatus = 'O' THEN 2 ELSE 0 END + (l_quantity > 25)::INT AS BIGINT) AS richness FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY channel_id, start, title ORDER BY richness DESC, l_orderkey, line) = 1",
+        "q11_priority_merge": "SELECT 'u' || user_id AS channel_id, strftime(ts, '%Y%m%d') AS start, event_type AS title, event_id, CAST(floor(value) AS INT) AS source_priority FROM events QUALIFY row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y%m%d'), event_type ORDER BY CAST(floor(value) AS INT), event_id) = 1",
+        "q12_now_playing": f"WITH p AS (SELECT user_id, event_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS stop FROM events) SELECT user_id, event_id, round((epoch_us(TIMESTAMP '{NOW}') - epoch_us(ts))::DOUBLE / (epoch_us(stop) - epoch_us(ts)) * 100, 4) AS progress FROM p WHERE ts <= TIMESTAMP '{NOW}' AND stop > TIMESTAMP '{NOW}' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, stop) = 1",
+        "q12_airing": f"WITH p AS (SELECT ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS stop FROM events) SELECT CASE WHEN ts <= TIMESTAMP '{NOW}' AND stop > TIMESTAMP '{NOW}' THEN 'current' WHEN stop <= TIMESTAMP '{NOW}' THEN 'past' ELSE 'future' END AS airing, count(*) AS programmes FROM p WHERE stop IS NOT NULL GROUP BY 1",
+        "q12_at_instants": "WITH p AS (SELECT user_id, event_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS stop FROM events), a AS (SELECT DISTINCT user_id, date_trunc('day', ts) + INTERVAL 12 HOUR AS t FROM events) SELECT user_id, CAST(epoch(t) AS BIGINT) AS at_seconds, event_id FROM a JOIN p USING (user_id) WHERE ts <= t AND stop > t",
+        "q13_rome_day_counts": "SELECT event_type, strftime(timezone('Europe/Rome', timezone('UTC', ts)), '%Y-%m-%d') AS day, count(*) AS programmes FROM events GROUP BY 1, 2",
+        "q14_hard_failure_filter": f"SELECT 'u' || user_id AS url, {_HARD} AS hard, NOT {_HARD} AND status <> 'online' AS uncertain FROM ({_LAST_HEALTH}) UNION ALL SELECT DISTINCT 'u' || user_id || '-unknown', false, false FROM events",
+        "q14_policy_stats": f"SELECT count(*) AS entries_seen, count(*) FILTER (NOT {_HARD}) AS entries_published, count(*) FILTER {_HARD} AS hard_failures_removed, count(*) FILTER (NOT {_HARD} AND status <> 'online') AS uncertain_kept FROM events JOIN ({_LAST_HEALTH}) USING (user_id)",
+        "q15_health_stats": f"WITH a AS (SELECT {_STATUS} AS status, event_id % 101 AS base, CAST(floor(value * 40) AS INT) AS ms, event_id % 3 = 0 AS r FROM events), s AS (SELECT *, CASE WHEN status = 'offline' OR base <= 0 THEN 0 ELSE greatest(1, least(100, base - CASE WHEN ms > 5000 THEN 25 WHEN ms > 2500 THEN 18 WHEN ms > 1500 THEN 12 WHEN ms > 750 THEN 7 WHEN ms > 250 THEN 3 ELSE 0 END - CASE WHEN r THEN 2 ELSE 0 END)) END AS score FROM a) SELECT count(*) AS input_channels, count(*) AS checked_channels, count(*) FILTER (status = 'online') AS online, count(*) FILTER (status = 'reachable') AS reachable, count(*) FILTER (status = 'offline') AS offline, count(*) FILTER (r) AS redirects, count(*) FILTER (status = 'offline') AS errors, round_even(avg(score), 2) AS average_score, round_even(avg(ms), 2) AS average_response_ms, CAST(min(score) AS INT) AS minimum_score, CAST(max(score) AS INT) AS maximum_score FROM s",
+        "q16_recovery_outcome": _OUTCOME_SQL + "SELECT group_id, outcome FROM o",
+        "q16_recovery_stats": _OUTCOME_SQL + "SELECT count(*) FILTER (outcome = 'selected_primary') AS selected_primary, count(*) FILTER (outcome = 'recovered_from_alternative') AS recovered, count(*) FILTER (outcome = 'upgraded_to_better_alternative') AS upgraded, count(*) FILTER (outcome IN ('all_candidates_failed', 'selection_not_publishable')) AS all_failed FROM o",
+        "q17_metadata_fill": "WITH q AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id), d AS (SELECT d.doc_id, source, CASE WHEN lang = 'en' THEN '' ELSE lang END AS name, CASE WHEN d.doc_id % 3 = 0 THEN 'l' ELSE '' END AS logo, coalesce(quality, 0) = 1 AS m FROM documents d LEFT JOIN q USING (doc_id)) SELECT doc_id, CASE WHEN m AND doc_id % 2 <> 0 THEN source || '.it' ELSE source END AS tvg_id, CASE WHEN m AND name = '' THEN upper(source) ELSE name END AS tvg_name, CASE WHEN m AND logo = '' THEN 'http://' || source ELSE logo END AS logo, m AND (doc_id % 2 <> 0 OR name = '' OR logo = '') AS changed FROM d",
+        "q18_source_search": f"SELECT s_suppkey AS ord, CAST(s_suppkey % 10 AS INT) AS priority, CAST(s_suppkey % 100 AS INT) AS trust_score FROM ({_SOURCES_SQL}) WHERE s_acctbal > 0 AND s_suppkey % 100 >= 20 AND country IN ('IT', '') AND n_regionkey IN (0, 1)",
+        "q18_source_stats": f"SELECT count(*) AS total, count(*) FILTER (s_acctbal > 0) AS enabled, count(*) FILTER (NOT s_acctbal > 0) AS disabled, count(*) AS remote, CAST(0 AS BIGINT) AS local, count(*) FILTER (s_suppkey % 7 = 0) AS discovery, count(*) FILTER (s_suppkey % 7 <> 0) AS static, count(*) FILTER (s_suppkey % 100 >= 70) AS trusted FROM ({_SOURCES_SQL})",
+        "q19_anti_alternates": _STITCHED_SQL + "SELECT page_id, 'https://jmp2.uk/plu-' || id || '.m3u8' AS stream_url, id AS channel_id FROM g",
+        "q19_alternate_stats": _STITCHED_SQL + "SELECT (SELECT count(*) FROM pages) AS input_channels, (SELECT count(*) FROM p) AS direct_pluto_channels, (SELECT count(*) FROM pages WHERE page_id % 5 = 0) AS existing_resolver_channels, CAST(0 AS BIGINT) AS missing_channel_id, (SELECT count(*) FROM g) AS generated_alternatives, (SELECT count(*) FROM p) - (SELECT count(*) FROM g) AS skipped_duplicate_urls",
+        "q20_topk_variants": "SELECT * FROM (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity > 25 DESC, l_returnflag = 'A' DESC, least(CAST(floor(l_extendedprice * 200) AS BIGINT), 8000000) DESC, l_linenumber, l_partkey, CAST(floor(l_extendedprice * 200) AS BIGINT)) AS place FROM lineitem) WHERE place <= 2",
+        "q21_line_records": _RECORDS_SQL + "SELECT CAST(doc_id AS VARCHAR) AS source_id, pos AS ord, name, 'i' AS tvg_id, 'http://x/y' AS stream_url, 1 AS directives FROM r WHERE pos < n AND name <> ''",
+        "q21_parse_stats": _RECORDS_SQL + "SELECT CAST(doc_id AS VARCHAR) AS source_id, count(*) AS extinf_records, count(*) FILTER (pos < n AND name <> '') AS channels_created, CAST(1 AS BIGINT) AS missing_url, count(*) FILTER (pos < n AND name = '') AS missing_name, CAST(1 AS BIGINT) AS orphan_lines FROM r GROUP BY doc_id",
+        "q21_entries": _RECORDS_SQL + "SELECT CAST(doc_id AS VARCHAR) AS source_id, pos AS ord, CASE WHEN pos < n THEN 3 ELSE 1 END AS n_lines, CASE WHEN pos < n THEN 'http://x/y' ELSE '' END AS url FROM r UNION ALL SELECT CAST(doc_id AS VARCHAR), 0, 1, '' FROM documents",
+        "q22_attributes": r"SELECT page_id, regexp_extract(html, '<html[^>]*\blang=\"([^\"]*)\"', 1) AS lang, regexp_extract(html, '<meta[^>]*\bcharset=\"([^\"]*)\"', 1) AS charset FROM pages",
+        "q23_json_props": "SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS INT)) AS BIGINT) AS total, count(json_extract(props, '$.k')) AS known FROM events GROUP BY event_type",
+        "q25_ordered_distinct": "WITH f AS (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY conv_id, role) SELECT conv_id, string_agg(role, ',' ORDER BY first) AS roles, any_value(n) AS turns FROM f JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) USING (conv_id) GROUP BY conv_id",
+        "q26_anti_semi": "SELECT c_mktsegment, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS ordered, count(*) AS customers FROM customer GROUP BY 1, 2",
+        "q27_name_fold": "WITH f AS (SELECT doc_id, replace(strip_accents(lower(string_split(text, chr(10))[1])), 'ß', 'ss') AS t FROM documents) SELECT doc_id, regexp_replace(regexp_replace(t, '" + C.QUALITY + "', ' ', 'g'), '[^a-z0-9]+', '', 'g') AS name_key FROM f",
+        "q27_quality_score": "SELECT p_partkey, CAST(CASE p_partkey % 5 WHEN 0 THEN 400 WHEN 1 THEN 300 WHEN 2 THEN 200 WHEN 3 THEN 100 ELSE 0 END AS INT) AS quality_score FROM part",
+        "q28_union_sources": "WITH u AS (SELECT 0 AS s, 'documents' AS source, doc_id AS id, 0 AS turn, text FROM documents UNION ALL SELECT 1, 'benchmark', item_id, 0, text FROM benchmark UNION ALL SELECT 2, 'conversations', conv_id, turn, text FROM conversations) SELECT source, count(*) AS first_texts FROM (SELECT source FROM u QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY s, id, turn) = 1) GROUP BY source",
+        "q29_look_ahead": "SELECT CAST(doc_id AS VARCHAR) AS source_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS web, 'http://end' AS web_url, CAST(1 AS BIGINT) AS v2, 'http://end' AS v2_url FROM documents",
+        "q30_registry_stats": "WITH r AS (SELECT * FROM documents WHERE trim(substr(text, 1, 30)) <> '' QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) = 1) SELECT count(*) AS channels, count(DISTINCT source) AS sources, count(DISTINCT lang) AS groups, CAST(0 AS BIGINT) AS tvg_ids FROM r",
+        "q30_registry_search": "WITH r AS (SELECT * FROM documents WHERE trim(substr(text, 1, 30)) <> '' QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) = 1) SELECT doc_id FROM r WHERE contains(lower(substr(text, 1, 30)), 'the')",
+        "q31_token_country": "SELECT page_id, 1700000000 + page_id * 1000 < 1700100000 - 60 AS expired, CASE WHEN page_id % 2 = 0 THEN 'match' ELSE 'mismatch' END AS country FROM pages",
+        "q32_entities": "WITH c AS (SELECT n_nationkey, n_name, r_name, n_nationkey % 2 = 0 AS s FROM nation JOIN region ON n_regionkey = r_regionkey), e AS (SELECT n_nationkey, CASE WHEN s THEN 'it.' || lower(r_name) ELSE 'it.auto.' || trim(regexp_replace(lower(n_name), '[^a-z0-9]+', '.', 'g'), '.') END AS channel_id, CASE WHEN s THEN 'NEWS' ELSE 'ALTRO' END AS category, CASE WHEN s THEN r_name || ' (720p)' ELSE n_name END AS name FROM c) SELECT channel_id, any_value(category) AS category, string_agg(DISTINCT name, '|') AS aliases, string_agg('http://' || n_nationkey, '|' ORDER BY n_nationkey) AS streams FROM e GROUP BY channel_id",
+        "q33_code_search": "WITH a AS (SELECT page_id, 'https://raw.githubusercontent.com/' || (page_id % 40) AS u FROM pages WHERE page_id % 6 = 0) SELECT min(page_id) AS ord, 'search-' || substr(sha256(u), 1, 16) AS id, CAST(200 AS INT) AS priority, CAST(35 AS INT) AS trust_score FROM a GROUP BY u",
+        "q40_device_filter": f"SELECT event_id FROM events JOIN ({_LAST_HEALTH}) USING (user_id) WHERE user_id % 2 <> 0 OR (status IN ('online', 'reachable') AND score >= 40)",
+    }
