@@ -35,11 +35,12 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, In, InputPartition, IsNotNull, IsNull, WriterCommitMessage
 
-from .shared import fresh, table, written
+from .shared import bounded_batches, fresh, table, written
 
 SCHEMA = "record_type string, record_id string, date string, target_uri string, content_type string, payload_digest string, refers_to string, headers map<string,string>, payload binary"
 #: Columns that are headers, by name.
@@ -351,12 +352,18 @@ def archive(pages: DataFrame, path: str, *, id: str = "page_id", url: str = "url
     """Write a record per row of pages. Of equal payloads of at_least bytes or more, the row of the largest id is the
     response and the others revisit it; all smaller ones are responses. Null html is an empty payload."""
     register(pages.sparkSession)
+    bounded_batches(pages.sparkSession)
     payload = F.encode(F.coalesce(pages[html], F.lit("")), "UTF-8")
-    rows = pages.select(pages[id].alias("id"), pages[url].alias("url"), payload.alias("payload")).withColumn("sha", F.sha2("payload", 256)).withColumn("tag", F.monotonically_increasing_id())
-    same = rows.where(F.octet_length("payload") >= at_least).groupBy("sha").agg(F.max(F.struct("id", "tag")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    same = written(same.select("sha", F.col("head.id").alias("head_id"), F.col("head.tag").alias("head_tag")), "payloads")
-    name = lambda page, tag: F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(":"), tag.cast("string"), F.lit(">"))
-    revisit = F.col("head_tag").isNotNull() & (F.col("head_tag") != F.col("tag"))
+    rows = pages.select(pages[id].alias("id"), pages[url].alias("url"), payload.alias("payload")).withColumn("sha", F.sha2("payload", 256))
+    same = written(rows.where(F.octet_length("payload") >= at_least).groupBy("sha").agg(F.max("id").alias("head_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "head_id"), "payloads")
+    # rows equal in id and payload are told apart by number; there are few, so only they are sorted
+    again = written(rows.groupBy("sha", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("sha").alias("r_sha"), F.col("id").alias("r_id")), "repeated")
+    repeated = (rows["sha"] == again["r_sha"]) & rows["id"].eqNullSafe(again["r_id"])
+    numbered = rows.join(again, repeated, "left_semi").withColumn("nth", F.row_number().over(W.partitionBy("sha", "id").orderBy("url")))
+    rows = rows.join(again, repeated, "left_anti").withColumn("nth", F.lit(1)).unionByName(numbered)
+    name = lambda page, nth: F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(":"), F.substring("sha", 1, 16), F.lit(":"), nth.cast("string"), F.lit(">"))
+    # of a payload that stands alone nothing is known here, so it is a response
+    revisit = F.col("known") & ~(F.col("id").eqNullSafe(F.col("head_id")) & (F.col("nth") == 1))
     extra = {
         "X-Page-ID": F.col("id").cast("string"),
         "X-Payload-Length": F.octet_length("payload").cast("string"),
@@ -364,14 +371,15 @@ def archive(pages: DataFrame, path: str, *, id: str = "page_id", url: str = "url
     }
     headers = F.map_filter(F.create_map(*[x for name, value in extra.items() for x in (F.lit(name), value)]), lambda _, value: value.isNotNull())
     (
-        rows.join(same, "sha", "left")
+        rows.join(same.withColumn("known", F.lit(True)), "sha", "left")
+        .withColumn("known", F.coalesce("known", F.lit(False)))
         .select(
             F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-            name(F.col("id"), F.col("tag")).alias("record_id"),
+            name(F.col("id"), F.col("nth")).alias("record_id"),
             F.col("url").alias("target_uri"),
             F.lit(date).alias("date"),
             F.lit("application/http;msgtype=response").alias("content_type"),
-            F.when(revisit, name(F.col("head_id"), F.col("head_tag"))).alias("refers_to"),
+            F.when(revisit, name(F.col("head_id"), F.lit(1))).alias("refers_to"),
             headers.alias("headers"),
             "payload",
         )
