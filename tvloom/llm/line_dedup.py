@@ -112,12 +112,29 @@ def _bound(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def plausible(a: Column, b: Column, edits: int) -> Column:
+    """Whether all but `edits` of the parts of b stand in a at their places, or up to `edits` off: `edits` edits touch no more."""
+    parts, n = 4 * (edits + 1), F.length(b)
+    found = F.lit(0)
+    for i in range(parts):
+        begin = F.floor(n * i / parts).cast("int")
+        size = F.floor(n * (i + 1) / parts).cast("int") - begin
+        part = F.substring(b, begin + 1, size)
+        here = F.lit(False)
+        for shift in range(-edits, edits + 1):
+            # a place before the first character would count from the end
+            here = here | ((begin + shift >= 0) & (F.substring(a, F.greatest(begin + shift + 1, F.lit(1)), size) == part))
+        found = found + here.cast("int")
+    return found >= parts - edits
+
+
 def _verified(pairs: DataFrame, edits: int) -> DataFrame:
     """Of each pair of lines within `edits`, the one with the later place."""
     a_longer = F.length("a_line") >= F.length("b_line")
-    near = within(F.when(a_longer, F.col("a_line")).otherwise(F.col("b_line")), F.when(a_longer, F.col("b_line")).otherwise(F.col("a_line")), edits)
     later = F.when(F.col("a_place") < F.col("b_place"), F.struct(F.col("b_h").alias("h"), F.col("b_g").alias("g"))).otherwise(F.struct(F.col("a_h").alias("h"), F.col("a_g").alias("g")))
-    return pairs.where(near).select(later.alias("later")).select("later.*")
+    sides = pairs.select(later.alias("later"), F.when(a_longer, F.col("a_line")).otherwise(F.col("b_line")).alias("long"), F.when(a_longer, F.col("b_line")).otherwise(F.col("a_line")).alias("short"))
+    likely = sides.where(plausible(F.col("long"), F.col("short"), edits))
+    return likely.where(within(F.col("long"), F.col("short"), edits)).select("later.*")
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -164,16 +181,16 @@ def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", keep: list
     drops = (
         lines.join(marks, ["h", "g"])
         .where(F.col("kept_place").isNull() | (F.col("kept_place") != F.col("place")))
-        .groupBy(F.col("place.id").alias("d_id"), F.col("place.t").alias("d_t"))
-        .agg(F.collect_set("place.line_no").alias("dropped"))
+        .groupBy(F.col("place.id").alias("__d_id"), F.col("place.t").alias("__d_t"))
+        .agg(F.collect_set("place.line_no").alias("__dropped"))
     )
-    found = named.join(written(drops, "drops"), F.col("__id").eqNullSafe(F.col("d_id")) & (F.col("__t") == F.col("d_t")), "left")
+    found = named.join(written(drops, "drops"), F.col("__id").eqNullSafe(F.col("__d_id")) & (F.col("__t") == F.col("__d_t")), "left")
     all_lines = F.split("__text", "\n")
-    left = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("dropped", i)), "\n")
+    left = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("__dropped", i)), "\n")
     solid = F.size(F.filter(all_lines, lambda x: x.rlike(r"\S")))
-    gone = F.coalesce(F.size("dropped"), F.lit(0))
-    found = found.withColumn("n_lines", F.when(F.col("__text").isNull(), 0).otherwise(solid)).withColumn("n_dropped", F.when(F.col("dropped").isNull(), 0).otherwise(gone))
-    new_text = F.when(F.col("dropped").isNull(), F.col("__text")).when(F.col("n_dropped") == F.col("n_lines"), "").otherwise(left)
+    gone = F.coalesce(F.size("__dropped"), F.lit(0))
+    found = found.withColumn("n_lines", F.when(F.col("__text").isNull(), 0).otherwise(solid)).withColumn("n_dropped", F.when(F.col("__dropped").isNull(), 0).otherwise(gone))
+    new_text = F.when(F.col("__dropped").isNull(), F.col("__text")).when(F.col("n_dropped") == F.col("n_lines"), "").otherwise(left)
     return found.withColumn("__new", new_text).select(*[F.col("__new").alias(text) if c == text else F.col(c) for c in keep], *([] if text in keep else [F.col("__new").alias(text)]), "n_lines", "n_dropped")
 
 
