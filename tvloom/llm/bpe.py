@@ -22,10 +22,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from .shared import bounded_batches
+
 NEVER = 1 << 62
 SPAN = 32
-#: Pre-tokens remembered by one Python worker, about 100 MB at most.
-REMEMBERED = 400_000
+#: Pre-tokens in each of two generations that a Python worker remembers, about 50 MB at most.
+REMEMBERED = 120_000
+#: Bits that tell which pre-tokens came before.
+SEEN_BITS = 1 << 23
 #: Longer pre-tokens are merged anew each time.
 LONGEST_REMEMBERED = 64
 
@@ -87,15 +91,31 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Packed(dict):
-    """Pre-token -> its ids as little-endian unsigned 32-bit integers, filled on demand."""
+    """Pre-token -> its ids as little-endian unsigned 32-bit integers, filled on demand.
+
+    A pre-token is remembered when it comes again, as most of the different ones come once. Of two generations the older
+    is forgotten when the younger is full; what is asked for moves to the younger.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+        self.ranks, self.older = ranks, {}
+        self.seen, self.marked = bytearray(SEEN_BITS // 8), 0
 
     def __missing__(self, word: str) -> bytes:
-        packed = np.array(merge(word.encode(), self.ranks), "<u4").tobytes()
+        packed = self.older.get(word)
+        if packed is None:
+            packed = np.array(merge(word.encode(), self.ranks), "<u4").tobytes()
+            at = hash(word) & (SEEN_BITS - 1)
+            bit = 1 << (at & 7)
+            if not self.seen[at >> 3] & bit:
+                self.seen[at >> 3] |= bit
+                self.marked += 1
+                if self.marked > SEEN_BITS // 4:
+                    self.seen, self.marked = bytearray(SEEN_BITS // 8), 0
+                return packed
         if len(word) <= LONGEST_REMEMBERED:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[word] = packed
         return packed
@@ -152,6 +172,7 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, *, text: str = "
     clash = set(keep) & set(outputs)
     if clash:
         raise ValueError(f"columns in both keep and outputs: {sorted(clash)}")
+    bounded_batches(docs.sparkSession)
     with open(vocabulary_path, "rb") as file:
         shipped = docs.sparkSession.sparkContext.broadcast(file.read())
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, OUTPUTS[c]) for c in outputs])

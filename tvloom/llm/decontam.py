@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import table, written
+from .shared import bounded_batches, table, written
 from .words import STEP, U, Words, chunks, mixed
 
 WINDOW = 10
@@ -127,6 +127,7 @@ def _merged(ranges: list[tuple[int, int]]) -> list[int]:
 
 def _pass(docs: DataFrame, items: list[tuple[str | None, str]]) -> DataFrame:
     """docs with `__text`, `n_words`, `spans` and `items`, once more against a block of items."""
+    bounded_batches(docs.sparkSession)
     shipped, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
     schema = docs.schema
     at = {f.name: i for i, f in enumerate(schema.fields)}

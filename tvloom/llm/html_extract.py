@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import table, written
+from .shared import bounded_batches, table, written
 
 #: A template class is on this share of a host's different pages, and on this many.
 SHARE = 0.6
@@ -257,6 +257,7 @@ def extract(pages: DataFrame, *, url: str = "url", html: str = "html", keep: lis
     if "text" in keep:
         raise ValueError("column in keep and in the result: text")
     schema = T.StructType([pages.schema[c] for c in keep] + [T.StructField("text", T.StringType())])
+    bounded_batches(pages.sparkSession)
     known = written(templates(pages, url=url, html=html), "templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import table
+from .shared import bounded_batches, table
 from .words import STEP, U, mixed
 
 FEATURES = 1 << 15
@@ -40,7 +40,7 @@ LANDMARKS = 60
 RIDGE = 0.1
 UNKNOWN = "und"
 #: Texts and characters of one presence matrix; a longer text is still taken whole.
-ROWS, CHARS = 256, 300_000
+ROWS, CHARS = 64, 100_000
 
 _letters: list[np.ndarray] = []
 
@@ -161,6 +161,7 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str
     clash = {"lang_pred", "score"} & set(keep)
     if clash:
         raise ValueError(f"columns in keep and in the result: {sorted(clash)}")
+    bounded_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES floats a language
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import batches_of, table, written
+from .shared import batches_of, bounded_batches, table, written
 from .words import STEP, U, Words, chunks, mixed
 
 SHINGLE = 5
@@ -223,6 +223,7 @@ def components(links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, *, id: str = "doc_id", text: str = "text", n: int = SKETCHES) -> DataFrame:
     """One row per row of docs: id, class_id (least id of its class) and class_size (its rows)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = written(sketch(docs, id, text, n), "sketches")
     nodes = written(rows.where("size > 0").groupBy("node").agg(F.min(F.struct("id", "t")).alias("row"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "nodes")
     bands = nodes.select("node", F.posexplode("bands").alias("nth", "band"))

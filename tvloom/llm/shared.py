@@ -11,6 +11,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Whole texts that go to Python at once.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16_000_000
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -36,6 +38,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on at most so many rows and bytes of whole texts go to Python at once, so that memory is bounded by the
+    batch, in the worker and in the buffers of its executor."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(name))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int):
     """Plans made inside hand this many rows at once to Python at most, for rows with large values."""

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text worked on at once; a longer text is still taken whole.
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 250_000
 
 U = np.uint64
 _BASE, STEP = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
