@@ -18,7 +18,7 @@ def channel_rows(spark, rows):
 def test_category_order(spark):
     df = channel_rows(spark, [("DMAX", "", "u1"), ("Rai 2", "", "u2"), ("Canale 5", "", "u3"), ("Rai 1", "", "u4"), ("Rai Sport", "Sport", "u5"), ("TGR Lazio", "", "u6"), ("Unknown", "Kids", "u7"), ("Plain", "", "u8")])
     lines = [r.entry.split("\n") for r in export.playlist(df).collect()]
-    assert [x[0].rsplit(",", 1)[1] for x in lines] == ["Rai 1", "Rai 2", "Rai Sport", "Canale 5", "DMAX", "Unknown", "TGR Lazio", "Plain"]
+    assert [x[0].rsplit(",", 1)[1] for x in lines] == ["Rai 1", "Rai 2", "Rai Sport", "Canale 5", "DMAX", "TGR Lazio", "Unknown", "Plain"]
     assert lines[0] == ['#EXTINF:-1 group-title="RAI",Rai 1', "u4"]
 
 

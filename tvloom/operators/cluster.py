@@ -56,7 +56,8 @@ def cluster(channels: DataFrame) -> DataFrame:
 
     A channel without keys is a cluster of its own.
     """
-    keyed = channels.withColumn("keys", identity_keys(F.col("stream_url"), F.col("tvg_id"), F.col("name")))
+    # keys are folded in Python once, and read by the rounds that follow
+    keyed = written(channels.withColumn("keys", identity_keys(F.col("stream_url"), F.col("tvg_id"), F.col("name"))), "keyed")
     members = keyed.select("ord", F.explode("keys").alias("k")).select("ord", "k.type", "k.key")
     found = keyed.join(components(members), "ord", "left").withColumn("cluster", F.coalesce("cluster", "ord"))
     order = F.create_map(*[F.lit(x) for pair in C.IDENTITY_ORDER.items() for x in pair])

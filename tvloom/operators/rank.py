@@ -19,8 +19,10 @@ def evaluate(channels: DataFrame, priorities: DataFrame | None = None, health: D
     if priorities is None:
         out = out.withColumn("source_priority", F.lit(C.DEFAULT_PRIORITY))
     else:
-        # few rows of configuration; of a key the last
-        known = priorities.withColumn("__source", text.text_key("source_id")).groupBy("__source").agg(F.max_by(F.col("priority").cast("string").try_cast("int"), F.monotonically_increasing_id()).alias("source_priority"))
+        # of a key the last; rows come in their order, or say it in `ord`
+        place = F.col("ord") if "ord" in priorities.columns else F.monotonically_increasing_id()
+        placed = priorities.select(text.text_key("source_id").alias("__source"), F.col("priority").cast("string").try_cast("int").alias("p"), place.alias("at"))
+        known = placed.groupBy("__source").agg(F.max_by("p", "at").alias("source_priority"))
         out = out.withColumn("__source", text.text_key("source_id")).join(known, "__source", "left").drop("__source").withColumn("source_priority", F.coalesce("source_priority", F.lit(C.DEFAULT_PRIORITY)))
     if health is None:
         out = out.withColumn("health_score", F.lit(0.0))

@@ -15,6 +15,7 @@ from pathlib import Path
 from urllib.parse import unquote, urlsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,14 +97,15 @@ def fetch_one(url: str, opener: Callable[[str, float, int], Reply] = open_url, *
 
 def fetch(urls: DataFrame, opener: Callable[[str, float, int], Reply] = open_url, *, workers: int = 8, **options) -> DataFrame:
     """Responses to urls (url), each URL once."""
-    columns = ["url", "http_status", "content_type", "final_url", "body", "error_type", "error", "elapsed_ms", "attempts"]
+    attempt = pa.struct([("attempt", pa.int32()), ("status", pa.string()), ("http_status", pa.int32()), ("elapsed_ms", pa.int32()), ("error_type", pa.string())])
+    schema = pa.schema([("url", pa.string()), ("http_status", pa.int32()), ("content_type", pa.string()), ("final_url", pa.string()), ("body", pa.binary()), ("error_type", pa.string()), ("error", pa.string()), ("elapsed_ms", pa.int32()), ("attempts", pa.list_(attempt))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for url in batch["url"]:
-                yield pd.DataFrame([fetch_one(url, opener, **options)], columns=columns).astype({"http_status": "Int32"})
+            for url in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_pylist([fetch_one(url, opener, **options)], schema)
 
-    return urls.select("url").distinct().repartition(workers).mapInPandas(run, RESPONSE)
+    return urls.select("url").distinct().repartition(workers).mapInArrow(run, RESPONSE)
 
 
 def local_path(url: str, root: str) -> str:

@@ -12,7 +12,7 @@ import xml.etree.ElementTree as ET
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -131,22 +131,23 @@ def read_document(body: bytes, name: str = "", *, most_input: int = MOST_INPUT,
 
 def read_items(documents: DataFrame, **limits: int) -> DataFrame:
     """Items of documents (doc_ord, source_url, filename, body); of a refused document, one row with its error."""
-    columns = [c.strip().split(" ")[0] for c in ITEM.split(", ")]
+    kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split(" ") for c in ITEM.split(", "))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples():
-                base = {"doc_ord": row.doc_ord, "source_url": (row.source_url or "").strip()}
+            for row in batch.to_pylist():
+                base = {"doc_ord": row["doc_ord"], "source_url": (row["source_url"] or "").strip()}
                 try:
-                    facts, items = read_document(bytes(row.body or b""), row.filename or "", **limits)
+                    facts, items = read_document(row["body"] or b"", row["filename"] or "", **limits)
                     base |= facts
                     rows = [base | {"kind": "document"}] + [base | item for item in items]
                 except GuideError as e:
                     rows = [base | {"error": str(e), "kind": "document"}]
                 for at in range(0, len(rows), 20_000):
-                    yield pd.DataFrame(rows[at : at + 20_000], columns=columns)
+                    yield pa.RecordBatch.from_pylist(rows[at : at + 20_000], schema)
 
-    return documents.select("doc_ord", "source_url", "filename", "body").mapInPandas(run, ITEM)
+    return documents.select("doc_ord", "source_url", "filename", "body").mapInArrow(run, ITEM)
 
 
 def merged_names(names: Column) -> Column:
