@@ -31,10 +31,9 @@ def test_long_pretokens_are_merged_whole():
         assert CODEC.encode(text) == THEIRS.encode_ordinary(text)
 
 
-def test_forgetting_changes_nothing(monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 3)
-    codec = bpe.Codec(RANKS, P.PATTERN)
-    text = "one two three four one two five three one"
+def test_forgetting_changes_nothing():
+    codec = bpe.Codec(RANKS, P.PATTERN, 3)
+    text = "onex twoxy threexy fourxy onex twoxy fivexy threexy onex " * 3
     assert codec.encode(text) == THEIRS.encode_ordinary(text)
 
 

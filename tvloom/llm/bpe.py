@@ -26,7 +26,7 @@ from .shared import bounded_batches
 
 NEVER = 1 << 62
 SPAN = 32
-#: Pre-tokens in each of two generations that a Python worker remembers, about 50 MB at most.
+#: Pre-tokens in each of two generations that a Python worker remembers; 100,000 take about 45 MB.
 REMEMBERED = 120_000
 #: Bits that tell which pre-tokens came before.
 SEEN_BITS = 1 << 23
@@ -97,8 +97,8 @@ class _Packed(dict):
     is forgotten when the younger is full; what is asked for moves to the younger.
     """
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.older = ranks, {}
+    def __init__(self, ranks: dict[bytes, int], remembered: int):
+        self.ranks, self.remembered, self.older = ranks, remembered, {}
         self.seen, self.marked = bytearray(SEEN_BITS // 8), 0
 
     def __missing__(self, word: str) -> bytes:
@@ -114,7 +114,7 @@ class _Packed(dict):
                     self.seen, self.marked = bytearray(SEEN_BITS // 8), 0
                 return packed
         if len(word) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.remembered:
                 self.older = dict(self)
                 self.clear()
             self[word] = packed
@@ -124,9 +124,9 @@ class _Packed(dict):
 class Codec:
     """Encoder and decoder of one vocabulary and one pre-token pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED):
         self.split = regex.compile(pattern).findall
-        self.packed = _Packed(ranks)
+        self.packed = _Packed(ranks, remembered)
         self.pieces = [b""] * (max(ranks.values(), default=-1) + 1)
         for piece, rank in ranks.items():
             self.pieces[rank] = piece
@@ -144,11 +144,11 @@ class Codec:
 _CODECS: dict[str, Codec] = {}
 
 
-def _codec(vocabulary: bytes, pattern: str) -> Codec:
+def _codec(vocabulary: bytes, pattern: str, remembered: int = REMEMBERED) -> Codec:
     """One codec for each vocabulary in a Python worker, kept from task to task."""
-    key = hashlib.sha256(vocabulary + pattern.encode()).hexdigest()
+    key = hashlib.sha256(vocabulary + f"{remembered} {pattern}".encode()).hexdigest()
     if key not in _CODECS:
-        _CODECS[key] = Codec(read_ranks(vocabulary), pattern)
+        _CODECS[key] = Codec(read_ranks(vocabulary), pattern, remembered)
     return _CODECS[key]
 
 
@@ -162,8 +162,8 @@ OUTPUTS = {
 }
 
 
-def encode(docs: DataFrame, vocabulary_path: str, pattern: str, *, text: str = "text", keep: list[str], outputs: list[str]) -> DataFrame:
-    """The columns `keep` of docs and, for each text, the chosen `outputs`.
+def encode(docs: DataFrame, vocabulary_path: str, pattern: str, *, text: str = "text", keep: list[str], outputs: list[str], remembered: int = REMEMBERED) -> DataFrame:
+    """The columns `keep` of docs and, for each text, the chosen `outputs`. remembered: pre-tokens of a generation; memory for time.
 
     ids: token ids; decoded: bytes of the decoded ids; n_tokens: their number; ids_sha256: hex digest of the ids as
     little-endian unsigned 32-bit integers; decoded_sha256: hex digest of the decoded bytes. The vocabulary is read
@@ -179,7 +179,7 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, *, text: str = "
     decoding = any(c.startswith("decoded") for c in outputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shipped.value, pattern)
+        codec = _codec(shipped.value, pattern, remembered)
         for batch in batches:
             rows: dict[str, list] = {c: [] for c in outputs}
             for value in batch.column(len(keep)):
@@ -224,4 +224,4 @@ def documents_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"], outputs=["n_tokens", "ids_sha256", "decoded_sha256"])
+    return encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"], outputs=["n_tokens", "ids_sha256", "decoded_sha256"], remembered=300_000)
