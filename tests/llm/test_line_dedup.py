@@ -65,3 +65,27 @@ def test_banded_distance(spark):
 def test_odd_rows_and_empty_table(odd, empty):
     assert ld.dedup(odd, keep=["doc_id", "text", "h"]).count() == odd.count()
     assert ld.dedup(empty, keep=["doc_id", "text"]).collect() == []
+
+
+@pytest.mark.parametrize("hot", [100, 2])
+def test_edits_follow_the_length(spark, hot):
+    rng = random.Random(hot)
+    base = ["".join(rng.choice("abcdé ") for _ in range(n)).strip() or "x" for n in (19, 24, 39, 41, 58, 61, 79, 85, 99, 101, 119, 121, 158, 161, 245)]
+    head = "".join(rng.choice("abc ") for _ in range(60)).strip()
+    base += [head + "".join(rng.choice("xyz ") for _ in range(70)).strip() for _ in range(6)]
+    docs = [(i, "\n".join(mutated(rng, rng.choice(base), rng.choice([0, 1, 2, 3, 4, 5, 6, 7, 8])) for _ in range(2))) for i in range(45)]
+    day = "On the first day of the month the council met again in the old town hall and spoke on {} for an hour"
+    docs += [(500, day.format("roads")), (501, day.format("water")), (502, None), docs[3]]
+    lines = [((n_doc, n), line, n_doc) for n_doc, t in set(docs) if t for n, line in enumerate(t.split("\n")) if line.strip()]
+
+    def near(a, b):
+        n = min(len(a), len(b))
+        edits = max(1, min(6, n // 20))
+        return a == b or n >= ld.SHORTEST and abs(len(a) - len(b)) <= edits and distance(a, b) <= edits
+
+    gone = {p for p, line, _ in lines if any(q < p and near(line, other) for q, other, _ in lines)}
+    assert (501, 0) in gone
+    got = ld.dedup(spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "text as old"), keep=["doc_id", "old"], hot=hot).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        assert r.n_dropped == sum(d == r.doc_id for d, _ in gone), r

@@ -2,9 +2,20 @@
 
 A line (between line feeds; lines of white space don't count) is dropped if it
 stands elsewhere before: its place is (document id, line number), and it goes if
-the same line, or one within EDITS edits of it, has an earlier place.
-
-Lines within t edits share one of t + 1 segments: a line is split into t + 1
+the same line, or one within so many edits of it, has an earlier place. How many
+follows from the shorter line's length: one for each STEP characters, from 1 to
+MOST; or a fixed number is given.
+
+By length, lines fall into classes (CLASSES). In a class of t edits a line has
+t + 1 segments, the first half at fixed places from its begin, the others from its
+end, so that keys don't depend on the exact length: of two lines within t edits,
+one segment i of the shorter stands in the longer with at most i edits before it
+and t - i after it. A line probes the classes that a shorter partner may be in. A
+key of more than HOT lines is indexed again by segments of what is left of its
+lines without the segment they share, which is exact too; after LEVELS such steps
+skew splitting has to do.
+
+For a fixed number, lines within t edits share one of t + 1 segments: a line is split into t + 1
 segments of lengths that follow from its own length, and each is indexed under
 (length, segment number, characters). For each length that a partner may have,
 a line probes with the substrings that can be such a segment (no more than i
@@ -13,7 +24,7 @@ lines share are found, from partial sums; then only lines with such keys meet,
 and each pair is verified by the band of 2 t + 1 diagonals of the edit matrix,
 held as bits of a long and advanced one character at a time.
 
-A key of more than HOT lines is a boilerplate half. For one edit, its lines are
+There a key of more than HOT lines is a boilerplate half. For one edit, its lines are
 indexed again by all but one of HOLES parts: an edit lies in one part, the rest
 must match, so they meet in far smaller groups. Nothing is dropped or capped.
 
@@ -28,12 +39,110 @@ from pyspark.sql import functions as F
 
 from .shared import table, written
 
-EDITS = 1
 SHORTEST = 20
+#: Edits by length: one for each STEP characters, up to MOST.
+STEP = 20
+MOST = 6
+#: Least lengths of the classes; the edits are those of the least length.
+CLASSES = (20, 40, 60, 80, 100, 120, 160, 240, 400, 800, 1600)
 HOT = 100
+LEVELS = 3
 HOLES = 16
 
 
+def allowed(length: int) -> int:
+    """Edits for a shorter line of this length."""
+    return max(1, min(MOST, length // STEP))
+
+
+def _probes(c: int, level: int) -> Column | None:
+    """Segments of class c after so many are taken out: number, place (negative: from the end), size, and whether it is a line's own."""
+    left, edits = CLASSES[c], allowed(CLASSES[c])
+    for _ in range(level):
+        left -= left // (edits + 1)
+    size = left // (edits + 1)
+    if not size:
+        return None
+    out = []
+    for i in range(edits + 1):
+        first = i <= edits - i
+        begin, most = (i * size, i) if first else (-(edits + 1 - i) * size, edits - i)
+        for shift in range(-most, most + 1):
+            out.append((c, i, begin + shift, size, shift == 0))
+    names = ("c", "i", "begin", "size", "own")
+    return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(names, row)]) for row in out])
+
+
+def _placed(rows: DataFrame, text: str, *under: str) -> DataFrame:
+    """Rows with `probe`, with its place `at` in a text and the `key` of its characters."""
+    begin = F.col("probe.begin")
+    rows = rows.withColumn("at", F.when(begin >= 0, begin).otherwise(F.length(text) + begin))
+    return rows.withColumn("key", F.xxhash64(*under, "probe.c", "probe.i", F.substring(F.col(text), F.col("at") + 1, F.col("probe.size"))))
+
+
+def _near_by_length(lines: DataFrame, hot: int) -> DataFrame:
+    """h and g of the lines with an earlier line within the edits that the shorter one's length allows."""
+    none = F.array().cast("array<struct<c:int,i:int,begin:int,size:int,own:boolean>>")
+    highest = [*[x - 1 for x in CLASSES[1:]], (1 << 31) - 1]
+    probes = []
+    for c, (low, high) in enumerate(zip(CLASSES, highest)):
+        # a line of the next class may have a shorter partner in this one
+        probes.append(F.when(F.col("n").between(low, min(high + allowed(low), (1 << 31) - 1)), _probes(c, 0)).otherwise(none))
+    keyed = _placed(lines.where(F.col("n") >= SHORTEST).select("h", "g", "line", "n", "place", F.explode(F.concat(*probes)).alias("probe")), "line")
+    top = F.element_at(F.array(*map(F.lit, highest)), F.col("probe.c") + 1)
+    keyed = keyed.withColumn("indexed", F.col("probe.own") & (F.col("n") <= top)).withColumns({"c": F.col("probe.c"), "size": F.col("probe.size")})
+
+    def meeting(keyed: DataFrame) -> DataFrame:
+        """Rows under the keys that different lines share, each line once for a key and place."""
+        shared = written(keyed.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most"), F.max("indexed").alias("any")).where("any and least <> most").select("key"), "keys")
+        by = [F.xxhash64("key").alias("key"), "h", "g", "n", "c", "at", "size", "indexed"]
+        texts = [F.any_value(x).alias(x) for x in ("line", "rest") if x in keyed.columns]
+        return keyed.join(shared, "key").groupBy(*by).agg(F.min("place").alias("place"), *texts)
+
+    found = None
+    rows = written(meeting(keyed), "lines")
+    for level in range(1, LEVELS + 1):
+        crowded = written(rows.groupBy("key").agg(F.count_distinct("h").alias("count")).where(F.col("count") > hot).select("key"), "crowded")
+        if not crowded.take(1):
+            break
+        some = _verified_by_length(_pairs_by_length(rows.join(crowded, "key", "left_anti")))
+        found = some if found is None else found.union(some)
+        text = "rest" if "rest" in rows.columns else "line"
+        rest = F.concat(F.substring(F.col(text), F.lit(1), F.col("at")), F.substring(F.col(text), F.col("at") + F.col("size") + 1, F.length(text)))
+        again = none
+        for c in range(len(CLASSES)):
+            if (deeper := _probes(c, level)) is not None:
+                again = F.when(F.col("c") == c, deeper).otherwise(again)
+            else:  # nothing is left to tell them apart by
+                again = F.when(F.col("c") == c, F.array(F.struct(F.lit(c).alias("c"), F.lit(0).alias("i"), F.lit(0).alias("begin"), F.lit(0).alias("size"), F.lit(True).alias("own")))).otherwise(again)
+        deep = rows.join(crowded, "key", "left_semi").withColumn("rest", rest).withColumnRenamed("key", "above").drop("at", "size").withColumn("probe", F.explode(again))
+        deep = _placed(deep, "rest", "above").withColumn("indexed", F.col("indexed") & F.col("probe.own")).withColumn("size", F.col("probe.size"))
+        rows = written(meeting(deep), "lines")
+    last = _verified_by_length(_pairs_by_length(rows))
+    return (last if found is None else found.union(last)).distinct()
+
+
+def _pairs_by_length(rows: DataFrame) -> DataFrame:
+    """Different lines that share a key: a, the shorter, by its own segment."""
+    names = ("h", "g", "n", "line", "place")
+    a = rows.where("indexed").select(F.col("key").alias("a_key"), "c", *[F.col(x).alias(f"a_{x}") for x in names])
+    b = rows.select(F.col("key").alias("b_key"), *[F.col(x).alias(f"b_{x}") for x in names])
+    edits = F.element_at(F.array(*[F.lit(allowed(x)) for x in CLASSES]), F.col("c") + 1)
+    order = F.struct("a_n", "a_h", "a_g") < F.struct("b_n", "b_h", "b_g")
+    met = a.join(b, (a["a_key"] == b["b_key"]) & order & (b["b_n"] - a["a_n"] <= edits)).withColumn("edits", edits)
+    # a pair may meet under many keys: it is compared once
+    return met.groupBy("a_h", "a_g", "b_h", "b_g", "edits").agg(*[F.any_value(x).alias(x) for x in ("a_line", "b_line")], *[F.min(x).alias(x) for x in ("a_place", "b_place")])
+
+
+def _verified_by_length(pairs: DataFrame) -> DataFrame:
+    """Of each pair of lines within its edits, the one with the later place."""
+    near = F.lit(False)
+    for edits in sorted({allowed(x) for x in CLASSES}):
+        near = F.when(F.col("edits") == edits, within(F.col("b_line"), F.col("a_line"), edits)).otherwise(near)
+    first = F.col("a_place") < F.col("b_place")
+    return pairs.where(near).select(F.when(first, F.col("b_h")).otherwise(F.col("a_h")).alias("h"), F.when(first, F.col("b_g")).otherwise(F.col("a_g")).alias("g"))
+
+
 def _segment(length: Column, edits: int, i: int) -> tuple[Column, Column]:
     """Begin (from 0) and length of segment i of a line; the last ones are longer by one where it doesn't divide."""
     parts = edits + 1
@@ -148,8 +257,10 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return a.join(b, (a["a_key"] == b["b_key"]) & differ & once)
 
 
-def near_lines(lines: DataFrame, edits: int, hot: int = HOT) -> DataFrame:
-    """h and g of the lines with an earlier line within `edits`. lines: line, n (its length), h, g, place."""
+def near_lines(lines: DataFrame, edits: int | None = None, hot: int = HOT) -> DataFrame:
+    """h and g of the lines with an earlier line within `edits` (None: by length). lines: line, n (its length), h, g, place."""
+    if edits is None:
+        return _near_by_length(lines, hot)
     if SHORTEST < 2 * edits + 1:
         raise ValueError("too many edits for the shortest lines")
     keyed = lines.where(F.col("n") >= SHORTEST).select("h", "g", "line", "place", F.explode(segment_keys(F.col("line"), F.col("n"), edits)).alias("k")).select("h", "g", "line", "place", "k.*")
@@ -166,7 +277,7 @@ def near_lines(lines: DataFrame, edits: int, hot: int = HOT) -> DataFrame:
     return few.union(_verified(_pairs(written(holed, "holes")), edits)).distinct()
 
 
-def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", keep: list[str], edits: int = EDITS, hot: int = HOT) -> DataFrame:
+def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", keep: list[str], edits: int | None = None, hot: int = HOT) -> DataFrame:
     """The columns `keep` of docs, text without dropped lines, n_lines (not of white space) and n_dropped."""
     clash = {"n_lines", "n_dropped"} & set(keep)
     if clash:
