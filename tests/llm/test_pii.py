@@ -55,5 +55,12 @@ def test_copies_count_once(spark):
     assert {s.kind for r in pii.find(docs, keep=["doc_id"]).collect() for s in r.spans} == {"email"}
 
 
+def test_an_entity_mentioned_once(spark):
+    rows = [(i, f"plain text number {i % 90} that says nothing of a person") for i in range(1000)] + [(2000, "nothing of Zorblat, whose mail is zorb@corp.example, that says text")]
+    docs = spark.createDataFrame([(i, f"{t} x{i}") for i, t in rows], "doc_id long, text string")
+    got = {(r.doc_id, s.kind, s.value) for r in pii.find(docs, keep=["doc_id"]).collect() for s in r.spans}
+    assert (2000, "class", "Zorblat") in got and not {v for _, _, v in got} & {"nothing", "of", "that", "says", "text"}
+
+
 def test_empty_table(empty):
     assert pii.find(empty, keep=["doc_id"]).collect() == []

@@ -7,14 +7,15 @@ which makes the search linear in the text without changing a match.
 Around them, information-theoretic sanitisation: a base span's value is a
 protected entity e; a term t discloses it as far as seeing t makes e likely. By
 counts over the whole corpus, with N documents, e in c(e) contexts, t in d(t)
-documents and both in c(t, e) contexts, the disclosure is
+documents and both in c(t, e) contexts, p(e) = c(e) / N, and the disclosure is
 
-    log2(N c(t, e) / (d(t) c(e))) / log2(N / c(e)),
+    log2(p(e | t) / p(e)) / log2(1 / p(e)), p(e | t) = (c(t, e) + PRIOR p(e)) / (d(t) + PRIOR),
 
-the share of the entity's information content that t gives: 1 for a term that
-stands nowhere else. A context is the CONTEXT characters before and after a
-mention; equal contexts, as in copies, count once, and fewer than SUPPORT of
-them estimate nothing. From REMOVE on, a term's occurrences in the documents
+the share of the entity's information content that t gives, near 1 for a term
+that stands nowhere else. The estimate is smoothed: PRIOR documents in which t
+says nothing of e are added, so few contexts count for less and none is left
+out. A context is the CONTEXT characters before and after a mention; equal
+contexts, as in copies, count once. From REMOVE on, a term's occurrences in the documents
 that hold the entity become spans `term` (removed); from GENERALISE on, spans
 `class` (replaced by what kind of word it is). Words are looked for outside base spans,
 which stay as they are.
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 from .shared import table, written
 
 CONTEXT = 60
-SUPPORT = 3
+#: Documents without information that each term's counts begin with.
+PRIOR = 2.5
 GENERALISE = 0.7
 REMOVE = 0.9
 
@@ -125,8 +127,8 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
 
-def disclosing(docs: DataFrame, *, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame | None:
-    """entity, term and kind of the terms that disclose. docs: text and spans. None if no term has the support."""
+def disclosing(docs: DataFrame, *, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame | None:
+    """entity, term and kind of the terms that disclose. docs: text and spans. None if no entity stands beside a term."""
 
     def context(s: Column) -> Column:
         # a word that the window cuts isn't one of the context
@@ -138,15 +140,17 @@ def disclosing(docs: DataFrame, *, support: int = SUPPORT, generalise: float = G
     mentions = docs.where(F.size("spans") > 0).select(F.explode(F.transform("spans", context)).alias("c")).select("c.*")
     contexts = mentions.groupBy("entity", "before", "after").agg(F.lit(1).alias("one"))
     contexts = written(contexts.select("entity", _terms(F.concat_ws(" ", "before", "after")).alias("terms")), "contexts")
-    entities = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("c_e")).where(F.col("c_e") >= support)
-    pairs = contexts.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c_te")).where(F.col("c_te") >= support).join(entities, "entity")
+    entities = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("c_e"))
+    pairs = contexts.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c_te")).join(entities, "entity")
     pairs = written(pairs, "pairs")
     if not pairs.take(1):
         return None
     n = docs.count()
     wanted = pairs.select("term").distinct()
     counts = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("d_t")).join(wanted, "term")
-    share = F.log2(F.lit(n) * F.col("c_te") / (F.greatest("d_t", "c_te") * F.col("c_e"))) / F.log2(F.lit(n) / F.col("c_e"))
+    p_e = F.col("c_e") / F.lit(n)
+    p_te = (F.col("c_te") + F.lit(prior) * p_e) / (F.greatest("d_t", "c_te") + F.lit(prior))
+    share = F.log2(p_te / p_e) / F.log2(1 / p_e)
     found = pairs.where(F.col("c_e") < n).join(counts, "term").withColumn("share", share).where(F.col("share") >= generalise)
     return written(found.select("entity", "term", F.when(F.col("share") >= remove, ADDED[0]).otherwise(ADDED[1]).alias("kind")), "terms")
 
