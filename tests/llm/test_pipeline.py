@@ -1,6 +1,8 @@
 import hashlib
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -36,6 +38,19 @@ def test_stages_keep_columns_and_decide(spark, tmp_path):
     assert all(t.decoded_sha256 == hashlib.sha256(texts[i].text.encode()).hexdigest() and t.n_tokens == len(t.ids) for i, t in tokens.items())
 
 
+def test_documents_in_no_learnt_language_go(spark, small):
+    from tvloom.llm import stages
+
+    rng = random.Random(1)
+    consonants = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(3, 9))) for _ in range(120))
+    hexes = " ".join("%032x" % rng.getrandbits(128) for _ in range(40))
+    others = ["Это обычный русский текст о погоде и о городе, в котором мы живём. " * 5, "这是一个关于城市和天气的普通中文文本" * 5, "To jest zwykły polski tekst o pogodzie i o mieście. " * 5, consonants, hexes]
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(10**9 + i, t, None) for i, t in enumerate(others)], "doc_id long, text string, lang string").select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns])
+    kept = {r.doc_id for r in stages.identify_language(spark, docs.union(more), small).collect()}
+    assert kept == {r.doc_id for r in docs.where(docs["text"].rlike(r"\p{L}")).collect()}
+
+
 def test_run(spark, small):
     rows = corpus_pipeline.run(spark, small).collect()
     assert 0 < len(rows) <= 200 and all(r.n_tokens > 0 for r in rows)
