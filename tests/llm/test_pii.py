@@ -62,5 +62,14 @@ def test_an_entity_mentioned_once(spark):
     assert (2000, "class", "Zorblat") in got and not {v for _, _, v in got} & {"nothing", "of", "that", "says", "text"}
 
 
+def test_copies_do_not_hide_a_term(spark):
+    named = [(i, f"doc {i} says Zorblat of x{i}: zorb@corp.example then y{i}") for i in range(6)]
+    copies = [(100 + i, named[0][1]) for i in range(60)]
+    plain = [(1000 + i, f"plain {i} says filler of all then doc") for i in range(200)]
+    docs = spark.createDataFrame(named + copies + plain, "doc_id long, text string")
+    found = {(r.doc_id, s.kind) for r in pii.find(docs, keep=["doc_id"]).collect() for s in r.spans if s.value == "Zorblat"}
+    assert found == {(i, "term") for i, _ in named + copies}
+
+
 def test_empty_table(empty):
     assert pii.find(empty, keep=["doc_id"]).collect() == []

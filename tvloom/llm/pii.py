@@ -6,8 +6,8 @@ which makes the search linear in the text without changing a match.
 
 Around them, information-theoretic sanitisation: a base span's value is a
 protected entity e; a term t discloses it as far as seeing t makes e likely. By
-counts over the whole corpus, with N documents, e in c(e) contexts, t in d(t)
-documents and both in c(t, e) contexts, p(e) = c(e) / N, and the disclosure is
+counts over the whole corpus, with N different texts, e in c(e) contexts, t in d(t)
+texts and both in c(t, e) contexts, p(e) = c(e) / N, and the disclosure is
 
     log2(p(e | t) / p(e)) / log2(1 / p(e)), p(e | t) = (c(t, e) + PRIOR p(e)) / (d(t) + PRIOR),
 
@@ -145,9 +145,11 @@ def disclosing(docs: DataFrame, *, prior: float = PRIOR, generalise: float = GEN
     pairs = written(pairs, "pairs")
     if not pairs.take(1):
         return None
-    n = docs.count()
+    # copies of a text count once here too
+    texts = docs.groupBy(F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g")).agg(F.any_value("text").alias("text"))
+    n = docs.select(F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).distinct().count()
     wanted = pairs.select("term").distinct()
-    counts = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("d_t")).join(wanted, "term")
+    counts = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("d_t")).join(wanted, "term")
     p_e = F.col("c_e") / F.lit(n)
     p_te = (F.col("c_te") + F.lit(prior) * p_e) / (F.greatest("d_t", "c_te") + F.lit(prior))
     share = F.log2(p_te / p_e) / F.log2(1 / p_e)
