@@ -23,6 +23,16 @@ def test_broken_markup_ends():
     assert len(he.main_text("<" * 20000, set())) == 20000
 
 
+def test_a_word_in_a_name_drops_no_page():
+    assert he.main_text("<body><article class='post category-social'><p>A</p></article>", set()) == "A"
+    assert he.main_text("<body><div class='layout has-sidebar'><p>A</p><div class='sidebar'>s</div></div>", set()) == "A"
+    assert he.main_text("<body><div id='page' class='no-comments'><p>A</p><div class='ad-300x250'>Buy</div></div>", set()) == "A"
+    assert he.main_text("<body><form action='/'><div><p>A</p></div></form>", set()) == "A"
+    assert he.main_text("<body><div class='social'><p>x</p><main><p>A</p><div class='share'>s</div></main></div><aside><article>t</article></aside>", set()) == "A"
+    page = "<body><div class='widget'><article><p>A</p></article></div><div class='comments'><article><p>Nice!</p></article></div>"
+    assert he.main_text(page, set()) == "A"
+
+
 def pages(spark, n=12):
     rows = []
     for i in range(n):

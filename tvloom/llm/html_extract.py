@@ -15,6 +15,9 @@ rows; equal pages count once.
 Of the slots, the main text are those in the page's article, else in its main
 element, else in its body, outside elements that by tag, role, class or id hold
 menus, headers, footers, sidebars, notices, adverts, forms or reader comments.
+A class or id counts by whole names, all of whose words must say so. Neither that
+nor being a form drops an article or main element, or one that holds main or the
+page's first article; a form outside them is left to the template.
 Character references are decoded, white space inside a block becomes one space,
 and blocks are joined in page order by an empty line.
 
@@ -46,13 +49,15 @@ LEAST_TOKENS = 2
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q ruby rp rt s samp small span strike strong sub sup time tt u var wbr br".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe noembed noframes xmp textarea title svg math object canvas".split())
-DROPPED = RAW | frozenset("head nav footer aside form select button dialog menu audio video map".split())
+DROPPED = RAW | frozenset("head nav footer aside select button dialog menu audio video map".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
     "sidebar widget widgets footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login "
     "share sharing social related recommended recommendations comment comments disqus respond replies pagination pager toolbar".split()
 )
+#: Words that may stand beside them in a name.
+BESIDE_WORDS = frozenset("area bar block box container left list right section top bottom wrapper".split())
 #: Elements that close an open one of the same kind.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: and how far that looks up.
@@ -74,29 +79,43 @@ class Block:
         self.path, self.text, self.dropped, self.article, self.main = path, text, dropped, article, main
 
 
-def _drops(tag: str, attributes: str, inside: bool) -> tuple[bool, str]:
-    """Whether an element isn't main text, and its label in paths. inside: in an article or main element."""
+def _named(value: str) -> bool:
+    """Whether a name of a class or id says that its element isn't main text."""
+    for name in value.split():
+        words = _WORD.findall(name)
+        told = [w for w in words if w not in BESIDE_WORDS and not w[0].isdigit()]
+        if told and all(w in DROPPED_WORDS for w in told):
+            return True
+    return False
+
+
+def _drops(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, str]:
+    """Whether an element isn't main text, whether that holds only if it doesn't hold main text, and its label in paths. inside: in an article or main element."""
     if tag in DROPPED or tag == "header" and not inside:
-        return True, tag
-    label, dropped = tag, False
+        return True, False, tag
+    label, by_role, by_name = tag, False, tag == "form" and inside
     if attributes and "=" in attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name == "class":
                 label = f"{tag}.{value}"
-            words = set(_WORD.findall(value))
-            if tag in ("html", "body", "main"):
+            if tag in ("html", "body", "main", "article"):
                 continue
-            dropped |= bool(words & (DROPPED_ROLES if name == "role" else DROPPED_WORDS))
-    return dropped, label
+            if name == "role":
+                by_role |= bool(set(_WORD.findall(value)) & DROPPED_ROLES)
+            else:
+                by_name |= _named(value)
+    return by_role or by_name, not by_role, label
 
 
 def blocks(page: str) -> tuple[list[Block], Counter]:
     """The blocks of a page, and how often each element path occurs."""
     out: list[Block] = []
     paths: Counter = Counter()
-    # open elements: tag, path, dropped, in an article, in main
-    stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]
+    # open elements: tag, path, what drops them, in an article, in main
+    stack: list[tuple[str, str, tuple, bool, bool]] = [("", "", (), False, False)]
+    # a dropping element: whether it does, and whether it stops to if it holds main text
+    first_article = True
     held: list[str] = []
     tag_at, at, size = _TAG, 0, len(page)
     low = page.lower()
@@ -168,7 +187,7 @@ def blocks(page: str) -> tuple[list[Block], Counter]:
         if stack[-1][0] == "p" and tag not in INLINE:
             stack.pop()
         _, path, dropped, article, main = stack[-1]
-        drops, label = _drops(tag, attributes, article or main)
+        drops, soft, label = _drops(tag, attributes, article or main)
         path = f"{path}/{label}"
         paths[path] += 1
         if tag in VOID or attributes.endswith("/"):
@@ -180,9 +199,19 @@ def blocks(page: str) -> tuple[list[Block], Counter]:
                 stop = page.find(">", end)
                 at = size if stop < 0 else stop + 1
             continue
-        dropped = dropped or drops
-        stack.append((tag, path, dropped, article or tag == "article" and not dropped, main or tag == "main" or "main" in _WORD.findall(attributes.lower()) and "role" in attributes.lower()))
+        is_main = tag == "main" or "main" in _WORD.findall(attributes.lower()) and "role" in attributes.lower()
+        if is_main or tag == "article" and first_article:
+            for cell in dropped:
+                cell[0] &= not cell[1]
+            if tag == "article":
+                first_article = any(cell[0] for cell in dropped)
+        if drops:
+            dropped = (*dropped, [True, soft])
+        is_article = tag == "article" and not any(cell[0] for cell in dropped)
+        stack.append((tag, path, dropped, article or is_article, main or is_main))
     end_block()
+    for block in out:
+        block.dropped = any(cell[0] for cell in block.dropped)
     return out, paths
 
 
