@@ -1,41 +1,47 @@
 """Near-duplicate documents by order MinHash and banded alignment.
 
 A text's shingles are its runs of five words; a text of fewer words is one
-shingle. Of a phrase said over and over, the repeats right after it don't count:
-a shingle that stands among the REPEAT before it is left out. Each shingle is labelled with its occurrence number in the text, so
-repeats count. A sketch orders the labelled shingles by a random function,
-takes the least two and keeps them in text order; texts with a sketch in common
-are candidates. With SKETCHES sketches, texts at similarity 0.8 share none with
-probability 0.36 ** SKETCHES.
+shingle. Each shingle is labelled with its occurrence number in the text, so
+repeats count. A sketch orders the labelled shingles by a random function, takes
+the least few and keeps them in text order; texts with a sketch in common are
+candidates. Texts of MIDDLE[0] shingles or more have LONG sketches of four, those of
+up to MIDDLE[1] have SHORT sketches of two, which suit few shingles better; those
+between have both, so any two texts whose sizes allow the similarity have a kind in common.
 
 A candidate pair is a link if an alignment of its two shingle sequences matches
 m shingles with m / (n1 + n2 - m) >= 0.8. The alignment is the longest common
 subsequence inside the band that any such alignment stays in, computed on the
-bits of an integer that slides along the diagonal.
-
-Texts equal in all words are one node, so copies never meet in pairs. Within a
-bucket of nodes with the same sketch, each is compared with the most central
-one, which shares most sketches with others. While buckets still hold nodes of
-different classes in numbers, further rounds compare each bucket's next central
-node with the nodes of other classes; the pairs across classes that remain then
-are all compared. A class is a connected component of links. A pair of a bucket
-is left out only when both are in one class already, or when their signatures
-(PLANES bits of the least shingle in each of BINS bins) differ in more bins than
-a pair at the threshold can: never more than the shingles that only one of the
-two has, nor, but for one pair in 1e9, six standard deviations over the mean.
-
-Texts without words are each a class of their own. Null ids are least.
+bits of an integer that slides along the diagonal. A class is a connected
+component of links.
+
+Texts equal in all words are one node, so copies never meet in pairs. Pairs come
+about in two steps:
+
+1. In each bucket (nodes with a sketch in common) every node is compared with the
+   most central one, which shares most sketches with others: one pair a member.
+   Nodes that link to a common one, over up to JUMPS steps, get a common label.
+2. Buckets that still hold several labels are split into cells of about CELL by CELL
+   members, so that one of any size is spread over many tasks and none is cut short.
+   Nodes of different labels in a cell are a pair, in the least bucket that they share, if
+   their sizes and signatures allow the similarity. A signature has BITS bits, each the parity of the
+   labelled shingles that hash to it, so two differ in no more bits than there are shingles that
+   only one of the texts has; no pair within the threshold is ruled out.
+
+At similarity 0.8 two texts share a sketch of four with probability 0.41 (of two:
+0.64), so they share none with 0.59 ** LONG (0.36 ** SHORT).
+
+Texts without words are each a class of their own. class_id is the least id of the
+class that isn't null; rows that repeat count each.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,18 +49,20 @@ from .shared import batches_of, bounded_batches, table, written
 from .words import STEP, U, Words, chunks, mixed
 
 SHINGLE = 5
-#: A shingle that stood among as many before it is the same phrase said again.
-REPEAT = 10
 SIMILAR = 0.8
-SKETCHES = 10
-BINS, PLANES = 512, 4
-SIGNED = BINS // 64 * PLANES
-BITS = "struct<" + ",".join(f"s{i}:long" for i in range(SIGNED)) + ">"
-#: Pairs across classes, for each member of the buckets that hold them, up to which all are compared at once.
-FEW = 8
-ROUNDS = 2
+#: Sketches of four and of two shingles, and the sizes of texts that have both.
+LONG, SHORT = 24, 10
+MIDDLE = (16, 20)
+BITS = 1024
+SIGNED = BITS // 64
+SIGNATURE = "struct<" + ",".join(f"s{i}:long" for i in range(SIGNED)) + ">"
+#: Members of a bucket on each side of a cell.
+CELL = 512
+JUMPS = 2
 #: Pairs of texts that a Python worker gets at once.
 PAIRS = 500
+#: About so many of a text's values are looked at for its least four: fewer than four has probability 1e-9, and then all are.
+NEAR_LEAST = 32
 _SEEDS = mixed(np.arange(1, 65, dtype=U) * U(0x9E3779B97F4A7C15))
 
 
@@ -68,53 +76,64 @@ def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
     for j in range(SHINGLE):
         hashed = np.where(left > j, hashed * STEP + padded[j : j + n] + U(1), hashed)
     begins = np.ones(n, bool)
-    begins[(left < SHINGLE)] = False
+    begins[left < SHINGLE] = False
     begins[words.first[:-1][counts > 0]] = True
     first = np.concatenate([[0], np.cumsum(np.minimum(counts, np.maximum(counts - SHINGLE + 1, 1)))])
-    hashed = mixed(hashed[begins])
-    # how far each is into its text, and whether one of the REPEAT before it there is the same
-    place = np.arange(len(hashed)) - np.repeat(first[:-1], np.diff(first))
-    again = np.zeros(len(hashed), bool)
-    for back in range(1, min(REPEAT, len(hashed) - 1) + 1):
-        again[back:] |= (hashed[back:] == hashed[:-back]) & (place[back:] >= back)
-    kept = ~again
-    return hashed[kept], np.concatenate([[0], np.cumsum(kept)])[first]
-
-
-def sketches(hashed: np.ndarray, first: np.ndarray, n: int = SKETCHES) -> tuple[np.ndarray, np.ndarray]:
-    """For each text, n sketches and the planes of its signature as 64-bit integers; zeros for texts without shingles."""
-    counts = np.diff(first)
-    texts = np.flatnonzero(counts)
-    out, bits = np.zeros((len(counts), n), np.int64), np.zeros((len(counts), SIGNED), np.int64)
-    if not len(texts):
-        return out, bits
-    owner = np.repeat(np.arange(len(counts)), counts).astype(U)
-    # the occurrence number of each shingle in its text
-    same = mixed(hashed ^ (owner * STEP))
+    return mixed(hashed[begins]), first
+
+
+def labelled(hashed: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Hashes of the shingles with their occurrence number in their text."""
+    same = mixed(hashed ^ (owner.astype(U) * STEP))
     order = np.argsort(same, kind="stable")
     ordered = same[order]
-    fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    starts = np.flatnonzero(fresh)
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     number = np.empty(len(same), U)
     number[order] = (np.arange(len(same)) - np.repeat(starts, np.diff(np.append(starts, len(same))))).astype(U)
-    labelled = mixed(hashed + number * U(0xA0761D6478BD642F))
-    least = np.full(len(counts) * BINS, 0xFFFFFFFF, np.uint32)
-    np.minimum.at(least, owner.astype(np.int64) * BINS + (labelled >> U(64 - 9)).astype(np.int64), (labelled >> U(20)).astype(np.uint32))
-    planes = [np.packbits(least.reshape(len(counts), BINS) >> p & 1, axis=1).view(np.int64) for p in range(PLANES)]
-    bits[:] = np.concatenate(planes, axis=1)
-    begin, own = first[:-1][texts], counts[texts]
-    for s in range(n):
-        value = mixed(labelled ^ _SEEDS[s])
-        at = []
-        for _ in range(2):
-            least = np.minimum.reduceat(value, begin)
-            hit = np.flatnonzero(value == np.repeat(least, own))
-            # a value may repeat by chance: the first place in each text counts
-            places = hit[np.searchsorted(hit, begin)]
-            at.append(places)
-            value[places] = U(0xFFFFFFFFFFFFFFFF)
-        one, two = np.minimum(*at), np.maximum(*at)
-        out[texts, s] = mixed(labelled[one] * STEP + labelled[two] + _SEEDS[s]).astype(np.int64)
+    return mixed(hashed + number * U(0xA0761D6478BD642F))
+
+
+def _least(values: np.ndarray, counts: np.ndarray, size: int, seeds: np.ndarray, kind: int) -> np.ndarray:
+    """For each text and seed, the hash of its `size` least shingles (all, if it has fewer) in text order. No text is empty."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    share = np.minimum(NEAR_LEAST / counts, 1)
+    # 64 bits of which a float holds the upper ones
+    limit = np.repeat(np.where(share < 1, share * 2.0**64, 0).astype(U) - U(1), counts)  # 0 - 1: all
+    take = np.minimum(counts, size)
+    out = np.zeros((len(counts), len(seeds)), np.int64)
+    for s, seed in enumerate(seeds):
+        value = mixed(values ^ seed)
+        near = np.flatnonzero(value <= limit)
+        if (np.bincount(owner[near], minlength=len(counts)) < take).any():
+            near = np.arange(len(value))
+        near = near[np.lexsort((value[near], owner[near]))]
+        begin = np.searchsorted(owner[near], np.arange(len(counts)))
+        at = begin[:, None] + np.arange(size)
+        places = np.where(np.arange(size) < take[:, None], near[np.minimum(at, len(near) - 1)], len(values))
+        places.sort(axis=1)
+        hashed = np.full(len(counts), seed + U(kind), U)
+        for k in range(size):
+            used = places[:, k] < len(values)
+            hashed = np.where(used, hashed * STEP + values[np.minimum(places[:, k], len(values) - 1)], hashed)
+        out[:, s] = mixed(hashed).view(np.int64)
+    return out
+
+
+def sketches(hashed: np.ndarray, first: np.ndarray) -> tuple[list[list[int]], np.ndarray]:
+    """The sketches of each text, and its signature as 64-bit integers."""
+    counts = np.diff(first)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    values = labelled(hashed, owner)
+    bits = np.zeros(len(counts) * SIGNED, U)
+    np.bitwise_xor.at(bits, owner * SIGNED + (values >> U(60)).astype(np.int64), U(1) << (values >> U(54) & U(63)))
+    bits = bits.view(np.int64).reshape(len(counts), SIGNED)
+    out: list[list[int]] = [[] for _ in counts]
+    for size, n, wanted in ((2, SHORT, (counts > 0) & (counts <= MIDDLE[1])), (4, LONG, counts >= MIDDLE[0])):
+        texts = np.flatnonzero(wanted)
+        if len(texts):
+            found = _least(values[wanted[owner]], counts[texts], size, _SEEDS[:n], size)
+            for i, row in zip(texts.tolist(), found.tolist()):
+                out[i] += row
     return out, bits
 
 
@@ -158,9 +177,9 @@ def aligned(a: np.ndarray, b: np.ndarray, similar: float = SIMILAR) -> bool:
     return matched + width - row.bit_count() >= needed
 
 
-def sketch(docs: DataFrame, id: str, text: str, n: int = SKETCHES) -> DataFrame:
+def sketch(docs: DataFrame, id: str, text: str) -> DataFrame:
     """id, t (hash of the text), node (digest of the words), size (shingles), bands (sketches) and bits (signature) of each row."""
-    schema = T.StructType([T.StructField("id", docs.schema[id].dataType), *T._parse_datatype_string("t long, node binary, size long, bands array<long>, bits " + BITS).fields])
+    schema = T.StructType([T.StructField("id", docs.schema[id].dataType), *T._parse_datatype_string("t long, node binary, size long, bands array<long>, bits " + SIGNATURE).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,12 +187,11 @@ def sketch(docs: DataFrame, id: str, text: str, n: int = SKETCHES) -> DataFrame:
             for _, _, data, offsets in chunks(batch.column(2)):
                 words = Words(data, offsets)
                 hashed, first = shingles(words)
-                counts = np.diff(first)
-                sizes += counts.tolist()
+                sizes += np.diff(first).tolist()
                 content = words.hash.tobytes()
                 nodes += [hashlib.md5(content[8 * a : 8 * b]).digest() for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist())]
-                found, bits = sketches(hashed, first, n)
-                bands += [row if size else [] for row, size in zip(found.tolist(), counts.tolist())]
+                found, bits = sketches(hashed, first)
+                bands += found
                 signed.append(bits)
             arrays = [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.StructArray.from_arrays([pa.array(c) for c in np.concatenate(signed).T], [f"s{i}" for i in range(SIGNED)])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=schema.names)
@@ -220,82 +238,78 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, *, id: str = "doc_id", text: str = "text", n: int = SKETCHES) -> DataFrame:
+def _sizes_allow() -> Column:
+    """Whether the sizes of a and b do: a common subsequence is no longer than the shorter text."""
+    return F.least("a_size", "b_size") >= F.ceil(F.lit(SIMILAR) * (F.col("a_size") + F.col("b_size")) / (1 + SIMILAR) - 1e-9)
+
+
+def _signatures_allow() -> Column:
+    """Whether the signatures of a and b do."""
+    differing = sum((F.bit_count(F.col(f"a_bits.s{i}").bitwiseXOR(F.col(f"b_bits.s{i}"))) for i in range(SIGNED)), F.lit(0))
+    return differing <= (F.col("a_size") + F.col("b_size")) * ((1 - SIMILAR) / (1 + SIMILAR)) + 1e-9
+
+
+def _pairs(members: DataFrame, cell: int) -> DataFrame:
+    """Pairs of nodes of a bucket with different labels, met cell by cell; n is the bucket's size."""
+    cells = F.ceil(F.col("n") / cell).cast("int")
+    own, every = F.pmod(F.xxhash64("node"), cells).cast("int"), F.explode(F.sequence(F.lit(0), cells - 1))
+    names = ("node", "size", "label", "bits", "bands")
+    a = members.select("band", own.alias("row"), every.alias("column"), *[F.col(c).alias(f"a_{c}") for c in names])
+    b = members.select("band", every.alias("row"), own.alias("column"), *[F.col(c).alias(f"b_{c}") for c in names])
+    met = a.join(b, (a["band"] == b["band"]) & (a["row"] == b["row"]) & (a["column"] == b["column"]) & (F.col("a_label") < F.col("b_label")) & _sizes_allow() & _signatures_allow() & (F.array_min(F.array_intersect("a_bands", "b_bands")) == a["band"]))
+    return met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+
+
+def classes(docs: DataFrame, *, id: str = "doc_id", text: str = "text", cell: int = CELL) -> DataFrame:
     """One row per row of docs: id, class_id (least id of its class) and class_size (its rows)."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = written(sketch(docs, id, text, n), "sketches")
-    nodes = written(rows.where("size > 0").groupBy("node").agg(F.min(F.struct("id", "t")).alias("row"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "nodes")
-    bands = nodes.select("node", F.posexplode("bands").alias("nth", "band"))
-    shared = bands.join(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band")
-    central = shared.groupBy("node").agg(F.sum("n").alias("central"))
-    shared = written(shared.drop("n").join(central.join(nodes.select("node", "size", "bits", F.struct(*[F.get("bands", i).alias(f"c{i}") for i in range(n)]).alias("bands")), "node"), "node"), "buckets")
+    rows = written(sketch(docs, id, text), "sketches")
+    nodes = rows.where("size > 0").groupBy("node").agg(F.min(F.struct("id", "t")).alias("row"), F.min("id").alias("least_id"), F.count(F.lit(1)).alias("n_rows"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+    nodes = written(nodes, "nodes")
+    bands = nodes.select("node", "size", F.explode("bands").alias("band"))
+    shared = written(bands.join(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band"), "buckets")
+    members = written(shared.drop("n").join(shared.groupBy("node").agg(F.sum("n").alias("central")), "node"), "members")
 
     # texts of the nodes that share a bucket, by id and hash of the text
-    wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("row.id").alias("w_id"), F.col("row.t").alias("w_t"))
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("row.id").alias("w_id"), F.col("row.t").alias("w_t"))
     source = docs.select(docs[id].alias("id"), F.xxhash64(docs[text]).alias("t"), docs[text].alias("text"))
     texts = written(source.join(wanted, source["id"].eqNullSafe(wanted["w_id"]) & (source["t"] == wanted["w_t"])).select("node", "text").dropDuplicates(["node"]), "texts")
-    a_texts, b_texts = texts.toDF("a", "a_text"), texts.toDF("b", "b_text")
 
     def verified(pairs: DataFrame) -> DataFrame:
         with batches_of(spark, PAIRS):
-            return written(_verified(pairs.join(a_texts, "a").join(b_texts, "b")), "links")
-
-    def stars(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The most central node of each bucket, and its pairs with nodes of other classes."""
-        heads = written(members.groupBy("band").agg(F.max(F.struct("central", "node", "size", "bits", "label")).alias("head")).select("band", "head.*").drop("central"), "heads")
-        pairs = _across(heads, members).groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
-        return heads.select("band", "node"), written(pairs, "pairs")
-
-    members = shared.withColumn("label", F.col("node"))
-    links = done = labels = None
-    for _ in range(ROUNDS):
-        heads, pairs = stars(members)
-        links = verified(pairs) if links is None else links.union(verified(pairs.join(done, ["a", "b"], "left_anti")))
-        done = pairs if done is None else done.union(pairs)
-        labels = components(links)
-        members = members.drop("label").join(heads, ["band", "node"], "left_anti").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed_bands = members.groupBy("band").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("band")
-        members = written(members.join(mixed_bands, "band"), "members")
-        by_label = members.groupBy("band", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
-        sums = by_label.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("across"), F.sum("n").alias("n")).first()
-        if not sums["n"] or sums["across"] <= FEW * sums["n"]:
-            break
-    if sums["n"]:
-        pairs = _across(members, members, n).where("a_label < b_label").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        turned = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        links = links.union(verified(pairs.join(turned, ["a", "b"], "left_anti")))
-        labels = components(links)
-
-    label = F.coalesce("label", "node")
-    found = rows.join(labels, "node", "left").select("id", "size", label.alias("label"))
-    heads = found.where("size > 0").groupBy("label").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    known = found.where("size > 0").join(heads, "label").select(F.col("id").alias(id), "class_id", "class_size")
-    wordless = found.where("size = 0").select(F.col("id").alias(id), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return known.union(wordless)
-
-
-def _across(one: DataFrame, other: DataFrame, once: int = 0) -> DataFrame:
-    """Pairs (a, b) of a bucket whose labels differ and whose sizes and signatures allow the similarity.
-
-    once: the number of sketches, if a pair is to meet in the first bucket that it shares only.
-    """
-    names = ("node", "size", "bits", "label", *(["nth", "bands"] if once else []))
-    a = one.select("band", *[F.col(c).alias(f"a_{c}") for c in names])
-    b = other.select("band", *[F.col(c).alias(f"b_{c}") for c in names])
-    total = F.col("a_size") + F.col("b_size")
-    # a common subsequence is no longer than the shorter text
-    sizes = F.least("a_size", "b_size") >= F.ceil(F.lit(SIMILAR) * total / (1 + SIMILAR) - 1e-9)
-    words = BINS // 64
-    apart = [F.col(f"a_bits.s{i}").bitwiseXOR(F.col(f"b_bits.s{i}")) for i in range(SIGNED)]
-    differing = sum((F.bit_count(reduce(lambda x, y: x.bitwiseOR(y), apart[w::words])) for w in range(words)), F.lit(0))
-    filled, part = BINS * (1 - F.exp(-total / (1 + SIMILAR) / BINS)), 1 - SIMILAR
-    likely = part * filled + 6 * F.sqrt(part * (1 - part) * filled) + 2
-    bits = differing <= F.least(likely, total * ((1 - SIMILAR) / (1 + SIMILAR)) + 1e-9)
-    met = [(F.col("a_nth") > i) & (F.col(f"a_bands.c{i}") == F.col(f"b_bands.c{i}")) for i in range(once)]
-    new = ~reduce(lambda x, y: x | y, met) if met else F.lit(True)
-    found = a.join(b, (a["band"] == b["band"]) & (F.col("a_node") != F.col("b_node")) & (F.col("a_label") != F.col("b_label")) & sizes & new & bits)
-    return found.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_label", "b_label")
+            return written(_verified(pairs.join(texts.toDF("b", "b_text"), "b").join(texts.toDF("a", "a_text"), "a")), "links")
+
+    # step 1: each member against its bucket's most central node, a
+    heads = members.groupBy("band").agg(F.max(F.struct("central", "node", "size")).alias("head")).select("band", F.col("head.node").alias("a"), F.col("head.size").alias("a_size"), F.col("head.central").alias("a_central"))
+    star = members.select("band", F.col("node").alias("b"), F.col("size").alias("b_size"), "central").join(heads, "band").where("a <> b")
+    star = written(star.where(_sizes_allow()).groupBy("a", "b").agg(F.max("a_central").alias("a_central"), F.max("central").alias("central")), "pairs")
+    links = verified(star)
+    # a node's label: the most central one that it links to, if that is more central than itself
+    best = star.join(links, ["a", "b"], "left_semi").groupBy(F.col("b").alias("node")).agg(F.max(F.struct(F.col("a_central").alias("central"), F.col("a").alias("node"))).alias("best"), F.max("central").alias("central"))
+    labels = written(best.where(F.col("best") > F.struct("central", "node")).select("node", F.col("best.node").alias("label")), "labels")
+    for _ in range(JUMPS):
+        labels = written(labels.join(labels.toDF("label", "beyond"), "label", "left").select("node", F.coalesce("beyond", "label").alias("label")), "labels")
+
+    # step 2: what different labels are left in a bucket
+    left = written(members.join(labels, "node", "left").select("band", "node", "size", F.coalesce("label", "node").alias("label")), "members")
+    kinds = left.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n")).where("least <> most").select("band", "n")
+    left = written(left.join(kinds, "band").join(nodes.select("node", "bits", "bands"), "node"), "mixed")
+    links = links.union(verified(written(_pairs(left, cell), "pairs")))
+
+    # links between labels, and what they join
+    known = labels.select(F.col("node").alias("a"), F.col("label").alias("a_label"))
+    ends = links.join(known, "a", "left").join(known.toDF("b", "b_label"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).where("a <> b")
+    ends = written(ends.distinct(), "ends")
+    joined = components(ends).toDF("label", "joined")
+    labels = nodes.select("node", "least_id", "n_rows").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(joined, "label", "left").select("node", "least_id", "n_rows", F.coalesce("joined", "label").alias("label"))
+    labels = written(labels, "labels")
+    totals = labels.groupBy("label").agg(F.min("least_id").alias("class_id"), F.sum("n_rows").alias("class_size")).where("class_size > 1")
+    known = written(labels.join(totals, "label").select("node", "class_id", "class_size"), "classes")
+    # a text that stands alone is its own class
+    alone = F.col("class_size").isNull()
+    found = rows.join(known, "node", "left")
+    return found.select(F.col("id").alias(id), F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
 
 def documents_query(spark: SparkSession, sf_dir: str) -> DataFrame:
