@@ -1,26 +1,30 @@
 """Main text of web pages by template deduction over each host's pages.
 
 A page is read into blocks: runs of text between block-level tags, each under
-the path of its open elements. Its tokens are the paths of its elements and its
-blocks (path and text). Over the pages of a host, tokens with the same
-occurrence vector (as often as each other on every page) form an equivalence
-class. A class is valid if it has several tokens, occurs on most of the host's
-different pages, and its parents do too, so that classes nest into one template.
-Blocks of valid classes are template; the slots that remain are data.
-
-A vector is summed up as the exclusive or of a hash for each (page, count), so
-the pages of a host never meet in one task and a host may hold any share of the
-rows; equal pages count once.
-
-Of the slots, the main text are those in the page's article, else in its main
-element, else in its body, outside elements that by tag, role, class or id hold
-menus, headers, footers, sidebars, notices, adverts, forms or reader comments.
-A class or id counts by whole names, all of whose words must say so. Neither that
-nor being a form drops an article or main element, or one that holds main or the
-page's first article; a form outside them is left to the template.
+the path of its open elements. A page's tokens are its element paths. Over the
+different pages of a host, paths with the same occurrence vector (as often as each
+other on every page) form an equivalence class. A class is valid if it has several
+paths, occurs on most pages, and the parents of its paths do too, so that classes
+nest into one template: its once-a-page paths are the skeleton, and what stands under
+each is its slot.
+
+The article's slot is told by what varies in it. A path's weight is the text under it that
+isn't link text, by the share of the host's pages on which that text is another one, so menus and
+notices weigh little. From the root, the way leads to the skeleton path that holds MAIN of the
+weight of its siblings, down to an article or main element, or to where none does.
+
+The main text of a page are the blocks in that slot, and the page's heading if that stands before it,
+without constant text (an element that stands once on a page and reads the same on most), and without
+elements inside the slot that by tag, role, class or id hold menus, headers, footers, sidebars,
+notices, adverts, forms or reader comments. A class or id counts by whole names, all of whose words
+must say so. Neither that nor being a form drops an article or main element, or one that holds main or the
+page's first article. A page without the slot is read by its article, else its main element, else its body.
 Character references are decoded, white space inside a block becomes one space,
 and blocks are joined in page order by an empty line.
 
+An occurrence vector is summed up as the exclusive or of a hash for each (page, count), so the pages of
+a host never meet in one task and a host may hold any share of the rows; equal pages count once.
+
 Null html, and a page without such blocks, give an empty text. Pages are keyed by
 nothing but their host, so null, repeated and clashing ids are passed through.
 """
@@ -29,9 +33,10 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,11 +45,13 @@ from pyspark.sql import types as T
 
 from .shared import bounded_batches, table, written
 
-#: A template class is on this share of a host's different pages, and on this many.
+#: A template class is on this share of a host's different pages, and has this many paths.
 SHARE = 0.6
-LEAST_PAGES = 4
-#: and has this many tokens.
 LEAST_TOKENS = 2
+#: A text is constant if it is on that share and on this many pages: fewer may agree by chance.
+REPEATS = 4
+#: Share of the weight beside it that leads to a path.
+MAIN = 0.8
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q ruby rp rt s samp small span strike strong sub sup time tt u var wbr br".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -63,20 +70,24 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 #: and how far that looks up.
 SCOPES = frozenset("ul ol dl table body html article main section div td th blockquote nav aside footer header form".split())
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
-_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>")
 _ATTRIBUTE = re.compile(r"""(?i)(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORD = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Block:
-    """A run of text, its path, and where it stands."""
+    """A run of text, its path, how much of it is in links, what may drop it, and where it stands."""
+
+    __slots__ = ("path", "text", "linked", "cells", "article", "main")
 
-    __slots__ = ("path", "text", "dropped", "article", "main")
+    def __init__(self, path: str, text: str, linked: int, cells: tuple, article: bool, main: bool):
+        self.path, self.text, self.linked, self.cells, self.article, self.main = path, text, linked, cells, article, main
 
-    def __init__(self, path: str, text: str, dropped: bool, article: bool, main: bool):
-        self.path, self.text, self.dropped, self.article, self.main = path, text, dropped, article, main
+    def dropped(self, slot: str = "") -> bool:
+        """Whether an element inside the slot drops it."""
+        return any(cell[0] and len(cell[2]) > len(slot) for cell in self.cells)
 
 
 def _named(value: str) -> bool:
@@ -108,34 +119,41 @@ def _drops(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, str]:
     return by_role or by_name, not by_role, label
 
 
-def blocks(page: str) -> tuple[list[Block], Counter]:
+def blocks(page: str) -> tuple[list[Block], dict[str, int]]:
     """The blocks of a page, and how often each element path occurs."""
     out: list[Block] = []
-    paths: Counter = Counter()
+    paths: dict[str, int] = defaultdict(int)
     # open elements: tag, path, what drops them, in an article, in main
     stack: list[tuple[str, str, tuple, bool, bool]] = [("", "", (), False, False)]
     # a dropping element: whether it does, and whether it stops to if it holds main text
     first_article = True
     held: list[str] = []
+    linked, in_link = 0, False
     tag_at, at, size = _TAG, 0, len(page)
+    last = page.rfind(">")  # no tag begins beyond it
     low = page.lower()
     if len(low) != size:  # a few letters change length; tags have none of them
         low = "".join(c.lower() if c.isascii() else c for c in page)
 
     def end_block() -> None:
+        nonlocal linked
         if held:
             text = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
             if text:
                 _, path, dropped, article, main = stack[-1]
-                out.append(Block(path, text, dropped, article, main))
+                out.append(Block(path, text, min(linked, len(text)), dropped, article, main))
             held.clear()
+        linked = 0
 
     while at < size:
         begin = page.find("<", at)
         if begin < 0:
             begin = size
+        if begin > last:  # nor here
+            begin = size
         if begin > at:
             held.append(page[at:begin])
+            linked += (begin - at) * in_link
         if begin == size:
             break
         at = begin
@@ -162,6 +180,8 @@ def blocks(page: str) -> tuple[list[Block], Counter]:
         at = m.end()
         closing, tag, attributes = m[1], m[2].lower(), m[3]
         if tag in INLINE:
+            if tag == "a":
+                in_link = not closing
             if tag == "br":
                 held.append(" ")
             # one that isn't main text is an element of its own, and so is what it holds
@@ -206,31 +226,62 @@ def blocks(page: str) -> tuple[list[Block], Counter]:
             if tag == "article":
                 first_article = any(cell[0] for cell in dropped)
         if drops:
-            dropped = (*dropped, [True, soft])
+            dropped = (*dropped, [True, soft, path])
         is_article = tag == "article" and not any(cell[0] for cell in dropped)
         stack.append((tag, path, dropped, article or is_article, main or is_main))
     end_block()
-    for block in out:
-        block.dropped = any(cell[0] for cell in block.dropped)
     return out, paths
 
 
-def text_token(block: Block) -> int:
-    return xxhash.xxh3_64_intdigest(f"{block.path}\n{block.text}") - (1 << 63)
-
-
-def path_token(path: str) -> int:
+def token(path: str) -> int:
     return xxhash.xxh3_64_intdigest(path) - (1 << 63)
 
 
-def main_text(page: str, template: frozenset[int] | set[int]) -> str:
-    """The page's main text; template: tokens of its host's template."""
-    found = [b for b in blocks(page)[0] if not b.dropped]
+def _holders(path: str) -> list[str]:
+    """The paths of the elements that a path stands in, itself first, without the root."""
+    out = []
+    while path:
+        out.append(path)
+        path = path[: path.rindex("/")]
+    return out
+
+
+def texts(found: list[Block]) -> dict[str, int]:
+    """For each element path that holds blocks, the hash of all their texts."""
+    held: dict[str, list[int]] = defaultdict(list)
+    for block in found:
+        own = token(block.text)
+        for path in _holders(block.path):
+            held[path].append(own)
+    return {path: token(np.array(own, np.int64).tobytes()) for path, own in held.items()}
+
+
+def main_text(page: str, slot: int | None, constant: frozenset[tuple[int, int]] | set = frozenset()) -> str:
+    """The page's main text. slot: token of the path of the article's slot (None: of no template; that of "": the page); constant: path and text tokens."""
+    found, paths = blocks(page)
+    if slot is None:
+        return "\n\n".join(b.text for b in found)
+    if constant:
+        same = {path for path, own in texts(found).items() if paths[path] == 1 and (token(path), own) in constant}
+        found = [b for b in found if same.isdisjoint(_holders(b.path))]
+    at = "" if slot == token("") else next((path for path in paths if token(path) == slot), None)
+    if at is not None:
+        inside = [b for b in found if (b.path == at or b.path.startswith(at + "/")) and not b.dropped(at)]
+        if inside and not any(_heading(b.path) for b in inside):
+            before = found[: found.index(inside[0])]
+            inside = [b for b in before if _heading(b.path) and not b.dropped()] + inside
+        if inside and at:
+            return "\n\n".join(b.text for b in inside)
+    found = [b for b in found if not b.dropped()]
     for region in ("article", "main"):
         if any(getattr(b, region) for b in found):
             found = [b for b in found if getattr(b, region)]
             break
-    return "\n\n".join(b.text for b in found if text_token(b) not in template)
+    return "\n\n".join(b.text for b in found)
+
+
+def _heading(path: str) -> bool:
+    return path.rpartition("/")[2].partition(".")[0] == "h1"
 
 
 def host(url: Column) -> Column:
@@ -240,45 +291,83 @@ def host(url: Column) -> Column:
 
 
 def tokens(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """host, page (hash of the html), token, n (on the page) and parent (token of the element it stands in; null: text)."""
-    schema = "host string, page long, token long, n long, parent long, is_text boolean"
+    """host, page (hash of the html), and for each element path of the page: token, parent (its token), n (elements), text (hash), chars (that may be main text) and whole (whether it is an article or main element)."""
+    schema = "host string, page long, token long, parent long, n long, text long, chars long, whole boolean"
+    names = ("host", "page", "token", "parent", "n", "text", "chars", "whole")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: dict[str, list] = {c: [] for c in ("host", "page", "token", "n", "parent", "is_text")}
+            rows: dict[str, list] = {c: [] for c in names}
             for u, h in zip(batch.column(0), batch.column(1)):
                 page = h.as_py() or ""
                 found, paths = blocks(page)
-                own = xxhash.xxh3_64_intdigest(page) - (1 << 63)
-                counted = Counter((text_token(b), path_token(b.path)) for b in found)
-                entries = [(t, n, p, True) for (t, p), n in counted.items()]
-                entries += [(path_token(p), n, path_token(p.rpartition("/")[0]), False) for p, n in paths.items()]
-                for t, n, p, is_text in entries:
-                    for c, v in zip(rows, (u.as_py(), own, t, n, p, is_text)):
+                read, chars = texts(found), defaultdict(int)
+                for block in found:
+                    if not block.dropped():
+                        for path in _holders(block.path):
+                            chars[path] += len(block.text) - block.linked
+                own = token(page)
+                for path, n in paths.items():
+                    above, _, label = path.rpartition("/")
+                    row = (u.as_py(), own, token(path), token(above), n, read.get(path, 0), chars[path], label.partition(".")[0] in ("article", "main"))
+                    for c, v in zip(names, row):
                         rows[c].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(rows["host"], pa.string()), *(pa.array(rows[c], pa.int64()) for c in ("page", "token", "n", "parent")), pa.array(rows["is_text"], pa.bool_())], names=list(rows))
+            kinds = {"host": pa.string(), "whole": pa.bool_()}
+            yield pa.RecordBatch.from_arrays([pa.array(rows[c], kinds.get(c, pa.int64())) for c in names], names=list(names))
 
     return pages.select(host(pages[url]).alias("host"), pages[html].alias("html")).mapInArrow(run, schema)
 
 
-def templates(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
-    """host and template, the text tokens of its valid classes."""
-    found = written(tokens(pages, url, html).groupBy("host", "page", "token", "parent", "is_text").agg(F.max("n").alias("n")), "tokens")
-    sizes = found.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_pages")).where(F.col("host_pages") >= LEAST_PAGES)
-    vectors = (
-        found.groupBy("host", "token", "parent", "is_text")
-        .agg(F.count(F.lit(1)).alias("pages"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"))
-        .where(F.col("pages") >= LEAST_PAGES)
-        .join(sizes, "host")
-        .where(F.col("pages") >= SHARE * F.col("host_pages"))
+def skeletons(pages: DataFrame, *, url: str = "url", html: str = "html") -> tuple[DataFrame, DataFrame]:
+    """host, token, parent, weight and whole of the once-a-page paths of valid classes, with `beside`, the weight of all paths of that parent; and host, token and text of constant texts."""
+    found = written(tokens(pages, url, html).groupBy("host", "page", "token", "parent", "whole").agg(F.max("n").alias("n"), F.max("text").alias("text"), F.max("chars").alias("chars")), "tokens")
+    sizes = found.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
+    by_text = found.groupBy("host", "token", "parent", "whole", "text").agg(
+        F.count(F.lit(1)).alias("pages"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.sum("chars").alias("chars")
+    )
+    by_text = written(by_text.join(sizes, "host"), "texts")
+    often = F.col("pages") >= SHARE * F.col("host_pages")
+    constant = by_text.where(often & (F.col("once") == F.col("pages")) & (F.col("pages") >= REPEATS) & (F.col("text") != 0)).select("host", "token", "text")
+    paths = by_text.groupBy("host", "token", "parent", "whole").agg(
+        F.sum("pages").alias("pages"), F.sum("once").alias("once"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("texts"), F.first("host_pages").alias("host_pages")
     )
-    vectors = written(vectors, "vectors")
-    # a token nests if the element it stands in is on most pages too; the root stands in nothing
-    parents = vectors.where(~F.col("is_text")).select("host", F.col("token").alias("parent")).distinct()
-    root = F.col("parent") == path_token("")
-    nested = vectors.where(root).union(vectors.where(~root).join(parents, ["host", "parent"], "left_semi").select(vectors.columns))
-    classes = nested.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_TOKENS).select("host", "vector")
-    return nested.where("is_text").join(classes, ["host", "vector"], "left_semi").groupBy("host").agg(F.collect_set("token").alias("template"))
+    paths = written(paths.withColumn("weight", F.col("chars") * F.col("texts") / F.col("pages")), "paths")
+    # a class nests if the elements that its paths stand in are on most pages too; the root stands in nothing
+    common = paths.where(often)
+    parents = common.select("host", F.col("token").alias("parent"))
+    root = F.col("parent") == token("")
+    nested = common.where(root).unionByName(common.where(~root).join(parents, ["host", "parent"], "left_semi").select(common.columns))
+    classes = nested.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("paths")).where(F.col("paths") >= LEAST_TOKENS).select("host", "vector")
+    beside = paths.groupBy("host", "parent").agg(F.sum("weight").alias("beside"))
+    once = nested.join(classes, ["host", "vector"], "left_semi").where(F.col("once") >= SHARE * F.col("host_pages"))
+    return once.join(beside, ["host", "parent"]).select("host", "token", "parent", "weight", "whole", "beside"), constant
+
+
+def slot_of(paths: list) -> int:
+    """The token of the article's slot among a host's skeleton paths: rows of token, parent, weight, whole and beside."""
+    below: dict[int, list] = defaultdict(list)
+    for path in paths:
+        below[path["parent"]].append(path)
+    at, whole = token(""), False
+    while not whole and at in below:
+        best = max(below.pop(at), key=lambda p: (p["weight"], p["token"]))
+        if not best["weight"] or best["weight"] < MAIN * best["beside"]:
+            break
+        at, whole = best["token"], best["whole"]
+    return at
+
+
+def templates(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
+    """host, slot (token of the article's slot) and constant (path and text tokens)."""
+    skeleton, constant = skeletons(pages, url=url, html=html)
+    by_host = skeleton.groupBy("host").agg(F.collect_list(F.struct("token", "parent", "weight", "whole", "beside")).alias("paths"))  # as many as a page has elements
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([slot_of(p) for p in batch.column(1).to_pylist()], pa.int64())], names=["host", "slot"])
+
+    slots = by_host.mapInArrow(run, "host string, slot long")
+    return slots.join(constant.groupBy("host").agg(F.collect_set(F.struct("token", "text")).alias("constant")), "host", "left")
 
 
 def extract(pages: DataFrame, *, url: str = "url", html: str = "html", keep: list[str]) -> DataFrame:
@@ -291,12 +380,17 @@ def extract(pages: DataFrame, *, url: str = "url", html: str = "html", keep: lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h.as_py() or "", set(t.as_py() or ())) for h, t in zip(batch.column(len(keep)), batch.column(len(keep) + 1))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string())], names=schema.names)
-
-    named = pages.select(*[pages[c] for c in keep], pages[html].alias("__html"), host(pages[url]).alias("__host"))
-    known = known.withColumnsRenamed({"host": "__host", "template": "__template"})
-    return named.join(known, "__host", "left").select(*keep, "__html", "__template").mapInArrow(run, schema)
+            found = []
+            for h, slot, constant in zip(*batch.columns[len(keep) :]):
+                same = frozenset((c["token"], c["text"]) for c in constant.as_py() or ())
+                at = slot.as_py()
+                found.append(main_text(h.as_py() or "", token("") if at is None else at, same))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.string())], names=schema.names)
+
+    kept = F.struct(F.lit(0).alias("none"), *[pages[c].alias(f"k_{c}") for c in keep]).alias("kept")
+    named = pages.select(kept, pages[html].alias("html"), host(pages[url]).alias("host"))
+    joined = named.join(known, "host", "left").select(*[F.col("kept")[f"k_{c}"].alias(c) for c in keep], F.col("html").alias("__html"), F.col("slot").alias("__slot"), F.col("constant").alias("__constant"))
+    return joined.mapInArrow(run, schema)
 
 
 def pages_query(spark: SparkSession, sf_dir: str) -> DataFrame:
