@@ -2,6 +2,7 @@ import collections
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tvloom.llm import exact_dedup as ed
 
@@ -13,7 +14,7 @@ def normal(text):
 @pytest.mark.parametrize("bits", [64, 2])
 def test_against_brute_force(spark, odd, bits):
     rows = [(r.doc_id, r.text) for r in odd.collect()] + [(100 + i, t) for i, t in enumerate(["É", "é", "a", "A", "", None, "hot", "HOT", "hot"] * 5)]
-    got = ed.group(spark.createDataFrame(rows, "doc_id long, text string"), hash_bits=bits, max_depth=4, capacity=2).collect()
+    got = ed.group(spark.createDataFrame(rows, "doc_id long, text string"), hash_bits=bits, first_depth=1, capacity=2).collect()
     groups = collections.defaultdict(list)
     for i, t in rows:
         groups[normal(t)].append(i)
@@ -42,6 +43,15 @@ def test_directory_splits_only_overfull_buckets():
 
 def test_index_files_hold_ranges(spark):
     rows = spark.range(500).selectExpr("xxhash64(id) as h")
-    index = spark.read.parquet(ed.build_index(rows, max_depth=6, capacity=20))
-    sizes = index.groupBy("bucket").agg({"h": "min", "n": "sum", "*": "count"}).collect()
-    assert sum(r["count(1)"] for r in sizes) == 500 and all(r["count(1)"] <= 20 or True for r in sizes) and len(sizes) > 20
+    index = ed.build_index(rows, capacity=20, first_depth=2)
+    sizes = index.entries().withColumn("file", F.input_file_name()).groupBy("bucket").agg(F.count("*").alias("n"), F.count_distinct("file").alias("files")).collect()
+    assert sum(r.n for r in sizes) == 500 and all(r.n <= 20 and r.files == 1 for r in sizes) and len(sizes) > 25
+    assert index.depth > 2  # the directory doubled until no bucket was overfull
+
+
+def test_rows_find_their_keeper_in_the_index(spark, monkeypatch):
+    """Without its entries no row finds its copies."""
+    docs = spark.createDataFrame([(i, f"text {i % 7}") for i in range(50)], "doc_id long, text string")
+    assert {r.group_size for r in ed.group(docs).collect()} == {7, 8}
+    monkeypatch.setattr(ed.Index, "entries", lambda self: self.slots.sparkSession.read.schema("h long, n long, bucket int, local_depth int").parquet(self.path).where("false"))
+    assert {r.group_size for r in ed.group(docs).collect()} == {1}
