@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tvloom.llm import line_dedup as ld
 
@@ -15,51 +16,89 @@ def distance(a, b):
     return row[-1]
 
 
-def brute(docs, edits):
+def brute(docs, step, most):
     """Dropped (id, text, line number)."""
     lines = [((d is not None, d or 0, n), line, d, t) for d, t in set(docs) if t is not None for n, line in enumerate(t.split("\n")) if line.strip()]
-    near = lambda a, b: a == b or min(len(a), len(b)) >= ld.SHORTEST and abs(len(a) - len(b)) <= edits and distance(a, b) <= edits
+
+    def near(a, b):
+        edits = min(most, min(len(a), len(b)) // step)
+        return a == b or abs(len(a) - len(b)) <= edits and distance(a, b) <= edits
+
     return {(d, t, p[2]) for p, line, d, t in lines if any(q < p and near(line, other) for q, other, _, _ in lines)}
 
 
 def mutated(rng, line, k):
     out = list(line)
     for _ in range(k):
-        i = rng.randrange(len(out))
+        i = rng.randrange(len(out) + 1)
         out[i : i + rng.choice([0, 1, 1])] = rng.choice(["", "z", "q"])
     return "".join(out)
 
 
-@pytest.mark.parametrize("edits,hot", [(1, 100), (1, 2), (2, 100)])
-def test_against_brute_force(spark, edits, hot):
-    rng = random.Random(edits + hot)
-    base = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(18, 36))).strip() or "x" for _ in range(18)]
-    docs = [(i, "\n".join(mutated(rng, rng.choice(base), rng.choice([0, 0, 1, 1, 2, 3])) for _ in range(rng.randint(1, 5)))) for i in range(60)]
-    docs += [(500, None), (501, ""), (502, " \n\t"), (3, "third\n" + base[0]), (None, base[1]), docs[5]]
-    got = ld.dedup(spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "text as old", "1 as dropped"), keep=["doc_id", "old", "text", "dropped"], edits=edits, hot=hot).collect()
-    gone = brute(docs, edits)
+@pytest.mark.parametrize("step,most,hot,cell", [(20, 1, 100, 512), (10, 2, 2, 3), (9, 4, 100, 512), (9, 4, 1, 2)])
+def test_against_brute_force(spark, step, most, hot, cell):
+    rng = random.Random(step + hot)
+    base = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(5, 50))).strip() or "x" for _ in range(18)]
+    docs = [(i, "\n".join(mutated(rng, rng.choice(base), rng.choice([0, 0, 1, 1, 2, 3, 5])) for _ in range(rng.randint(1, 5)))) for i in range(60)]
+    docs += [(500, None), (501, ""), (502, " \n\t"), (3, "third\n" + base[0]), (None, base[1]), docs[5], (600, "".join("a" for _ in range(70))), (601, "a" * 68), (602, "😀" * 40), (603, "😀" * 39 + "x")]
+    names = ["doc_id", "old", "text", "dropped", "id", "t", "kept", "__id"]
+    table = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "text as old", "1 as dropped", "2 as id", "3 as t", "4 as kept", "5 as __id")
+    got = ld.dedup(table, keep=names, step=step, most=most, hot=hot, cell=cell).collect()
+    gone = brute(docs, step, most)
     assert len(got) == len(docs) and gone
     for r in got:
         lines = (r.old or "").split("\n")
         solid = sum(bool(x.strip()) for x in lines)
         lost = {n for d, t, n in gone if (d, t) == (r.doc_id, r.old)}
         want = None if r.old is None else "" if lost and len(lost) == solid else "\n".join(x for n, x in enumerate(lines) if n not in lost)
-        assert (r.text, r.n_lines, r.n_dropped) == (want, solid, len(lost))
+        assert (r.text, r.n_lines, r.n_dropped, r.dropped, r.id, r.t, r.kept, r["__id"]) == (want, solid, len(lost), 1, 2, 3, 4, 5), r
 
 
 def test_banded_distance(spark):
     rng = random.Random(4)
     pairs = []
-    for _ in range(400):
-        a = "".join(rng.choice("ab") for _ in range(rng.randint(4, 12)))
-        b = mutated(rng, a, rng.randint(0, 3))
+    for _ in range(500):
+        a = "".join(rng.choice(rng.choice(["ab", "abcdefgh", "a"])) for _ in range(rng.choice([4, 12, 60, 150])))
+        b = mutated(rng, a, rng.randint(0, 9))
         a, b = max(a, b, key=len), min(a, b, key=len)
         if len(b) >= 3:
             pairs.append((a, b))
     df = spark.createDataFrame(pairs, "a string, b string")
-    for edits in (1, 2):
-        rows = df.where(f"length(a) - length(b) <= {edits}").select("a", "b", ld.within(df["a"], df["b"], edits).alias("near")).collect()
-        assert all(r.near == (distance(r.a, r.b) <= edits) for r in rows) and rows
+    for edits in (1, 2, 4, 6):
+        rows = df.where(f"length(a) - length(b) <= {edits} and length(b) >= {edits}").select("a", "b", ld.within(df["a"], df["b"], edits).alias("near"), ld.banded(df["a"], df["b"], edits + 1, F.lit(edits)).alias("banded")).collect()
+        assert all(r.near == r.banded == (distance(r.a, r.b) <= edits) for r in rows) and len({r.near for r in rows}) == 2
+
+
+def test_signatures_lose_no_pair(spark):
+    rng = random.Random(5)
+    pairs = []
+    for i in range(300):
+        a = "".join(rng.choice("abé😀 ") for _ in range(rng.randint(1, 80)))
+        pairs.append((i, a, mutated(rng, a, rng.randint(0, 6)) or "x"))
+    df = spark.createDataFrame(pairs, "i long, a string, b string")
+    signed = [{r.h: r for r in ld._signatures(df.selectExpr("i as h", "0 as g", f"{c} as line")).collect()} for c in "ab"]
+    for i, a, b in pairs:
+        differing = sum(((signed[0][i][f"s{w}"] ^ signed[1][i][f"s{w}"]) & (2**64 - 1)).bit_count() for w in range(ld.SIGNED))
+        assert differing <= 4 * distance(a, b)
+        counts = [[signed[k][i][f"c{w}"] >> 16 * lane & 0xFFFF for w in range(ld.COUNTED) for lane in range(4)] for k in (0, 1)]
+        assert sum(abs(x - y) for x, y in zip(*counts)) <= 2 * distance(a, b) and sum(counts[0]) == len(a)
+
+
+def test_serial_numbers_and_a_text_of_repeated_lines(spark):
+    rng = random.Random(6)
+    docs = [(i, f"Entry {rng.randrange(10**8):08d} was filed in the register of the city") for i in range(6_000)]
+    docs.append((10**6, "the same line again\n" * 100_000))
+    got = {r.doc_id: r.n_dropped for r in ld.dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(8), keep=["doc_id"]).collect()}
+    assert got[10**6] == 99_999
+    few = docs[:400]
+    gone = {d for d, _, _ in brute(few, ld.STEP, ld.MOST)}
+    for d, _ in few:
+        assert got[d] == (d in gone)
+
+
+def test_clash(odd):
+    with pytest.raises(ValueError):
+        ld.dedup(odd.withColumn("n_lines", odd["score"]), keep=["n_lines"])
 
 
 def test_odd_rows_and_empty_table(odd, empty):
@@ -76,16 +115,9 @@ def test_edits_follow_the_length(spark, hot):
     docs = [(i, "\n".join(mutated(rng, rng.choice(base), rng.choice([0, 1, 2, 3, 4, 5, 6, 7, 8])) for _ in range(2))) for i in range(45)]
     day = "On the first day of the month the council met again in the old town hall and spoke on {} for an hour"
     docs += [(500, day.format("roads")), (501, day.format("water")), (502, None), docs[3]]
-    lines = [((n_doc, n), line, n_doc) for n_doc, t in set(docs) if t for n, line in enumerate(t.split("\n")) if line.strip()]
-
-    def near(a, b):
-        n = min(len(a), len(b))
-        edits = max(1, min(6, n // 20))
-        return a == b or n >= ld.SHORTEST and abs(len(a) - len(b)) <= edits and distance(a, b) <= edits
-
-    gone = {p for p, line, _ in lines if any(q < p and near(line, other) for q, other, _ in lines)}
-    assert (501, 0) in gone
-    got = ld.dedup(spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "text as old"), keep=["doc_id", "old"], hot=hot).collect()
+    gone = brute(docs, ld.STEP, ld.MOST)
+    assert any(d == 501 for d, _, _ in gone)
+    got = ld.dedup(spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "text as old"), keep=["doc_id", "old"], hot=hot, cell=7).collect()
     assert len(got) == len(docs)
     for r in got:
-        assert r.n_dropped == sum(d == r.doc_id for d, _ in gone), r
+        assert r.n_dropped == sum((d, t) == (r.doc_id, r.old) for d, t, _ in gone), r

@@ -2,185 +2,244 @@
 
 A line (between line feeds; lines of white space don't count) is dropped if it
 stands elsewhere before: its place is (document id, line number), and it goes if
-the same line, or one within so many edits of it, has an earlier place. How many
-follows from the shorter line's length: one for each STEP characters, from 1 to
-MOST; or a fixed number is given.
-
-By length, lines fall into classes (CLASSES). In a class of t edits a line has
-t + 1 segments, the first half at fixed places from its begin, the others from its
-end, so that keys don't depend on the exact length: of two lines within t edits,
-one segment i of the shorter stands in the longer with at most i edits before it
-and t - i after it. A line probes the classes that a shorter partner may be in. A
-key of more than HOT lines is indexed again by segments of what is left of its
-lines without the segment they share, which is exact too; after LEVELS such steps
-skew splitting has to do.
-
-For a fixed number, lines within t edits share one of t + 1 segments: a line is split into t + 1
-segments of lengths that follow from its own length, and each is indexed under
-(length, segment number, characters). For each length that a partner may have,
-a line probes with the substrings that can be such a segment (no more than i
-edits before segment i, nor t - i after). First only the keys that different
-lines share are found, from partial sums; then only lines with such keys meet,
-and each pair is verified by the band of 2 t + 1 diagonals of the edit matrix,
-held as bits of a long and advanced one character at a time.
-
-There a key of more than HOT lines is a boilerplate half. For one edit, its lines are
-indexed again by all but one of HOLES parts: an edit lies in one part, the rest
-must match, so they meet in far smaller groups. Nothing is dropped or capped.
-
-Lines under SHORTEST characters are compared exactly only. Rows equal in id and
-text are one document. Null text stays null. Null ids come first.
+the same line, or one within so many edits of it, has an earlier place. The edits
+follow from the shorter line's length: one for each STEP characters, MOST at most,
+so shorter lines than STEP have to be equal.
+
+By length, lines fall into classes. In a class of t edits a line has t + 1 segments
+whose places depend on the class only, the first half counted from its begin, the
+others from its end: of two lines within t edits, one segment i of the shorter
+stands in the longer with at most i edits before it and t - i after it. So a line is
+indexed under its own segments and probes with the substrings that can be one of a
+shorter partner, also in the class below if its length is near the edge. First the
+keys that lines share are counted; only lines with such keys meet, by key and hash,
+and only pairs get their text. A pair is verified on what is left of it without its
+common begin and end, by the band of 2 t + 1 diagonals of the edit matrix, held as
+bits and advanced one character at a time until the distance is out of reach.
+
+Before its text, a pair has to pass on signatures: SIGNED longs of bits, each the
+parity of the line's pairs of neighbouring characters that hash to it. An edit takes two such
+pairs away and brings two at most, so lines within t edits differ in 4 t bits at most;
+no pair within its edits is lost. COUNTED longs more count the characters that hash to each of their
+four parts; an edit changes two of these counts by one at most.
+
+A key of more than HOT lines is boilerplate. Its lines are first compared with its
+earliest one, which settles those within the edits; the others meet in cells of about
+CELL by CELL lines, where the signatures decide, so that no key is cut short and none
+is one task's.
+
+Rows equal in id and text are one document. Null text stays null. Null ids come first.
+Columns in `keep` may have any names but those of the result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import table, written
 
-SHORTEST = 20
-#: Edits by length: one for each STEP characters, up to MOST.
+#: Characters of a line for each edit, and most edits.
 STEP = 20
 MOST = 6
-#: Least lengths of the classes; the edits are those of the least length.
-CLASSES = (20, 40, 60, 80, 100, 120, 160, 240, 400, 800, 1600)
 HOT = 100
-LEVELS = 3
-HOLES = 16
-
-
-def allowed(length: int) -> int:
-    """Edits for a shorter line of this length."""
-    return max(1, min(MOST, length // STEP))
-
-
-def _probes(c: int, level: int) -> Column | None:
-    """Segments of class c after so many are taken out: number, place (negative: from the end), size, and whether it is a line's own."""
-    left, edits = CLASSES[c], allowed(CLASSES[c])
-    for _ in range(level):
-        left -= left // (edits + 1)
-    size = left // (edits + 1)
-    if not size:
-        return None
-    out = []
-    for i in range(edits + 1):
-        first = i <= edits - i
-        begin, most = (i * size, i) if first else (-(edits + 1 - i) * size, edits - i)
-        for shift in range(-most, most + 1):
-            out.append((c, i, begin + shift, size, shift == 0))
-    names = ("c", "i", "begin", "size", "own")
-    return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(names, row)]) for row in out])
-
-
-def _placed(rows: DataFrame, text: str, *under: str) -> DataFrame:
-    """Rows with `probe`, with its place `at` in a text and the `key` of its characters."""
-    begin = F.col("probe.begin")
-    rows = rows.withColumn("at", F.when(begin >= 0, begin).otherwise(F.length(text) + begin))
-    return rows.withColumn("key", F.xxhash64(*under, "probe.c", "probe.i", F.substring(F.col(text), F.col("at") + 1, F.col("probe.size"))))
-
-
-def _near_by_length(lines: DataFrame, hot: int) -> DataFrame:
-    """h and g of the lines with an earlier line within the edits that the shorter one's length allows."""
-    none = F.array().cast("array<struct<c:int,i:int,begin:int,size:int,own:boolean>>")
-    highest = [*[x - 1 for x in CLASSES[1:]], (1 << 31) - 1]
+CELL = 512
+SIGNED, COUNTED = 4, 4
+#: Shared keys, or hashes of lines, that are sent to all executors; 16 bytes each.
+FEW_KEYS = 1_000_000
+#: Characters after which the band looks whether the distance is out of reach.
+STRETCH = 16
+
+
+class Rule:
+    """Edits by length, and the classes by their least lengths."""
+
+    def __init__(self, step: int = STEP, most: int = MOST):
+        self.step, self.most = step, most
+        self.classes = [step * t for t in range(1, most + 1)]
+        while self.classes[-1] < 100 * step:
+            self.classes.append(self.classes[-1] * 3 // 2)
+        self.highest = [*[x - 1 for x in self.classes[1:]], (1 << 31) - 1]
+
+    def allowed(self, length: int) -> int:
+        """Edits for a shorter line of this length."""
+        return min(self.most, length // self.step)
+
+    def edits(self, c: Column) -> Column:
+        """Edits of a class."""
+        return F.element_at(F.array(*[F.lit(self.allowed(x)) for x in self.classes]), c + 1)
+
+    def probes(self, c: int) -> Column:
+        """Segments of class c: number, place (negative: from the end), size, and whether it is a line's own."""
+        edits = self.allowed(self.classes[c])
+        size, out = self.classes[c] // (edits + 1), []
+        for i in range(edits + 1):
+            first = i <= edits - i
+            begin, most = (i * size, i) if first else (-(edits + 1 - i) * size, edits - i)
+            for shift in range(-most, most + 1):
+                out.append((c, i, begin + shift, size, shift == 0))
+        names = ("c", "i", "begin", "size", "own")
+        structs = ["named_struct(" + ", ".join(f"'{k}', {str(v).lower()}" for k, v in zip(names, row)) + ")" for row in out]
+        return F.expr(f"array({', '.join(structs)})")
+
+
+_PROBES = "array<struct<c:int,i:int,begin:int,size:int,own:boolean>>"
+_LINE = ("h", "g", "n", "place")
+_SIGNATURE = (*[f"s{w}" for w in range(SIGNED)], *[f"c{w}" for w in range(COUNTED)])
+_SIDE = (*_LINE, *_SIGNATURE)
+#: Characters of a line up to which a count can't run over.
+COUNTABLE = 1 << 15
+
+
+def _keyed(lines: DataFrame, rule: Rule) -> DataFrame:
+    """Lines for each probe, with `key`, and whether it is `own`, without the text."""
     probes = []
-    for c, (low, high) in enumerate(zip(CLASSES, highest)):
+    for c, (low, high) in enumerate(zip(rule.classes, rule.highest)):
         # a line of the next class may have a shorter partner in this one
-        probes.append(F.when(F.col("n").between(low, min(high + allowed(low), (1 << 31) - 1)), _probes(c, 0)).otherwise(none))
-    keyed = _placed(lines.where(F.col("n") >= SHORTEST).select("h", "g", "line", "n", "place", F.explode(F.concat(*probes)).alias("probe")), "line")
-    top = F.element_at(F.array(*map(F.lit, highest)), F.col("probe.c") + 1)
-    keyed = keyed.withColumn("indexed", F.col("probe.own") & (F.col("n") <= top)).withColumns({"c": F.col("probe.c"), "size": F.col("probe.size")})
-
-    def meeting(keyed: DataFrame) -> DataFrame:
-        """Rows under the keys that different lines share, each line once for a key and place."""
-        shared = written(keyed.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most"), F.max("indexed").alias("any")).where("any and least <> most").select("key"), "keys")
-        by = [F.xxhash64("key").alias("key"), "h", "g", "n", "c", "at", "size", "indexed"]
-        texts = [F.any_value(x).alias(x) for x in ("line", "rest") if x in keyed.columns]
-        return keyed.join(shared, "key").groupBy(*by).agg(F.min("place").alias("place"), *texts)
-
-    found = None
-    rows = written(meeting(keyed), "lines")
-    for level in range(1, LEVELS + 1):
-        crowded = written(rows.groupBy("key").agg(F.count_distinct("h").alias("count")).where(F.col("count") > hot).select("key"), "crowded")
-        if not crowded.take(1):
-            break
-        some = _verified_by_length(_pairs_by_length(rows.join(crowded, "key", "left_anti")))
-        found = some if found is None else found.union(some)
-        text = "rest" if "rest" in rows.columns else "line"
-        rest = F.concat(F.substring(F.col(text), F.lit(1), F.col("at")), F.substring(F.col(text), F.col("at") + F.col("size") + 1, F.length(text)))
-        again = none
-        for c in range(len(CLASSES)):
-            if (deeper := _probes(c, level)) is not None:
-                again = F.when(F.col("c") == c, deeper).otherwise(again)
-            else:  # nothing is left to tell them apart by
-                again = F.when(F.col("c") == c, F.array(F.struct(F.lit(c).alias("c"), F.lit(0).alias("i"), F.lit(0).alias("begin"), F.lit(0).alias("size"), F.lit(True).alias("own")))).otherwise(again)
-        deep = rows.join(crowded, "key", "left_semi").withColumn("rest", rest).withColumnRenamed("key", "above").drop("at", "size").withColumn("probe", F.explode(again))
-        deep = _placed(deep, "rest", "above").withColumn("indexed", F.col("indexed") & F.col("probe.own")).withColumn("size", F.col("probe.size"))
-        rows = written(meeting(deep), "lines")
-    last = _verified_by_length(_pairs_by_length(rows))
-    return (last if found is None else found.union(last)).distinct()
-
-
-def _pairs_by_length(rows: DataFrame) -> DataFrame:
-    """Different lines that share a key: a, the shorter, by its own segment."""
-    names = ("h", "g", "n", "line", "place")
-    a = rows.where("indexed").select(F.col("key").alias("a_key"), "c", *[F.col(x).alias(f"a_{x}") for x in names])
-    b = rows.select(F.col("key").alias("b_key"), *[F.col(x).alias(f"b_{x}") for x in names])
-    edits = F.element_at(F.array(*[F.lit(allowed(x)) for x in CLASSES]), F.col("c") + 1)
+        probes.append(F.when(F.col("n").between(low, min(high + rule.allowed(low), (1 << 31) - 1)), rule.probes(c)).otherwise(F.array().cast(_PROBES)))
+    # four bytes for each character, so that a substring is found at once
+    wide = lines.select("h", "g", "n", F.encode("line", "UTF-32").alias("wide")).withColumn("p", F.explode(F.concat(*probes)))
+    at = F.when(F.col("p.begin") >= 0, F.col("p.begin")).otherwise(F.col("n") + F.col("p.begin"))
+    key = F.xxhash64("p.c", "p.i", F.substring(F.col("wide"), at * 4 + 1, F.col("p.size") * 4))
+    top = F.element_at(F.array(*map(F.lit, rule.highest)), F.col("p.c") + 1)
+    return wide.select(key.alias("key"), "h", "g", F.col("p.c").alias("c"), (F.col("p.own") & (F.col("n") <= top)).alias("own"))
+
+
+def _signatures(lines: DataFrame) -> DataFrame:
+    """h, g, and the bits s0, s1 ... and counts c0, c1 ... of lines."""
+    wide = lines.select("h", "g", F.length("line").alias("n"), F.encode("line", "UTF-32").alias("wide"))
+    places = wide.withColumn("i", F.explode(F.sequence(F.lit(1), F.greatest(F.col("n"), F.lit(1)))))
+    two, one = (F.xxhash64(F.substring(F.col("wide"), F.col("i") * 4 - 3, F.lit(size))) for size in (8, 4))
+    hashed = places.select("h", "g", (F.col("i") < F.col("n")).alias("pair"), two.alias("x"), one.alias("y"))
+
+    def bit(by: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), by.cast("int"))
+
+    bits = [F.bit_xor(F.when(F.col("pair") & (F.shiftrightunsigned("x", 6) % SIGNED == w), bit(F.col("x").bitwiseAND(63))).otherwise(0)).alias(f"s{w}") for w in range(SIGNED)]
+    counts = [F.sum(F.when(F.shiftrightunsigned("y", 6) % COUNTED == w, bit(F.col("y").bitwiseAND(3) * 16)).otherwise(0)).alias(f"c{w}") for w in range(COUNTED)]
+    return hashed.groupBy("h", "g").agg(*bits, *counts)
+
+
+def _joined(rows: DataFrame, few: DataFrame, by: list[str]) -> DataFrame:
+    """rows joined with a table that is sent to all executors if it is small."""
+    return rows.join(F.broadcast(few) if few.limit(FEW_KEYS + 1).count() <= FEW_KEYS else few, by)
+
+
+def near_lines(lines: DataFrame, rule: Rule, *, hot: int = HOT, cell: int = CELL) -> DataFrame:
+    """h and g of the lines with an earlier line within the edits. lines: distinct ones, with line, n (its length), h, g, place."""
+    keyed = _keyed(lines.where(F.col("n") >= rule.step), rule)
+    keys = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.max("own").alias("own")).where("count > 1 and own").select("key", "count"), "keys")
+    rows = written(_joined(keyed, keys, ["key"]), "rows")
+    texts = written(_joined(lines.select("h", "g", "n", "place", "line"), rows.select("h", "g").distinct(), ["h", "g"]), "texts")
+    rows = written(rows.join(texts.select(*_LINE).join(_signatures(texts), ["h", "g"]), ["h", "g"]).withColumn("open", F.lit(True)), "signed")
+    texts = texts.select("h", "g", "line")
+
+    verdict = within(F.col("long"), F.col("short"), rule.most, F.col("edits"))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        return written(_near(written(pairs, "pairs"), texts, verdict), "near")
+
+    found = near(_pairs(rows.where(F.col("count") <= hot), rule))
+    crowded = rows.where(F.col("count") > hot)
+    if crowded.take(1):
+        # the earliest line settles those near it
+        heads = crowded.where("own").groupBy("key").agg(F.min(F.struct("place", *[c for c in _SIDE if c != "place"])).alias("head"))
+        star = crowded.join(heads, "key").where(F.col("head.place") < F.col("place"))
+        settled = near(_once(star.select("c", *[F.col(f"head.{x}").alias(f"a_{x}") for x in _SIDE], *[F.col(x).alias(f"b_{x}") for x in _SIDE]).where(_alike(rule)), rule))
+        settled = written(settled.distinct(), "settled")
+        # a pair meets under the least key that both have
+        keys = crowded.groupBy("h", "g").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("own"), F.col("key"))).alias("owned"))
+        open_ = crowded.drop("open").join(keys, ["h", "g"]).join(settled.withColumn("settled", F.lit(True)), ["h", "g"], "left").withColumn("open", F.col("settled").isNull())
+        found = found.union(settled).union(near(_pairs(written(open_.drop("settled"), "open"), rule, cell)))
+    return found.distinct()
+
+
+def _alike(rule: Rule) -> Column:
+    """Whether lengths and signatures of a and b allow the edits of class c."""
+    differing = sum((F.bit_count(F.col(f"a_s{w}").bitwiseXOR(F.col(f"b_s{w}"))) for w in range(SIGNED)), F.lit(0))
+    edits, moved = rule.edits(F.col("c")), F.lit(0)
+    for w in range(COUNTED):
+        for lane in range(4):
+            side = [F.shiftrightunsigned(f"{x}_c{w}", 16 * lane).bitwiseAND(F.lit(0xFFFF)) for x in "ab"]
+            moved = moved + F.abs(side[0] - side[1])
+    countable = F.greatest("a_n", "b_n") < COUNTABLE
+    return (F.abs(F.col("a_n") - F.col("b_n")) <= edits) & (differing <= 4 * edits) & (~countable | (moved <= 2 * edits))
+
+
+def _pairs(rows: DataFrame, rule: Rule, cell: int = 0) -> DataFrame:
+    """Pairs of lines that share a key, the later of which isn't settled: a, the shorter, by its own segment. cell: lines on a side of a cell (0: one cell)."""
+    cells = F.ceil(F.col("count") / cell).cast("int") if cell else F.lit(1)
+    part, every = F.pmod("h", cells).cast("int"), F.explode(F.sequence(F.lit(0), cells - 1))
+    names = (*_SIDE, "open", *(["keys", "owned"] if cell else []))
+    a = rows.where("own").select(F.col("key").alias("a_key"), part.alias("a_row"), every.alias("a_column"), "c", *[F.col(x).alias(f"a_{x}") for x in names])
+    b = rows.select(F.col("key").alias("b_key"), every.alias("b_row"), part.alias("b_column"), *[F.col(x).alias(f"b_{x}") for x in names])
     order = F.struct("a_n", "a_h", "a_g") < F.struct("b_n", "b_h", "b_g")
-    met = a.join(b, (a["a_key"] == b["b_key"]) & order & (b["b_n"] - a["a_n"] <= edits)).withColumn("edits", edits)
-    # a pair may meet under many keys: it is compared once
-    return met.groupBy("a_h", "a_g", "b_h", "b_g", "edits").agg(*[F.any_value(x).alias(x) for x in ("a_line", "b_line")], *[F.min(x).alias(x) for x in ("a_place", "b_place")])
+    later_open = F.when(F.col("a_place") < F.col("b_place"), F.col("b_open")).otherwise(F.col("a_open"))
+    # the keys that a shares by a segment of its own: of a pair that shares several, one
+    least = F.array_min(F.array_intersect("a_owned", "b_keys")) == F.col("a_key") if cell else F.lit(True)
+    met = a.join(b, (a["a_key"] == b["b_key"]) & (a["a_row"] == b["b_row"]) & (a["a_column"] == b["b_column"]) & _alike(rule) & order & later_open & least)
+    return _once(met, rule)
+
 
+def _once(pairs: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs that met under many keys, once each."""
+    pairs = pairs.withColumn("edits", rule.edits(F.col("c")))
+    return pairs.groupBy("a_h", "a_g", "b_h", "b_g", "edits").agg(F.min("a_place").alias("a_place"), F.min("b_place").alias("b_place"))
 
-def _verified_by_length(pairs: DataFrame) -> DataFrame:
-    """Of each pair of lines within its edits, the one with the later place."""
-    near = F.lit(False)
-    for edits in sorted({allowed(x) for x in CLASSES}):
-        near = F.when(F.col("edits") == edits, within(F.col("b_line"), F.col("a_line"), edits)).otherwise(near)
+
+def _near(pairs: DataFrame, texts: DataFrame, near: Column) -> DataFrame:
+    """Of each pair of lines for which `near` holds of `long`, `short` and `edits`, the one with the later place."""
+    pairs = pairs.join(texts.toDF("b_h", "b_g", "b_line"), ["b_h", "b_g"]).join(texts.toDF("a_h", "a_g", "a_line"), ["a_h", "a_g"])
+    longer = F.length("a_line") >= F.length("b_line")
+    pairs = pairs.withColumn("long", F.when(longer, F.col("a_line")).otherwise(F.col("b_line"))).withColumn("short", F.when(longer, F.col("b_line")).otherwise(F.col("a_line")))
     first = F.col("a_place") < F.col("b_place")
     return pairs.where(near).select(F.when(first, F.col("b_h")).otherwise(F.col("a_h")).alias("h"), F.when(first, F.col("b_g")).otherwise(F.col("a_g")).alias("g"))
 
 
-def _segment(length: Column, edits: int, i: int) -> tuple[Column, Column]:
-    """Begin (from 0) and length of segment i of a line; the last ones are longer by one where it doesn't divide."""
-    parts = edits + 1
-    base, short = F.floor(length / parts).cast("int"), parts - (length % parts).cast("int")
-    return base * i + F.greatest(F.lit(0), F.lit(i) - short), base + (F.lit(i) >= short).cast("int")
+def _bound(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
-def _key(length: Column, i: int, part: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), part)
+def _common(a: Column, b: Column, most: Column) -> Column:
+    """How many characters a and b have in common at their begin, up to `most`, by halving."""
 
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"] + 1) / 2).cast("int")
+        same = F.substring(a, s["low"] + 1, middle - s["low"]) == F.substring(b, s["low"] + 1, middle - s["low"])
+        return F.when(s["low"] >= s["high"], s).when(same, F.struct(middle.alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), (middle - 1).alias("high")))
 
-def segment_keys(line: Column, length: Column, edits: int) -> Column:
-    """Keys of a line with `indexed`: whether it is one of the line's own segments. Lines have 2 * edits + 1 characters."""
-    out = []
-    for less in range(edits + 1):  # a partner is this much shorter
-        other = length - less
-        for i in range(edits + 1):
-            begin, size = _segment(other, edits, i)
-            for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
-                part = F.substring(line, begin + shift + 1, size)
-                out.append(F.struct(_key(other, i, part).alias("key"), F.lit(less == 0 and shift == 0).alias("indexed")))
-    return F.array(*out)
-
-
-def hole_keys(line: Column, length: Column) -> Column:
-    """Keys for one edit: a line without one of HOLES parts, for partners as long and shorter by one."""
-    out = []
-    for less in (0, 1):
-        other = length - less
-        for i in range(HOLES):
-            begin, end = F.floor(other * i / HOLES).cast("int"), F.floor(other * (i + 1) / HOLES).cast("int")
-            rest = F.concat_ws("\n", F.substring(line, F.lit(1), begin), F.substring(line, end + less + 1, other - end))
-            out.append(F.struct(_key(other, i, rest).alias("key"), F.lit(less == 0).alias("indexed")))
-    return F.array(*out)
-
-
-def within(a: Column, b: Column, edits: int) -> Column:
-    """Whether strings a and b, a as long or longer by up to `edits`, are within that many edits."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(most + 1)).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), most.alias("high")), halve, lambda s: s["low"])
+
+
+def within(a: Column, b: Column, edits: int, limit: Column | None = None) -> Column:
+    """Whether strings a and b, a as long or longer by up to `limit`, are within that many edits; `edits` is the most it can be."""
+    limit = F.lit(edits) if limit is None else limit
+
+    def cut(x: Column) -> Column:
+        begin = _common(x["a"], x["b"], F.length(x["b"]))
+        rest = lambda k: F.struct(*[F.substring(x[c], k + 1, F.length(x[c])).alias(c) for c in "ab"])
+        return _bound(begin, lambda k: _bound(F.struct(x.alias("whole"), rest(k).alias("rest")), cut_end))
+
+    def cut_end(x: Column) -> Column:
+        end = _common(F.reverse(x["rest"]["a"]), F.reverse(x["rest"]["b"]), F.length(x["rest"]["b"]))
+        middle = lambda k: F.struct(*[F.substring(x["rest"][c], F.lit(1), F.length(x["rest"][c]) - k).alias(c) for c in "ab"])
+        return _bound(end, lambda k: _bound(F.struct(x["whole"].alias("whole"), middle(k).alias("middle")), decide))
+
+    def decide(x: Column) -> Column:
+        m, n, limit = F.length(x["middle"]["a"]), F.length(x["middle"]["b"]), x["whole"]["limit"]
+        # the band needs as many characters as it is wide on a side
+        sides = F.when(m > edits, x["middle"]).otherwise(F.struct(x["whole"]["a"].alias("a"), x["whole"]["b"].alias("b")))
+        return F.when(m <= limit, True).when(n == 0, False).otherwise(_bound(F.struct(sides.alias("s"), limit.alias("limit")), lambda y: banded(y["s"]["a"], y["s"]["b"], edits, y["limit"])))
+
+    return _bound(F.struct(a.alias("a"), b.alias("b"), limit.alias("limit")), cut)
+
+
+def banded(a: Column, b: Column, edits: int, limit: Column | None = None) -> Column:
+    """The same by the band alone; a has `edits` characters at least, b one."""
+    limit = F.lit(edits) if limit is None else limit
     width = 2 * edits + 1
     full = (1 << width) - 1
 
@@ -211,98 +270,74 @@ def within(a: Column, b: Column, edits: int) -> Column:
 
     def near(x: Column) -> Column:
         start = F.struct(F.lit((full << edits) & full).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("d"))
-        return F.aggregate(F.sequence(F.lit(0), x["n"] - 1), start, lambda s, j: advance(s, j, x), lambda s: s["d"] <= edits)
 
-    return _bound(F.struct(F.split(a, "").alias("long"), F.split(b, "").alias("short"), F.length(a).alias("m"), F.length(b).alias("n")), near)
+        def stretch(s: Column, k: Column) -> Column:
+            begin = k * STRETCH
+            # on its diagonal the distance never falls, and along the last row by one a step
+            lost = (begin <= x["m"] - edits) & (s["d"] > x["limit"] + edits - (x["m"] - x["n"]))
+            # if the column falls by one down to a row and rises by one from there on, what follows that row's
+            # diagonal at no cost leaves it so: no way over another diagonal is shorter
+            turns = (s["vp"].bitwiseOR(s["vn"]) == full) & (s["vn"].bitwiseAND(s["vn"] + 1) == 0)
+            place = begin + F.bit_count(s["vn"]) - edits
+            same = (begin + STRETCH <= F.least(x["m"] - edits, x["n"])) & (place >= 0) & (F.substring(x["a"], place + 1, F.lit(STRETCH)) == F.substring(x["b"], begin + 1, F.lit(STRETCH)))
+            steps = F.sequence(begin, F.least(begin + STRETCH, x["n"]) - 1)
+            return F.when(lost | (turns & same), s).otherwise(F.aggregate(steps, s, lambda t, j: advance(t, j, x)))
 
+        return F.aggregate(F.sequence(F.lit(0), F.floor((x["n"] - 1) / STRETCH).cast("int")), start, stretch, lambda s: s["d"] <= x["limit"])
 
-def _bound(value: Column, body) -> Column:
-    """body of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
+    return _bound(F.struct(a.alias("a"), b.alias("b"), F.split(a, "").alias("long"), F.split(b, "").alias("short"), F.length(a).alias("m"), F.length(b).alias("n"), limit.alias("limit")), near)
 
 
-def plausible(a: Column, b: Column, edits: int) -> Column:
-    """Whether all but `edits` of the parts of b stand in a at their places, or up to `edits` off: `edits` edits touch no more."""
-    parts, n = 4 * (edits + 1), F.length(b)
-    found = F.lit(0)
-    for i in range(parts):
-        begin = F.floor(n * i / parts).cast("int")
-        size = F.floor(n * (i + 1) / parts).cast("int") - begin
-        part = F.substring(b, begin + 1, size)
-        here = F.lit(False)
-        for shift in range(-edits, edits + 1):
-            # a place before the first character would count from the end
-            here = here | ((begin + shift >= 0) & (F.substring(a, F.greatest(begin + shift + 1, F.lit(1)), size) == part))
-        found = found + here.cast("int")
-    return found >= parts - edits
-
-
-def _verified(pairs: DataFrame, edits: int) -> DataFrame:
-    """Of each pair of lines within `edits`, the one with the later place."""
-    a_longer = F.length("a_line") >= F.length("b_line")
-    later = F.when(F.col("a_place") < F.col("b_place"), F.struct(F.col("b_h").alias("h"), F.col("b_g").alias("g"))).otherwise(F.struct(F.col("a_h").alias("h"), F.col("a_g").alias("g")))
-    sides = pairs.select(later.alias("later"), F.when(a_longer, F.col("a_line")).otherwise(F.col("b_line")).alias("long"), F.when(a_longer, F.col("b_line")).otherwise(F.col("a_line")).alias("short"))
-    likely = sides.where(plausible(F.col("long"), F.col("short"), edits))
-    return likely.where(within(F.col("long"), F.col("short"), edits)).select("later.*")
-
-
-def _pairs(rows: DataFrame) -> DataFrame:
-    """Different lines that share a key, one of them by its own segment."""
-    names = ("h", "g", "line", "place")
-    a = rows.where("indexed").select(F.col("key").alias("a_key"), *[F.col(c).alias(f"a_{c}") for c in names])
-    b = rows.select(F.col("key").alias("b_key"), F.col("indexed").alias("b_indexed"), *[F.col(c).alias(f"b_{c}") for c in names])
-    differ = (F.col("a_h") != F.col("b_h")) | (F.col("a_g") != F.col("b_g"))
-    # two own segments meet from either side: one is enough
-    once = ~F.col("b_indexed") | (F.col("a_h") < F.col("b_h")) | ((F.col("a_h") == F.col("b_h")) & (F.col("a_g") < F.col("b_g")))
-    return a.join(b, (a["a_key"] == b["b_key"]) & differ & once)
-
-
-def near_lines(lines: DataFrame, edits: int | None = None, hot: int = HOT) -> DataFrame:
-    """h and g of the lines with an earlier line within `edits` (None: by length). lines: line, n (its length), h, g, place."""
-    if edits is None:
-        return _near_by_length(lines, hot)
-    if SHORTEST < 2 * edits + 1:
-        raise ValueError("too many edits for the shortest lines")
-    keyed = lines.where(F.col("n") >= SHORTEST).select("h", "g", "line", "place", F.explode(segment_keys(F.col("line"), F.col("n"), edits)).alias("k")).select("h", "g", "line", "place", "k.*")
-    shared = written(keyed.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most"), F.max("indexed").alias("any")).where("any and least <> most").select("key"), "keys")
-    # grouped by a hash of the key, so that occurrences of one line are summed before they move
-    rows = keyed.join(shared, "key").groupBy(F.xxhash64("key").alias("key"), "h", "g", "indexed").agg(F.min("place").alias("place"), F.any_value("line").alias("line"))
-    rows = written(rows, "lines")
-    if edits != 1:
-        return _verified(_pairs(rows), edits).distinct()
-    crowded = written(rows.groupBy("key").count().where(F.col("count") > hot).select("key"), "crowded")
-    few = _verified(_pairs(rows.join(crowded, "key", "left_anti")), edits)
-    lone = rows.join(crowded, "key", "left_semi").groupBy("h", "g").agg(F.min("place").alias("place"), F.any_value("line").alias("line"))
-    holed = lone.withColumn("k", F.explode(hole_keys(F.col("line"), F.length("line")))).select("h", "g", "line", "place", "k.*")
-    return few.union(_verified(_pairs(written(holed, "holes")), edits)).distinct()
-
-
-def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", keep: list[str], edits: int | None = None, hot: int = HOT) -> DataFrame:
+def _without(lines: Column, dropped: Column) -> Column:
+    """The lines joined again, without those at the places `dropped`."""
+    # a byte for each line up to the last dropped one
+
+    def runs(places: Column) -> Column:
+        return F.transform(places, lambda d, i: F.concat(F.repeat(F.lit("+"), d - F.when(i > 0, F.get(places, i - 1)).otherwise(-1) - 1), F.lit("-")))
+
+    both = F.struct(lines.alias("lines"), F.encode(F.array_join(_bound(F.array_sort(dropped), runs), ""), "UTF-8").alias("mask"))
+    return _bound(both, lambda x: F.array_join(F.filter(x["lines"], lambda _, i: F.substring(x["mask"], i + 1, F.lit(1)) != F.lit(b"-")), "\n"))
+
+
+def _place(kind: T.DataType) -> Column:
+    """The order of columns id, line_no and t. Of integer ids it is one number, which is summed up without sorting; t counts by its last digits."""
+    if not isinstance(kind, T.IntegralType):
+        return F.struct("id", "line_no", "t")
+    whole = "decimal(38,0)"
+    number = F.coalesce(F.col("id").cast(whole) + F.lit(str(1 + (1 << 63))).cast(whole), F.lit(0).cast(whole))
+    rest = F.col("line_no").cast("decimal(10,0)") * F.lit(10**8).cast("decimal(9,0)") + F.pmod("t", F.lit(10**8)).cast("decimal(9,0)")
+    return (number * F.lit(10**18).cast("decimal(19,0)")).cast(whole) + rest.cast(whole)
+
+
+def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", keep: list[str], step: int = STEP, most: int = MOST, hot: int = HOT, cell: int = CELL) -> DataFrame:
     """The columns `keep` of docs, text without dropped lines, n_lines (not of white space) and n_dropped."""
     clash = {"n_lines", "n_dropped"} & set(keep)
     if clash:
         raise ValueError(f"columns in keep and in the result: {sorted(clash)}")
-    named = docs.select(*[docs[c] for c in keep if c != text], docs[id].alias("__id"), docs[text].alias("__text")).withColumn("__t", F.xxhash64("__text"))
-    split = named.select(F.col("__id").alias("id"), F.col("__t").alias("t"), F.posexplode(F.split("__text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(r"\S"))
-    lines = split.select(F.struct("id", "line_no", "t").alias("place"), "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), F.length("line").alias("n"))
-
-    near = near_lines(lines, edits, hot).withColumn("near", F.lit(True))
-    same = lines.groupBy("h", "g").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g", "first")
-    marks = written(same.join(near, ["h", "g"], "full_outer").select("h", "g", F.when(F.col("near").isNull(), F.col("first")).alias("kept_place")), "marks")
+    others = [c for c in keep if c != text]
+    named = docs.select(F.struct(F.lit(0).alias("none"), *[docs[c].alias(f"k_{c}") for c in others]).alias("kept"), docs[id].alias("id"), docs[text].alias("text")).withColumn("t", F.xxhash64("text"))
+    split = named.select("id", "t", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(r"\S"))
+    lines = split.withColumn("place", _place(docs.schema[id].dataType))
+    hashes = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")]
+
+    distinct = lines.groupBy("line").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("times"))
+    distinct = written(distinct.select("line", "place", "times", F.length("line").alias("n"), *hashes), "distinct")
+    near = near_lines(distinct, Rule(step, most), hot=hot, cell=cell).withColumn("near", F.lit(True))
+    marks = distinct.where("times > 1").select("h", "g", "place").join(near, ["h", "g"], "full_outer")
+    marks = written(marks.select("h", "g", F.when(F.col("near").isNull(), F.col("place")).alias("kept_place")), "marks")
     drops = (
-        lines.join(marks, ["h", "g"])
+        lines.select("id", "t", "line_no", "place", *hashes).join(marks, ["h", "g"])
         .where(F.col("kept_place").isNull() | (F.col("kept_place") != F.col("place")))
-        .groupBy(F.col("place.id").alias("__d_id"), F.col("place.t").alias("__d_t"))
-        .agg(F.collect_set("place.line_no").alias("__dropped"))
+        .groupBy(F.col("id").alias("d_id"), F.col("t").alias("d_t"))
+        .agg(F.collect_set("line_no").alias("dropped"))
     )
-    found = named.join(written(drops, "drops"), F.col("__id").eqNullSafe(F.col("__d_id")) & (F.col("__t") == F.col("__d_t")), "left")
-    all_lines = F.split("__text", "\n")
-    left = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("__dropped", i)), "\n")
-    solid = F.size(F.filter(all_lines, lambda x: x.rlike(r"\S")))
-    gone = F.coalesce(F.size("__dropped"), F.lit(0))
-    found = found.withColumn("n_lines", F.when(F.col("__text").isNull(), 0).otherwise(solid)).withColumn("n_dropped", F.when(F.col("__dropped").isNull(), 0).otherwise(gone))
-    new_text = F.when(F.col("__dropped").isNull(), F.col("__text")).when(F.col("n_dropped") == F.col("n_lines"), "").otherwise(left)
-    return found.withColumn("__new", new_text).select(*[F.col("__new").alias(text) if c == text else F.col(c) for c in keep], *([] if text in keep else [F.col("__new").alias(text)]), "n_lines", "n_dropped")
+    found = named.join(written(drops, "drops"), F.col("id").eqNullSafe(F.col("d_id")) & (F.col("t") == F.col("d_t")), "left")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\S"))))
+    n_dropped = F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped"))
+    new_text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(_without(F.split("text", "\n"), F.col("dropped")))
+    found = found.select("kept", n_lines.alias("n_lines"), n_dropped.alias("n_dropped"), F.when((n_dropped > 0) & (n_dropped == n_lines), "").otherwise(new_text).alias("new"))
+    columns = [F.col("new").alias(text) if c == text else F.col("kept")[f"k_{c}"].alias(c) for c in keep]
+    return found.select(*columns, *([] if text in keep else [F.col("new").alias(text)]), "n_lines", "n_dropped")
 
 
 def documents_query(spark: SparkSession, sf_dir: str) -> DataFrame:
