@@ -14,9 +14,10 @@ target_uri, content_type, payload_digest and refers_to, and as options `types`
 `payload` ("false": no payload is decoded).
 
 `df.write.format("warc")` writes columns record_type, record_id, target_uri,
-date, content_type, refers_to, headers (map) and payload. A task writes files
-under names of its own; the driver commits them by one manifest, so files of
-lost or repeated tasks are never read.
+date, content_type, refers_to, headers (map), payload, and sha1 where the payload is left out. A task writes files
+under names of its own; the driver commits them by a manifest for each write, so files of
+lost or repeated tasks are never read. An archive is what its manifests name: appending
+adds one, overwriting removes those before it.
 """
 
 from __future__ import annotations
@@ -34,8 +35,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, In, InputPartition, IsNotNull, IsNull, WriterCommitMessage
@@ -53,7 +53,7 @@ NAMES = {
     "payload_digest": "WARC-Payload-Digest",
     "refers_to": "WARC-Refers-To",
 }
-MANIFEST = "_committed.json"
+MANIFEST = re.compile(r"_committed-[0-9a-f]+\.json")
 ROLL_BYTES = 64_000_000
 SPLIT_BYTES = 32_000_000
 BATCH_BYTES = 8_000_000
@@ -72,18 +72,16 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _line(value: str) -> str:
-    """A header's value on one line."""
-    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
-
-
-def _value(line: str) -> str:
-    return line.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+def _line(name: str, value: str) -> str:
+    """A header on one line. A value with a line break can't stand there, so it goes in JSON under a name of this writer's own."""
+    if "\r" in value or "\n" in value or value != value.strip():
+        return f"X-JSON-{name}: {json.dumps(value)}\r\n"
+    return f"{name}: {value}\r\n"
 
 
 def member(headers: dict[str, str], block: bytes, level: int = 1) -> bytes:
     """A record as one gzip member with its skip-lengths."""
-    head = "WARC/1.1\r\n" + "".join(f"{name}: {_line(value)}\r\n" for name, value in headers.items()) + f"Content-Length: {len(block)}\r\n\r\n"
+    head = "WARC/1.1\r\n" + "".join(_line(name, value) for name, value in headers.items()) + f"Content-Length: {len(block)}\r\n\r\n"
     record = head.encode() + block + b"\r\n\r\n"
     packer = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = packer.compress(record) + packer.flush()
@@ -94,8 +92,8 @@ def member(headers: dict[str, str], block: bytes, level: int = 1) -> bytes:
     return b"\x1f\x8b\x08\x04" + b"\0" * 4 + b"\0\xff" + struct.pack("<H", 12) + b"sl" + struct.pack("<H", 8) + lengths + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
 
 
-def record(kind: str, record_id: str | None, uri: str | None, date: str | None, content_type: str | None, refers_to: str | None, extra: dict[str, str], payload: bytes | None) -> bytes:
-    """A record; a response's or revisit's block begins with an HTTP head, and a revisit's block ends there."""
+def record(kind: str, record_id: str | None, uri: str | None, date: str | None, content_type: str | None, refers_to: str | None, extra: dict[str, str], payload: bytes | None, sha1: bytes | None = None) -> bytes:
+    """A record; a response's or revisit's block begins with an HTTP head, and a revisit's block ends there. sha1: of the payload, if it is left out."""
     payload = payload or b""
     headers = {"WARC-Type": kind}
     for name, value in (("WARC-Record-ID", record_id), ("WARC-Date", date), ("WARC-Target-URI", uri), ("Content-Type", content_type), ("WARC-Refers-To", refers_to)):
@@ -104,7 +102,7 @@ def record(kind: str, record_id: str | None, uri: str | None, date: str | None,
     if kind == "revisit":
         headers["WARC-Profile"] = REVISIT
     if kind in ("response", "revisit"):
-        headers["WARC-Payload-Digest"] = "sha1:" + digest(payload)
+        headers["WARC-Payload-Digest"] = "sha1:" + (base64.b32encode(sha1).decode() if sha1 else digest(payload))
     headers |= extra
     block = HTTP_HEAD if kind == "revisit" else HTTP_HEAD + payload if kind == "response" else payload
     return member(headers, block)
@@ -116,8 +114,8 @@ class Committed(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict[str, str], schema: T.StructType):
-        self.path, self.columns = options["path"], schema.names
+    def __init__(self, options: dict[str, str], overwrite: bool):
+        self.path, self.overwrite = options["path"], overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Committed:
         fs, root = file_system(self.path)
@@ -131,7 +129,7 @@ class WarcWriter(DataSourceArrowWriter):
                     files.append(f"part-{uuid.uuid4().hex}.warc.gz")
                     out, size = fs.open_output_stream(f"{root}/{files[-1]}", compression=None), 0
                 extra = dict(row.get("headers") or {})
-                size += out.write(record(row["record_type"], row.get("record_id"), row.get("target_uri"), row.get("date"), row.get("content_type"), row.get("refers_to"), extra, row.get("payload"))) or 0
+                size += out.write(record(row["record_type"], row.get("record_id"), row.get("target_uri"), row.get("date"), row.get("content_type"), row.get("refers_to"), extra, row.get("payload"), row.get("sha1"))) or 0
         if out:
             out.close()
         return Committed(files)
@@ -139,8 +137,11 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Committed | None]) -> None:
         fs, root = file_system(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/{MANIFEST}") as out:
+        before = _manifests(fs, root) if self.overwrite else []
+        with fs.open_output_stream(f"{root}/_committed-{uuid.uuid4().hex}.json") as out:
             out.write(json.dumps(sorted(f for m in messages if m for f in m.files)).encode())
+        for manifest in before:
+            fs.delete_file(manifest)
 
     def abort(self, messages: list[Committed | None]) -> None:
         fs, root = file_system(self.path)
@@ -149,6 +150,12 @@ class WarcWriter(DataSourceArrowWriter):
                 fs.delete_file(f"{root}/{f}")
 
 
+def _manifests(fs: pyarrow.fs.FileSystem, root: str) -> list[str]:
+    """The manifests of an archive; none if it has another writer."""
+    found = fs.get_file_info(pyarrow.fs.FileSelector(root, allow_not_found=True))
+    return [x.path for x in found if MANIFEST.fullmatch(x.base_name)]
+
+
 @dataclass
 class Range(InputPartition):
     """The records that begin in these ranges of files."""
@@ -185,12 +192,15 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         fs, root = file_system(self.path)
-        if fs.get_file_info(f"{root}/{MANIFEST}").type == pyarrow.fs.FileType.File:
-            with fs.open_input_stream(f"{root}/{MANIFEST}") as file:
-                names = [f"{root}/{f}" for f in json.loads(file.read())]
+        info = fs.get_file_info(root)
+        manifests = [] if info.type == pyarrow.fs.FileType.File else _manifests(fs, root)
+        if manifests:
+            names = []
+            for manifest in manifests:
+                with fs.open_input_stream(manifest) as file:
+                    names += [f"{root}/{f}" for f in json.loads(file.read())]
             infos = fs.get_file_info(names)
         else:
-            info = fs.get_file_info(root)
             infos = [info] if info.type == pyarrow.fs.FileType.File else [x for x in fs.get_file_info(pyarrow.fs.FileSelector(root, recursive=True)) if re.search(r"\.warc(\.gz)?$", x.path)]
         out, held = [Range([])], 0
         for info in sorted(infos, key=lambda x: x.path):
@@ -239,7 +249,7 @@ class WarcDataSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options), schema)
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def _is_gzip(file) -> bool:
@@ -252,8 +262,10 @@ def _headers(head: bytes) -> dict[str, str]:
     out = {}
     for line in head.split(b"\r\n")[1:]:
         name, colon, value = line.decode("utf-8", "replace").partition(":")
-        if colon:
-            out[name.strip()] = _value(value.strip())
+        if colon and name.startswith("X-JSON-"):
+            out[name[7:].strip()] = json.loads(value)
+        elif colon:
+            out[name.strip()] = value.strip()
     return out
 
 
@@ -348,45 +360,43 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcDataSource)
 
 
+def _name(id: Column, sha: Column, own: Column) -> Column:
+    """A record's id: page id, payload and what tells it from others of them."""
+    return F.concat(F.lit("<urn:page:"), F.coalesce(id.cast("string"), F.lit("null")), F.lit(":"), F.substring(sha, 1, 16), F.lit(":"), own, F.lit(">"))
+
+
 def archive(pages: DataFrame, path: str, *, id: str = "page_id", url: str = "url", html: str = "html", at_least: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
     """Write a record per row of pages. Of equal payloads of at_least bytes or more, the row of the largest id is the
-    response and the others revisit it; all smaller ones are responses. Null html is an empty payload."""
+    response and the others revisit it; all smaller ones are responses. Null html is an empty payload. Record ids name the page."""
     register(pages.sparkSession)
     bounded_batches(pages.sparkSession)
     payload = F.encode(F.coalesce(pages[html], F.lit("")), "UTF-8")
-    rows = pages.select(pages[id].alias("id"), pages[url].alias("url"), payload.alias("payload")).withColumn("sha", F.sha2("payload", 256))
-    same = written(rows.where(F.octet_length("payload") >= at_least).groupBy("sha").agg(F.max("id").alias("head_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "head_id"), "payloads")
-    # rows equal in id and payload are told apart by number; there are few, so only they are sorted
-    again = written(rows.groupBy("sha", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("sha").alias("r_sha"), F.col("id").alias("r_id")), "repeated")
-    repeated = (rows["sha"] == again["r_sha"]) & rows["id"].eqNullSafe(again["r_id"])
-    numbered = rows.join(again, repeated, "left_semi").withColumn("nth", F.row_number().over(W.partitionBy("sha", "id").orderBy("url")))
-    rows = rows.join(again, repeated, "left_anti").withColumn("nth", F.lit(1)).unionByName(numbered)
-    name = lambda page, nth: F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(":"), F.substring("sha", 1, 16), F.lit(":"), nth.cast("string"), F.lit(">"))
-    # of a payload that stands alone nothing is known here, so it is a response
-    revisit = F.col("known") & ~(F.col("id").eqNullSafe(F.col("head_id")) & (F.col("nth") == 1))
-    extra = {
-        "X-Page-ID": F.col("id").cast("string"),
-        "X-Payload-Length": F.octet_length("payload").cast("string"),
-        "X-Refers-To-Page": F.when(revisit, F.col("head_id").cast("string")),
-    }
-    headers = F.map_filter(F.create_map(*[x for name, value in extra.items() for x in (F.lit(name), value)]), lambda _, value: value.isNotNull())
-    (
-        rows.join(same.withColumn("known", F.lit(True)), "sha", "left")
-        .withColumn("known", F.coalesce("known", F.lit(False)))
-        .select(
+    rows = pages.select(pages[id].alias("id"), pages[url].alias("url"), payload.alias("payload")).withColumn("sha", F.sha2("payload", 256)).withColumn("sha1", F.unhex(F.sha1("payload")))
+    # ids and digests alone tell which rows are equal; counts are summed before they move
+    slim = written(rows.where(F.octet_length("payload") >= at_least).groupBy("sha", "sha1", "id", "url").agg(F.count(F.lit(1)).alias("times")), "payloads")
+    same = slim.groupBy("sha").agg(F.max(F.struct("id", "url", "times")).alias("head"), F.sum("times").alias("n")).where("n > 1")
+    heads = written(same.select("sha", F.col("head.id").alias("head_id"), F.col("head.url").alias("head_url"), F.col("head.times").alias("twins")), "heads")
+
+    def records(rows: DataFrame, revisit: Column, own: Column, payload: Column) -> DataFrame:
+        return rows.select(
             F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-            name(F.col("id"), F.col("nth")).alias("record_id"),
+            _name(F.col("id"), F.col("sha"), own).alias("record_id"),
             F.col("url").alias("target_uri"),
             F.lit(date).alias("date"),
             F.lit("application/http;msgtype=response").alias("content_type"),
-            F.when(revisit, name(F.col("head_id"), F.lit(1))).alias("refers_to"),
-            headers.alias("headers"),
-            "payload",
+            F.when(revisit, _name(F.col("head_id"), F.col("sha"), F.lit("0"))).alias("refers_to"),
+            F.create_map().cast("map<string,string>").alias("headers"),
+            "sha1",
+            payload.alias("payload"),
         )
-        .write.format("warc")
-        .mode("append")
-        .save(path)
-    )
+
+    known = rows.join(heads, "sha", "left")
+    is_head = F.col("twins").isNotNull() & F.col("id").eqNullSafe(F.col("head_id")) & F.col("url").eqNullSafe(F.col("head_url"))
+    found = records(known.where(~is_head | (F.col("twins") == 1)), F.col("twins").isNotNull() & ~is_head, F.when(is_head, "0").otherwise(F.uuid()), F.when(F.col("twins").isNull() | is_head, F.col("payload")))
+    # rows equal in all columns, of which one is the response: as many records as there are
+    twins = known.where(is_head & (F.col("twins") > 1)).groupBy("sha", "sha1", "id", "url", "head_id", "twins").agg(F.any_value("payload").alias("payload"))
+    twins = twins.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("twins") - 1)))
+    found.unionByName(records(twins, F.col("nth") > 0, F.col("nth").cast("string"), F.when(F.col("nth") == 0, F.col("payload")))).write.format("warc").mode("append").save(path)
 
 
 def read(spark: SparkSession, path: str, **options: str) -> DataFrame:
@@ -395,15 +405,36 @@ def read(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return spark.read.format("warc").options(**options).load(path)
 
 
+def page_of(name: Column) -> Column:
+    """The page id in a record id of `archive`; null for a null one."""
+    found = F.regexp_extract(name, r"^<urn:page:(.*):[0-9a-f]{16}:[0-9a-f-]+>$", 1)
+    return F.when(found != "null", found)
+
+
+def revisited(records: DataFrame) -> DataFrame:
+    """record_type, record_id, refers_to, payload_digest and payload_bytes of responses and revisits: the size of the payload
+    that was read, and for a revisit that of the response it refers to, whose digest has to be its own."""
+    slim = records.select("record_type", "record_id", "refers_to", "payload_digest", F.octet_length("payload").cast("long").alias("payload_bytes"))
+    slim = written(slim, "records")
+    named = slim.where("record_type = 'response'").select(F.col("record_id").alias("r_id"), F.col("payload_bytes").alias("r_bytes"), F.col("payload_digest").alias("r_digest"))
+    revisits = slim.where("record_type = 'revisit'")
+    wanted = named.join(revisits.select(F.col("refers_to").alias("r_id")).distinct(), "r_id", "left_semi")
+    broken = F.raise_error(F.concat(F.lit("revisit without its response: "), F.col("record_id")))
+    found = revisits.join(wanted, revisits["refers_to"] == wanted["r_id"], "left")
+    found = found.withColumn("payload_bytes", F.when(F.col("payload_digest") == F.col("r_digest"), F.col("r_bytes")).otherwise(broken.cast("long")))
+    return slim.where("record_type <> 'revisit'").unionByName(found.select(slim.columns))
+
+
 def pages_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: all pages, written and read again; one row per page. Reading decodes each response and holds it to its digest."""
     path = fresh(spark, "warc")
     pages = table(spark, sf_dir, "pages")
     archive(pages, path)
-    return read(spark, path).select(
-        F.try_element_at("headers", F.lit("X-Page-ID")).cast(pages.schema["page_id"].dataType).alias("page_id"),
-        F.try_element_at("headers", F.lit("X-Payload-Length")).cast("long").alias("payload_bytes"),
+    kind = pages.schema["page_id"].dataType
+    return revisited(read(spark, path)).select(
+        page_of(F.col("record_id")).cast(kind).alias("page_id"),
+        "payload_bytes",
         F.substring_index("payload_digest", ":", -1).alias("payload_digest"),
         "record_type",
-        F.try_element_at("headers", F.lit("X-Refers-To-Page")).cast(pages.schema["page_id"].dataType).alias("refers_to"),
+        page_of(F.col("refers_to")).cast(kind).alias("refers_to"),
     )
