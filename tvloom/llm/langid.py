@@ -12,10 +12,11 @@ x projection x regression, are products whose last three factors are multiplied
 once, at the fit; scoring is one product of a batch's presence matrix with a
 FEATURES x languages matrix.
 
-The fit sees a bounded sample: about SAMPLE rows of each label, chosen by a hash
-of id and text among texts of at most SAMPLE_CHARS characters. Scoring reads
-every whole text. A null text, or one without a letter, is `und` at score 0; so
-is every text if no row is labelled.
+The fit sees a bounded sample of rows: SAMPLE of each label at most, and SAMPLES in all, chosen
+by a hash of id and text among labelled texts of any length; LANDMARKS of each and MOST_LANDMARKS in
+all are landmarks. Executors turn the sampled texts, whole, into presence rows of FEATURES bits, so the
+driver holds so many bits for a row however long its text is. Scoring reads every whole text. A null
+text, or one without a letter, is `und` at score 0; so is every text if no row is labelled.
 """
 
 from __future__ import annotations
@@ -34,9 +35,8 @@ from .words import STEP, U, mixed
 FEATURES = 1 << 15
 SHIFT = U(64 - 15)
 ORDERS = 3
-SAMPLE = 400
-SAMPLE_CHARS = 20_000
-LANDMARKS = 60
+SAMPLE, SAMPLES = 400, 4_000
+LANDMARKS, MOST_LANDMARKS = 60, 600
 RIDGE = 0.1
 UNKNOWN = "und"
 #: Texts and characters of one presence matrix; a longer text is still taken whole.
@@ -97,6 +97,12 @@ class Model:
     @classmethod
     def fit(cls, rows: list[tuple[str, str]]) -> "Model":
         """rows: text and label."""
+        packed = [np.packbits(p.astype(bool), axis=1) for p, _ in _presences([text for text, _ in rows])]
+        return cls.fit_presence([(bits.tobytes(), label) for bits, (_, label) in zip((x for p in packed for x in p), rows)])
+
+    @classmethod
+    def fit_presence(cls, rows: list[tuple[bytes, str]]) -> "Model":
+        """rows: presence row in bits, and label."""
         languages = sorted({label for _, label in rows})
         if not languages:
             return cls([], np.zeros((FEATURES, 0), np.float32))
@@ -104,11 +110,11 @@ class Model:
         chosen = []  # the first rows of each label are the landmarks
         for i, (_, label) in enumerate(rows):
             by[label] = by.get(label, 0) + 1
-            if by[label] <= LANDMARKS:
+            if by[label] <= max(1, min(LANDMARKS, MOST_LANDMARKS // len(languages))):
                 chosen.append(i)
 
-        def normal(texts: list[str]) -> np.ndarray:
-            x = np.concatenate([p for p, _ in _presences(texts)])
+        def normal(part: list[bytes]) -> np.ndarray:
+            x = np.unpackbits(np.frombuffer(b"".join(part), np.uint8).reshape(len(part), -1), axis=1).astype(np.float32)
             return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
 
         marks = normal([rows[i][0] for i in chosen])
@@ -118,7 +124,7 @@ class Model:
         number = {label: i for i, label in enumerate(languages)}
         for at in range(0, len(rows), ROWS):
             part = rows[at : at + ROWS]
-            features = (normal([text for text, _ in part]) @ marks.T).astype(float) @ root
+            features = (normal([bits for bits, _ in part]) @ marks.T).astype(float) @ root
             sign = np.full((len(part), len(languages)), -1.0)
             sign[np.arange(len(part)), [number[label] for _, label in part]] = 1
             gram += features.T @ features
@@ -143,17 +149,26 @@ class Model:
 
 def fit(docs: DataFrame, learnt: Column, *, id: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE) -> Model:
     """A model of the rows of docs for which `learnt` holds and the label isn't null."""
+    bounded_batches(docs.sparkSession)
     picked = F.shiftrightunsigned(F.xxhash64(docs[id].cast("string"), docs[text]), 1)
-    rows = docs.where(learnt & docs[label].isNotNull() & docs[text].rlike(r"\p{L}") & (F.length(docs[text]) <= SAMPLE_CHARS)).select(docs[text].alias("text"), docs[label].cast("string").alias("label"), picked.alias("picked"))
+    rows = docs.where(learnt & docs[label].isNotNull() & docs[text].rlike(r"\p{L}")).select(docs[text].alias("text"), docs[label].cast("string").alias("label"), picked.alias("picked"))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if not counts:
         return Model.fit([])
+    sample = max(1, min(sample, SAMPLES // len(counts)))
     limits = F.create_map(*[F.lit(x) for label, n in sorted(counts.items()) for x in (label, min((1 << 63) - 1, int(1.25 * sample / n * (1 << 63))))])
-    found = rows.where(F.col("picked") <= limits[F.col("label")]).groupBy("picked", "label").agg(F.min("text").alias("text")).collect()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [bits.tobytes() for p, _ in _presences(batch.column(2).to_pylist()) for bits in np.packbits(p.astype(bool), axis=1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["picked", "label", "bits"])
+
+    taken = rows.where(F.col("picked") <= limits[F.col("label")]).select("picked", "label", "text")
+    found = taken.mapInArrow(run, "picked long, label string, bits binary").groupBy("picked", "label").agg(F.min("bits").alias("bits")).collect()
     ordered: dict[str, list] = {}
     for r in sorted(found, key=lambda r: (r["label"], r["picked"])):
-        ordered.setdefault(r["label"], []).append(r["text"])
-    return Model.fit([(t, label) for label, texts in ordered.items() for t in list(dict.fromkeys(texts))[:sample]])
+        ordered.setdefault(r["label"], []).append(bytes(r["bits"]))
+    return Model.fit_presence([(bits, label) for label, own in ordered.items() for bits in list(dict.fromkeys(own))[:sample]])
 
 
 def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str]) -> DataFrame:
