@@ -41,3 +41,13 @@ def test_rows(spark, odd, monkeypatch):
 
 def test_empty_table(empty):
     assert sharding.shard(empty).collect() == []
+
+
+def test_ids_of_text_and_null(spark):
+    docs = spark.range(3000).selectExpr("if(id % 3 = 0, null, concat('doc-', id)) as doc_id", "concat('t', id) as text")
+    got = sharding.shard(docs).collect()
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+        assert r.grown_shard in (r.shard, 16) and (r.doc_id is not None or r.shard == 0)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(slots) == 16

@@ -9,11 +9,11 @@ don't wrap.
 Slots number the rows of a shard from 0 without gaps. Ids are cut at quantiles
 into blocks; each (shard, block) is numbered by its own window and begins at
 the rows of the shard's earlier blocks. So no window holds a whole shard. An id
-that repeats more often than a block is long is one block, cut again by text
-checksum and size; rows equal in all of these are told apart by nothing, and
-share one window.
+that repeats more often than a block is long is one block, and so are null ids; such a block is
+cut again by text checksum. Rows equal in id and text are told apart by nothing, and share one window.
 
-A null id takes the key 0 and is numbered first. A null text has no bytes.
+The key of an integer id is the id itself, of any other id a hash of it as text. A null id takes
+the key 0. A null text has no bytes.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import table
 
@@ -28,6 +29,8 @@ SHARDS = 16
 #: Rows of all shards between two cuts of the ids, about, and the most cuts.
 BLOCK_ROWS = 1_000
 MOST_CUTS = 4_096
+#: Bits of the text checksum that cut a block of one id.
+PART_BITS = 10
 
 LOW = 0xFFFFFFFF
 #: Multiplier of the generator, as published with the jump hash.
@@ -71,29 +74,37 @@ def shard(docs: DataFrame, shards: int = SHARDS, *, id: str = "doc_id", text: st
         docs[id].alias("id"),
         (F.octet_length(content) + 1).cast("long").alias("size"),
         F.crc32(content.cast("binary")).alias("text_crc32"),
-    ).withColumn("key", F.coalesce(F.col("id").cast("long"), F.lit(0).cast("long")))
+        _number(docs, id).alias("number"),
+    ).withColumn("key", F.coalesce("number", F.lit(0).cast("long")))
     rows = rows.withColumn("shard", jump_hash(F.col("key"), shards)).withColumn("grown_shard", jump_hash(F.col("key"), shards + 1))
 
     n = docs.count()
     parts = min(MOST_CUTS, n // BLOCK_ROWS + 1)
     cuts = []
     if parts > 1:
-        cuts = docs.agg(F.percentile_approx(docs[id].cast("long"), [i / parts for i in range(1, parts)], 10 * MOST_CUTS)).first()[0] or []
+        cuts = docs.agg(F.percentile_approx(_number(docs, id), [i / parts for i in range(1, parts)], 10 * MOST_CUTS)).first()[0] or []
     hot = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
-    block = _cuts_up_to(F.col("id").cast("long"), sorted(set(cuts))) if cuts else F.lit(0)
+    block = _cuts_up_to(F.col("number"), sorted(set(cuts))) if cuts else F.lit(0)
     rows = rows.withColumn("block", block)
-    rows = rows.withColumn("part", F.when(F.col("id").isin(hot), F.shiftright("text_crc32", 26)).otherwise(0).cast("int") if hot else F.lit(0))
+    rows = rows.withColumn("part", F.when(F.col("number").isNull() | F.col("number").isin(hot), F.shiftright("text_crc32", 32 - PART_BITS) + 1).otherwise(0).cast("int"))
     by = ["shard", "block", "part"]
     before = W.partitionBy("shard").orderBy("block", "part").rowsBetween(W.unboundedPreceding, -1)
     starts = rows.groupBy(*by).count().withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0).cast("long"))).drop("count")  # cuts x shards rows at most
     order = W.partitionBy(*by).orderBy(F.col("id").asc_nulls_first(), "text_crc32", "size")
     return (
         rows.withColumn("place", F.row_number().over(order) - 1)
-        .join(F.broadcast(starts), by)  # MOST_CUTS x shards rows at most
+        .join(F.broadcast(starts), by)  # (MOST_CUTS + parts of hot ids) x shards rows at most
         .select(F.col("id").alias(id), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("place")).alias("slot"), "grown_shard")
     )
 
 
+def _number(docs: DataFrame, id: str) -> Column:
+    """The id as a long; of one that isn't an integer, a hash."""
+    if isinstance(docs.schema[id].dataType, T.IntegralType):
+        return docs[id].cast("long")
+    return F.when(docs[id].isNotNull(), F.xxhash64(docs[id].cast("string")))
+
+
 def _cuts_up_to(value: Column, cuts: list[int]) -> Column:
     """How many of the sorted cuts are <= value; null: none."""
     known = F.lit(cuts)
