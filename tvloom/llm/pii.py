@@ -127,8 +127,8 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
 
-def disclosing(docs: DataFrame, *, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame | None:
-    """entity, term and kind of the terms that disclose. docs: text and spans. None if no entity stands beside a term."""
+def disclosing(docs: DataFrame, found: DataFrame, *, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame | None:
+    """entity, term and kind of the terms that disclose. docs: text; found: text and spans of those with spans. None if no entity stands beside a term."""
 
     def context(s: Column) -> Column:
         # a word that the window cuts isn't one of the context
@@ -137,7 +137,7 @@ def disclosing(docs: DataFrame, *, prior: float = PRIOR, generalise: float = GEN
         after = F.regexp_replace(F.substring("text", s["end"] + 1, F.lit(CONTEXT)), r"[\p{L}\p{N}]+$", "")
         return F.struct(entity(s).alias("entity"), before.alias("before"), after.alias("after"))
 
-    mentions = docs.where(F.size("spans") > 0).select(F.explode(F.transform("spans", context)).alias("c")).select("c.*")
+    mentions = found.select(F.explode(F.transform("spans", context)).alias("c")).select("c.*")
     contexts = mentions.groupBy("entity", "before", "after").agg(F.lit(1).alias("one"))
     contexts = written(contexts.select("entity", _terms(F.concat_ws(" ", "before", "after")).alias("terms")), "contexts")
     entities = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("c_e"))
@@ -159,17 +159,31 @@ def disclosing(docs: DataFrame, *, prior: float = PRIOR, generalise: float = GEN
 
 def find(docs: DataFrame, *, id: str = "doc_id", text: str = "text", keep: list[str], **thresholds) -> DataFrame:
     """The columns `keep` of docs, __text (null: empty) and spans: base ones by kind and start, then added ones likewise."""
-    rows = docs.select(*[docs[c] for c in keep], docs[id].alias("__id"), F.coalesce(docs[text], F.lit("")).alias("__text"))
-    rows = rows.withColumn("__t", F.xxhash64("__text")).withColumn("spans", base_spans(F.col("__text")))
-    terms = disclosing(rows.select(F.col("__text").alias("text"), "spans"), **thresholds)
+    rows = docs.select(*[docs[c] for c in keep], docs[id].alias("__id"), F.coalesce(docs[text], F.lit("")).alias("__text")).withColumn("__t", F.xxhash64("__text"))
+    by = ["__id", "__t"]
+    # base spans are matched once; what follows reads the texts that have some
+    matched = rows.select(*by, "__text", base_spans(F.col("__text")).alias("spans")).where(F.size("spans") > 0)
+    held = written(matched.dropDuplicates(by), "spans")
+    added = _added(held, disclosing(rows.select(F.col("__text").alias("text")), held.select(F.col("__text").alias("text"), "spans"), **thresholds))
+    spans = held.select(*by, "spans")
+    if added is not None:
+        joined = spans.join(added.toDF("a_id", "a_t", "added"), F.col("__id").eqNullSafe(F.col("a_id")) & (F.col("__t") == F.col("a_t")), "left")
+        spans = written(joined.select(*by, F.when(F.col("added").isNull(), F.col("spans")).otherwise(F.concat("spans", "added")).alias("spans")), "all_spans")
+    known = spans.toDF("s_id", "s_t", "spans")
+    result = rows.join(known, F.col("__id").eqNullSafe(F.col("s_id")) & (F.col("__t") == F.col("s_t")), "left")
+    return result.select(*keep, "__text", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
+
+
+def _added(held: DataFrame, terms: DataFrame | None) -> DataFrame | None:
+    """__id, __t and the added spans of texts (with their base spans), by kind and start."""
     if terms is None:
-        return rows.drop("__id", "__t")
+        return None
     by = ["__id", "__t"]
-    mentions = rows.where(F.size("spans") > 0).select(*by, F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity"))
+    mentions = held.select(*by, F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity"))
     # of the kinds that several entities give a term, removal counts
     by_term = written(mentions.join(terms, "entity").groupBy(*by, "term").agg(F.when(F.max(F.col("kind") == ADDED[0]), ADDED[0]).otherwise(ADDED[1]).alias("kind")), "disclosed")
-    same = rows["__id"].eqNullSafe(by_term["__id"]) & (rows["__t"] == by_term["__t"])
-    held = rows.join(by_term, same, "left_semi").select(*by, "__text", "spans").dropDuplicates(by)
+    same = held["__id"].eqNullSafe(by_term["__id"]) & (held["__t"] == by_term["__t"])
+    held = held.join(by_term, same, "left_semi")
     # words outside base spans, with their places: each begins after the pieces and words before it
     blank = _rebuilt(F.col("__text"), F.col("spans"), lambda s: F.repeat(F.lit(" "), s["end"] - s["start"]))
     split = held.withColumn("blank", blank).select(*by, F.posexplode(F.arrays_zip(F.split("blank", WORD, -1).alias("piece"), F.regexp_extract_all("blank", F.lit(WORD), F.lit(0)).alias("word"))).alias("pos", "z"))
@@ -177,10 +191,9 @@ def find(docs: DataFrame, *, id: str = "doc_id", text: str = "text", keep: list[
     words = split.withColumn("end", end).where("z.word is not null").select(*by, F.lower("z.word").alias("term"), (F.col("end") - F.length("z.word")).alias("start"), "end", F.col("z.word").alias("value"))
     hit = words.alias("w").join(by_term.alias("d"), F.col("w.__id").eqNullSafe(F.col("d.__id")) & (F.col("w.__t") == F.col("d.__t")) & (F.col("w.term") == F.col("d.term"))).select("w.__id", "w.__t", "d.kind", "w.start", "w.end", "w.value")
     place = F.when(F.col("kind") == ADDED[0], 0).otherwise(1)
-    added = hit.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(place.alias("o"), "start", "end", "kind", "value"))).alias("added")).toDF("a_id", "a_t", "added")
-    joined = rows.join(written(added, "added"), F.col("__id").eqNullSafe(F.col("a_id")) & (F.col("__t") == F.col("a_t")), "left")
-    more = F.transform("added", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-    return joined.withColumn("spans", F.when(F.col("added").isNull(), F.col("spans")).otherwise(F.concat("spans", more))).select(*keep, "__text", "spans")
+    listed = F.array_sort(F.collect_list(F.struct(place.alias("o"), "start", "end", "kind", "value")))
+    added = hit.groupBy(*by).agg(F.transform(listed, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))).alias("added"))
+    return written(added, "added")
 
 
 def _rebuilt(text: Column, spans: Column, label) -> Column:
