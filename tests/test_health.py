@@ -21,7 +21,13 @@ def test_parts():
     assert health.first_segment(MEDIA, "http://h/d/m") == "http://h/d/seg.ts" and health.first_segment("#EXTM3U\nx", "http://h") == ""
     assert health.first_segment('#EXT-X-PART:DURATION=1,URI="p.mp4"', "http://h/") == "http://h/p.mp4"
     assert health.detect_drm("#EXT-X-KEY:METHOD=SAMPLE-AES") and not health.detect_drm('#EXT-X-KEY:METHOD=AES-128,KEYFORMAT="identity"')
-    assert health.is_media("", "", b"G123") and health.is_media("", "", b"....ftypmp42") and not health.is_media("", "video/mp4", b"<html>") and health.is_media("http://x/a.ts", "", b"." * 64)
+
+
+def test_media_bytes(spark):
+    cases = [("", "", b"G123", True), ("", "", b"....ftypmp42", True), ("", "", b"....ftyp", False), ("", "video/mp4", b" <html>", False), ("http://x/a.ts?q", "", b"." * 64, True), ("http://x/a.ts", "", b"." * 63, False)]
+    cases += [("http://x/?a.ts", "", b"." * 64, False), ("", "", b"\xff\xf1", True), ("", "", b"\xff\xe1", False), ("", "", b"." * 188 + b"G", True), ("", "Video/MP2T", b"x", True), ("", "video/mp2t", b"x#extm3u", False), (None, None, None, False), ("", None, b"\x1aE\xdf\xa3", True)]
+    df = spark.createDataFrame([(u, t, None if b is None else bytearray(b), w) for u, t, b, w in cases], "url string, type string, body binary, wanted boolean")
+    assert all(r.got == r.wanted for r in df.select("*", health.looks_like_media(df["url"], df["type"], df["body"]).alias("got")).collect())
 
 
 def test_shallow(spark):

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -12,14 +16,18 @@ from ..functions import text, urls
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir, where one is named; else checkpointed nowhere and kept as a plan.
+    """df as a table in the folder of spark.checkpoint.dir: a loop's lineage must end somewhere that survives a lost executor.
 
-    A loop's lineage must end somewhere that survives a lost executor.
+    A folder of this machine's serves only where none is named and all tasks run in this process, as in tests.
     """
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        return df.persist()
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="tvloom-")
+        atexit.register(shutil.rmtree, shared.removeprefix("file://"), True)
+        spark.conf.set("spark.checkpoint.dir", shared)
     path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,16 +46,3 @@ def dedupe_entries(entries: DataFrame) -> DataFrame:
     """Entries of one playlist (ord from 1, info, lines) that stay."""
     return greedy(entries.where("ord > 0"), text.playlist_id_key(F.col("info")), text.playlist_name_key(F.col("info")))
 
-
-def in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The same decision over rows that come in order, for a stream of one partition."""
-    ids, names = set(), set()
-    for batch in batches:
-        keep = []
-        for i, n in zip(batch["id_key"], batch["name_key"]):
-            fresh = not ((i and i in ids) or (n and n in names))
-            keep.append(fresh)
-            if fresh:
-                ids.add(i)
-                names.add(n)
-        yield batch[keep]

@@ -24,13 +24,17 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # --- documents as candidates of a name --------------------------------------------------
 
-FIRST_WORD = "regexp_extract(lower(coalesce(text, '')), '[a-z]+', 0)"
+#: A key that many texts share, from all of their letters, and one that few do.
+SHARED = "concat('k', length(regexp_replace(lower(coalesce(text, '')), '[^a-z]+', '')) % 97)"
+SHARED_SQL = "'k' || (length(regexp_replace(lower(coalesce(text, '')), '[^a-z]+', '', 'g')) % 97)"
+LETTERS = "md5(regexp_replace(lower(text), '[^a-z]+', ''))"
+LETTERS_SQL = "md5(regexp_replace(lower(text), '[^a-z]+', '', 'g'))"
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id", "left")
     return docs.select(
-        F.expr(FIRST_WORD).alias("key"),
+        F.expr(SHARED).alias("key"),
         F.col("doc_id").alias("ord"),
         (F.coalesce("quality", F.lit(0)) * 50.0).alias("health_score"),
         F.substring("source", 4, 9).cast("int").alias("source_priority"),
@@ -40,9 +44,9 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_CANDIDATES_SQL = """
+_CANDIDATES_SQL = f"""
 WITH q AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
-c AS (SELECT regexp_extract(lower(coalesce(text, '')), '[a-z]+') AS key, d.doc_id AS ord, coalesce(quality, 0) * 50.0::DOUBLE AS health_score,
+c AS (SELECT {SHARED_SQL} AS key, d.doc_id AS ord, coalesce(quality, 0) * 50.0::DOUBLE AS health_score,
   CAST(substr(source, 4, 9) AS INT) AS source_priority, CASE WHEN lang = 'en' THEN 200 ELSE 100 END AS quality_score,
   CAST(least(floor(n_chars / 500.0), 5) AS INT) AS metadata_score, CASE WHEN n_chars % 2 = 0 THEN 20 ELSE 10 END AS transport_score
   FROM documents d LEFT JOIN q USING (doc_id)),
@@ -111,8 +115,7 @@ g AS (SELECT min(page_id) AS page_id, id FROM p WHERE id NOT IN (SELECT id FROM
 
 
 def q22(spark, sf_dir):
-    head = F.substring_index("html", "<body", 1)
-    tags = F.array_join(F.regexp_extract_all(head, F.lit(r"<(?:html|meta)\b[^>]*>"), F.lit(0)), " ")
+    tags = F.array_join(F.regexp_extract_all("html", F.lit(r"<(?:html|meta)\b[^>]*>"), F.lit(0)), " ")
     got = _t(spark, sf_dir, "pages").select("page_id", playlist.attributes(tags).alias("a"))
     return got.select("page_id", F.try_element_at("a", F.lit("lang")).alias("lang"), F.try_element_at("a", F.lit("charset")).alias("charset"))
 
@@ -122,7 +125,7 @@ def q22(spark, sf_dir):
 
 def _members(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents")
-    keys = F.array(F.struct(F.lit("text").alias("type"), F.md5("text").alias("key")), F.struct(F.lit("begin").alias("type"), F.lower(F.substring("text", 1, 40)).alias("key")))
+    keys = F.array(F.struct(F.lit("text").alias("type"), F.md5("text").alias("key")), F.struct(F.lit("letters").alias("type"), F.expr(LETTERS).alias("key")))
     return docs.select(F.col("doc_id").alias("ord"), F.explode(keys).alias("k")).select("ord", "k.*")
 
 
@@ -138,8 +141,8 @@ def q06_collisions(spark, sf_dir):
     return cluster.collisions(_members(spark, sf_dir))
 
 
-_MEMBERS_SQL = """
-WITH RECURSIVE m AS (SELECT doc_id, 'text' AS type, md5(text) AS key FROM documents UNION ALL SELECT doc_id, 'begin', lower(substr(text, 1, 40)) FROM documents),
+_MEMBERS_SQL = f"""
+WITH RECURSIVE m AS (SELECT doc_id, 'text' AS type, md5(text) AS key FROM documents UNION ALL SELECT doc_id, 'letters', {LETTERS_SQL} FROM documents),
 e AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM m a JOIN m b USING (type, key)),
 r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
 c AS (SELECT a AS doc_id, min(b) AS cluster FROM r GROUP BY a)
@@ -148,7 +151,16 @@ c AS (SELECT a AS doc_id, min(b) AS cluster FROM r GROUP BY a)
 
 def q24(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").withColumn("ord", F.col("doc_id"))
-    return dedupe.greedy(docs, F.md5("text"), F.lower(F.substring("text", 1, 40))).select("doc_id")
+    return dedupe.greedy(docs, F.concat("source", F.length("text").cast("string")), F.expr(LETTERS)).select("doc_id")
+
+
+_GREEDY_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn, coalesce(source || length(text), '') AS i, coalesce({LETTERS_SQL}, '') AS n FROM documents),
+g AS (SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS doc_id, CAST([] AS VARCHAR[]) AS ids, CAST([] AS VARCHAR[]) AS names, false AS kept
+UNION ALL SELECT rn, doc_id, CASE WHEN kept THEN list_append(ids, i) ELSE ids END, CASE WHEN kept THEN list_append(names, n) ELSE names END, kept
+FROM (SELECT d.rn, d.doc_id, g.ids, g.names, d.i, d.n, NOT ((d.i <> '' AND list_contains(g.ids, d.i)) OR (d.n <> '' AND list_contains(g.names, d.n))) AS kept FROM g JOIN d ON d.rn = g.rn + 1))
+SELECT doc_id FROM g WHERE kept AND rn > 0
+"""
 
 
 # --- categories, names and text ---------------------------------------------------------
@@ -177,8 +189,7 @@ SELECT p_partkey, category, CAST(CASE category {ranks} END AS INT) AS category_r
 
 
 def q27(spark, sf_dir):
-    name = F.substring_index("text", "\n", 1)
-    return _t(spark, sf_dir, "documents").select("doc_id", text.name_key(text.fold(name)).alias("name_key"))
+    return _t(spark, sf_dir, "documents").select("doc_id", text.name_key(text.fold(F.col("text"))).alias("name_key"))
 
 
 def q27_quality(spark, sf_dir):
@@ -428,7 +439,7 @@ def q18_upsert(spark, sf_dir):
 
 def _channels(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents")
-    return docs.select(F.col("source").alias("source_id"), F.col("doc_id").alias("ord"), F.substring("text", 1, 30).alias("name"), F.concat(F.lit(" http://x/"), F.md5("text"), F.lit(" ")).alias("stream_url"), F.upper("lang").alias("group"), F.lit("").alias("tvg_id"), F.lit("").alias("tvg_name"), F.lit("").alias("logo"), F.expr(NO_ATTRIBUTES).alias("attributes"), F.expr(NO_DIRECTIVES).alias("extra_directives"))
+    return docs.select(F.col("source").alias("source_id"), F.col("doc_id").alias("ord"), F.col("text").alias("name"), F.concat(F.lit(" http://x/"), F.md5("text"), F.lit(" ")).alias("stream_url"), F.upper("lang").alias("group"), F.lit("").alias("tvg_id"), F.lit("").alias("tvg_name"), F.lit("").alias("logo"), F.expr(NO_ATTRIBUTES).alias("attributes"), F.expr(NO_DIRECTIVES).alias("extra_directives"))
 
 
 def q30(spark, sf_dir):
@@ -478,8 +489,50 @@ def q33(spark, sf_dir):
     return made.select("ord", "id", "priority", "trust_score")
 
 
+# --- verdicts, scores and keys ----------------------------------------------------------
+
+
+def _answers(spark, sf_dir):
+    """Pages as recorded answers: their bytes, or the first bytes of media."""
+    body = F.expr("case page_id % 6 when 0 then '' when 1 then concat('x #ExtM3U ', html) when 2 then concat('....ftyp', html) when 3 then concat('G', html) when 4 then concat('  {', html) else html end")
+    kind = F.expr("element_at(array('Video/MP4; x', 'text/html', ''), cast(page_id % 3 as int) + 1)")
+    return _t(spark, sf_dir, "pages").select("page_id", F.expr("concat('http://h/', page_id % 50, if(page_id % 4 = 0, '.TS?a', '.x'))").alias("url"), F.expr("cast(190 + page_id % 260 as int)").alias("http_status"), kind.alias("content_type"), F.encode(body, "UTF-8").alias("body"))
+
+
+def q34(spark, sf_dir):
+    answers = _answers(spark, sf_dir)
+    return answers.select("page_id", health.assess(F.col("http_status"), F.col("content_type"), F.col("body")).alias("v")).select("page_id", "v.status", "v.reason", "v.base")
+
+
+def q35(spark, sf_dir):
+    answers = _answers(spark, sf_dir).withColumn("media", health.looks_like_media(F.col("url"), F.col("content_type"), F.col("body")))
+    verdict = health.assess_direct(F.col("http_status"), F.col("content_type"), F.col("body"), F.col("media")).alias("v")
+    return answers.select("page_id", "media", verdict).select("page_id", "media", "v.status", "v.reason", "v.base")
+
+
+def q36(spark, sf_dir):
+    """Lines of text and URLs, cleaned."""
+    url = F.concat(F.lit("\t ' "), "url", F.lit(" '\x01 "))
+    return _t(spark, sf_dir, "pages").select("page_id", text.clean_url(url).alias("url"), text.clean_text(F.concat(F.lit(" a \t "), "url", F.lit("  b\x07 "))).alias("line"))
+
+
+def q37(spark, sf_dir):
+    """Metadata and transport scores of customers as channels."""
+    parts = {"tvg_id": "if(c_custkey % 2 = 0, ' ', c_name)", "tvg_name": "if(c_custkey % 3 = 0, '', c_name)", "logo": "if(c_acctbal > 0, 'l', '')", "group": "c_mktsegment"}
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", *[F.expr(e).alias(c) for c, e in parts.items()], F.expr("map_from_entries(transform(sequence(1, 1 + cast(c_custkey % 14 as int)), i -> struct(cast(i as string) as key, if(i % 4 = 0, ' ', 'v') as value)))").alias("attributes"), F.expr("array_repeat('d', cast(c_custkey % 8 as int))").alias("directives"))
+    url = F.expr("concat(element_at(array(' https', 'HTTP', 'rtmp'), cast(c_custkey % 3 as int) + 1), '://h/', c_custkey, if(c_custkey % 4 = 0, '.M3U8?x', '.ts'))")
+    return rows.select("c_custkey", scores.metadata(*[F.col(c) for c in (*parts, "attributes", "directives")]).alias("metadata_score"), scores.transport(url).alias("transport_score"))
+
+
+def q38(spark, sf_dir):
+    """Keys by which playlist entries are told apart, and the guide page's search key."""
+    info = F.expr("""concat('#EXTINF:-1 tvg-id="', replace(p_name, ' ', '.'), if(p_partkey % 2 = 0, '@HD', ''), '",', p_name, element_at(array(' HD', ' (720p)', '', ' 4K'), cast(p_partkey % 4 as int) + 1))""")
+    return _t(spark, sf_dir, "part").select("p_partkey", text.playlist_id_key(info).alias("id_key"), text.playlist_name_key(info).alias("entry_key"))
+
+
 def queries() -> dict:
     return {
+        "q34_shallow_verdict": q34, "q35_direct_verdict": q35, "q36_clean_lines": q36, "q37_scores": q37, "q38_entry_keys": q38,
         "q01_url_key": q01, "q02_url_first_wins": q02, "q02_upsert_keeps_place": q02_upsert, "q03_best_per_key": q03, "q04_selection_reason": q04, "q05_components": q05,
         "q06_cluster_stats": q06, "q06_collisions": q06_collisions, "q07_category_cascade": q07, "q08_tiered_match": q08, "q08_match_stats": q08_stats, "q09_fuzzy_match": q09,
         "q10_richness_merge": q10, "q11_priority_merge": q11, "q12_now_playing": q12, "q12_airing": q12_airing, "q12_at_instants": q12_at_instants, "q13_rome_day_counts": q13,
@@ -496,8 +549,21 @@ _HARD = "(reason = 'token_expired' OR (reason = 'http_error' AND http = 404) OR
 _SOURCES_SQL = "SELECT *, CASE n_regionkey WHEN 0 THEN 'IT' WHEN 1 THEN '' ELSE 'FR' END AS country FROM supplier JOIN nation ON s_nationkey = n_nationkey"
 
 
+_ANSWERS_SQL = """
+WITH a AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'x #ExtM3U ' || html WHEN 2 THEN '....ftyp' || html WHEN 3 THEN 'G' || html WHEN 4 THEN '  {' || html ELSE html END AS body,
+  page_id % 3 = 0 AS video, 190 + page_id % 260 AS st, page_id % 4 = 0 AS ts FROM pages),
+m AS (SELECT *, body <> '' AND NOT contains(upper(body), '#EXTM3U') AND NOT regexp_matches(body, '^\\s*(<html|<!doctype html|<[?]xml|[{]|\\[)')
+  AND (body[1] = 'G' OR (octet_length(encode(body)) >= 189 AND encode(body)[189:189] = encode('G')) OR (length(body) >= 12 AND substr(body, 5, 4) = 'ftyp') OR video OR (ts AND octet_length(encode(body)) >= 64)) AS media FROM a)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "q34_shallow_verdict": _ANSWERS_SQL + "SELECT page_id, CASE WHEN st NOT BETWEEN 200 AND 399 OR (body = '' AND NOT video) THEN 'offline' WHEN contains(upper(body), '#EXTM3U') OR video THEN 'online' ELSE 'reachable' END AS status, CASE WHEN st NOT BETWEEN 200 AND 399 THEN 'invalid_http_status' WHEN contains(upper(body), '#EXTM3U') THEN 'hls_signature' WHEN video THEN 'media_content_type' WHEN body <> '' THEN 'payload_reachable' ELSE 'empty_payload' END AS reason, CAST(CASE WHEN st NOT BETWEEN 200 AND 399 THEN 0 WHEN contains(upper(body), '#EXTM3U') THEN 100 WHEN video THEN 90 WHEN body <> '' THEN 50 ELSE 0 END AS INT) AS base FROM a",
+        "q35_direct_verdict": _ANSWERS_SQL + "SELECT page_id, media, CASE WHEN st BETWEEN 200 AND 399 AND video AND media THEN 'online' ELSE 'offline' END AS status, CASE WHEN st NOT BETWEEN 200 AND 399 THEN 'invalid_http_status' WHEN body = '' THEN 'empty_payload' WHEN video AND media THEN 'direct_media_verified' ELSE 'non_media_payload' END AS reason, CAST(CASE WHEN st BETWEEN 200 AND 399 AND video AND media THEN 92 ELSE 0 END AS INT) AS base FROM m",
+        "q36_clean_lines": "SELECT page_id, url, 'a ' || url || ' b' AS line FROM pages",
+        "q37_scores": "SELECT c_custkey, CAST(CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 30 END + CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 20 END + CASE WHEN c_acctbal > 0 THEN 20 ELSE 0 END + 15 + least(10, 1 + c_custkey % 14 - (1 + c_custkey % 14) // 4) + least(5, c_custkey % 8) AS INT) AS metadata_score, CAST(CASE c_custkey % 3 WHEN 0 THEN 20 WHEN 1 THEN 10 ELSE 0 END + CASE WHEN c_custkey % 4 = 0 THEN 5 ELSE 0 END AS INT) AS transport_score FROM customer",
+        "q38_entry_keys": "SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS id_key, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS entry_key FROM part",
         "q01_url_key": f"SELECT page_id, {_URL_KEY_SQL} AS url_key FROM ({_URL_PARTS_SQL})",
         "q02_url_first_wins": f"SELECT regexp_replace(h, ':[0-9]*$', '') AS key, min(page_id) AS page_id FROM ({_URL_PARTS_SQL}) GROUP BY 1",
         "q02_upsert_keeps_place": f"SELECT regexp_replace(h, ':[0-9]*$', '') AS key, min(page_id) AS place, max(page_id) AS last_page FROM ({_URL_PARTS_SQL}) GROUP BY 1",
@@ -505,7 +571,7 @@ def oracle_sql() -> dict[str, str]:
         "q04_selection_reason": _CANDIDATES_SQL + "SELECT key, ord AS doc_id, size, CASE WHEN health_score <> h2 THEN 'higher_health_score' WHEN source_priority <> p2 THEN 'better_source_priority' WHEN quality_score <> q2 THEN 'higher_video_quality' WHEN metadata_score <> m2 THEN 'richer_metadata' WHEN transport_score <> t2 THEN 'better_transport' ELSE 'earlier_insertion_order' END AS reason FROM w WHERE place = 1 AND size > 1",
         "q05_components": _MEMBERS_SQL + "SELECT doc_id, cluster FROM c",
         "q06_cluster_stats": _MEMBERS_SQL + "SELECT CAST(sum(n) AS BIGINT) AS input_channels, count(*) AS groups, count(*) FILTER (n = 1) AS singleton_groups, count(*) FILTER (n > 1) AS duplicate_groups, CAST(sum(n - 1) AS BIGINT) AS alternatives FROM (SELECT cluster, count(*) AS n FROM c GROUP BY cluster)",
-        "q06_collisions": "WITH m AS (SELECT 'text' AS type, md5(text) AS key FROM documents UNION ALL SELECT 'begin', lower(substr(text, 1, 40)) FROM documents) SELECT type, count(*) - count(DISTINCT key) AS collisions FROM m GROUP BY type",
+        "q06_collisions": f"WITH m AS (SELECT 'text' AS type, md5(text) AS key FROM documents UNION ALL SELECT 'letters', {LETTERS_SQL} FROM documents) SELECT type, count(*) - count(DISTINCT key) AS collisions FROM m GROUP BY type",
         "q07_category_cascade": _category_sql(),
         "q08_tiered_match": _MATCH_SQL + "SELECT c_custkey, CASE WHEN k = 3 THEN 'unmatched' ELSE 'matched' END AS status, CASE WHEN k < 3 THEN n_name || '.it' END AS guide_id, CAST(CASE k WHEN 0 THEN 100 WHEN 1 THEN 97 WHEN 2 THEN 92 END AS DOUBLE) AS score, CASE k WHEN 0 THEN 'exact_tvg_id' WHEN 1 THEN 'normalized_tvg_id' WHEN 2 THEN 'exact_name' END AS method FROM m",
         "q08_match_stats": _MATCH_SQL + "SELECT count(*) AS playlist_channels, count(*) FILTER (k < 3) AS matched, count(*) FILTER (k = 3) AS unmatched, CAST(0 AS BIGINT) AS ambiguous, count(*) FILTER (k = 0) AS exact_tvg_id, count(*) FILTER (k = 1) AS normalized_tvg_id, count(*) FILTER (k = 2) AS exact_name, round_even(100.0 * count(*) FILTER (k < 3) / count(*), 2)::DOUBLE AS coverage_percent FROM m",
@@ -531,14 +597,15 @@ def oracle_sql() -> dict[str, str]:
         "q21_entries": _RECORDS_SQL + "SELECT CAST(doc_id AS VARCHAR) AS source_id, pos AS ord, CASE WHEN pos < n THEN 3 ELSE 1 END AS n_lines, CASE WHEN pos < n THEN 'http://x/y' ELSE '' END AS url FROM r UNION ALL SELECT CAST(doc_id AS VARCHAR), 0, 1, '' FROM documents",
         "q22_attributes": r"SELECT page_id, regexp_extract(html, '<html[^>]*\blang=\"([^\"]*)\"', 1) AS lang, regexp_extract(html, '<meta[^>]*\bcharset=\"([^\"]*)\"', 1) AS charset FROM pages",
         "q23_json_props": "SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS INT)) AS BIGINT) AS total, count(json_extract(props, '$.k')) AS known FROM events GROUP BY event_type",
+        "q24_greedy_dedupe": _GREEDY_SQL,
         "q25_ordered_distinct": "WITH f AS (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY conv_id, role) SELECT conv_id, string_agg(role, ',' ORDER BY first) AS roles, any_value(n) AS turns FROM f JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) USING (conv_id) GROUP BY conv_id",
         "q26_anti_semi": "SELECT c_mktsegment, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS ordered, count(*) AS customers FROM customer GROUP BY 1, 2",
-        "q27_name_fold": "WITH f AS (SELECT doc_id, replace(strip_accents(lower(string_split(text, chr(10))[1])), 'ß', 'ss') AS t FROM documents) SELECT doc_id, regexp_replace(regexp_replace(t, '" + C.QUALITY + "', ' ', 'g'), '[^a-z0-9]+', '', 'g') AS name_key FROM f",
+        "q27_name_fold": "WITH f AS (SELECT doc_id, replace(strip_accents(lower(text)), 'ß', 'ss') AS t FROM documents) SELECT doc_id, regexp_replace(regexp_replace(t, '" + C.QUALITY + "', ' ', 'g'), '[^a-z0-9]+', '', 'g') AS name_key FROM f",
         "q27_quality_score": "SELECT p_partkey, CAST(CASE p_partkey % 5 WHEN 0 THEN 400 WHEN 1 THEN 300 WHEN 2 THEN 200 WHEN 3 THEN 100 ELSE 0 END AS INT) AS quality_score FROM part",
         "q28_union_sources": "WITH u AS (SELECT 0 AS s, 'documents' AS source, doc_id AS id, 0 AS turn, text FROM documents UNION ALL SELECT 1, 'benchmark', item_id, 0, text FROM benchmark UNION ALL SELECT 2, 'conversations', conv_id, turn, text FROM conversations) SELECT source, count(*) AS first_texts FROM (SELECT source FROM u QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY s, id, turn) = 1) GROUP BY source",
         "q29_look_ahead": "SELECT CAST(doc_id AS VARCHAR) AS source_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS web, 'http://end' AS web_url, CAST(1 AS BIGINT) AS v2, 'http://end' AS v2_url FROM documents",
-        "q30_registry_stats": "WITH r AS (SELECT * FROM documents WHERE trim(substr(text, 1, 30)) <> '' QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) = 1) SELECT count(*) AS channels, count(DISTINCT source) AS sources, count(DISTINCT lang) AS groups, CAST(0 AS BIGINT) AS tvg_ids FROM r",
-        "q30_registry_search": "WITH r AS (SELECT * FROM documents WHERE trim(substr(text, 1, 30)) <> '' QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) = 1) SELECT doc_id FROM r WHERE contains(lower(substr(text, 1, 30)), 'the')",
+        "q30_registry_stats": "WITH r AS (SELECT * FROM documents WHERE trim(text, chr(10) || chr(9) || ' ') <> '' QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) = 1) SELECT count(*) AS channels, count(DISTINCT source) AS sources, count(DISTINCT lang) AS groups, CAST(0 AS BIGINT) AS tvg_ids FROM r",
+        "q30_registry_search": "WITH r AS (SELECT * FROM documents WHERE trim(text, chr(10) || chr(9) || ' ') <> '' QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) = 1) SELECT doc_id FROM r WHERE contains(lower(text), 'the')",
         "q31_token_country": "SELECT page_id, 1700000000 + page_id * 1000 < 1700100000 - 60 AS expired, CASE WHEN page_id % 2 = 0 THEN 'match' ELSE 'mismatch' END AS country FROM pages",
         "q32_entities": "WITH c AS (SELECT n_nationkey, n_name, r_name, n_nationkey % 2 = 0 AS s FROM nation JOIN region ON n_regionkey = r_regionkey), e AS (SELECT n_nationkey, CASE WHEN s THEN 'it.' || lower(r_name) ELSE 'it.auto.' || trim(regexp_replace(lower(n_name), '[^a-z0-9]+', '.', 'g'), '.') END AS channel_id, CASE WHEN s THEN 'NEWS' ELSE 'ALTRO' END AS category, CASE WHEN s THEN r_name || ' (720p)' ELSE n_name END AS name FROM c) SELECT channel_id, any_value(category) AS category, string_agg(DISTINCT name, '|') AS aliases, string_agg('http://' || n_nationkey, '|' ORDER BY n_nationkey) AS streams FROM e GROUP BY channel_id",
         "q33_code_search": "WITH a AS (SELECT page_id, 'https://raw.githubusercontent.com/' || (page_id % 40) AS u FROM pages WHERE page_id % 6 = 0) SELECT min(page_id) AS ord, 'search-' || substr(sha256(u), 1, 16) AS id, CAST(200 AS INT) AS priority, CAST(35 AS INT) AS trust_score FROM a GROUP BY u",
