@@ -38,14 +38,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import table, written
+from .shared import scratch, table, written
 
 #: Characters of a line for each edit, and most edits.
 STEP = 20
 MOST = 6
 HOT = 100
 CELL = 512
-SIGNED, COUNTED = 4, 4
+SIGNED, COUNTED = 8, 4
 #: Shared keys, or hashes of lines, that are sent to all executors; 16 bytes each.
 FEW_KEYS = 1_000_000
 #: Characters after which the band looks whether the distance is out of reach.
@@ -320,11 +320,12 @@ def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", keep: list
     lines = split.withColumn("place", _place(docs.schema[id].dataType))
     hashes = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")]
 
-    distinct = lines.groupBy("line").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("times"))
-    distinct = written(distinct.select("line", "place", "times", F.length("line").alias("n"), *hashes), "distinct")
-    near = near_lines(distinct, Rule(step, most), hot=hot, cell=cell).withColumn("near", F.lit(True))
-    marks = distinct.where("times > 1").select("h", "g", "place").join(near, ["h", "g"], "full_outer")
-    marks = written(marks.select("h", "g", F.when(F.col("near").isNull(), F.col("place")).alias("kept_place")), "marks")
+    with scratch(docs.sparkSession):
+        distinct = lines.groupBy("line").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("times"))
+        distinct = written(distinct.select("line", "place", "times", F.length("line").alias("n"), *hashes), "distinct")
+        near = near_lines(distinct, Rule(step, most), hot=hot, cell=cell).withColumn("near", F.lit(True))
+        marks = distinct.where("times > 1").select("h", "g", "place").join(near, ["h", "g"], "full_outer")
+        marks = written(marks.select("h", "g", F.when(F.col("near").isNull(), F.col("place")).alias("kept_place")), "marks", keep=True)
     drops = (
         lines.select("id", "t", "line_no", "place", *hashes).join(marks, ["h", "g"])
         .where(F.col("kept_place").isNull() | (F.col("kept_place") != F.col("place")))
