@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import batches_of, bounded_batches, table, written
+from .shared import batches_of, bounded_batches, scratch, table, written
 from .words import STEP, U, Words, chunks, mixed
 
 SHINGLE = 5
@@ -260,11 +260,9 @@ def _pairs(members: DataFrame, cell: int) -> DataFrame:
     return met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
 
 
-def classes(docs: DataFrame, *, id: str = "doc_id", text: str = "text", cell: int = CELL) -> DataFrame:
-    """One row per row of docs: id, class_id (least id of its class) and class_size (its rows)."""
+def _known(docs: DataFrame, rows: DataFrame, id: str, text: str, cell: int) -> DataFrame:
+    """node, class_id and class_size of classes of several rows. rows: the sketches of docs."""
     spark = docs.sparkSession
-    bounded_batches(spark)
-    rows = written(sketch(docs, id, text), "sketches")
     nodes = rows.where("size > 0").groupBy("node").agg(F.min(F.struct("id", "t")).alias("row"), F.min("id").alias("least_id"), F.count(F.lit(1)).alias("n_rows"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     nodes = written(nodes, "nodes")
     bands = nodes.select("node", "size", F.explode("bands").alias("band"))
@@ -305,7 +303,16 @@ def classes(docs: DataFrame, *, id: str = "doc_id", text: str = "text", cell: in
     labels = nodes.select("node", "least_id", "n_rows").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(joined, "label", "left").select("node", "least_id", "n_rows", F.coalesce("joined", "label").alias("label"))
     labels = written(labels, "labels")
     totals = labels.groupBy("label").agg(F.min("least_id").alias("class_id"), F.sum("n_rows").alias("class_size")).where("class_size > 1")
-    known = written(labels.join(totals, "label").select("node", "class_id", "class_size"), "classes")
+    return written(labels.join(totals, "label").select("node", "class_id", "class_size"), "classes", keep=True)
+
+
+def classes(docs: DataFrame, *, id: str = "doc_id", text: str = "text", cell: int = CELL) -> DataFrame:
+    """One row per row of docs: id, class_id (least id of its class) and class_size (its rows)."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    rows = written(sketch(docs, id, text), "sketches")
+    with scratch(spark):
+        known = _known(docs, rows, id, text, cell)
     # a text that stands alone is its own class
     alone = F.col("class_size").isNull()
     found = rows.join(known, "node", "left")

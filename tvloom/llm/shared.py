@@ -34,9 +34,28 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables written inside are deleted at its end, but for those to keep."""
+    own: list[str] = []
+    _scratch.append(own)
+    try:
+        yield
+    finally:
+        _scratch.pop()
+        for path in own:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df as a written table in the shared folder: its lineage ends there and a lost executor costs no recomputation."""
     path = fresh(df.sparkSession, name)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
