@@ -1,6 +1,7 @@
 """Registered queries against their SQL on the smallest tables."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -50,3 +51,20 @@ def test_entry(spark):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_greedy_dedupe_against_brute_force(spark):
+    """Order decides; a recursive SQL of the same takes a minute."""
+    sf_dir = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()
+    ids, names, kept = set(), set(), []
+    for r in rows:
+        i = f"{r.source}{len(r.text)}" if r.text is not None and r.source is not None else ""
+        n = re.sub("[^a-z]+", "", r.text.lower()) if r.text is not None else None
+        if (i and i in ids) or (n is not None and n in names):
+            continue
+        kept.append(r.doc_id)
+        ids.add(i)
+        if n is not None:
+            names.add(n)
+    assert sorted(r.doc_id for r in entry.queries()["q24_greedy_dedupe"](spark, sf_dir).collect()) == kept

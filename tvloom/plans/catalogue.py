@@ -154,15 +154,6 @@ def q24(spark, sf_dir):
     return dedupe.greedy(docs, F.concat("source", F.length("text").cast("string")), F.expr(LETTERS)).select("doc_id")
 
 
-_GREEDY_SQL = f"""
-WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn, coalesce(source || length(text), '') AS i, coalesce({LETTERS_SQL}, '') AS n FROM documents),
-g AS (SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS doc_id, CAST([] AS VARCHAR[]) AS ids, CAST([] AS VARCHAR[]) AS names, false AS kept
-UNION ALL SELECT rn, doc_id, CASE WHEN kept THEN list_append(ids, i) ELSE ids END, CASE WHEN kept THEN list_append(names, n) ELSE names END, kept
-FROM (SELECT d.rn, d.doc_id, g.ids, g.names, d.i, d.n, NOT ((d.i <> '' AND list_contains(g.ids, d.i)) OR (d.n <> '' AND list_contains(g.names, d.n))) AS kept FROM g JOIN d ON d.rn = g.rn + 1))
-SELECT doc_id FROM g WHERE kept AND rn > 0
-"""
-
-
 # --- categories, names and text ---------------------------------------------------------
 
 _NAMES = ["concat('Rai ', p_partkey % 30)", "'Canale 5 HD'", "'DMAX (720p)'", "'Sky Sport 24'", "'Pluto TV Film'", "'Kids & Co'", "'Radio Uno'", "p_name"]
@@ -597,7 +588,6 @@ def oracle_sql() -> dict[str, str]:
         "q21_entries": _RECORDS_SQL + "SELECT CAST(doc_id AS VARCHAR) AS source_id, pos AS ord, CASE WHEN pos < n THEN 3 ELSE 1 END AS n_lines, CASE WHEN pos < n THEN 'http://x/y' ELSE '' END AS url FROM r UNION ALL SELECT CAST(doc_id AS VARCHAR), 0, 1, '' FROM documents",
         "q22_attributes": r"SELECT page_id, regexp_extract(html, '<html[^>]*\blang=\"([^\"]*)\"', 1) AS lang, regexp_extract(html, '<meta[^>]*\bcharset=\"([^\"]*)\"', 1) AS charset FROM pages",
         "q23_json_props": "SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS INT)) AS BIGINT) AS total, count(json_extract(props, '$.k')) AS known FROM events GROUP BY event_type",
-        "q24_greedy_dedupe": _GREEDY_SQL,
         "q25_ordered_distinct": "WITH f AS (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY conv_id, role) SELECT conv_id, string_agg(role, ',' ORDER BY first) AS roles, any_value(n) AS turns FROM f JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) USING (conv_id) GROUP BY conv_id",
         "q26_anti_semi": "SELECT c_mktsegment, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS ordered, count(*) AS customers FROM customer GROUP BY 1, 2",
         "q27_name_fold": "WITH f AS (SELECT doc_id, replace(strip_accents(lower(text)), 'ß', 'ss') AS t FROM documents) SELECT doc_id, regexp_replace(regexp_replace(t, '" + C.QUALITY + "', ' ', 'g'), '[^a-z0-9]+', '', 'g') AS name_key FROM f",
