@@ -79,9 +79,11 @@ def test_signatures_lose_no_pair(spark):
     signed = [{r.h: r for r in ld._signatures(df.selectExpr("i as h", "0 as g", f"{c} as line")).collect()} for c in "ab"]
     for i, a, b in pairs:
         differing = sum(((signed[0][i][f"s{w}"] ^ signed[1][i][f"s{w}"]) & (2**64 - 1)).bit_count() for w in range(ld.SIGNED))
-        assert differing <= 4 * distance(a, b)
-        counts = [[signed[k][i][f"c{w}"] >> 16 * lane & 0xFFFF for w in range(ld.COUNTED) for lane in range(4)] for k in (0, 1)]
-        assert sum(abs(x - y) for x, y in zip(*counts)) <= 2 * distance(a, b) and sum(counts[0]) == len(a)
+        longer = abs(len(a) - len(b))
+        assert differing + longer <= 4 * distance(a, b)
+        counts = sum(((signed[0][i][f"c{w}"] ^ signed[1][i][f"c{w}"]) & (2**64 - 1)).bit_count() for w in range(ld.COUNTED))
+        assert counts + longer <= 2 * distance(a, b)
+        assert any(signed[k][i][f"c{w}"] for k in (0, 1) for w in range(ld.COUNTED)) == any((a, b))
 
 
 def test_serial_numbers_and_a_text_of_repeated_lines(spark):
@@ -121,3 +123,27 @@ def test_edits_follow_the_length(spark, hot):
     assert len(got) == len(docs)
     for r in got:
         assert r.n_dropped == sum((d, t) == (r.doc_id, r.old) for d, t, _ in gone), r
+
+
+@pytest.mark.parametrize("moved", range(9))
+def test_cover(moved):
+    own, places = ld.cover(moved)
+    assert own <= set(places) and {b - a for a in own for b in places} >= set(range(-moved, moved + 1))
+
+
+@pytest.mark.parametrize("step,most", [(20, 6), (20, 9), (3, 4), (1, 3)])
+def test_a_segment_is_found_however_it_moved(step, most):
+    rule = ld.Rule(step, most)
+    rng = random.Random(step)
+    for _ in range(2_000):
+        c = rng.randrange(most + 1)
+        short = "".join(rng.choice("ab") if rng.random() < 0.2 else chr(rng.randrange(97, 123)) for _ in range(rng.randint(rule.classes[c], min(rule.highest[c], 300))))
+        other = mutated(rng, short, rng.randint(0, rule.allowed(rule.classes[c])))
+        if abs(len(other) - len(short)) > rule.allowed(rule.classes[c]) or distance(short, other) > rule.allowed(rule.classes[c]) or len(other) < len(short):
+            continue
+
+        def keys(line, own):
+            places = [(i, b if b >= 0 else len(line) + b, size) for _, i, b, size, o in rule.substrings(c) if o or not own]
+            return {(i, line[at : at + size]) for i, at, size in places}
+
+        assert keys(short, True) & keys(other, False)

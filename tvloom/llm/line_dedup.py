@@ -9,19 +9,23 @@ so shorter lines than STEP have to be equal.
 By length, lines fall into classes. In a class of t edits a line has t + 1 segments
 whose places depend on the class only, the first half counted from its begin, the
 others from its end: of two lines within t edits, one segment i of the shorter
-stands in the longer with at most i edits before it and t - i after it. So a line is
-indexed under its own segments and probes with the substrings that can be one of a
-shorter partner, also in the class below if its length is near the edge. First the
-keys that lines share are counted; only lines with such keys meet, by key and hash,
-and only pairs get their text. A pair is verified on what is left of it without its
+stands in the longer with at most i edits before it and t - i after it, so moved by
+m = min(i, t - i) places at most. A line is indexed under two substrings of each of its
+segments, and probes with those at few places, each of which one or the other finds, so
+that 2 m + 1 shifts cost about m + 1 keys (see `cover`). A line also probes in the class
+below if its length is near the edge. First the keys that lines share are counted;
+only lines with such keys meet, by key and hash, and only pairs get their text. A pair is verified on what is left of it without its
 common begin and end, by the band of 2 t + 1 diagonals of the edit matrix, held as
 bits and advanced one character at a time until the distance is out of reach.
 
 Before its text, a pair has to pass on signatures: SIGNED longs of bits, each the
-parity of the line's pairs of neighbouring characters that hash to it. An edit takes two such
-pairs away and brings two at most, so lines within t edits differ in 4 t bits at most;
-no pair within its edits is lost. COUNTED longs more count the characters that hash to each of their
-four parts; an edit changes two of these counts by one at most.
+parity of the line's pairs of neighbouring characters that hash to it. COUNTED longs more
+hold, for each of their PARTS, how many characters hash to it, modulo eight, as four bits in a code
+whose neighbours differ in one bit: where counts differ by d, the codes differ in d bits at most.
+A substitution changes four bits
+at most, two counts by one, and no length; an insertion or deletion three bits, one count and
+the length by one. So with the difference of lengths, lines within t edits differ by 4 t in bits
+and by 2 t in counts at most; no pair within its edits is lost.
 
 A key of more than HOT lines is boilerplate. Its lines are first compared with its
 earliest one, which settles those within the edits; the others meet in cells of about
@@ -34,6 +38,8 @@ Columns in `keep` may have any names but those of the result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,13 +51,22 @@ STEP = 20
 MOST = 6
 HOT = 100
 CELL = 512
-SIGNED, COUNTED = 8, 4
+SIGNED, COUNTED, PARTS = 8, 2, 16
+#: The lowest bit of each of the four counts that a sum holds.
+LOWEST = 0x0001000100010001
 #: Shared keys, or hashes of lines, that are sent to all executors; 16 bytes each.
 FEW_KEYS = 1_000_000
 #: Characters after which the band looks whether the distance is out of reach.
 STRETCH = 16
 
 
+def cover(moved: int) -> tuple[set[int], list[int]]:
+    """Two places in a segment, 0 and the other, and places that hold them: each move of up to `moved` takes one of the two to a place."""
+    if moved in (0, 2):
+        return {0, moved}, list(range(moved + 1))
+    return {0, 1}, [*range(-(moved // 2) * 2, 0, 2), 0, 1, *range(3, moved + 2, 2)]
+
+
 class Rule:
     """Edits by length, and the classes by their least lengths."""
 
@@ -70,17 +85,20 @@ class Rule:
         """Edits of a class."""
         return F.element_at(F.array(*[F.lit(self.allowed(x)) for x in self.classes]), c + 1)
 
-    def probes(self, c: int) -> Column:
-        """Segments of class c: number, place (negative: from the end), size, and whether it is a line's own."""
+    def substrings(self, c: int) -> list[tuple[int, int, int, int, bool]]:
+        """Those of the segments of class c: c, segment, place (negative: from the end), size, and whether lines are indexed under it."""
         edits = self.allowed(self.classes[c])
         size, out = self.classes[c] // (edits + 1), []
         for i in range(edits + 1):
-            first = i <= edits - i
-            begin, most = (i * size, i) if first else (-(edits + 1 - i) * size, edits - i)
-            for shift in range(-most, most + 1):
-                out.append((c, i, begin + shift, size, shift == 0))
+            begin, moved = (i * size, i) if i <= edits - i else (-(edits + 1 - i) * size, edits - i)
+            own, places = cover(moved)
+            out += [(c, i, begin + place, max(size - max(own), 0), place in own) for place in places]
+        return out
+
+    def probes(self, c: int) -> Column:
+        """The substrings of class c as an array."""
         names = ("c", "i", "begin", "size", "own")
-        structs = ["named_struct(" + ", ".join(f"'{k}', {str(v).lower()}" for k, v in zip(names, row)) + ")" for row in out]
+        structs = ["named_struct(" + ", ".join(f"'{k}', {str(v).lower()}" for k, v in zip(names, row)) + ")" for row in self.substrings(c)]
         return F.expr(f"array({', '.join(structs)})")
 
 
@@ -88,7 +106,7 @@ _PROBES = "array<struct<c:int,i:int,begin:int,size:int,own:boolean>>"
 _LINE = ("h", "g", "n", "place")
 _SIGNATURE = (*[f"s{w}" for w in range(SIGNED)], *[f"c{w}" for w in range(COUNTED)])
 _SIDE = (*_LINE, *_SIGNATURE)
-#: Characters of a line up to which a count can't run over.
+#: Characters of a line up to which no count can run over 16 bits.
 COUNTABLE = 1 << 15
 
 
@@ -117,8 +135,17 @@ def _signatures(lines: DataFrame) -> DataFrame:
         return F.call_function("shiftleft", F.lit(1).cast("long"), by.cast("int"))
 
     bits = [F.bit_xor(F.when(F.col("pair") & (F.shiftrightunsigned("x", 6) % SIGNED == w), bit(F.col("x").bitwiseAND(63))).otherwise(0)).alias(f"s{w}") for w in range(SIGNED)]
-    counts = [F.sum(F.when(F.shiftrightunsigned("y", 6) % COUNTED == w, bit(F.col("y").bitwiseAND(3) * 16)).otherwise(0)).alias(f"c{w}") for w in range(COUNTED)]
-    return hashed.groupBy("h", "g").agg(*bits, *counts)
+    # four counts of 16 bits in a sum
+    sums = [F.sum(F.when(F.shiftrightunsigned("y", 6) % (COUNTED * PARTS // 4) == w, bit(F.col("y").bitwiseAND(3) * 16)).otherwise(0)).alias(f"n{w}") for w in range(COUNTED * PARTS // 4)]
+
+    def coded(w: int) -> Column:
+        """The codes of four counts at once: bit 2 of the count, and of the count and one, two and three more."""
+        count = F.coalesce(f"n{w}", F.lit(0)).bitwiseAND(F.lit(7 * LOWEST))
+        bits = [F.shiftleft(F.shiftrightunsigned(count + k * LOWEST, 2).bitwiseAND(F.lit(LOWEST)), 3 - k) for k in range(4)]
+        return F.shiftleft(reduce(Column.bitwiseOR, bits), w % 4 * 4)
+
+    counts = [reduce(Column.bitwiseOR, map(coded, range(w * PARTS // 4, (w + 1) * PARTS // 4))).alias(f"c{w}") for w in range(COUNTED)]
+    return hashed.groupBy("h", "g").agg(*bits, *sums).select("h", "g", *[f"s{w}" for w in range(SIGNED)], *counts)
 
 
 def _joined(rows: DataFrame, few: DataFrame, by: list[str]) -> DataFrame:
@@ -157,14 +184,13 @@ def near_lines(lines: DataFrame, rule: Rule, *, hot: int = HOT, cell: int = CELL
 
 def _alike(rule: Rule) -> Column:
     """Whether lengths and signatures of a and b allow the edits of class c."""
-    differing = sum((F.bit_count(F.col(f"a_s{w}").bitwiseXOR(F.col(f"b_s{w}"))) for w in range(SIGNED)), F.lit(0))
-    edits, moved = rule.edits(F.col("c")), F.lit(0)
-    for w in range(COUNTED):
-        for lane in range(4):
-            side = [F.shiftrightunsigned(f"{x}_c{w}", 16 * lane).bitwiseAND(F.lit(0xFFFF)) for x in "ab"]
-            moved = moved + F.abs(side[0] - side[1])
+    def differing(names: list[str]) -> Column:
+        return reduce(Column.__add__, [F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in names])
+
+    edits, longer = rule.edits(F.col("c")), F.abs(F.col("a_n") - F.col("b_n"))
+    bits, counts = differing([f"s{w}" for w in range(SIGNED)]), differing([f"c{w}" for w in range(COUNTED)])
     countable = F.greatest("a_n", "b_n") < COUNTABLE
-    return (F.abs(F.col("a_n") - F.col("b_n")) <= edits) & (differing <= 4 * edits) & (~countable | (moved <= 2 * edits))
+    return (longer <= edits) & (bits + longer <= 4 * edits) & (~countable | (counts + longer <= 2 * edits))
 
 
 def _pairs(rows: DataFrame, rule: Rule, cell: int = 0) -> DataFrame:

@@ -56,7 +56,7 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     path = fresh(df.sparkSession, name)
     if _scratch and not keep:
         _scratch[-1].append(path)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
