@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import scores, text, urls
 from ..operators import alternates, cluster, dedupe, export, guide, health, keyed, match, policy, rank, source_registry
-from ..sources import catalog, playlist
+from ..sources import catalog, playlist, xmltv
 
 NO_ATTRIBUTES = "cast(map() as map<string,string>)"
 NO_DIRECTIVES = "cast(array() as array<string>)"
@@ -521,9 +521,68 @@ def q38(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", text.playlist_id_key(info).alias("id_key"), text.playlist_name_key(info).alias("entry_key"))
 
 
+# --- guides as documents ----------------------------------------------------------------
+
+
+def _guide_items(spark, sf_dir):
+    """The events of a user as one guide document in document order; every 17th user's isn't closed."""
+    title = F.when(F.col("event_id") % 11 == 0, "").otherwise(F.concat(F.lit('<title lang="en">x</title><title lang="it">'), "event_type", F.lit("</title>")))
+    start = F.when(F.col("event_id") % 13 == 0, "soon").otherwise(F.date_format("ts", "yyyyMMddHH"))
+    channel = F.when(F.col("event_id") % 19 == 0, "").otherwise(F.concat(F.lit("U"), F.col("user_id").cast("string")))
+    programme = F.concat(F.lit('<programme channel="'), channel, F.lit('" start="'), start, F.lit('0000 +0100">'), title, F.lit("<category>A</category><category>a</category></programme>"))
+    programme = F.replace(programme, F.lit("soon0000 +0100"), F.lit("soon"))
+    each = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", programme.alias("p")))), lambda x: x["p"]), "").alias("body"))
+    user = F.col("user_id").cast("string")
+    head = F.concat(F.lit('<tv><channel id="U'), user, F.lit('"><display-name>A</display-name></channel><channel id="u'), user, F.lit('"><display-name>B</display-name><icon src="i"/></channel><channel/>'))
+    body = F.concat(head, "body", F.when(F.col("user_id") % 17 == 0, "").otherwise("</tv>"))
+    return xmltv.read_items(each.select(F.col("user_id").cast("long").alias("doc_ord"), F.concat(F.lit("u"), user).alias("source_url"), F.lit("g.xml").alias("filename"), F.encode(body, "UTF-8").alias("body")))
+
+
+_GUIDE_SQL = """
+WITH e AS (SELECT CAST(user_id AS BIGINT) AS user_id, event_id, CASE WHEN event_id % 19 = 0 THEN '' ELSE 'U' || user_id END AS channel_id, CASE WHEN event_id % 13 = 0 THEN 'soon' ELSE strftime(ts, '%Y%m%d%H') || '0000 +0100' END AS start,
+  CASE WHEN event_id % 11 = 0 THEN '' ELSE event_type END AS title, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) - 3600 AS at_seconds FROM events WHERE user_id % 17 <> 0),
+c AS (SELECT *, CASE WHEN channel_id = '' THEN 'programme without channel' WHEN start = 'soon' THEN 'bad start' WHEN title = '' THEN 'programme without title' END AS problem FROM e),
+f AS (SELECT * FROM c WHERE problem IS NULL QUALIFY row_number() OVER (PARTITION BY user_id, start, title ORDER BY event_id) = 1)
+"""
+
+
+def q41(spark, sf_dir):
+    got = xmltv.programmes(_guide_items(spark, sf_dir))
+    return got.select("channel_id", "start", "title", F.array_join("categories", ",").alias("categories"), F.unix_timestamp(xmltv.instant(F.col("start"))).alias("at_seconds"))
+
+
+def q41_channels(spark, sf_dir):
+    got = xmltv.channels(_guide_items(spark, sf_dir))
+    return got.select("doc_ord", "channel_id", F.array_join("display_names", ",").alias("names"), "icon_url")
+
+
+def q41_problems(spark, sf_dir):
+    return xmltv.checked(_guide_items(spark, sf_dir)).where("problem is not null").groupBy("doc_ord", "problem").agg(F.count(F.lit(1)).alias("programmes"))
+
+
+def q41_stats(spark, sf_dir):
+    got = xmltv.stats(_guide_items(spark, sf_dir))
+    return got.select("doc_ord", *[F.col(c).cast("long").alias(c) for c in ("channels_found", "channels_created", "channel_duplicates", "programmes_found", "programmes_created", "programme_duplicates", "programmes_skipped")])
+
+
+def q41_refused(spark, sf_dir):
+    return _guide_items(spark, sf_dir).where("kind = 'document'").select("doc_ord", F.col("error").isNotNull().alias("refused"))
+
+
+def q42(spark, sf_dir):
+    """Customers named like a region, which several guide channels are, or like one of them."""
+    shown = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    guide_rows = shown.select(F.col("n_nationkey").cast("long").alias("ord"), F.concat("n_name", F.lit(".it")).alias("channel_id"), F.array(F.concat(F.lit("Tele "), "n_name"), F.concat(F.lit("Canale "), "r_name")).alias("display_names"))
+    rows = _t(spark, sf_dir, "customer").join(shown, F.col("c_nationkey") == F.col("n_nationkey"))
+    name = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("Canale "), "r_name")).otherwise(F.concat(F.lit("Tele "), "n_name"))
+    found = match.match(rows.select(F.col("c_custkey").alias("ord"), name.alias("name"), F.lit("").alias("tvg_id"), F.lit("").alias("tvg_name")), guide_rows)
+    return found.select(F.col("ord").alias("c_custkey"), "status", "guide_id", "score", "candidates")
+
+
 def queries() -> dict:
     return {
         "q34_shallow_verdict": q34, "q35_direct_verdict": q35, "q36_clean_lines": q36, "q37_scores": q37, "q38_entry_keys": q38,
+        "q41_guide_programmes": q41, "q41_guide_channels": q41_channels, "q41_guide_problems": q41_problems, "q41_guide_stats": q41_stats, "q41_guide_refused": q41_refused, "q42_ambiguous_match": q42,
         "q01_url_key": q01, "q02_url_first_wins": q02, "q02_upsert_keeps_place": q02_upsert, "q03_best_per_key": q03, "q04_selection_reason": q04, "q05_components": q05,
         "q06_cluster_stats": q06, "q06_collisions": q06_collisions, "q07_category_cascade": q07, "q08_tiered_match": q08, "q08_match_stats": q08_stats, "q09_fuzzy_match": q09,
         "q10_richness_merge": q10, "q11_priority_merge": q11, "q12_now_playing": q12, "q12_airing": q12_airing, "q12_at_instants": q12_at_instants, "q13_rome_day_counts": q13,
@@ -555,6 +614,12 @@ def oracle_sql() -> dict[str, str]:
         "q36_clean_lines": "SELECT page_id, url, 'a ' || url || ' b' AS line FROM pages",
         "q37_scores": "SELECT c_custkey, CAST(CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 30 END + CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 20 END + CASE WHEN c_acctbal > 0 THEN 20 ELSE 0 END + 15 + least(10, 1 + c_custkey % 14 - (1 + c_custkey % 14) // 4) + least(5, c_custkey % 8) AS INT) AS metadata_score, CAST(CASE c_custkey % 3 WHEN 0 THEN 20 WHEN 1 THEN 10 ELSE 0 END + CASE WHEN c_custkey % 4 = 0 THEN 5 ELSE 0 END AS INT) AS transport_score FROM customer",
         "q38_entry_keys": "SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS id_key, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS entry_key FROM part",
+        "q41_guide_programmes": _GUIDE_SQL + "SELECT channel_id, start, title, 'A' AS categories, at_seconds FROM f",
+        "q41_guide_channels": "SELECT DISTINCT CAST(user_id AS BIGINT) AS doc_ord, 'U' || user_id AS channel_id, 'A,B' AS names, 'i' AS icon_url FROM events WHERE user_id % 17 <> 0",
+        "q41_guide_problems": _GUIDE_SQL + "SELECT user_id AS doc_ord, problem, count(*) AS programmes FROM c WHERE problem IS NOT NULL GROUP BY ALL",
+        "q41_guide_stats": _GUIDE_SQL + "SELECT u.user_id AS doc_ord, CASE WHEN refused THEN 0 ELSE 3 END::BIGINT AS channels_found, CASE WHEN refused THEN 0 ELSE 1 END::BIGINT AS channels_created, CASE WHEN refused THEN 0 ELSE 1 END::BIGINT AS channel_duplicates, coalesce(programmes, 0) AS programmes_found, coalesce(n, 0) AS programmes_created, coalesce(taken, 0) - coalesce(n, 0) AS programme_duplicates, coalesce(programmes - taken, 0) AS programmes_skipped FROM (SELECT DISTINCT CAST(user_id AS BIGINT) AS user_id, user_id % 17 = 0 AS refused FROM events) u LEFT JOIN (SELECT user_id, count(*) AS programmes, count(*) FILTER (problem IS NULL) AS taken FROM c GROUP BY user_id) p ON u.user_id = p.user_id LEFT JOIN (SELECT user_id, count(*) AS n FROM f GROUP BY user_id) g ON u.user_id = g.user_id",
+        "q41_guide_refused": "SELECT DISTINCT CAST(user_id AS BIGINT) AS doc_ord, user_id % 17 = 0 AS refused FROM events",
+        "q42_ambiguous_match": "WITH g AS (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey) SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 AND n > 1 THEN 'ambiguous' ELSE 'matched' END AS status, CASE WHEN c_custkey % 2 = 0 AND n > 1 THEN NULL ELSE n_name || '.it' END AS guide_id, CAST(92 AS DOUBLE) AS score, CASE WHEN c_custkey % 2 = 0 THEN n ELSE 1 END AS candidates FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN g USING (n_regionkey)",
         "q01_url_key": f"SELECT page_id, {_URL_KEY_SQL} AS url_key FROM ({_URL_PARTS_SQL})",
         "q02_url_first_wins": f"SELECT regexp_replace(h, ':[0-9]*$', '') AS key, min(page_id) AS page_id FROM ({_URL_PARTS_SQL}) GROUP BY 1",
         "q02_upsert_keeps_place": f"SELECT regexp_replace(h, ':[0-9]*$', '') AS key, min(page_id) AS place, max(page_id) AS last_page FROM ({_URL_PARTS_SQL}) GROUP BY 1",
