@@ -579,10 +579,33 @@ def q42(spark, sf_dir):
     return found.select(F.col("ord").alias("c_custkey"), "status", "guide_id", "score", "candidates")
 
 
+# --- the deep probe ---------------------------------------------------------------------
+
+
+def q43(spark, sf_dir):
+    """Pages as streams, each of ten kinds of answers, judged down to the first segment."""
+    pages = _t(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("ord"), F.col("page_id").cast("string").alias("id"), (F.col("page_id") % 10).cast("int").alias("k"))
+    first = F.concat(F.lit("http://h/"), "id")
+    media = "#EXTM3U\n#EXT-X-TARGETDURATION:6\n#EXTINF:6,\n"
+    segment, variants = F.concat(F.lit(media), "id", F.lit("/s.ts")), F.concat(F.lit("#EXTM3U\n#EXT-X-STREAM-INF:BANDWIDTH=900,CODECS=\"avc1\"\n"), "id", F.lit("/gone\n#EXT-X-STREAM-INF:BANDWIDTH=500,CODECS=\"avc1\"\n"), "id", F.lit("/v"))
+    only = F.concat(F.lit("#EXTM3U\n#EXT-X-STREAM-INF:BANDWIDTH=900,CODECS=\"av01\"\n"), "id", F.lit("/v"))
+    body = F.when(F.col("k") == 0, variants).when(F.col("k") == 3, "#EXTM3U\n#EXT-X-KEY:METHOD=SAMPLE-AES").when(F.col("k") == 6, "#EXTM3U").when(F.col("k") == 8, only).when(F.col("k") == 9, F.repeat(F.lit("G"), 200)).otherwise(segment)
+
+    def answers(rows, url, status, kind, body, final=None):
+        return rows.select(url.alias("url"), status.cast("int").alias("http_status"), F.lit(kind).alias("content_type"), (url if final is None else final).alias("final_url"), F.encode(body, "UTF-8").alias("body"), F.lit(100).alias("elapsed_ms"))
+
+    responses = answers(pages.where("k <> 4"), first, F.when(F.col("k") == 5, 500).otherwise(200), "video/mp2t", body)
+    responses = responses.union(answers(pages.where("k = 0"), F.concat(first, F.lit("/v")), F.lit(200), "", F.concat(F.lit(media), F.lit("s.ts"))))
+    responses = responses.union(answers(pages.where("k in (0, 1, 2, 7)"), F.concat(first, F.lit("/s.ts")), F.when(F.col("k") == 2, 404).otherwise(200), "", F.when(F.col("k") == 7, "<html>").otherwise(F.repeat(F.lit("G"), 200))))
+    channels = pages.select("ord", F.lit("n").alias("name"), first.alias("stream_url"), F.lit("s").alias("source_id"), F.expr(NO_ATTRIBUTES).alias("attributes"))
+    got = health.probe(channels, responses, now=1_700_000_000, deep=True)
+    return got.select(F.col("ord").alias("page_id"), "status", F.col("classification_reason").alias("reason"), "http_status", "segment_http_status", F.col("health_score").cast("int").alias("health_score"))
+
+
 def queries() -> dict:
     return {
         "q34_shallow_verdict": q34, "q35_direct_verdict": q35, "q36_clean_lines": q36, "q37_scores": q37, "q38_entry_keys": q38,
-        "q41_guide_programmes": q41, "q41_guide_channels": q41_channels, "q41_guide_problems": q41_problems, "q41_guide_stats": q41_stats, "q41_guide_refused": q41_refused, "q42_ambiguous_match": q42,
+        "q41_guide_programmes": q41, "q41_guide_channels": q41_channels, "q41_guide_problems": q41_problems, "q41_guide_stats": q41_stats, "q41_guide_refused": q41_refused, "q42_ambiguous_match": q42, "q43_deep_probe": q43,
         "q01_url_key": q01, "q02_url_first_wins": q02, "q02_upsert_keeps_place": q02_upsert, "q03_best_per_key": q03, "q04_selection_reason": q04, "q05_components": q05,
         "q06_cluster_stats": q06, "q06_collisions": q06_collisions, "q07_category_cascade": q07, "q08_tiered_match": q08, "q08_match_stats": q08_stats, "q09_fuzzy_match": q09,
         "q10_richness_merge": q10, "q11_priority_merge": q11, "q12_now_playing": q12, "q12_airing": q12_airing, "q12_at_instants": q12_at_instants, "q13_rome_day_counts": q13,
@@ -620,6 +643,7 @@ def oracle_sql() -> dict[str, str]:
         "q41_guide_stats": _GUIDE_SQL + "SELECT u.user_id AS doc_ord, CASE WHEN refused THEN 0 ELSE 3 END::BIGINT AS channels_found, CASE WHEN refused THEN 0 ELSE 1 END::BIGINT AS channels_created, CASE WHEN refused THEN 0 ELSE 1 END::BIGINT AS channel_duplicates, coalesce(programmes, 0) AS programmes_found, coalesce(n, 0) AS programmes_created, coalesce(taken, 0) - coalesce(n, 0) AS programme_duplicates, coalesce(programmes - taken, 0) AS programmes_skipped FROM (SELECT DISTINCT CAST(user_id AS BIGINT) AS user_id, user_id % 17 = 0 AS refused FROM events) u LEFT JOIN (SELECT user_id, count(*) AS programmes, count(*) FILTER (problem IS NULL) AS taken FROM c GROUP BY user_id) p ON u.user_id = p.user_id LEFT JOIN (SELECT user_id, count(*) AS n FROM f GROUP BY user_id) g ON u.user_id = g.user_id",
         "q41_guide_refused": "SELECT DISTINCT CAST(user_id AS BIGINT) AS doc_ord, user_id % 17 = 0 AS refused FROM events",
         "q42_ambiguous_match": "WITH g AS (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey) SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 AND n > 1 THEN 'ambiguous' ELSE 'matched' END AS status, CASE WHEN c_custkey % 2 = 0 AND n > 1 THEN NULL ELSE n_name || '.it' END AS guide_id, CAST(92 AS DOUBLE) AS score, CASE WHEN c_custkey % 2 = 0 THEN n ELSE 1 END AS candidates FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN g USING (n_regionkey)",
+        "q43_deep_probe": "WITH p AS (SELECT CAST(page_id AS BIGINT) AS page_id, CAST(page_id % 10 AS INT) AS k FROM pages) SELECT page_id, CASE WHEN k IN (0, 1, 9) THEN 'online' ELSE 'offline' END AS status, CASE k WHEN 0 THEN 'hls_segment_verified' WHEN 1 THEN 'hls_segment_verified' WHEN 2 THEN 'hls_segment_http_error' WHEN 3 THEN 'hls_drm_detected' WHEN 4 THEN 'network_error' WHEN 5 THEN 'http_error' WHEN 6 THEN 'hls_no_media_segment' WHEN 7 THEN 'hls_invalid_media_segment' WHEN 8 THEN 'hls_unsupported_codec' ELSE 'direct_media_verified' END AS reason, CAST(CASE k WHEN 4 THEN NULL WHEN 5 THEN 500 ELSE 200 END AS INT) AS http_status, CAST(CASE WHEN k IN (0, 1, 7) THEN 200 WHEN k = 2 THEN 404 END AS INT) AS segment_http_status, CAST(CASE k WHEN 0 THEN 100 WHEN 1 THEN 100 WHEN 9 THEN 92 ELSE 0 END AS INT) AS health_score FROM p",
         "q01_url_key": f"SELECT page_id, {_URL_KEY_SQL} AS url_key FROM ({_URL_PARTS_SQL})",
         "q02_url_first_wins": f"SELECT regexp_replace(h, ':[0-9]*$', '') AS key, min(page_id) AS page_id FROM ({_URL_PARTS_SQL}) GROUP BY 1",
         "q02_upsert_keeps_place": f"SELECT regexp_replace(h, ':[0-9]*$', '') AS key, min(page_id) AS place, max(page_id) AS last_page FROM ({_URL_PARTS_SQL}) GROUP BY 1",
