@@ -87,3 +87,8 @@ def test_alternates(spark):
     s = alternates.stats(df).first()
     assert (s.generated_alternatives, s.skipped_duplicate_urls, s.direct_pluto_channels, s.missing_channel_id) == (1, 1, 2, 0)
     assert alternates.generated(alternates.expand(df)).count() == 0
+
+
+def test_of_several_responses_the_least_status_counts(spark):
+    got = probe(spark, ["a", "b"], [("a", 404, "", b""), ("a", 200, "", b"x"), ("b", None, "", b""), ("b", 503, "", b"")], deep=False)
+    assert [r for _, r, _ in got] == ["payload_reachable", "http_error"]
