@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, exact_dedup, html_extract, langid, line_dedup, near_dedup, pii, sharding, warc
+from . import bpe, decontam, exact_dedup, html_extract, langid, line_dedup, near_dedup, pii, runs, sharding, variants, warc, word_bpe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html": html_extract.pages_query,
         "op9_shard": sharding.documents_query,
         "op10_warc": warc.pages_query,
+        "op11_variants": variants.documents_query,
+        "op12_word_bpe": word_bpe.documents_query,
+        "op13_runs": runs.documents_query,
     }
 
 

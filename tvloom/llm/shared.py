@@ -7,10 +7,14 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Whole texts that go to Python at once.
 BATCH_ROWS, BATCH_BYTES = 1_000, 16_000_000
@@ -82,6 +86,30 @@ def batches_of(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
+def mapped(docs: DataFrame, inputs: list[Column], keep: list[str], fields: list[T.StructField], begin: Callable[[], Callable[..., list[list]]]) -> DataFrame:
+    """The columns `keep` of docs and new `fields`, made in Arrow batches of bounded size.
+
+    begin() is called once a task; what it returns takes the arrays of the inputs and returns a list of values a field.
+    What is kept travels in a struct, so that its names clash with none. A name both kept and new is refused.
+    """
+    clash = set(keep) & {f.name for f in fields}
+    if clash:
+        raise ValueError(f"columns both kept and new: {sorted(clash)}")
+    bounded_batches(docs.sparkSession)
+    schema = T.StructType([docs.schema[c] for c in keep] + fields)
+    types = [to_arrow_schema(T.StructType([f])).field(0).type for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = begin()
+        for batch in batches:
+            new = [pa.array(values, kind) for values, kind in zip(made(*batch.columns[1:]), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).field(i) for i in range(len(keep))] + new, names=schema.names)
+
+    # a struct of no fields can't travel
+    kept = F.struct(*[docs[c] for c in keep]) if keep else F.lit(0)
+    return docs.select(kept.alias("k"), *[c.alias(f"i{n}") for n, c in enumerate(inputs)]).mapInArrow(run, schema)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z, nothing else. `lower` alone does the same where no other letter is present, and is faster."""
     return F.when(text.rlike("[^\\x00-\\x7F]"), F.translate(text, LETTERS, LETTERS.lower())).otherwise(F.lower(text))
