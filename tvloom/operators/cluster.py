@@ -7,15 +7,33 @@ import re
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text, urls
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables written inside are deleted at its end, but for those to keep."""
+    own: list[str] = []
+    _scratch.append(own)
+    try:
+        yield
+    finally:
+        _scratch.pop()
+        for path in own:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df as a table in the folder of spark.checkpoint.dir: a loop's lineage must end somewhere that survives a lost executor.
 
     A folder of this machine's serves only where none is named and all tasks run in this process, as in tests.
@@ -29,6 +47,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
         atexit.register(shutil.rmtree, shared.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", shared)
     path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -46,6 +66,11 @@ def components(members: DataFrame, node: str = "ord") -> DataFrame:
     Labels move over key groups, so a key of n nodes costs n rows and not n * n; then each label takes its own label, so
     long chains shrink by half a round.
     """
+    with scratch(members.sparkSession):
+        return written(_labels(members, node), "components", keep=True).toDF(node, "cluster")
+
+
+def _labels(members: DataFrame, node: str) -> DataFrame:
     edges = written(members.select(F.col(node).alias("node"), F.struct("type", "key").alias("k")).distinct(), "edges")
     labels = written(edges.select("node", F.col("node").alias("label")).distinct(), "labels")
     while True:
@@ -56,7 +81,7 @@ def components(members: DataFrame, node: str = "ord") -> DataFrame:
         moved = written(moved, "labels")
         labels = moved.select("node", "label")
         if not moved.where("label <> old").take(1):
-            return labels.toDF(node, "cluster")
+            return labels
 
 
 def cluster(channels: DataFrame) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..functions.constants import TRUSTED
 from ..sources import catalog
-from .cluster import components
+from .cluster import scratch, written
 from .dedupe import greedy
 
 
@@ -38,39 +39,64 @@ def add(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def upsert(rows: DataFrame) -> DataFrame:
     """What becomes of each valid row when known ids are replaced: action (inserted, replaced, skipped, clash), and
-    whether its values stand at the end, in the place of the id's first row.
+    place: of the rows that stand at the end, the place of the id's first row (else null).
 
-    A new id is skipped if its URL is owned; a replacement whose URL another id owns is a clash. Rows that share no key
-    don't meet, so each component is decided by itself, in order.
+    A new id is skipped if its URL is owned; a replacement whose URL another id owns is a clash; a replacement gives up
+    the URL before it. Rows are taken in order, but by rounds over tables: each settles all rows whose id and URL no open
+    row before them can change (see `_settled`).
     """
     good, _ = checked(rows)
-    keyed = good.withColumns({"__id": id_key(), "__url": url_key()})
-    members = keyed.select("ord", F.explode(F.array(F.struct(F.lit("id").alias("type"), F.col("__id").alias("key")), F.struct(F.lit("url").alias("type"), F.col("__url").alias("key")))).alias("k")).select("ord", "k.*")
-
-    def decide(batch: pd.DataFrame) -> pd.DataFrame:
-        owner: dict[str, str] = {}
-        current: dict[str, tuple[int, int, str]] = {}  # id: place, row that stands, its URL
-        out = []
-        for ord, i, u in batch.sort_values("ord")[["ord", "__id", "__url"]].itertuples(index=False):
-            holder = owner.get(u)
-            if i in current:
-                if holder not in (None, i):
-                    out.append((ord, "clash"))
-                    continue
-                place, _, old = current[i]
-                owner.pop(old, None)
-                current[i], owner[u] = (place, ord, u), i
-                out.append((ord, "replaced"))
-            elif holder is not None:
-                out.append((ord, "skipped"))
-            else:
-                current[i], owner[u] = (ord, ord, u), i
-                out.append((ord, "inserted"))
-        place = {row: first for first, row, _ in current.values()}
-        return pd.DataFrame({"ord": [o for o, _ in out], "action": [a for _, a in out], "place": pd.array([place.get(o) for o, _ in out], dtype="Int64")})
-
-    decided = keyed.join(components(members), "ord").groupBy("cluster").applyInPandas(decide, "ord long, action string, place long")
-    return good.join(decided, "ord")
+    with scratch(rows.sparkSession):
+        open_ = written(good.select("ord", id_key().alias("i"), url_key().alias("u")), "open")
+        # ids whose URLs no other id has: the first row is inserted, the others replace it
+        shared = open_.groupBy("u").agg(F.min("i").alias("least"), F.max("i").alias("most")).where("least <> most").select("u")
+        mixed = open_.join(shared, "u", "left_semi").select("i").distinct()
+        own = open_.join(mixed, "i", "left_anti")
+        ends = own.groupBy("i").agg(F.min("ord").alias("place"), F.max("ord").alias("row"))
+        actions = [written(own.join(ends, "i").select("ord", F.when(F.col("ord") == F.col("place"), "inserted").otherwise("replaced").alias("action")), "actions")]
+        standing = [ends.select("place", "row")]
+        open_ = written(open_.join(mixed, "i", "left_semi"), "open")
+        current = open_.limit(0).select("i", F.col("ord").alias("place"), F.col("ord").alias("row"), "u")
+        while open_.take(1):
+            settled = written(_settled(open_, current), "settled")
+            actions.append(settled.select("ord", "action"))
+            # an id's last row that counts stands, in the place of its first
+            new = settled.where("action in ('inserted', 'replaced')").groupBy("i").agg(F.min("ord").alias("first"), F.max("ord").alias("row"), F.max_by("u", "ord").alias("new_u"))
+            both = current.join(new.withColumnRenamed("row", "new_row"), "i", "full_outer")
+            current = written(both.select("i", F.coalesce("place", "first").alias("place"), F.coalesce("new_row", "row").alias("row"), F.coalesce("new_u", "u").alias("u")), "current")
+            open_ = written(open_.join(settled, "ord", "left_anti"), "open")
+        standing.append(current.select("place", "row"))
+        done = reduce(DataFrame.union, actions).join(reduce(DataFrame.union, standing).withColumnRenamed("row", "ord"), "ord", "left")
+        done = written(done, "decided", keep=True)
+    return good.join(done, "ord")
+
+
+def _settled(open_: DataFrame, current: DataFrame) -> DataFrame:
+    """ord, i, u and action of the open rows that can be told from `current` (id, its place, row and URL), the state that
+    all settled rows before have left.
+
+    A URL's holder keeps it up to a row if no open row of the holder comes before. Then the row is a clash, if its id is
+    known, or skipped, if no other open row of its id comes before that might make it known. A row with the URL that its id
+    has replaces it, if no other open row of its id comes before that might change the URL. And a row whose URL is free is
+    settled if it is the first open one of its id and of its URL, and no open row before it has the URL that its id gives up.
+    """
+    firsts = open_.groupBy("i").agg(F.min("ord").alias("first"))
+    holders = current.join(firsts, "i", "left").select("u", F.col("i").alias("holder"), F.col("first").alias("holder_first"))
+    known = current.select("i", F.col("u").alias("own"))
+    rows = open_.join(known, "i", "left").join(holders, "u", "left")
+    held = F.coalesce((F.col("holder") != F.col("i")) & (F.col("holder_first").isNull() | (F.col("holder_first") > F.col("ord"))), F.lit(False))
+    same = F.coalesce(F.col("own") == F.col("u"), F.lit(False))
+    rows = rows.withColumns({"held": held, "same": same})
+    by_id = rows.groupBy("i").agg(F.min(F.when(~F.col("held"), F.col("ord"))).alias("free_first"), F.min(F.when(~F.col("held") & ~F.col("same"), F.col("ord"))).alias("move_first"))
+    by_url = rows.groupBy("u").agg(F.min("ord").alias("u_first"))
+    rows = rows.join(by_id, "i").join(by_url, "u").join(by_url.toDF("own", "own_first"), "own", "left")
+    action = (
+        F.when(F.col("held") & F.col("own").isNotNull(), "clash")
+        .when(F.col("held") & (F.col("free_first").isNull() | (F.col("ord") < F.col("free_first"))), "skipped")
+        .when(F.col("same") & (F.col("move_first").isNull() | (F.col("ord") < F.col("move_first"))), "replaced")
+        .when(F.col("holder").isNull() & (F.col("ord") == F.col("free_first")) & (F.col("ord") == F.col("u_first")) & (F.col("own_first").isNull() | (F.col("own_first") > F.col("ord"))), F.when(F.col("own").isNull(), "inserted").otherwise("replaced"))
+    )
+    return rows.select("ord", "i", "u", action.alias("action")).where("action is not null")
 
 
 def search(

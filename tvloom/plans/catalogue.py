@@ -123,9 +123,14 @@ def q22(spark, sf_dir):
 # --- clusters of documents --------------------------------------------------------------
 
 
+#: A key that rows of different letters share, so that chains go over both kinds of key.
+PLACE_SQL = "source || '-' || (length(text) // 20)"
+
+
 def _members(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents")
-    keys = F.array(F.struct(F.lit("text").alias("type"), F.md5("text").alias("key")), F.struct(F.lit("letters").alias("type"), F.expr(LETTERS).alias("key")))
+    place = F.concat("source", F.lit("-"), F.floor(F.length("text") / 20))
+    keys = F.array(F.struct(F.lit("place").alias("type"), place.alias("key")), F.struct(F.lit("letters").alias("type"), F.expr(LETTERS).alias("key")))
     return docs.select(F.col("doc_id").alias("ord"), F.explode(keys).alias("k")).select("ord", "k.*")
 
 
@@ -142,7 +147,7 @@ def q06_collisions(spark, sf_dir):
 
 
 _MEMBERS_SQL = f"""
-WITH RECURSIVE m AS (SELECT doc_id, 'text' AS type, md5(text) AS key FROM documents UNION ALL SELECT doc_id, 'letters', {LETTERS_SQL} FROM documents),
+WITH RECURSIVE m AS (SELECT doc_id, 'place' AS type, {PLACE_SQL} AS key FROM documents UNION ALL SELECT doc_id, 'letters', {LETTERS_SQL} FROM documents),
 e AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM m a JOIN m b USING (type, key)),
 r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
 c AS (SELECT a AS doc_id, min(b) AS cluster FROM r GROUP BY a)
@@ -154,6 +159,20 @@ def q24(spark, sf_dir):
     return dedupe.greedy(docs, F.concat("source", F.length("text").cast("string")), F.expr(LETTERS)).select("doc_id")
 
 
+#: Rows that share keys, in order within their component, each against what stays of those before it.
+_GREEDY_SQL = f"""
+WITH RECURSIVE k AS (SELECT doc_id, source || length(text) AS a, {LETTERS_SQL} AS b FROM documents),
+e AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM k x JOIN k y USING (a) UNION SELECT DISTINCT x.doc_id, y.doc_id FROM k x JOIN k y USING (b)),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS cluster FROM r GROUP BY a),
+o AS (SELECT doc_id, cluster, a, b, row_number() OVER (PARTITION BY cluster ORDER BY doc_id) AS nth FROM k JOIN c USING (doc_id)),
+s AS (SELECT cluster, nth, doc_id, true AS stays, [a] AS firsts, [b] AS seconds FROM o WHERE nth = 1
+  UNION ALL SELECT o.cluster, o.nth, o.doc_id, t.free, CASE WHEN t.free THEN list_append(s.firsts, o.a) ELSE s.firsts END, CASE WHEN t.free THEN list_append(s.seconds, o.b) ELSE s.seconds END
+  FROM s JOIN o ON o.cluster = s.cluster AND o.nth = s.nth + 1, LATERAL (SELECT NOT coalesce(list_contains(s.firsts, o.a), false) AND NOT coalesce(list_contains(s.seconds, o.b), false) AS free) t)
+SELECT doc_id FROM s WHERE stays UNION ALL SELECT doc_id FROM k WHERE a IS NULL AND b IS NULL
+"""
+
+
 # --- categories, names and text ---------------------------------------------------------
 
 _NAMES = ["concat('Rai ', p_partkey % 30)", "'Canale 5 HD'", "'DMAX (720p)'", "'Sky Sport 24'", "'Pluto TV Film'", "'Kids & Co'", "'Radio Uno'", "p_name"]
@@ -619,6 +638,17 @@ def queries() -> dict:
 
 _LAST_HEALTH = f"SELECT user_id, arg_max({_STATUS}, event_id) AS status, arg_max({_REASON}, event_id) AS reason, arg_max(CASE WHEN value > 50 THEN 404 ELSE 503 END, event_id) AS http, arg_max(CASE WHEN event_id % 2 = 0 THEN 410 ELSE 500 END, event_id) AS seg, arg_max(event_id % 101, event_id) AS score FROM events GROUP BY user_id"
 _HARD = "(reason = 'token_expired' OR (reason = 'http_error' AND http = 404) OR (reason = 'hls_segment_http_error' AND seg = 410))"
+#: Sources one by one, against the ids and URLs known so far.
+_REGISTRY_SQL = """
+WITH RECURSIVE o AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS nth, s_suppkey AS ord, 's' || (s_suppkey % 60) AS id, 's' || (s_suppkey % 60) AS i, s_suppkey % 45 AS u FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+s AS (SELECT CAST(0 AS BIGINT) AS nth, CAST(NULL AS BIGINT) AS ord, '' AS id, '' AS action, CAST([] AS STRUCT(i VARCHAR, u BIGINT, row BIGINT)[]) AS known
+  UNION ALL SELECT o.nth, o.ord, o.id, t.action, CASE t.action WHEN 'inserted' THEN list_append(s.known, {{'i': o.i, 'u': o.u, 'row': o.ord}})
+    WHEN 'replaced' THEN list_append(list_filter(s.known, lambda x: x.i <> o.i), {{'i': o.i, 'u': o.u, 'row': o.ord}}) ELSE s.known END
+  FROM s JOIN o ON o.nth = s.nth + 1, LATERAL (SELECT {}) t)
+"""
+_UPSERT_SQL = """CASE WHEN list_contains(list_transform(s.known, lambda x: x.i), o.i)
+  THEN CASE WHEN len(list_filter(s.known, lambda x: x.u = o.u AND x.i <> o.i)) = 0 THEN 'replaced' ELSE 'clash' END
+  WHEN list_contains(list_transform(s.known, lambda x: x.u), o.u) THEN 'skipped' ELSE 'inserted' END AS action"""
 _SOURCES_SQL = "SELECT *, CASE n_regionkey WHEN 0 THEN 'IT' WHEN 1 THEN '' ELSE 'FR' END AS country FROM supplier JOIN nation ON s_nationkey = n_nationkey"
 
 
@@ -651,7 +681,7 @@ def oracle_sql() -> dict[str, str]:
         "q04_selection_reason": _CANDIDATES_SQL + "SELECT key, ord AS doc_id, size, CASE WHEN health_score <> h2 THEN 'higher_health_score' WHEN source_priority <> p2 THEN 'better_source_priority' WHEN quality_score <> q2 THEN 'higher_video_quality' WHEN metadata_score <> m2 THEN 'richer_metadata' WHEN transport_score <> t2 THEN 'better_transport' ELSE 'earlier_insertion_order' END AS reason FROM w WHERE place = 1 AND size > 1",
         "q05_components": _MEMBERS_SQL + "SELECT doc_id, cluster FROM c",
         "q06_cluster_stats": _MEMBERS_SQL + "SELECT CAST(sum(n) AS BIGINT) AS input_channels, count(*) AS groups, count(*) FILTER (n = 1) AS singleton_groups, count(*) FILTER (n > 1) AS duplicate_groups, CAST(sum(n - 1) AS BIGINT) AS alternatives FROM (SELECT cluster, count(*) AS n FROM c GROUP BY cluster)",
-        "q06_collisions": f"WITH m AS (SELECT 'text' AS type, md5(text) AS key FROM documents UNION ALL SELECT 'letters', {LETTERS_SQL} FROM documents) SELECT type, count(*) - count(DISTINCT key) AS collisions FROM m GROUP BY type",
+        "q06_collisions": f"WITH m AS (SELECT 'place' AS type, {PLACE_SQL} AS key FROM documents UNION ALL SELECT 'letters', {LETTERS_SQL} FROM documents) SELECT type, count(*) - count(DISTINCT key) AS collisions FROM m GROUP BY type",
         "q07_category_cascade": _category_sql(),
         "q08_tiered_match": _MATCH_SQL + "SELECT c_custkey, CASE WHEN k = 3 THEN 'unmatched' ELSE 'matched' END AS status, CASE WHEN k < 3 THEN n_name || '.it' END AS guide_id, CAST(CASE k WHEN 0 THEN 100 WHEN 1 THEN 97 WHEN 2 THEN 92 END AS DOUBLE) AS score, CASE k WHEN 0 THEN 'exact_tvg_id' WHEN 1 THEN 'normalized_tvg_id' WHEN 2 THEN 'exact_name' END AS method FROM m",
         "q08_match_stats": _MATCH_SQL + "SELECT count(*) AS playlist_channels, count(*) FILTER (k < 3) AS matched, count(*) FILTER (k = 3) AS unmatched, CAST(0 AS BIGINT) AS ambiguous, count(*) FILTER (k = 0) AS exact_tvg_id, count(*) FILTER (k = 1) AS normalized_tvg_id, count(*) FILTER (k = 2) AS exact_name, round_even(100.0 * count(*) FILTER (k < 3) / count(*), 2)::DOUBLE AS coverage_percent FROM m",
@@ -667,6 +697,9 @@ def oracle_sql() -> dict[str, str]:
         "q16_recovery_outcome": _OUTCOME_SQL + "SELECT group_id, outcome FROM o",
         "q16_recovery_stats": _OUTCOME_SQL + "SELECT count(*) FILTER (outcome = 'selected_primary') AS selected_primary, count(*) FILTER (outcome = 'recovered_from_alternative') AS recovered, count(*) FILTER (outcome = 'upgraded_to_better_alternative') AS upgraded, count(*) FILTER (outcome IN ('all_candidates_failed', 'selection_not_publishable')) AS all_failed FROM o",
         "q17_metadata_fill": "WITH q AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id), d AS (SELECT d.doc_id, source, CASE WHEN lang = 'en' THEN '' ELSE lang END AS name, CASE WHEN d.doc_id % 3 = 0 THEN 'l' ELSE '' END AS logo, coalesce(quality, 0) = 1 AS m FROM documents d LEFT JOIN q USING (doc_id)) SELECT doc_id, CASE WHEN m AND doc_id % 2 <> 0 THEN source || '.it' ELSE source END AS tvg_id, CASE WHEN m AND name = '' THEN upper(source) ELSE name END AS tvg_name, CASE WHEN m AND logo = '' THEN 'http://' || source ELSE logo END AS logo, m AND (doc_id % 2 <> 0 OR name = '' OR logo = '') AS changed FROM d",
+        "q18_register": _REGISTRY_SQL.format("NOT list_contains(list_transform(s.known, lambda x: x.i), o.i) AND NOT list_contains(list_transform(s.known, lambda x: x.u), o.u) AS free, CASE WHEN free THEN 'inserted' ELSE 'skipped' END AS action") + "SELECT ord, id FROM s WHERE action = 'inserted'",
+        "q18_upsert": _REGISTRY_SQL.format(_UPSERT_SQL) + "SELECT action, count(*) AS rows, count(*) FILTER (list_contains((SELECT list_transform(arg_max(known, nth), lambda x: x.row) FROM s), ord)) AS standing FROM s WHERE nth > 0 GROUP BY action",
+        "q24_greedy_dedupe": _GREEDY_SQL,
         "q18_source_search": f"SELECT s_suppkey AS ord, CAST(s_suppkey % 10 AS INT) AS priority, CAST(s_suppkey % 100 AS INT) AS trust_score FROM ({_SOURCES_SQL}) WHERE s_acctbal > 0 AND s_suppkey % 100 >= 20 AND country IN ('IT', '') AND n_regionkey IN (0, 1)",
         "q18_source_stats": f"SELECT count(*) AS total, count(*) FILTER (s_acctbal > 0) AS enabled, count(*) FILTER (NOT s_acctbal > 0) AS disabled, count(*) AS remote, CAST(0 AS BIGINT) AS local, count(*) FILTER (s_suppkey % 7 = 0) AS discovery, count(*) FILTER (s_suppkey % 7 <> 0) AS static, count(*) FILTER (s_suppkey % 100 >= 70) AS trusted FROM ({_SOURCES_SQL})",
         "q19_anti_alternates": _STITCHED_SQL + "SELECT page_id, 'https://jmp2.uk/plu-' || id || '.m3u8' AS stream_url, id AS channel_id FROM g",
