@@ -129,14 +129,14 @@ def _signatures(lines: DataFrame) -> DataFrame:
     wide = lines.select("h", "g", F.length("line").alias("n"), F.encode("line", "UTF-32").alias("wide"))
     places = wide.withColumn("i", F.explode(F.sequence(F.lit(1), F.greatest(F.col("n"), F.lit(1)))))
     two, one = (F.xxhash64(F.substring(F.col("wide"), F.col("i") * 4 - 3, F.lit(size))) for size in (8, 4))
-    hashed = places.select("h", "g", (F.col("i") < F.col("n")).alias("pair"), two.alias("x"), one.alias("y"))
+    hashed = places.select("h", "g", (F.col("i") < F.col("n")).alias("pair"), (F.col("n") < COUNTABLE).alias("countable"), two.alias("x"), one.alias("y"))
 
     def bit(by: Column) -> Column:
         return F.call_function("shiftleft", F.lit(1).cast("long"), by.cast("int"))
 
     bits = [F.bit_xor(F.when(F.col("pair") & (F.shiftrightunsigned("x", 6) % SIGNED == w), bit(F.col("x").bitwiseAND(63))).otherwise(0)).alias(f"s{w}") for w in range(SIGNED)]
-    # four counts of 16 bits in a sum
-    sums = [F.sum(F.when(F.shiftrightunsigned("y", 6) % (COUNTED * PARTS // 4) == w, bit(F.col("y").bitwiseAND(3) * 16)).otherwise(0)).alias(f"n{w}") for w in range(COUNTED * PARTS // 4)]
+    # four counts of 16 bits in a sum; longer lines, whose counts might not fit, go without
+    sums = [F.sum(F.when(F.col("countable") & (F.shiftrightunsigned("y", 6) % (COUNTED * PARTS // 4) == w), bit(F.col("y").bitwiseAND(3) * 16)).otherwise(0)).alias(f"n{w}") for w in range(COUNTED * PARTS // 4)]
 
     def coded(w: int) -> Column:
         """The codes of four counts at once: bit 2 of the count, and of the count and one, two and three more."""
