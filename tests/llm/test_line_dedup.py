@@ -153,5 +153,5 @@ def test_lines_too_long_to_count(spark):
     """Counts of 16 bits don't hold their characters: no letter may overflow them, and near lines are still found."""
     texts = [c * 40_000 + end for c in "abcdefghijklmnopqrstuvwxyz" for end in "01"] + ["jm" * 500_000 + "x", "jm" * 500_000 + "y"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    got = line_dedup.dedup(docs, keep=["doc_id"]).collect()
+    got = ld.dedup(docs, keep=["doc_id"]).collect()
     assert {r.doc_id for r in got if r.n_dropped} == {i for i in range(len(texts)) if i % 2}

@@ -144,3 +144,18 @@ def test_query(spark):
     sf_dir = "/root/testdata/sf0.01"
     pages = [(p.page_id, p.url, p.html) for p in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
     assert rows_of(warc.pages_query(spark, sf_dir)) == brute(pages)
+
+
+def test_text_ids_and_repeated_writes(spark, tmp_path):
+    """Ids of any text come back, and a second write of the same pages names them alike."""
+    ids = ["null", None, "z", "", "/", "a:b", "<urn:page:/x:0123456789abcdef:0>", "a\nb"]
+    pages = [(i, f"http://{n % 3}/", "same" if n % 2 else f"own{n}") for n, i in enumerate(ids)] + [("z", "u", "own2"), ("z", "u", "own2")]
+    df = spark.createDataFrame(pages, "page_id string, url string, html string")
+    names = []
+    for k in range(2):
+        warc.archive(df.repartition(k + 1), f"file://{tmp_path}/{k}", at_least=0)
+        rows = warc.read(spark, f"file://{tmp_path}/{k}")
+        names.append(sorted(r.record_id for r in rows.collect()))
+        got = rows.select(warc.page_of("record_id").alias("id")).collect()
+        assert collections.Counter(r.id for r in got) == collections.Counter(p[0] for p in pages)
+    assert names[0] == names[1] and len(set(names[0])) == len(pages)

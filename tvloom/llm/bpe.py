@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .shared import bounded_batches
+from .shared import bounded_batches, packed_up, unpacked
 
 NEVER = 1 << 62
 SPAN = 32
@@ -182,7 +182,7 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, *, text: str = "
         codec = _codec(shipped.value, pattern, remembered)
         for batch in batches:
             rows: dict[str, list] = {c: [] for c in outputs}
-            for value in batch.column(len(keep)):
+            for value in batch.column(1):
                 packed = codec.encode_packed(value.as_py())
                 ids = np.frombuffer(packed, "<u4")
                 decoded = codec.decode(ids.tolist()) if decoding else b""
@@ -198,10 +198,9 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, *, text: str = "
                     else:
                         out.append(hashlib.sha256(decoded).hexdigest())
             arrays = [pa.array(rows[c], pa.list_(pa.int64()) if c == "ids" else pa.binary() if c == "decoded" else pa.int64() if c == "n_tokens" else pa.string()) for c in outputs]
-            yield pa.RecordBatch.from_arrays(batch.columns[: len(keep)] + arrays, names=schema.names)
+            yield pa.RecordBatch.from_arrays(unpacked(batch, len(keep)) + arrays, names=schema.names)
 
-    # the text goes last under a name of its own, so that keep may hold it too
-    return docs.select(*[docs[c] for c in keep], docs[text].alias("__text")).mapInArrow(run, schema)
+    return docs.select(packed_up(docs, keep), docs[text].alias("text")).mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, vocabulary_path: str, pattern: str, *, ids: str = "ids", keep: list[str]) -> DataFrame:
@@ -213,10 +212,10 @@ def decode(tokens: DataFrame, vocabulary_path: str, pattern: str, *, ids: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shipped.value, pattern)
         for batch in batches:
-            decoded = pa.array([codec.decode(value.as_py() or ()) for value in batch.column(len(keep))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], decoded], names=schema.names)
+            decoded = pa.array([codec.decode(value.as_py() or ()) for value in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*unpacked(batch, len(keep)), decoded], names=schema.names)
 
-    return tokens.select(*[tokens[c] for c in keep], tokens[ids].alias("__ids")).mapInArrow(run, schema)
+    return tokens.select(packed_up(tokens, keep), tokens[ids].alias("ids")).mapInArrow(run, schema)
 
 
 def documents_query(spark: SparkSession, sf_dir: str) -> DataFrame:

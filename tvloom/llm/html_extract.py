@@ -381,16 +381,17 @@ def extract(pages: DataFrame, *, url: str = "url", html: str = "html", keep: lis
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for h, slot, constant in zip(*batch.columns[len(keep) :]):
+            for h, slot, constant in zip(*batch.columns[1:]):
                 same = frozenset((c["token"], c["text"]) for c in constant.as_py() or ())
                 at = slot.as_py()
                 found.append(main_text(h.as_py() or "", token("") if at is None else at, same))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.string())], names=schema.names)
+            kept = [batch.column(0).field(i + 1) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.string())], names=schema.names)
 
     kept = F.struct(F.lit(0).alias("none"), *[pages[c].alias(f"k_{c}") for c in keep]).alias("kept")
     named = pages.select(kept, pages[html].alias("html"), host(pages[url]).alias("host"))
-    joined = named.join(known, "host", "left").select(*[F.col("kept")[f"k_{c}"].alias(c) for c in keep], F.col("html").alias("__html"), F.col("slot").alias("__slot"), F.col("constant").alias("__constant"))
-    return joined.mapInArrow(run, schema)
+    # what is kept stays in its struct, where its names clash with none
+    return named.join(known, "host", "left").select("kept", "html", "slot", "constant").mapInArrow(run, schema)
 
 
 def pages_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bounded_batches, table
+from .shared import bounded_batches, packed_up, table, unpacked
 from .words import STEP, U, mixed
 
 FEATURES = 1 << 15
@@ -182,10 +182,10 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = shipped.value.predict([x.as_py() or "" for x in batch.column(len(keep))])
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+            names, scores = shipped.value.predict([x.as_py() or "" for x in batch.column(1)])
+            yield pa.RecordBatch.from_arrays([*unpacked(batch, len(keep)), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return docs.select(*[docs[c] for c in keep], docs[text].alias("__text")).mapInArrow(run, schema)
+    return docs.select(packed_up(docs, keep), docs[text].alias("text")).mapInArrow(run, schema)
 
 
 def held_out(id: Column) -> Column:

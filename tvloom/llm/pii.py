@@ -158,7 +158,13 @@ def disclosing(docs: DataFrame, found: DataFrame, *, prior: float = PRIOR, gener
 
 
 def find(docs: DataFrame, *, id: str = "doc_id", text: str = "text", keep: list[str], **thresholds) -> DataFrame:
-    """The columns `keep` of docs, __text (null: empty) and spans: base ones by kind and start, then added ones likewise."""
+    """The columns `keep` of docs, __text (null: empty) and spans: base ones by kind and start, then added ones likewise.
+
+    A name in keep that the operator uses itself (__id, __t, __text, spans, clean_text) is refused.
+    """
+    clash = {"__id", "__t", "__text", "spans", "clean_text"} & set(keep)
+    if clash:
+        raise ValueError(f"columns in keep and in the result: {sorted(clash)}")
     rows = docs.select(*[docs[c] for c in keep], docs[id].alias("__id"), F.coalesce(docs[text], F.lit("")).alias("__text")).withColumn("__t", F.xxhash64("__text"))
     by = ["__id", "__t"]
     # base spans are matched once; what follows reads the texts that have some

@@ -103,11 +103,20 @@ def mapped(docs: DataFrame, inputs: list[Column], keep: list[str], fields: list[
         made = begin()
         for batch in batches:
             new = [pa.array(values, kind) for values, kind in zip(made(*batch.columns[1:]), types, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).field(i) for i in range(len(keep))] + new, names=schema.names)
+            yield pa.RecordBatch.from_arrays(unpacked(batch, len(keep)) + new, names=schema.names)
 
+    return docs.select(packed_up(docs, keep), *[c.alias(f"i{n}") for n, c in enumerate(inputs)]).mapInArrow(run, schema)
+
+
+def packed_up(docs: DataFrame, keep: list[str]) -> Column:
+    """The columns `keep` as one, the first that goes to Python, so that their names clash with none."""
     # a struct of no fields can't travel
-    kept = F.struct(*[docs[c] for c in keep]) if keep else F.lit(0)
-    return docs.select(kept.alias("k"), *[c.alias(f"i{n}") for n, c in enumerate(inputs)]).mapInArrow(run, schema)
+    return (F.struct(*[docs[c] for c in keep]) if keep else F.lit(0)).alias("kept")
+
+
+def unpacked(batch: pa.RecordBatch, n: int) -> list[pa.Array]:
+    """The n columns that `packed_up` has packed."""
+    return [batch.column(0).field(i) for i in range(n)]
 
 
 def ascii_lower(text: Column) -> Column:

@@ -361,8 +361,8 @@ def register(spark: SparkSession) -> None:
 
 
 def _name(id: Column, sha: Column, own: Column) -> Column:
-    """A record's id: page id, payload and what tells it from others of them."""
-    return F.concat(F.lit("<urn:page:"), F.coalesce(id.cast("string"), F.lit("null")), F.lit(":"), F.substring(sha, 1, 16), F.lit(":"), own, F.lit(">"))
+    """A record's id: page id (after a slash; none if it is null), payload and what tells it from others of them."""
+    return F.concat(F.lit("<urn:page:"), F.coalesce(F.concat(F.lit("/"), id.cast("string")), F.lit("")), F.lit(":"), F.substring(sha, 1, 16), F.lit(":"), own, F.lit(">"))
 
 
 def archive(pages: DataFrame, path: str, *, id: str = "page_id", url: str = "url", html: str = "html", at_least: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
@@ -373,9 +373,10 @@ def archive(pages: DataFrame, path: str, *, id: str = "page_id", url: str = "url
     payload = F.encode(F.coalesce(pages[html], F.lit("")), "UTF-8")
     rows = pages.select(pages[id].alias("id"), pages[url].alias("url"), payload.alias("payload")).withColumn("sha", F.sha2("payload", 256)).withColumn("sha1", F.unhex(F.sha1("payload")))
     # ids and digests alone tell which rows are equal; counts are summed before they move
-    slim = written(rows.where(F.octet_length("payload") >= at_least).groupBy("sha", "sha1", "id", "url").agg(F.count(F.lit(1)).alias("times")), "payloads")
-    same = slim.groupBy("sha").agg(F.max(F.struct("id", "url", "times")).alias("head"), F.sum("times").alias("n")).where("n > 1")
-    heads = written(same.select("sha", F.col("head.id").alias("head_id"), F.col("head.url").alias("head_url"), F.col("head.times").alias("twins")), "heads")
+    slim = written(rows.groupBy("sha", "sha1", "id", "url").agg(F.count(F.lit(1)).alias("times"), F.max(F.octet_length("payload")).alias("bytes")), "payloads")
+    same = slim.where(F.col("bytes") >= at_least).groupBy("sha").agg(F.max(F.struct("id", "url")).alias("head"), F.sum("times").alias("n")).where("n > 1")
+    heads = written(same.select("sha", F.col("head.id").alias("head_id"), F.col("head.url").alias("head_url"), F.lit(True).alias("copied")), "heads")
+    repeated = written(slim.where("times > 1").select(F.col("sha").alias("r_sha"), F.col("id").alias("r_id"), F.col("url").alias("r_url"), "times"), "repeated")
 
     def records(rows: DataFrame, revisit: Column, own: Column, payload: Column) -> DataFrame:
         return rows.select(
@@ -390,13 +391,18 @@ def archive(pages: DataFrame, path: str, *, id: str = "page_id", url: str = "url
             payload.alias("payload"),
         )
 
-    known = rows.join(heads, "sha", "left")
-    is_head = F.col("twins").isNotNull() & F.col("id").eqNullSafe(F.col("head_id")) & F.col("url").eqNullSafe(F.col("head_url"))
-    found = records(known.where(~is_head | (F.col("twins") == 1)), F.col("twins").isNotNull() & ~is_head, F.when(is_head, "0").otherwise(F.uuid()), F.when(F.col("twins").isNull() | is_head, F.col("payload")))
-    # rows equal in all columns, of which one is the response: as many records as there are
-    twins = known.where(is_head & (F.col("twins") > 1)).groupBy("sha", "sha1", "id", "url", "head_id", "twins").agg(F.any_value("payload").alias("payload"))
-    twins = twins.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("twins") - 1)))
-    found.unionByName(records(twins, F.col("nth") > 0, F.col("nth").cast("string"), F.when(F.col("nth") == 0, F.col("payload")))).write.format("warc").mode("append").save(path)
+    again = (F.col("sha") == F.col("r_sha")) & F.col("id").eqNullSafe(F.col("r_id")) & F.col("url").eqNullSafe(F.col("r_url"))
+    known = rows.join(heads, "sha", "left").join(repeated, again, "left").drop("r_sha", "r_id", "r_url")
+    copied = F.col("copied").isNotNull()
+    is_head = copied & F.col("id").eqNullSafe(F.col("head_id")) & F.col("url").eqNullSafe(F.col("head_url"))
+    place = F.lower(F.hex(F.xxhash64("url")))
+    found = records(known.where("times is null"), copied & ~is_head, F.when(is_head, "0").otherwise(place), F.when(~copied | is_head, F.col("payload")))
+    # rows equal in all columns, told apart by number: as many records as there are
+    twins = known.where("times is not null").groupBy("sha", "sha1", "id", "url", "head_id", "head_url", "copied", "times").agg(F.any_value("payload").alias("payload"))
+    twins = twins.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    first = is_head & (F.col("nth") == 0)
+    own = F.when(is_head, F.col("nth").cast("string")).otherwise(F.concat(place, F.lit("-"), F.col("nth").cast("string")))
+    found.unionByName(records(twins, copied & ~first, own, F.when(~copied | first, F.col("payload")))).write.format("warc").mode("append").save(path)
 
 
 def read(spark: SparkSession, path: str, **options: str) -> DataFrame:
@@ -407,8 +413,8 @@ def read(spark: SparkSession, path: str, **options: str) -> DataFrame:
 
 def page_of(name: Column) -> Column:
     """The page id in a record id of `archive`; null for a null one."""
-    found = F.regexp_extract(name, r"^<urn:page:(.*):[0-9a-f]{16}:[0-9a-f-]+>$", 1)
-    return F.when(found != "null", found)
+    found = F.regexp_extract(name, r"(?s)^<urn:page:(.*):[0-9a-f]{16}:[0-9a-f-]+>$", 1)
+    return F.when(found.startswith("/"), F.substr(found, F.lit(2)))
 
 
 def revisited(records: DataFrame) -> DataFrame:
