@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import constants as C
 from ..functions import text
+from .cluster import scratch, written
 
 KEYS = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("tier", "key", "shown")]))
 
@@ -94,18 +95,83 @@ def match(playlist: DataFrame, guide: DataFrame, *, minimum: float = C.LEAST_SIM
 
 
 def similar(playlist: DataFrame, g_keys: DataFrame, minimum: float) -> DataFrame:
-    """Pairs whose informative keys are alike. Keys meet by length, as one under three quarters of the other scores 0,
-    and only if they share enough letters: the score is bounded by the letters in common."""
+    """Pairs whose informative keys are alike. Each different key is compared once, whatever rows have it."""
     p = playlist.select("ord", F.posexplode(informative_keys("tvg_id", "tvg_name", "name")).alias("nth", "p_key"))
-    least, most = F.ceil(F.length("p_key") * 0.75).cast("int"), F.floor(F.length("p_key") / 0.75).cast("int")
-    p = p.select("*", F.explode(F.sequence(least, most)).alias("g_length"))
     digits = F.col("key").rlike("^[0-9]+$")
-    g = g_keys.where("tier = 'search'").where(F.length("key") >= F.when(digits, 2).otherwise(4)).select("gid", F.col("key").alias("g_key"), F.length("key").alias("g_length"))
+    g = g_keys.where("tier = 'search'").where(F.length("key") >= F.when(digits, 2).otherwise(4)).select("gid", F.col("key").alias("g_key"))
+    with scratch(playlist.sparkSession):
+        # both are read several times, and Python made them
+        p, g = written(p, "playlist_keys", keep=True), written(g, "guide_keys", keep=True)
+        pairs = alike(p.select(F.col("p_key").alias("key")).distinct(), g.select(F.col("g_key").alias("key")).distinct(), minimum)
+        pairs = written(pairs.toDF("p_key", "g_key", "score"), "alike", keep=True)
+    return p.join(pairs, "p_key").join(g, "g_key").select("ord", "gid", "score", F.lit("similarity").alias("method"), F.col("p_key").alias("playlist_key"), F.col("g_key").alias("guide_key"), "nth")
+
+
+#: What a common beginning adds to the score, and the least ratio of lengths.
+BONUS, SHORTEST = 2.0, 0.75
+#: Letters of the pieces by which keys meet.
+PIECES = (3, 2, 1)
+
+
+def alike(left: DataFrame, right: DataFrame, minimum: float) -> DataFrame:
+    """left_key, right_key and score of the pairs of keys (key, each once in a table) with a similarity of `minimum` or more."""
+    pairs = candidates(left, right, minimum)
     # letters of one that the other lacks can't be part of a matching block
-    lacking = F.length(F.call_function("translate", "p_key", "g_key", F.lit(""))) + F.length(F.call_function("translate", "g_key", "p_key", F.lit("")))
-    total = F.length("p_key") + F.length("g_key")
-    near = p.join(g, "g_length").where(100.0 * (total - lacking) / total + 2 >= minimum)
-    return near.withColumn("score", text.similarity_score("p_key", "g_key")).where(F.col("score") >= minimum).select("ord", "gid", "score", F.lit("similarity").alias("method"), F.col("p_key").alias("playlist_key"), F.col("g_key").alias("guide_key"), "nth")
+    lacking = F.length(F.call_function("translate", "left_key", "right_key", F.lit(""))) + F.length(F.call_function("translate", "right_key", "left_key", F.lit("")))
+    total = F.length("left_key") + F.length("right_key")
+    near = pairs.where(100.0 * (total - lacking) / total + BONUS + 0.01 >= minimum)
+    return near.withColumn("score", text.similarity_score("left_key", "right_key")).where(F.col("score") >= minimum)
+
+
+def candidates(left: DataFrame, right: DataFrame, minimum: float) -> DataFrame:
+    """Pairs of keys, each once, among which are all with a similarity of `minimum` or more.
+
+    Keys of a and b letters that score so high have m letters in matching blocks, at least s (a + b) / 2. Blocks follow
+    one another in both keys, so a + b - 2 m insertions and deletions lead from one to the other, and each of them parts at
+    most q - 1 neighbourhoods: m - (q - 1) (1 + a + b - 2 m) pieces of q letters are in both. So of each key's pieces, put
+    in one order for all keys, the rarest first, the two keys share one among the first, as many as the key has less what
+    they have to share, and one more. Only keys with such a piece in common meet. The longest pieces serve of which some
+    have to be shared; single letters always do. Repeated pieces are told apart by their number.
+    """
+    if not 0 < minimum <= 100:
+        raise ValueError("minimum must be over 0 and at most 100")
+    s = (minimum - BONUS - 0.01) / 200
+    keys = left.select("key").union(right.select("key")).where("key <> ''").distinct()
+
+    def numbered(q: int):
+        """The pieces of q letters, with their place among equal ones."""
+        pieces = F.filter(F.transform(F.sequence(F.lit(1), F.length("key")), lambda i: F.substring("key", i, F.lit(q))), lambda x: F.length(x) == q)
+        return F.transform(F.array_distinct(F.transform(pieces, lambda x: x)), lambda x: F.struct(F.lit(q).alias("q"), x.alias("piece"), F.size(F.filter(pieces, lambda y: y == x)).alias("times")))
+
+    pieces = keys.select("key", F.explode(F.concat(*map(numbered, PIECES))).alias("p")).select("key", "p.q", "p.piece", F.explode(F.sequence(F.lit(1), F.col("p.times"))).alias("nth"))
+    counts = pieces.groupBy("q", "piece", "nth").agg(F.count(F.lit(1)).alias("n"))
+    # as many as a key has letters
+    ordered = pieces.join(counts, ["q", "piece", "nth"]).groupBy("key").agg(*[F.array_sort(F.collect_list(F.when(F.col("q") == q, F.struct("n", "piece", "nth")))).alias(f"first_{q}") for q in PIECES])
+    ordered = written(ordered, "ordered")
+
+    a = F.length("key")
+    total = a + F.col("other")
+    m = F.greatest(F.lit(1), F.ceil(total * s - 1e-9).cast("int"))
+    shared = [m - (q - 1) * (1 + total - 2 * m) for q in PIECES]
+
+    def by_size(values: list):
+        """That of the longest pieces of which some have to be shared."""
+        found = F.when(shared[0] >= 1, values[0])
+        for test, value in zip(shared[1:], values[1:]):
+            found = found.when(test >= 1, value)
+        return found
+
+    take = by_size([a - q + 1 - n + 1 for q, n in zip(PIECES, shared)])
+
+    def first(side: DataFrame, own: str, partner: str) -> DataFrame:
+        """A row for each piece by which a key may meet keys of each length."""
+        lengths = F.sequence(F.ceil(a * SHORTEST - 1e-9).cast("int"), F.floor(a / SHORTEST + 1e-9).cast("int"))
+        rows = side.join(ordered, "key").withColumn("other", F.explode(lengths)).where((m <= F.least(a, F.col("other"))) & (take > 0))
+        piece = F.explode(F.slice(by_size([F.col(f"first_{q}") for q in PIECES]), F.lit(1), take))
+        return rows.select(F.col("key").alias(f"{own}_key"), a.alias(own), F.col("other").alias(partner), piece.alias("p")).select(f"{own}_key", own, partner, "p.piece", "p.nth")
+
+    l, r = first(left.select("key"), "left", "right"), first(right.select("key"), "right", "left")
+    return l.join(r, ["left", "right", "piece", "nth"]).select("left_key", "right_key").distinct()
 
 
 def stats(matched: DataFrame) -> DataFrame:

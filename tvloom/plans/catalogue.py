@@ -697,6 +697,8 @@ def oracle_sql() -> dict[str, str]:
         "q16_recovery_outcome": _OUTCOME_SQL + "SELECT group_id, outcome FROM o",
         "q16_recovery_stats": _OUTCOME_SQL + "SELECT count(*) FILTER (outcome = 'selected_primary') AS selected_primary, count(*) FILTER (outcome = 'recovered_from_alternative') AS recovered, count(*) FILTER (outcome = 'upgraded_to_better_alternative') AS upgraded, count(*) FILTER (outcome IN ('all_candidates_failed', 'selection_not_publishable')) AS all_failed FROM o",
         "q17_metadata_fill": "WITH q AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id), d AS (SELECT d.doc_id, source, CASE WHEN lang = 'en' THEN '' ELSE lang END AS name, CASE WHEN d.doc_id % 3 = 0 THEN 'l' ELSE '' END AS logo, coalesce(quality, 0) = 1 AS m FROM documents d LEFT JOIN q USING (doc_id)) SELECT doc_id, CASE WHEN m AND doc_id % 2 <> 0 THEN source || '.it' ELSE source END AS tvg_id, CASE WHEN m AND name = '' THEN upper(source) ELSE name END AS tvg_name, CASE WHEN m AND logo = '' THEN 'http://' || source ELSE logo END AS logo, m AND (doc_id % 2 <> 0 OR name = '' OR logo = '') AS changed FROM d",
+        # a name with a letter more is likest to itself: all but that letter match, and the beginning is common
+        "q09_fuzzy_match": "SELECT min(p_partkey) AS ord, 'matched' AS status, 'g' || min(p_partkey) AS guide_id, round(least(1.0, 2.0 * n / (2 * n + 1) + 0.02) * 100, 2) AS score, 'similarity' AS method FROM (SELECT *, length(regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g')) AS n FROM part) GROUP BY p_name, n",
         "q18_register": _REGISTRY_SQL.format("NOT list_contains(list_transform(s.known, lambda x: x.i), o.i) AND NOT list_contains(list_transform(s.known, lambda x: x.u), o.u) AS free, CASE WHEN free THEN 'inserted' ELSE 'skipped' END AS action") + "SELECT ord, id FROM s WHERE action = 'inserted'",
         "q18_upsert": _REGISTRY_SQL.format(_UPSERT_SQL) + "SELECT action, count(*) AS rows, count(*) FILTER (list_contains((SELECT list_transform(arg_max(known, nth), lambda x: x.row) FROM s), ord)) AS standing FROM s WHERE nth > 0 GROUP BY action",
         "q24_greedy_dedupe": _GREEDY_SQL,
