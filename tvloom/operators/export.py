@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
-from pathlib import Path
-from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
+from ..sinks import ordered_file
 
 #: Attributes that come first, in this order; the rest by name.
 FIRST = ["tvg-id", "tvg-name", "tvg-logo", "group-title"]
@@ -51,27 +48,10 @@ def playlist(channels: DataFrame) -> DataFrame:
     return entry_text(with_category(channels)).orderBy("category_rank", "category_name", F.trim("stream_url")).select("entry")
 
 
-def _local(path: str) -> str:
-    return urlsplit(path).path if path.startswith("file:") else path
-
-
 def write_text(lines: DataFrame, path: str, before: str = "", after: str = "") -> None:
-    """An ordered one-column DataFrame as one file: parts are written in order by the executors, then joined and swapped
-    in at once. The folder must be one that driver and executors share."""
-    parts = f"{path}.parts"
-    lines.write.mode("overwrite").text(parts)
-    target, folder = _local(path), _local(parts)
-    os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
-    with open(f"{target}.new", "wb") as out:
-        if before:
-            out.write(f"{before}\n".encode())
-        for part in sorted(Path(folder).glob("part-*")):
-            with part.open("rb") as data:
-                shutil.copyfileobj(data, out, 1 << 20)
-        if after:
-            out.write(f"{after}\n".encode())
-    os.replace(f"{target}.new", target)
-    shutil.rmtree(folder)
+    """An ordered one-column DataFrame as one file, written by the executors in parts and swapped in at once."""
+    rows = lines.select(F.lit(0).alias("section"), F.col(lines.columns[0]).alias("line"))
+    ordered_file.write(rows, path, heads=[f"{before}\n" if before else ""], terminator="\n", tail=f"{after}\n" if after else "")
 
 
 def write_playlist(channels: DataFrame, path: str, guide_url: str = "") -> None:
@@ -126,7 +106,7 @@ def publish_guide(channels: DataFrame, programmes: DataFrame, matched: DataFrame
 
     A first run writes an empty guide.
     """
-    if Path(_local(path)).exists():
+    if ordered_file.exists(path):
         if not fetched:
             return "kept_after_failed_fetch"
         if not matched.where("status = 'matched'").take(1):
@@ -137,25 +117,30 @@ def publish_guide(channels: DataFrame, programmes: DataFrame, matched: DataFrame
 
 def write_unified(channels: DataFrame, programmes: DataFrame, path: str, generated_at: str) -> None:
     """v2 guide as one JSON document: channels, then programmes."""
-    body = channels.orderBy("channel_id").select(F.lit("c").alias("k"), F.to_json(F.struct(*channels.columns)).alias("j"))
-    rows = programmes.orderBy("channel_id", "start", "stop", text.casefold("title")).select(F.to_json(F.struct(*programmes.columns)).alias("j"))
-    folder = f"{path}.parts"
-    body.select("j").write.mode("overwrite").text(f"{folder}/c")
-    rows.write.mode("overwrite").text(f"{folder}/p")
-    target = _local(path)
-    with open(f"{target}.new", "w", encoding="utf-8") as out:
-        out.write('{"schema_version":2,"generated_at":' + json.dumps(generated_at))
-        for name, sub in (("channels", "c"), ("programmes", "p")):
-            out.write(f',"{name}":[')
-            first = True
-            for part in sorted(Path(_local(f"{folder}/{sub}")).glob("part-*")):
-                for line in part.open(encoding="utf-8"):
-                    out.write(("" if first else ",") + line.rstrip("\n"))
-                    first = False
-            out.write("]")
-        out.write("}\n")
-    os.replace(f"{target}.new", target)
-    shutil.rmtree(_local(folder))
+    none = F.lit("")
+    body = channels.select(F.lit(0).alias("section"), F.col("channel_id").alias("c"), none.alias("a"), none.alias("b"), none.alias("t"), F.to_json(F.struct(*channels.columns)).alias("line"))
+    rows = programmes.select(F.lit(1).alias("section"), F.col("channel_id").alias("c"), F.col("start").alias("a"), F.col("stop").alias("b"), text.casefold("title").alias("t"), F.to_json(F.struct(*programmes.columns)).alias("line"))
+    heads = ['{"schema_version":2,"generated_at":' + json.dumps(generated_at) + ',"channels":[', '],"programmes":[']
+    ordered_file.write(body.unionByName(rows).orderBy("section", "c", "a", "b", "t").select("section", "line"), path, heads=heads, separator=",", tail="]}\n")
+
+
+def write_unified_xmltv(channels: DataFrame, programmes: DataFrame, path: str, generator: str = "tvloom v2", language: str = "it") -> None:
+    """v2 guide (channels: channel_id, name, logo; programmes) as XMLTV, with a language on its texts."""
+
+    def named(tag: str, value: Column) -> Column:
+        return F.concat(F.lit(f'<{tag} lang="{language}">'), _xml(value), F.lit(f"</{tag}>"))
+
+    def some(tag: str, column: str) -> Column:
+        value = F.coalesce(F.col(column), F.lit(""))
+        return F.when(value == "", "").otherwise(F.concat(F.lit("<icon"), _attribute("src", value), F.lit(" />")) if tag == "icon" else named(tag, value))
+
+    none = F.lit("")
+    channel = F.concat(F.lit("<channel"), _attribute("id", F.col("channel_id")), F.lit(">"), named("display-name", F.col("name")), some("icon", "logo") if "logo" in channels.columns else none, F.lit("</channel>"))
+    opening = F.concat(F.lit("<programme"), *[_attribute(k, F.col(c)) for k, c in (("channel", "channel_id"), ("start", "start"), ("stop", "stop"))], F.lit(">"))
+    programme = F.concat(opening, named("title", F.col("title")), some("desc", "description"), some("category", "category"), some("icon", "icon"), F.lit("</programme>"))
+    a = channels.select(F.lit(0).alias("o"), "channel_id", none.alias("a"), none.alias("b"), none.alias("t"), channel.alias("line"))
+    b = programmes.select(F.lit(1).alias("o"), "channel_id", F.col("start").alias("a"), F.col("stop").alias("b"), text.casefold("title").alias("t"), programme.alias("line"))
+    write_text(a.unionByName(b).orderBy("o", "channel_id", "a", "b", "t").select("line"), path, f'<?xml version="1.0" encoding="utf-8"?>\n<tv generator-info-name="{generator}">', "</tv>")
 
 
 def report(parts: dict[str, DataFrame], **facts) -> dict:
@@ -171,7 +156,4 @@ def reported(rows: DataFrame, order: list, most: int = MOST_REPORTED) -> dict:
 
 
 def write_json(document: dict, path: str) -> None:
-    target = _local(path)
-    os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
-    Path(f"{target}.new").write_text(json.dumps(document, ensure_ascii=False, indent=2, default=str) + "\n", "utf-8")
-    os.replace(f"{target}.new", target)
+    ordered_file.replace(path, (json.dumps(document, ensure_ascii=False, indent=2, default=str) + "\n").encode())
