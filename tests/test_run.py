@@ -23,8 +23,8 @@ def test_category_order(spark):
 
 
 def test_attributes_and_escapes(spark):
-    df = channel_rows(spark, [("N", "", "u")]).withColumn("attributes", F.expr("map('z', 'a\"b', 'b', '1', 'tvg-id', 'old', 'group-title', 'x')")).withColumn("tvg_id", F.lit("new")).withColumn("extra_directives", F.array(F.lit("#D")))
-    assert export.playlist(df).first().entry == '#EXTINF:-1 tvg-id="new" group-title="ALTRO" b="1" z="a\'b",N\n#D\nu'
+    df = channel_rows(spark, [("N", "", "u")]).withColumn("attributes", F.expr("map('z', 'a\"b', 'b', '1', 'tvg-id', 'old', 'group-title', 'x')")).withColumn("tvg_id", F.lit("new")).withColumn("extra_directives", F.array(F.lit(" #D:100 "), F.lit(""), F.lit("#E:21")))
+    assert export.playlist(df).first().entry == '#EXTINF:-1 tvg-id="new" group-title="ALTRO" b="1" z="a\'b",N\n#D:100\n#E:21\nu'
     assert export.header('http://g/"x') == "#EXTM3U url-tvg=\"http://g/'x\""
 
 

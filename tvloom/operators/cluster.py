@@ -33,12 +33,11 @@ def scratch(spark: SparkSession):
             place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir: a loop's lineage must end somewhere that survives a lost executor.
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which all executors share.
 
     A folder of this machine's serves only where none is named and all tasks run in this process, as in tests.
     """
-    spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not re.fullmatch(r"local(\[[^]]*\])?", spark.conf.get("spark.master", "")):
@@ -46,11 +45,16 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
         shared = "file://" + tempfile.mkdtemp(prefix="tvloom-")
         atexit.register(shutil.rmtree, shared.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", shared)
-    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df as a written table: a loop's lineage must end somewhere that survives a lost executor."""
+    path = fresh(df.sparkSession, name)
     if _scratch and not keep:
         _scratch[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def identity_keys(url: Column, tvg_id: Column, name: Column) -> Column:

@@ -35,7 +35,7 @@ def entry_text(channels: DataFrame) -> DataFrame:
     keys = F.concat(held, F.array_sort(F.array_except(F.map_keys("__attrs"), F.lit(FIRST))))
     shown = F.array_join(F.transform(keys, lambda k: F.concat(k, F.lit('="'), _escaped(F.try_element_at(F.col("__attrs"), k)), F.lit('"'))), " ")
     info = F.concat(F.lit("#EXTINF:-1 "), shown, F.lit(","), F.trim("name"))
-    directives = F.filter(F.transform("extra_directives", F.trim), lambda d: d != "")
+    directives = F.filter(F.transform("extra_directives", lambda d: F.trim(d)), lambda d: d != "")
     return channels.withColumn("__attrs", attrs).withColumn("entry", F.array_join(F.concat(F.array(info), directives, F.array(F.trim("stream_url"))), "\n")).drop("__attrs")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import scores, text, urls
 from ..operators import alternates, cluster, dedupe, export, guide, health, keyed, match, policy, rank, source_registry
+from ..sinks import ordered_file, rewrite
 from ..sources import catalog, playlist, xmltv
 
 NO_ATTRIBUTES = "cast(map() as map<string,string>)"
@@ -598,6 +599,111 @@ def q42(spark, sf_dir):
     return found.select(F.col("ord").alias("c_custkey"), "status", "guide_id", "score", "candidates")
 
 
+# --- what is published: written, and read again ------------------------------------------
+
+
+def _published(spark, sf_dir):
+    """The place of a playlist of parts."""
+    path = cluster.fresh(spark, "playlist") + ".m3u"
+    parts = _t(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("long").alias("ord"), F.expr(_NAME_CASE).alias("name"), F.concat(F.lit("http://h/"), "p_partkey").alias("stream_url"), F.col("p_type").alias("group"), F.col("p_brand").alias("source_id"),
+        F.lit("").alias("tvg_id"), F.lit("").alias("tvg_name"), F.lit("").alias("logo"), F.expr(NO_ATTRIBUTES).alias("attributes"), F.array(F.concat(F.lit("#KEPT:"), "p_brand")).alias("extra_directives"),
+    )
+    export.write_playlist(parts, path)
+    channels, _, _ = playlist.parse(spark.read.text(path, wholetext=True).select(F.lit("s").alias("source_id"), F.col("value").alias("text")))
+    return channels
+
+
+def q44(spark, sf_dir):
+    return _published(spark, sf_dir).select(F.substring_index("stream_url", "/", -1).cast("long").alias("p_partkey"), "name", F.col("group").alias("category"), F.element_at("extra_directives", 1).alias("directive"))
+
+
+def q44_places(spark, sf_dir):
+    """Where each category begins and ends in the file."""
+    return _published(spark, sf_dir).groupBy(F.col("group").alias("category")).agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
+
+
+def _lines(spark, rows):
+    """A playlist of rows (ord, line) in that order, and its place."""
+    path = cluster.fresh(spark, "playlist") + ".m3u"
+    ordered_file.write(rows.orderBy("ord").select(F.lit(0).alias("section"), "line"), path, heads=["#EXTM3U\n"], terminator="\n")
+    return path
+
+
+def q45(spark, sf_dir):
+    """URLs that are left after the policy has rewritten a playlist of users, every third of whom was never probed."""
+    users = _t(spark, sf_dir, "events").select(F.col("user_id").alias("ord")).distinct()
+    url = F.concat(F.lit("u"), F.col("ord").cast("string"), F.when(F.col("ord") % 3 == 0, "-unknown").otherwise(""))
+    path = _lines(spark, users.select("ord", F.concat(F.lit("#EXTINF:-1,User\n"), url).alias("line")))
+    rewrite.apply_policy_to(spark, path, _health(spark, sf_dir))
+    return rewrite.read_entries(spark, path).where("ord > 0").select("url")
+
+
+def q46(spark, sf_dir):
+    """Suppliers that are left in a playlist after its dedupe, with their place."""
+    rows = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ord"), F.format_string('#EXTINF:-1 tvg-id="s%d",Tele %d\nhttp://h/%d', F.col("s_suppkey") % 60, F.col("s_suppkey") % 45, F.col("s_suppkey")).alias("line"))
+    path = _lines(spark, rows)
+    rewrite.dedupe_outputs(spark, [path])
+    return rewrite.read_entries(spark, path).where("ord > 0").select(F.substring_index("url", "/", -1).cast("long").alias("s_suppkey"), F.col("ord").cast("long").alias("place"))
+
+
+def _shown(spark, sf_dir):
+    """Nations as guide channels and customers as their programmes."""
+    channels = _t(spark, sf_dir, "nation").select(F.col("n_name").alias("channel_id"), F.array(F.concat("n_name", F.lit(" & co"))).alias("display_names"), F.concat(F.lit("http://i/?a=1&b="), "n_nationkey").alias("icon_url"))
+    rows = _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    at = lambda minutes: F.date_format(F.timestamp_seconds(1704067200 + 60 * (F.col("c_custkey") + minutes)), "yyyyMMddHHmmss' +0000'")
+    programmes = rows.select(
+        F.col("n_name").alias("channel_id"), at(0).alias("start"), at(30).alias("stop"), F.concat(F.lit("<"), "c_name", F.lit(">")).alias("title"), F.lit("").alias("subtitle"),
+        F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).otherwise("").alias("description"), F.array("c_mktsegment", F.lit("x")).alias("categories"), F.lit("").alias("icon_url"), F.lit("").alias("episode_num"),
+    )
+    return channels, programmes
+
+
+def _read_guide(spark, path):
+    return xmltv.read_items(spark.read.format("binaryFile").load(path).select(F.lit(0).cast("long").alias("doc_ord"), F.lit("u").alias("source_url"), F.lit("guide.xml").alias("filename"), F.col("content").alias("body")))
+
+
+def q47(spark, sf_dir):
+    path = cluster.fresh(spark, "guide") + ".xml"
+    export.write_guide(*_shown(spark, sf_dir), path)
+    got = xmltv.programmes(_read_guide(spark, path))
+    return got.select("channel_id", "title", F.unix_timestamp(xmltv.instant(F.col("start"))).alias("at_seconds"), F.unix_timestamp(xmltv.instant(F.col("stop"))).alias("to_seconds"), "description", F.array_join("categories", ",").alias("categories"))
+
+
+def q47_channels(spark, sf_dir):
+    path = cluster.fresh(spark, "guide") + ".xml"
+    channels, programmes = _shown(spark, sf_dir)
+    export.write_guide(channels, programmes.where("false"), path)
+    return xmltv.channels(_read_guide(spark, path)).select("channel_id", F.array_join("display_names", ",").alias("names"), "icon_url")
+
+
+def _unified(spark, sf_dir):
+    channels, programmes = _shown(spark, sf_dir)
+    named = channels.select("channel_id", F.element_at("display_names", 1).alias("name"), F.col("icon_url").alias("logo"))
+    return named, programmes.select("channel_id", "start", "stop", "title", "description", F.element_at("categories", 1).alias("category"), F.col("icon_url").alias("icon"))
+
+
+def q48(spark, sf_dir):
+    path = cluster.fresh(spark, "guide") + ".json"
+    export.write_unified(*_unified(spark, sf_dir), path, "now")
+    schema = "schema_version int, channels array<struct<channel_id:string>>, programmes array<struct<channel_id:string,start:string,title:string,category:string>>"
+    found = spark.read.schema(schema).json(path, multiLine=True)
+    return found.select("schema_version", F.size("channels").cast("long").alias("channels"), F.explode("programmes").alias("p")).select("schema_version", "channels", "p.*")
+
+
+def q48_xmltv(spark, sf_dir):
+    path = cluster.fresh(spark, "guide") + ".xml"
+    export.write_unified_xmltv(*_unified(spark, sf_dir), path)
+    return xmltv.programmes(_read_guide(spark, path)).select("channel_id", "start", "title", F.array_join("categories", ",").alias("categories"))
+
+
+_SHOWN_SQL = """
+WITH p AS (SELECT n_name AS channel_id, '<' || c_name || '>' AS title, 1704067200 + 60 * c_custkey AS at_seconds, 1704067200 + 60 * (c_custkey + 30) AS to_seconds,
+  strftime(make_timestamp((1704067200 + 60 * c_custkey) * 1000000), '%Y%m%d%H%M%S') || ' +0000' AS start, CASE WHEN c_acctbal > 0 THEN c_mktsegment ELSE '' END AS description, c_mktsegment
+  FROM customer JOIN nation ON c_nationkey = n_nationkey)
+"""
+
+
 # --- the deep probe ---------------------------------------------------------------------
 
 
@@ -625,6 +731,7 @@ def queries() -> dict:
     return {
         "q34_shallow_verdict": q34, "q35_direct_verdict": q35, "q36_clean_lines": q36, "q37_scores": q37, "q38_entry_keys": q38,
         "q41_guide_programmes": q41, "q41_guide_channels": q41_channels, "q41_guide_problems": q41_problems, "q41_guide_stats": q41_stats, "q41_guide_refused": q41_refused, "q42_ambiguous_match": q42, "q43_deep_probe": q43,
+        "q44_playlist_written": q44, "q44_category_places": q44_places, "q45_policy_rewrite": q45, "q46_dedupe_rewrite": q46, "q47_guide_written": q47, "q47_channels_written": q47_channels, "q48_unified_json": q48, "q48_unified_xmltv": q48_xmltv,
         "q01_url_key": q01, "q02_url_first_wins": q02, "q02_upsert_keeps_place": q02_upsert, "q03_best_per_key": q03, "q04_selection_reason": q04, "q05_components": q05,
         "q06_cluster_stats": q06, "q06_collisions": q06_collisions, "q07_category_cascade": q07, "q08_tiered_match": q08, "q08_match_stats": q08_stats, "q09_fuzzy_match": q09,
         "q10_richness_merge": q10, "q11_priority_merge": q11, "q12_now_playing": q12, "q12_airing": q12_airing, "q12_at_instants": q12_at_instants, "q13_rome_day_counts": q13,
@@ -698,6 +805,14 @@ def oracle_sql() -> dict[str, str]:
         "q16_recovery_stats": _OUTCOME_SQL + "SELECT count(*) FILTER (outcome = 'selected_primary') AS selected_primary, count(*) FILTER (outcome = 'recovered_from_alternative') AS recovered, count(*) FILTER (outcome = 'upgraded_to_better_alternative') AS upgraded, count(*) FILTER (outcome IN ('all_candidates_failed', 'selection_not_publishable')) AS all_failed FROM o",
         "q17_metadata_fill": "WITH q AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id), d AS (SELECT d.doc_id, source, CASE WHEN lang = 'en' THEN '' ELSE lang END AS name, CASE WHEN d.doc_id % 3 = 0 THEN 'l' ELSE '' END AS logo, coalesce(quality, 0) = 1 AS m FROM documents d LEFT JOIN q USING (doc_id)) SELECT doc_id, CASE WHEN m AND doc_id % 2 <> 0 THEN source || '.it' ELSE source END AS tvg_id, CASE WHEN m AND name = '' THEN upper(source) ELSE name END AS tvg_name, CASE WHEN m AND logo = '' THEN 'http://' || source ELSE logo END AS logo, m AND (doc_id % 2 <> 0 OR name = '' OR logo = '') AS changed FROM d",
         # a name with a letter more is likest to itself: all but that letter match, and the beginning is common
+        "q44_playlist_written": f"SELECT p_partkey, trim({_NAME_CASE}) AS name, category, '#KEPT:' || p_brand AS directive FROM ({_category_sql()}) JOIN part USING (p_partkey)",
+        "q44_category_places": f"SELECT category, CAST(sum(n) OVER (ORDER BY category_rank) - n + 1 AS BIGINT) AS first, CAST(sum(n) OVER (ORDER BY category_rank) AS BIGINT) AS last FROM (SELECT category, category_rank, count(*) AS n FROM ({_category_sql()}) GROUP BY category, category_rank)",
+        "q45_policy_rewrite": f"SELECT CASE WHEN user_id % 3 = 0 THEN 'u' || user_id || '-unknown' ELSE 'u' || user_id END AS url FROM ({_LAST_HEALTH}) WHERE user_id % 3 = 0 OR NOT {_HARD}",
+        "q46_dedupe_rewrite": _REGISTRY_SQL.format("NOT list_contains(list_transform(s.known, lambda x: x.i), o.i) AND NOT list_contains(list_transform(s.known, lambda x: x.u), o.u) AS free, CASE WHEN free THEN 'inserted' ELSE 'skipped' END AS action") + "SELECT ord AS s_suppkey, row_number() OVER (ORDER BY ord) AS place FROM s WHERE action = 'inserted'",
+        "q47_guide_written": _SHOWN_SQL + "SELECT channel_id, title, at_seconds, to_seconds, description, c_mktsegment || ',x' AS categories FROM p",
+        "q47_channels_written": "SELECT n_name AS channel_id, n_name || ' & co' AS names, 'http://i/?a=1&b=' || n_nationkey AS icon_url FROM nation",
+        "q48_unified_json": _SHOWN_SQL + "SELECT CAST(2 AS INT) AS schema_version, (SELECT count(*) FROM nation) AS channels, channel_id, start, title, c_mktsegment AS category FROM p",
+        "q48_unified_xmltv": _SHOWN_SQL + "SELECT channel_id, start, title, c_mktsegment AS categories FROM p",
         "q09_fuzzy_match": "SELECT min(p_partkey) AS ord, 'matched' AS status, 'g' || min(p_partkey) AS guide_id, round(least(1.0, 2.0 * n / (2 * n + 1) + 0.02) * 100, 2) AS score, 'similarity' AS method FROM (SELECT *, length(regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g')) AS n FROM part) GROUP BY p_name, n",
         "q18_register": _REGISTRY_SQL.format("NOT list_contains(list_transform(s.known, lambda x: x.i), o.i) AND NOT list_contains(list_transform(s.known, lambda x: x.u), o.u) AS free, CASE WHEN free THEN 'inserted' ELSE 'skipped' END AS action") + "SELECT ord, id FROM s WHERE action = 'inserted'",
         "q18_upsert": _REGISTRY_SQL.format(_UPSERT_SQL) + "SELECT action, count(*) AS rows, count(*) FILTER (list_contains((SELECT list_transform(arg_max(known, nth), lambda x: x.row) FROM s), ord)) AS standing FROM s WHERE nth > 0 GROUP BY action",

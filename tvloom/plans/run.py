@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions.constants import ALTERNATE_PRIORITY
-from ..operators import alternates, cluster, dedupe, export, guide, health, keyed, match, policy, rank
+from ..operators import alternates, cluster, export, guide, health, keyed, match, policy, rank
+from ..sinks import rewrite
 from ..sources import playlist, xmltv
 from ..sources.catalog import Settings
 
@@ -53,29 +54,27 @@ def run(spark: SparkSession, texts: DataFrame, sources: DataFrame, responses: Da
     shown, output = guide.generate(guide_channels, programmes, matched)
     filled = match.fill(selected, matched, merged)
 
-    applied = policy.apply(filled.drop("changed").withColumn("url", F.col("stream_url")), chosen["health"])
-    kept = applied.where("not hard").drop("hard", "uncertain", "url")
-    entries = export.entry_text(export.with_category(kept)).withColumn("info", F.substring_index("entry", "\n", 1))
-    place = F.row_number().over(_order())
-    final = dedupe.dedupe_entries(entries.withColumn("ord", place.cast("long"))).orderBy("ord").select("entry")
-    export.write_text(final, f"{out}/playlist.m3u", export.header())
+    # both playlists are published in full, then rewritten in place: the policy first, duplicates after
+    kept = filled.drop("changed")
+    files = [f"{out}/playlist.m3u", f"{out}/playlist_device.m3u"]
+    export.write_playlist(kept, files[0])
     verified = policy.verify_provider(kept, chosen["health"], minimum=settings.device_min_score)
-    export.write_playlist(policy.device_channels(kept, verified), f"{out}/playlist_device.m3u")
+    export.write_playlist(policy.device_channels(kept, verified), files[1])
+    applied = rewrite.apply_policy(spark, files, chosen["health"], report=f"{out}/publish-policy.json")
+    removed = rewrite.dedupe_outputs(spark, files)
     fetched = items.where("kind = 'document' and error is null").count()
     guide_state = export.publish_guide(shown, output, matched, f"{out}/epg.xml", fetched=fetched)
     totals = parse_stats.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in parse_stats.columns if c != "source_id"])
     document = export.report(
-        {"parser": totals, "groups": cluster.cluster_stats(chosen["clustered"]), "health": health.stats(chosen["health"]), "matching": match.stats(matched), "policy": policy.policy_stats(applied), "recovery": policy.recovery_stats(chosen["outcomes"])},
+        {"parser": totals, "groups": cluster.cluster_stats(chosen["clustered"]), "health": health.stats(chosen["health"]), "matching": match.stats(matched), "recovery": policy.recovery_stats(chosen["outcomes"])},
         guide=guide_state,
+        policy={k: v for k, v in applied["files"][0].items() if k != "file"},
+        device_policy={k: v for k, v in applied["files"][1].items() if k != "file"},
+        duplicates_removed=removed[files[0]],
+        device_duplicates_removed=removed[files[1]],
         decisions=export.reported(chosen["decisions"], ["cluster"]),
         issues=export.reported(issues, ["source_id", "line_number"]),
     )
     export.write_json(document, f"{out}/report.json")
     return document
 
-
-def _order():
-    from pyspark.sql import Window as W
-
-    # one published playlist, so one order
-    return W.partitionBy(F.lit(0)).orderBy("category_rank", "category_name", F.trim("stream_url"))
