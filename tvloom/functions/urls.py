@@ -94,6 +94,12 @@ def split_headers(url: Column) -> tuple[Column, Column]:
     return F.trim(F.substring_index(plain, "|", 1)), F.map_from_entries(last)
 
 
+def header_key(headers: Column) -> Column:
+    """Headers as one text, by name; null headers are none."""
+    pairs = F.array_sort(F.map_entries(headers))
+    return F.coalesce(F.array_join(F.transform(pairs, lambda p: F.concat(p["key"], F.lit("="), p["value"])), "&"), F.lit(""))
+
+
 def _moment(value: Column) -> Column:
     """Epoch seconds in a value: 9 to 13 digits, milliseconds over 1e10, 2000 to 2100; else null."""
     digits = F.regexp_extract(value, r"[0-9]{9,13}", 0)

@@ -24,6 +24,9 @@ from ..functions.constants import RETRYABLE
 from ..schemas import RESPONSE
 
 MOST_BYTES = 50_000_000
+_ATTEMPT = pa.struct([("attempt", pa.int32()), ("status", pa.string()), ("http_status", pa.int32()), ("elapsed_ms", pa.int32()), ("error_type", pa.string())])
+#: RESPONSE in Arrow.
+ARROW = pa.schema([("url", pa.string()), ("http_status", pa.int32()), ("content_type", pa.string()), ("final_url", pa.string()), ("body", pa.binary()), ("error_type", pa.string()), ("error", pa.string()), ("elapsed_ms", pa.int32()), ("attempts", pa.list_(_ATTEMPT))])
 
 
 @dataclass
@@ -97,13 +100,11 @@ def fetch_one(url: str, opener: Callable[[str, float, int], Reply] = open_url, *
 
 def fetch(urls: DataFrame, opener: Callable[[str, float, int], Reply] = open_url, *, workers: int = 8, **options) -> DataFrame:
     """Responses to urls (url), each URL once."""
-    attempt = pa.struct([("attempt", pa.int32()), ("status", pa.string()), ("http_status", pa.int32()), ("elapsed_ms", pa.int32()), ("error_type", pa.string())])
-    schema = pa.schema([("url", pa.string()), ("http_status", pa.int32()), ("content_type", pa.string()), ("final_url", pa.string()), ("body", pa.binary()), ("error_type", pa.string()), ("error", pa.string()), ("elapsed_ms", pa.int32()), ("attempts", pa.list_(attempt))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for url in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_pylist([fetch_one(url, opener, **options)], schema)
+                yield pa.RecordBatch.from_pylist([fetch_one(url, opener, **options)], ARROW)
 
     return urls.select("url").distinct().repartition(workers).mapInArrow(run, RESPONSE)
 
