@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import scores, text, urls
-from ..operators import alternates, cluster, dedupe, export, guide, health, keyed, match, policy, rank, source_registry
+from ..operators import alternates, cluster, dedupe, export, guide, health, keyed, match, numbering, policy, rank, reports, source_registry
 from ..sinks import ordered_file, rewrite
-from ..sources import catalog, playlist, xmltv
+from ..sources import catalog, playlist, probes, xmltv
 
 NO_ATTRIBUTES = "cast(map() as map<string,string>)"
 NO_DIRECTIVES = "cast(array() as array<string>)"
@@ -704,6 +704,43 @@ WITH p AS (SELECT n_name AS channel_id, '<' || c_name || '>' AS title, 170406720
 """
 
 
+def q49(spark, sf_dir):
+    """Line items numbered by date."""
+    rows = _t(spark, sf_dir, "lineitem").groupBy("l_shipdate", "l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("lines"))
+    return numbering.numbered(rows, ["l_shipdate", "l_orderkey", "l_linenumber"], "place", 1).select("l_orderkey", "l_linenumber", "place")
+
+
+def _health_report(spark, sf_dir):
+    path = cluster.fresh(spark, "health") + ".json"
+    reports.health_report(_health(spark, sf_dir), path)
+    return path
+
+
+def q50(spark, sf_dir):
+    return probes.read_health(spark, _health_report(spark, sf_dir)).select(F.col("ord").alias("place"), "stream_url", "status", "http_status", "response_ms")
+
+
+def q50_counts(spark, sf_dir):
+    names = ("checked", "online", "reachable", "offline")
+    return spark.read.schema(", ".join(f"{n} long" for n in names)).json(_health_report(spark, sf_dir), multiLine=True)
+
+
+def q51(spark, sf_dir):
+    """Suppliers as sources: some disabled, some local, some answered late or never; every second one's text was parsed."""
+    k, once = F.col("s_suppkey"), F.col("s_suppkey") % 5
+    sources = _t(spark, sf_dir, "supplier").select(k.alias("ord"), F.concat(F.lit("s"), k).alias("id"), F.concat(F.when(once == 4, "/local/").otherwise("http://h/"), k).alias("url"), (F.col("s_acctbal") > 0).alias("enabled"))
+    late = F.struct(F.lit(1).alias("attempt"), F.lit("error").alias("status"), F.lit(503).alias("http_status"), F.lit(7).alias("elapsed_ms"), F.lit("http_error").alias("error_type"))
+    good = F.struct(F.lit(2).alias("attempt"), F.lit("ok").alias("status"), F.lit(200).alias("http_status"), F.lit(3).alias("elapsed_ms"), F.lit("").alias("error_type"))
+    answered = _t(spark, sf_dir, "supplier").where(once < 3).select(
+        F.concat(F.lit("http://h/"), k).alias("url"), F.when(once == 0, 503).otherwise(200).alias("http_status"), F.lit("text/plain").alias("content_type"), F.concat(F.lit("http://h/"), k).alias("final_url"),
+        F.when(once > 0, F.encode("s_name", "UTF-8")).alias("body"), F.when(once == 0, "http_error").otherwise("").alias("error_type"), F.when(once == 0, "status 503").otherwise("").alias("error"), F.when(once == 0, 7).otherwise(10).alias("elapsed_ms"),
+        F.when(once == 0, F.array(late)).otherwise(F.array(late, good)).alias("attempts"),
+    )
+    parsed = _t(spark, sf_dir, "supplier").where(k % 2 == 0).select(F.concat(F.lit("s"), k).alias("source_id"), (k * 2).alias("channels_created"))
+    got = reports.source_diagnostics(sources, answered, parsed)
+    return got.select("source_id", "status", "error", F.col("attempt_count").cast("long").alias("attempt_count"), "download_ms", "bytes_downloaded", "is_remote", "retryable", "channels_created")
+
+
 # --- the deep probe ---------------------------------------------------------------------
 
 
@@ -731,6 +768,7 @@ def queries() -> dict:
     return {
         "q34_shallow_verdict": q34, "q35_direct_verdict": q35, "q36_clean_lines": q36, "q37_scores": q37, "q38_entry_keys": q38,
         "q41_guide_programmes": q41, "q41_guide_channels": q41_channels, "q41_guide_problems": q41_problems, "q41_guide_stats": q41_stats, "q41_guide_refused": q41_refused, "q42_ambiguous_match": q42, "q43_deep_probe": q43,
+        "q49_numbered": q49, "q50_health_report": q50, "q50_health_counts": q50_counts, "q51_source_diagnostics": q51,
         "q44_playlist_written": q44, "q44_category_places": q44_places, "q45_policy_rewrite": q45, "q46_dedupe_rewrite": q46, "q47_guide_written": q47, "q47_channels_written": q47_channels, "q48_unified_json": q48, "q48_unified_xmltv": q48_xmltv,
         "q01_url_key": q01, "q02_url_first_wins": q02, "q02_upsert_keeps_place": q02_upsert, "q03_best_per_key": q03, "q04_selection_reason": q04, "q05_components": q05,
         "q06_cluster_stats": q06, "q06_collisions": q06_collisions, "q07_category_cascade": q07, "q08_tiered_match": q08, "q08_match_stats": q08_stats, "q09_fuzzy_match": q09,
@@ -805,6 +843,12 @@ def oracle_sql() -> dict[str, str]:
         "q16_recovery_stats": _OUTCOME_SQL + "SELECT count(*) FILTER (outcome = 'selected_primary') AS selected_primary, count(*) FILTER (outcome = 'recovered_from_alternative') AS recovered, count(*) FILTER (outcome = 'upgraded_to_better_alternative') AS upgraded, count(*) FILTER (outcome IN ('all_candidates_failed', 'selection_not_publishable')) AS all_failed FROM o",
         "q17_metadata_fill": "WITH q AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id), d AS (SELECT d.doc_id, source, CASE WHEN lang = 'en' THEN '' ELSE lang END AS name, CASE WHEN d.doc_id % 3 = 0 THEN 'l' ELSE '' END AS logo, coalesce(quality, 0) = 1 AS m FROM documents d LEFT JOIN q USING (doc_id)) SELECT doc_id, CASE WHEN m AND doc_id % 2 <> 0 THEN source || '.it' ELSE source END AS tvg_id, CASE WHEN m AND name = '' THEN upper(source) ELSE name END AS tvg_name, CASE WHEN m AND logo = '' THEN 'http://' || source ELSE logo END AS logo, m AND (doc_id % 2 <> 0 OR name = '' OR logo = '') AS changed FROM d",
         # a name with a letter more is likest to itself: all but that letter match, and the beginning is common
+        "q49_numbered": "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) AS place FROM (SELECT DISTINCT l_shipdate, l_orderkey, l_linenumber FROM lineitem)",
+        "q50_health_report": f"SELECT row_number() OVER (ORDER BY event_id) - 1 AS place, 'u' || user_id AS stream_url, {_STATUS} AS status, CAST(CASE WHEN value > 50 THEN 404 ELSE 503 END AS INT) AS http_status, CAST(floor(value * 40) AS INT) AS response_ms FROM events",
+        "q50_health_counts": f"SELECT count(*) AS checked, count(*) FILTER ({_STATUS} = 'online') AS online, count(*) FILTER ({_STATUS} = 'reachable') AS reachable, count(*) FILTER ({_STATUS} = 'offline') AS offline FROM events",
+        "q51_source_diagnostics": """SELECT 's' || s_suppkey AS source_id, CASE WHEN NOT on_ THEN 'disabled' WHEN k IN (0, 3) THEN 'error' ELSE 'success' END AS status, CASE WHEN on_ AND k = 0 THEN 'status 503' WHEN on_ AND k = 3 THEN 'no response' ELSE '' END AS error,
+          CAST(CASE WHEN on_ THEN CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 2 ELSE 0 END ELSE 0 END AS BIGINT) AS attempt_count, CAST(CASE WHEN on_ THEN CASE k WHEN 0 THEN 7 WHEN 1 THEN 10 WHEN 2 THEN 10 ELSE 0 END ELSE 0 END AS BIGINT) AS download_ms,
+          CAST(CASE WHEN on_ AND k IN (1, 2) THEN strlen(s_name) ELSE 0 END AS BIGINT) AS bytes_downloaded, k <> 4 AS is_remote, on_ AND k = 0 AS retryable, CAST(CASE WHEN s_suppkey % 2 = 0 THEN 2 * s_suppkey ELSE 0 END AS BIGINT) AS channels_created FROM (SELECT *, s_suppkey % 5 AS k, s_acctbal > 0 AS on_ FROM supplier)""",
         "q44_playlist_written": f"SELECT p_partkey, trim({_NAME_CASE}) AS name, category, '#KEPT:' || p_brand AS directive FROM ({_category_sql()}) JOIN part USING (p_partkey)",
         "q44_category_places": f"SELECT category, CAST(sum(n) OVER (ORDER BY category_rank) - n + 1 AS BIGINT) AS first, CAST(sum(n) OVER (ORDER BY category_rank) AS BIGINT) AS last FROM (SELECT category, category_rank, count(*) AS n FROM ({_category_sql()}) GROUP BY category, category_rank)",
         "q45_policy_rewrite": f"SELECT CASE WHEN user_id % 3 = 0 THEN 'u' || user_id || '-unknown' ELSE 'u' || user_id END AS url FROM ({_LAST_HEALTH}) WHERE user_id % 3 = 0 OR NOT {_HARD}",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions.constants import ALTERNATE_PRIORITY
-from ..operators import alternates, cluster, export, guide, health, keyed, match, policy, rank
+from ..operators import alternates, cluster, export, guide, health, keyed, match, policy, rank, reports
 from ..sinks import rewrite
 from ..sources import playlist, xmltv
 from ..sources.catalog import Settings
@@ -65,16 +65,22 @@ def run(spark: SparkSession, texts: DataFrame, sources: DataFrame, responses: Da
     fetched = items.where("kind = 'document' and error is null").count()
     guide_state = export.publish_guide(shown, output, matched, f"{out}/epg.xml", fetched=fetched)
     totals = parse_stats.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in parse_stats.columns if c != "source_id"])
+    recovery = policy.recovery_stats(chosen["outcomes"])
+    reports.health_report(chosen["health"], f"{out}/health.json", recovery=recovery.first().asDict())
+    device = reports.device_report(kept, chosen["health"], f"{out}/device-report.json", minimum=settings.device_min_score)
     document = export.report(
-        {"parser": totals, "groups": cluster.cluster_stats(chosen["clustered"]), "health": health.stats(chosen["health"]), "matching": match.stats(matched), "recovery": policy.recovery_stats(chosen["outcomes"])},
+        {"parser": totals, "groups": cluster.cluster_stats(chosen["clustered"]), "health": health.stats(chosen["health"]), "matching": match.stats(matched), "recovery": recovery},
         guide=guide_state,
         policy={k: v for k, v in applied["files"][0].items() if k != "file"},
         device_policy={k: v for k, v in applied["files"][1].items() if k != "file"},
         duplicates_removed=removed[files[0]],
         device_duplicates_removed=removed[files[1]],
+        device=device,
         decisions=export.reported(chosen["decisions"], ["cluster"]),
         issues=export.reported(issues, ["source_id", "line_number"]),
     )
+    published = applied["files"][0]["entries_published"] - removed[files[0]]
+    document["channels"] = reports.run_metrics(document["parser"]["channels_created"], document["groups"]["input_channels"], document["groups"]["groups"], applied["files"][0]["entries_seen"], published)
     export.write_json(document, f"{out}/report.json")
     return document
 

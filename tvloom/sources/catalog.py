@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import urls
 from ..functions.constants import SCHEMES
+from ..operators.numbering import numbered
 
 #: Kinds and modes of sources.
 KINDS = ["playlist", "api", "catalog", "repository", "generated"]
@@ -31,15 +32,7 @@ def read_catalogs(spark: SparkSession, directory: str) -> DataFrame:
     schema = T.StructType([T.StructField("sources", T.ArrayType(item))])
     found = spark.read.schema(schema).json(f"{directory}/*.json", multiLine=True, mode="FAILFAST")
     rows = found.select(F.col("_metadata.file_name").alias("file"), F.posexplode("sources").alias("pos", "s")).select("file", "pos", "s.*")
-    # a catalog is a few files of configuration
-    ordered = rows.withColumn("ord", F.row_number().over(_in_order("file", "pos")).cast("long") - 1)
-    return build(ordered.drop("file", "pos"))
-
-
-def _in_order(*columns: str):
-    from pyspark.sql import Window as W
-
-    return W.partitionBy(F.lit(0)).orderBy(*columns)
+    return build(numbered(rows, ["file", "pos"]).drop("file", "pos"))
 
 
 def token(value: Column) -> Column:
