@@ -256,11 +256,9 @@ def texts(found: list[Block]) -> dict[str, int]:
     return {path: token(np.array(own, np.int64).tobytes()) for path, own in held.items()}
 
 
-def main_text(page: str, slot: int | None, constant: frozenset[tuple[int, int]] | set = frozenset()) -> str:
-    """The page's main text. slot: token of the path of the article's slot (None: of no template; that of "": the page); constant: path and text tokens."""
+def main_text(page: str, slot: int, constant: frozenset[tuple[int, int]] | set = frozenset()) -> str:
+    """The page's main text. slot: token of the path of the article's slot (that of "": the page); constant: path and text tokens."""
     found, paths = blocks(page)
-    if slot is None:
-        return "\n\n".join(b.text for b in found)
     if constant:
         same = {path for path, own in texts(found).items() if paths[path] == 1 and (token(path), own) in constant}
         found = [b for b in found if same.isdisjoint(_holders(b.path))]
