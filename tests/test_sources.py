@@ -105,3 +105,17 @@ def test_settings(tmp_path):
         path.write_text(json.dumps(bad))
         with pytest.raises(ValueError):
             catalog.Settings.load(str(path))
+
+
+def test_settings_by_the_names_of_files(tmp_path):
+    path = tmp_path / "s.json"
+    names = {"output_file": " a/p.m3u ", "request_timeout_seconds": 30, "retry_count": "3", "user_agent": "TV", "health_timeout_seconds": 15, "health_max_workers": 8, "pluto_minimum_score": 70.5, "pluto_max_workers": 16, "pluto_timeout_seconds": 8, "pluto_playback_enabled": "no", "samsung_output_file": "d.m3u", "epg_public_url": "http://g", "epg_timeout_seconds": 9, "strange": 1}
+    path.write_text(json.dumps(names))
+    s = catalog.Settings.load(str(path))
+    assert (s.output_file, s.request_timeout, s.retries, s.user_agent, s.health_timeout, s.health_workers) == ("a/p.m3u", 30, 3, "TV", 15, 8)
+    assert (s.device_min_score, s.device_workers, s.device_timeout, s.device_enabled, s.device_output_file, s.epg_public_url, s.epg_timeout) == (70.5, 16, 8, False, "d.m3u", "http://g", 9)
+    assert catalog.Settings.unknown(str(path)) == ["strange"]
+    for bad in ({"output_file": " "}, {"user_agent": 5}, {"epg_timeout_seconds": 0}, {"retry_count": True}):
+        path.write_text(json.dumps(bad))
+        with pytest.raises(ValueError):
+            catalog.Settings.load(str(path))

@@ -145,36 +145,69 @@ class Settings:
     """Run settings."""
 
     sources_dir: str = "config/sources"
-    output_dir: str = "output"
-    request_timeout: int = 30
-    retries: int = 3
+    output_file: str = "output/playlist.m3u"
+    report_file: str = "output/report.json"
+    health_file: str = "output/health.json"
+    request_timeout: int = 20
+    retries: int = 2
+    user_agent: str = "tvloom"
     health_enabled: bool = False
-    health_workers: int = 8
-    health_timeout: int = 15
+    health_workers: int = 12
+    health_timeout: int = 10
     publish_only_online: bool = False
     deep_check: bool = False
     expected_country: str = ""
+    device_enabled: bool = True
     device_workers: int = 16
     device_timeout: int = 8
-    device_min_score: int = 70
+    device_min_score: float = 70.0
+    device_output_file: str = "output/playlist_device.m3u"
+    device_report_file: str = "output/device-report.json"
     similarity_minimum: float = 86.0
+    epg_enabled: bool = False
+    epg_file: str = "output/epg.xml"
+    epg_report_file: str = "output/epg-report.json"
+    epg_public_url: str = ""
+    epg_timeout: int = 30
     epg_sources: tuple[str, ...] = field(default=())
 
     @classmethod
     def load(cls, path: str) -> "Settings":
-        """Settings of a JSON file; unknown names are left alone, values take the types of the defaults."""
-        data = json.loads(Path(path).read_text("utf-8"))
-        if not isinstance(data, dict):
-            raise ValueError("settings must be an object")
-        made = {f.name: _typed(f.name, data[f.name], getattr(cls, f.name, ())) for f in fields(cls) if f.name in data}
+        """Settings of a JSON file, by the file's names or those here; unknown names are left alone (see `unknown`), values
+        take the types of the defaults."""
+        named = _read(path)
+        made = {f.name: _typed(f.name, named[f.name], getattr(cls, f.name, ())) for f in fields(cls) if f.name in named}
         settings = cls(**made)
-        for name in ("request_timeout", "health_workers", "health_timeout", "device_workers", "device_timeout"):
+        for name in ("output_file", "report_file", "health_file", "epg_file", "epg_report_file", "device_output_file", "device_report_file"):
+            if not getattr(settings, name):
+                raise ValueError(f"{name} must not be empty")
+        for name in ("request_timeout", "health_workers", "health_timeout", "device_workers", "device_timeout", "epg_timeout"):
             if getattr(settings, name) <= 0:
                 raise ValueError(f"{name} must be positive")
         if settings.retries < 0 or not 0 <= settings.device_min_score <= 100:
             raise ValueError("retries or device_min_score out of range")
         return settings
 
+    @classmethod
+    def unknown(cls, path: str) -> list[str]:
+        """Names in a settings file that mean nothing here."""
+        return sorted(_read(path).keys() - {f.name for f in fields(cls)})
+
+
+#: What settings files call some of them.
+SETTING_NAMES = {
+    "request_timeout_seconds": "request_timeout", "retry_count": "retries", "health_timeout_seconds": "health_timeout", "health_max_workers": "health_workers", "epg_timeout_seconds": "epg_timeout",
+    "pluto_playback_enabled": "device_enabled", "pluto_minimum_score": "device_min_score", "pluto_timeout_seconds": "device_timeout", "pluto_max_workers": "device_workers",
+    "samsung_output_file": "device_output_file", "pluto_report_file": "device_report_file",
+}
+
+
+def _read(path: str) -> dict:
+    data = json.loads(Path(path).read_text("utf-8"))
+    if not isinstance(data, dict):
+        raise ValueError("settings must be an object")
+    return {SETTING_NAMES.get(name, name): value for name, value in data.items()}
+
 
 def _typed(name: str, value, default):
     if isinstance(default, bool):
@@ -186,8 +219,10 @@ def _typed(name: str, value, default):
         if not isinstance(value, list):
             raise ValueError(f"{name} must be a list")
         return tuple(dict.fromkeys(x for v in value if (x := str(v).strip())))
-    return type(default)(value) if not isinstance(value, bool) else _refuse(name)
+    if isinstance(default, str):
+        return str(value).strip() if isinstance(value, str) else _refuse(name, "a text")
+    return type(default)(value) if not isinstance(value, bool) else _refuse(name, "a number")
 
 
-def _refuse(name: str):
-    raise ValueError(f"{name} must not be boolean")
+def _refuse(name: str, kind: str):
+    raise ValueError(f"{name} must be {kind}")
