@@ -6,8 +6,12 @@ channels and sources, events for programmes and probes.
 
 from __future__ import annotations
 
+import gzip
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import constants as C
 from ..functions import scores, text, urls
@@ -589,6 +593,32 @@ def q41_refused(spark, sf_dir):
     return _guide_items(spark, sf_dir).where("kind = 'document'").select("doc_ord", F.col("error").isNotNull().alias("refused"))
 
 
+@F.pandas_udf(T.BinaryType())
+def _zipped(bodies: pd.Series) -> pd.Series:
+    return bodies.map(lambda b: gzip.compress(b, 1, mtime=0))
+
+
+def q52(spark, sf_dir):
+    """The events of a user as a guide, packed for two users of five, with a declaration for one, called packed for one; under bounds that some exceed."""
+    user, kind = F.col("user_id").cast("string"), F.col("user_id") % 5
+    programme = F.concat(F.lit('<programme channel="U'), user, F.lit('" start="'), F.col("event_id").cast("string"), F.lit('"/>'))
+    each = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.collect_list(programme), "").alias("body"))
+    plain = F.encode(F.concat(F.when(kind == 3, "<!DOCTYPE tv>").otherwise(""), F.lit("<tv>"), "body", F.lit("</tv>")), "UTF-8")
+    name = F.when(kind.isin(1, 4), "g.xml.gz").otherwise("g.xml")
+    # only bodies that are to be packed are
+    packed = _zipped(F.coalesce(F.when(kind.isin(1, 2), plain), F.lit(b"")))
+    documents = each.select(F.col("user_id").cast("long").alias("doc_ord"), F.lit("u").alias("source_url"), name.alias("filename"), F.when(kind.isin(1, 2), packed).otherwise(plain).alias("body"))
+    items = xmltv.read_items(documents, most_programmes=66, most_xml=2600)
+    reason = F.coalesce(F.regexp_extract(F.max("error"), "(elements|bytes|gzip|declarations)", 1), F.lit("")).alias("reason")
+    return items.groupBy("doc_ord").agg(reason, F.max("compressed").alias("compressed"), F.max("xml_bytes").alias("xml_bytes"), F.count_if(F.col("kind") == "programme").alias("programmes"))
+
+
+_BOUNDS_SQL = """
+WITH e AS (SELECT CAST(user_id AS BIGINT) AS doc_ord, user_id % 5 AS kind, count(*) AS n, CAST(9 + sum(length('<programme channel="U' || user_id || '" start="' || event_id || '"/>')) AS BIGINT) + CASE WHEN user_id % 5 = 3 THEN 13 ELSE 0 END AS size FROM events GROUP BY user_id),
+r AS (SELECT *, CASE WHEN kind = 4 THEN 'gzip' WHEN size > 2600 THEN 'bytes' WHEN kind = 3 THEN 'declarations' WHEN n > 66 THEN 'elements' ELSE '' END AS reason FROM e)
+"""
+
+
 def q42(spark, sf_dir):
     """Customers named like a region, which several guide channels are, or like one of them."""
     shown = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -767,7 +797,7 @@ def q43(spark, sf_dir):
 def queries() -> dict:
     return {
         "q34_shallow_verdict": q34, "q35_direct_verdict": q35, "q36_clean_lines": q36, "q37_scores": q37, "q38_entry_keys": q38,
-        "q41_guide_programmes": q41, "q41_guide_channels": q41_channels, "q41_guide_problems": q41_problems, "q41_guide_stats": q41_stats, "q41_guide_refused": q41_refused, "q42_ambiguous_match": q42, "q43_deep_probe": q43,
+        "q41_guide_programmes": q41, "q41_guide_channels": q41_channels, "q41_guide_problems": q41_problems, "q41_guide_stats": q41_stats, "q41_guide_refused": q41_refused, "q42_ambiguous_match": q42, "q52_guide_bounds": q52, "q43_deep_probe": q43,
         "q49_numbered": q49, "q50_health_report": q50, "q50_health_counts": q50_counts, "q51_source_diagnostics": q51,
         "q44_playlist_written": q44, "q44_category_places": q44_places, "q45_policy_rewrite": q45, "q46_dedupe_rewrite": q46, "q47_guide_written": q47, "q47_channels_written": q47_channels, "q48_unified_json": q48, "q48_unified_xmltv": q48_xmltv,
         "q01_url_key": q01, "q02_url_first_wins": q02, "q02_upsert_keeps_place": q02_upsert, "q03_best_per_key": q03, "q04_selection_reason": q04, "q05_components": q05,
@@ -816,6 +846,7 @@ def oracle_sql() -> dict[str, str]:
         "q41_guide_channels": "SELECT DISTINCT CAST(user_id AS BIGINT) AS doc_ord, 'U' || user_id AS channel_id, 'A,B' AS names, 'i' AS icon_url FROM events WHERE user_id % 17 <> 0",
         "q41_guide_problems": _GUIDE_SQL + "SELECT user_id AS doc_ord, problem, count(*) AS programmes FROM c WHERE problem IS NOT NULL GROUP BY ALL",
         "q41_guide_stats": _GUIDE_SQL + "SELECT u.user_id AS doc_ord, CASE WHEN refused THEN 0 ELSE 3 END::BIGINT AS channels_found, CASE WHEN refused THEN 0 ELSE 1 END::BIGINT AS channels_created, CASE WHEN refused THEN 0 ELSE 1 END::BIGINT AS channel_duplicates, coalesce(programmes, 0) AS programmes_found, coalesce(n, 0) AS programmes_created, coalesce(taken, 0) - coalesce(n, 0) AS programme_duplicates, coalesce(programmes - taken, 0) AS programmes_skipped FROM (SELECT DISTINCT CAST(user_id AS BIGINT) AS user_id, user_id % 17 = 0 AS refused FROM events) u LEFT JOIN (SELECT user_id, count(*) AS programmes, count(*) FILTER (problem IS NULL) AS taken FROM c GROUP BY user_id) p ON u.user_id = p.user_id LEFT JOIN (SELECT user_id, count(*) AS n FROM f GROUP BY user_id) g ON u.user_id = g.user_id",
+        "q52_guide_bounds": _BOUNDS_SQL + "SELECT doc_ord, reason, CASE WHEN reason = '' THEN kind IN (1, 2) END AS compressed, CASE WHEN reason = '' THEN size END AS xml_bytes, CASE WHEN reason = '' THEN n ELSE 0 END AS programmes FROM r",
         "q41_guide_refused": "SELECT DISTINCT CAST(user_id AS BIGINT) AS doc_ord, user_id % 17 = 0 AS refused FROM events",
         "q42_ambiguous_match": "WITH g AS (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey) SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 AND n > 1 THEN 'ambiguous' ELSE 'matched' END AS status, CASE WHEN c_custkey % 2 = 0 AND n > 1 THEN NULL ELSE n_name || '.it' END AS guide_id, CAST(92 AS DOUBLE) AS score, CASE WHEN c_custkey % 2 = 0 THEN n ELSE 1 END AS candidates FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN g USING (n_regionkey)",
         "q43_deep_probe": "WITH p AS (SELECT CAST(page_id AS BIGINT) AS page_id, CAST(page_id % 10 AS INT) AS k FROM pages) SELECT page_id, CASE WHEN k IN (0, 1, 9) THEN 'online' ELSE 'offline' END AS status, CASE k WHEN 0 THEN 'hls_segment_verified' WHEN 1 THEN 'hls_segment_verified' WHEN 2 THEN 'hls_segment_http_error' WHEN 3 THEN 'hls_drm_detected' WHEN 4 THEN 'network_error' WHEN 5 THEN 'http_error' WHEN 6 THEN 'hls_no_media_segment' WHEN 7 THEN 'hls_invalid_media_segment' WHEN 8 THEN 'hls_unsupported_codec' ELSE 'direct_media_verified' END AS reason, CAST(CASE k WHEN 4 THEN NULL WHEN 5 THEN 500 ELSE 200 END AS INT) AS http_status, CAST(CASE WHEN k IN (0, 1, 7) THEN 200 WHEN k = 2 THEN 404 END AS INT) AS segment_http_status, CAST(CASE k WHEN 0 THEN 100 WHEN 1 THEN 100 WHEN 9 THEN 92 ELSE 0 END AS INT) AS health_score FROM p",

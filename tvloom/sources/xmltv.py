@@ -1,8 +1,8 @@
 """XMLTV guides: guarded parsing of whole documents to channels and programmes, and time stamps.
 
 A document is one row (doc_ord, source_url, filename, body); documents are parsed in parallel, each in one task,
-as an XML document can't be cut. Document type declarations and entities are refused, sizes and counts are bounded:
-a document beyond a bound fails, it isn't cut short.
+as an XML document can't be cut, but in chunks, so that a task holds its body and one element. Document type declarations
+and entities are refused, sizes and counts are bounded: a document beyond a bound fails, it isn't cut short.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ import re
 import xml.etree.ElementTree as ET
 import zlib
 from collections.abc import Iterator
+from itertools import islice
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,6 +27,9 @@ MOST_XML = 250 * 1024 * 1024
 MOST_CHANNELS = 100_000
 MOST_PROGRAMMES = 500_000
 MOST_ISSUES = 500
+#: Bytes that are decompressed and parsed at once, bytes searched for declarations, and items of a batch.
+CHUNK, HEAD, ITEMS = 1 << 16, 1 << 16, 2000
+NO_TYPES = "document type declarations and entities aren't allowed"
 GZIP = b"\x1f\x8b"
 TIME = r"^\d{8}(?:\d{2}){0,3}(?:\s*[+-]\d{4}|Z)?$"
 
@@ -42,25 +47,38 @@ def is_compressed(body: bytes, content_type: str = "", name: str = "") -> bool:
     return body.startswith(GZIP) or "gzip" in content_type.lower() or name.lower().endswith(".gz")
 
 
-def gunzip(body: bytes, most: int = MOST_XML) -> bytes:
-    """Decompressed body of at most `most` bytes; more is refused before it is held."""
-    out, unpacker, rest = bytearray(), zlib.decompressobj(31), body
+def unpacked(body: bytes, most: int = MOST_XML) -> Iterator[bytes]:
+    """The decompressed body in chunks; more than `most` bytes in all are refused before they are held."""
+    size, unpacker, at, rest = 0, zlib.decompressobj(31), 0, b""
     try:
-        while rest:
-            out += unpacker.decompress(rest, most + 1 - len(out))
-            if len(out) > most:
+        while True:
+            if not rest:
+                rest, at = body[at : at + CHUNK], at + CHUNK
+            ended = not rest
+            part = unpacker.decompress(rest, CHUNK)
+            size += len(part)
+            if size > most:
                 raise GuideError(f"over {most} bytes when decompressed")
-            if unpacker.eof:  # members may follow one another
-                rest, unpacker = unpacker.unused_data, zlib.decompressobj(31)
-                if not rest.startswith(GZIP):
-                    break
+            if part:
+                yield part
+            if unpacker.eof:  # members may follow one another, zeros the last
+                rest = unpacker.unused_data.lstrip(b"\0")
+                while not rest and at < len(body):
+                    rest, at = body[at : at + CHUNK].lstrip(b"\0"), at + CHUNK
+                if not rest:
+                    return
+                unpacker = zlib.decompressobj(31)
             else:
                 rest = unpacker.unconsumed_tail
-                if not rest:
+                if ended and not part:
                     raise GuideError("truncated gzip data")
     except zlib.error as e:
         raise GuideError(f"bad gzip data: {e}") from e
-    return bytes(out)
+
+
+def gunzip(body: bytes, most: int = MOST_XML) -> bytes:
+    """Decompressed body of at most `most` bytes."""
+    return b"".join(unpacked(body, most))
 
 
 def _local(tag: object) -> str:
@@ -94,39 +112,98 @@ def _icon(element: ET.Element) -> str:
     return next((s for c in _children(element, "icon") if (s := c.get("src", "").strip())), "")
 
 
-def read_document(body: bytes, name: str = "", *, most_input: int = MOST_INPUT, most_xml: int = MOST_XML, most_channels: int = MOST_CHANNELS, most_programmes: int = MOST_PROGRAMMES) -> tuple[dict, list[dict]]:
-    """Facts of a document and its items in document order."""
+def _counted(chunks: Iterator[bytes], most_xml: int, most: dict[str, int]) -> int:
+    """Bytes of a document's XML, if it is well-formed and within the bounds; nothing of it is held but its first bytes."""
+    parser = expat.ParserCreate(namespace_separator="}")
+    seen, depth, size, head = dict.fromkeys(most, 0), 0, 0, b""
+
+    def begin(tag: str, _) -> None:
+        nonlocal depth
+        name = _local(tag)
+        if depth == 0 and name != "tv":
+            raise GuideError("the root isn't <tv>")
+        if depth == 1 and name in most:
+            seen[name] += 1
+            if seen[name] > most[name]:
+                raise GuideError(f"over {most[name]} {name} elements")
+        depth += 1
+
+    def end(_) -> None:
+        nonlocal depth
+        depth -= 1
+
+    def refuse(*_) -> None:
+        raise GuideError(NO_TYPES)
+
+    parser.StartElementHandler, parser.EndElementHandler, parser.StartDoctypeDeclHandler = begin, end, refuse
+    try:
+        for chunk in chunks:
+            size += len(chunk)
+            if size > most_xml:
+                raise GuideError(f"over {most_xml} bytes of XML")
+            if len(head) < HEAD:
+                head += chunk[: HEAD - len(head)]
+                if re.search(rb"<!doctype|<!entity", head.lower()):
+                    raise GuideError(NO_TYPES)
+            parser.Parse(chunk, False)
+        parser.Parse(b"", True)
+    except (expat.ExpatError, ValueError, LookupError) as e:
+        raise e if isinstance(e, GuideError) else GuideError(f"not well-formed: {e}") from e
+    return size
+
+
+def _items(chunks: Iterator[bytes]) -> Iterator[dict]:
+    """Channels and programmes as they end; what is read is let go."""
+    parser, ords, depth, root = ET.XMLPullParser(("start", "end")), {"channel": 0, "programme": 0}, 0, None
+
+    def events() -> Iterator[tuple[str, ET.Element]]:
+        for chunk in chunks:
+            parser.feed(chunk)
+            yield from parser.read_events()
+        parser.close()
+        yield from parser.read_events()
+
+    for event, e in events():
+        if event == "start":
+            root = e if depth == 0 else root
+            depth += 1
+            continue
+        depth -= 1
+        if depth != 1:
+            continue
+        tag = _local(e.tag)
+        if tag in ords:
+            ords[tag] += 1
+            yield _item(e, tag, ords[tag])
+        root.clear()
+
+
+def _item(e: ET.Element, tag: str, ord: int) -> dict:
+    item = {"kind": tag, "ord": ord, "icon_url": _icon(e), "channel_id": e.get("id" if tag == "channel" else "channel", "").strip()}
+    if tag == "channel":
+        return item | {"names": distinct_texts(e, "display-name")}
+    item |= {a: e.get(a, "").strip() for a in ("start", "stop")}
+    item |= {c: preferred(e, t) for c, t in (("title", "title"), ("subtitle", "sub-title"), ("description", "desc"), ("episode_num", "episode-num"))}
+    return item | {"categories": distinct_texts(e, "category")}
+
+
+def read_document(body: bytes, name: str = "", *, most_input: int = MOST_INPUT, most_xml: int = MOST_XML, most_channels: int = MOST_CHANNELS, most_programmes: int = MOST_PROGRAMMES) -> tuple[dict, Iterator[dict]]:
+    """Facts of a document, and its items as they are read.
+
+    It is read twice: first to its end, as one that isn't taken has no items, then for its items. Neither holds more of it than
+    a chunk and an element.
+    """
     if not body:
         raise GuideError("empty document")
     if len(body) > most_input:
         raise GuideError(f"over {most_input} bytes")
     compressed = body.startswith(GZIP) or name.lower().endswith(".gz")
-    xml = gunzip(body, most_xml) if compressed else body
-    if len(xml) > most_xml:
-        raise GuideError(f"over {most_xml} bytes of XML")
-    if re.search(rb"<!doctype|<!entity", xml[:65536].lower()):
-        raise GuideError("document type declarations and entities aren't allowed")
-    try:
-        root = ET.fromstring(xml)
-    except ET.ParseError as e:
-        raise GuideError(f"not well-formed: {e}") from e
-    if _local(root.tag) != "tv":
-        raise GuideError("the root isn't <tv>")
-    items = []
-    for tag, most in (("channel", most_channels), ("programme", most_programmes)):
-        elements = _children(root, tag)
-        if len(elements) > most:
-            raise GuideError(f"over {most} {tag} elements")
-        for ord, e in enumerate(elements, 1):
-            item = {"kind": tag, "ord": ord, "icon_url": _icon(e), "channel_id": e.get("id" if tag == "channel" else "channel", "").strip()}
-            if tag == "channel":
-                item["names"] = distinct_texts(e, "display-name")
-            else:
-                item |= {a: e.get(a, "").strip() for a in ("start", "stop")}
-                item |= {c: preferred(e, t) for c, t in (("title", "title"), ("subtitle", "sub-title"), ("description", "desc"), ("episode_num", "episode-num"))}
-                item["categories"] = distinct_texts(e, "category")
-            items.append(item)
-    return {"compressed": compressed, "input_bytes": len(body), "xml_bytes": len(xml)}, items
+
+    def chunks() -> Iterator[bytes]:
+        return unpacked(body, most_xml) if compressed else (body[at : at + CHUNK] for at in range(0, len(body), CHUNK))
+
+    size = _counted(chunks(), most_xml, {"channel": most_channels, "programme": most_programmes})
+    return {"compressed": compressed, "input_bytes": len(body), "xml_bytes": size}, _items(chunks())
 
 
 def read_items(documents: DataFrame, **limits: int) -> DataFrame:
@@ -134,18 +211,24 @@ def read_items(documents: DataFrame, **limits: int) -> DataFrame:
     kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
     schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split(" ") for c in ITEM.split(", "))])
 
+    def rows(doc_ord: int, source_url: str | None, filename: str | None, body: bytes | None) -> Iterator[dict]:
+        base = {"doc_ord": doc_ord, "source_url": (source_url or "").strip()}
+        try:
+            facts, found = read_document(body or b"", filename or "", **limits)
+        except GuideError as e:
+            yield base | {"error": str(e), "kind": "document"}
+            return
+        base |= facts
+        yield base | {"kind": "document"}
+        for item in found:
+            yield base | item
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                base = {"doc_ord": row["doc_ord"], "source_url": (row["source_url"] or "").strip()}
-                try:
-                    facts, items = read_document(row["body"] or b"", row["filename"] or "", **limits)
-                    base |= facts
-                    rows = [base | {"kind": "document"}] + [base | item for item in items]
-                except GuideError as e:
-                    rows = [base | {"error": str(e), "kind": "document"}]
-                for at in range(0, len(rows), 20_000):
-                    yield pa.RecordBatch.from_pylist(rows[at : at + 20_000], schema)
+            for i in range(batch.num_rows):
+                found = rows(*(batch.column(c)[i].as_py() for c in range(4)))
+                while part := list(islice(found, ITEMS)):
+                    yield pa.RecordBatch.from_pylist(part, schema)
 
     return documents.select("doc_ord", "source_url", "filename", "body").mapInArrow(run, ITEM)
 
