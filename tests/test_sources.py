@@ -51,10 +51,10 @@ def test_search(sources):
 
 def test_code_search(spark):
     host = f"https://{catalog.SEARCH_HOST}"
-    items = spark.createDataFrame([(0, "a.m3u", "r", f"{host}/1"), (1, "b.M3U8", "r", f"{host}/1#x"), (2, "c.md", "r", f"{host}/2"), (3, "d.m3u", "r", "https://evil/3"), (4, "e.txt", "r", f"{host}/4")], "ord long, path string, repository string, download_url string")
+    items = spark.createDataFrame([(0, "a.m3u", "r", f"{host}/1.m3u"), (1, "b.M3U8", "r", f"{host}/1.m3u#x"), (2, "c.md", "r", f"{host}/2.m3u"), (3, "d.m3u", "r", "https://evil/3.m3u"), (4, "e.txt", "r", f"{host}/4.TXT?raw=1"), (5, "f.m3u", "r", f"{host}/5")], "ord long, path string, repository string, download_url string")
     made, counts = catalog.search_results(items)
-    assert sorted(r.ord for r in made.collect()) == [0, 4] and all(len(r.id) == 23 for r in made.collect())
-    assert counts.first().asDict() == {"seen": 5, "accepted": 2, "duplicates": 1, "rejected": 2}
+    assert sorted(r.ord for r in made.collect()) == [0, 4] and all(len(r.id) == 33 for r in made.collect())
+    assert counts.first().asDict() == {"seen": 6, "accepted": 2, "duplicates": 1, "rejected": 3}
 
 
 class Server:

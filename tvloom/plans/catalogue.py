@@ -499,9 +499,9 @@ def q32(spark, sf_dir):
 
 def q33(spark, sf_dir):
     """Curated and found sources: accepted playlists of a code search."""
-    items = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), F.concat(F.lit("lists/"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 3 == 0, ".m3u").otherwise(".md")).alias("path"), F.lit("a/b").alias("repository"), F.concat(F.when(F.col("page_id") % 2 == 0, "https").otherwise("http"), F.lit("://raw.githubusercontent.com/"), (F.col("page_id") % 40).cast("string")).alias("download_url"))
-    made, _ = catalog.search_results(items)
-    return made.select("ord", "id", "priority", "trust_score")
+    items = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), F.concat(F.lit("lists/"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 3 == 0, ".m3u").otherwise(".md")).alias("path"), F.lit("a/b").alias("repository"), F.concat(F.when(F.col("page_id") % 2 == 0, "https").otherwise("http"), F.lit("://raw.githubusercontent.com/"), (F.col("page_id") % 40).cast("string"), F.lit("/a.m3u?x")).alias("download_url"))
+    made, _ = catalog.search_results(items, ["RAI", "it"])
+    return made.select("ord", "id", "name", "origin", "priority", "trust_score", F.array_join("tags", ",").alias("tags"))
 
 
 # --- verdicts, scores and keys ----------------------------------------------------------
@@ -912,6 +912,6 @@ def oracle_sql() -> dict[str, str]:
         "q30_registry_search": "WITH r AS (SELECT * FROM documents WHERE trim(text, chr(10) || chr(9) || ' ') <> '' QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) = 1) SELECT doc_id FROM r WHERE contains(lower(text), 'the')",
         "q31_token_country": "SELECT page_id, 1700000000 + page_id * 1000 < 1700100000 - 60 AS expired, CASE WHEN page_id % 2 = 0 THEN 'match' ELSE 'mismatch' END AS country FROM pages",
         "q32_entities": "WITH c AS (SELECT n_nationkey, n_name, r_name, n_nationkey % 2 = 0 AS s FROM nation JOIN region ON n_regionkey = r_regionkey), e AS (SELECT n_nationkey, CASE WHEN s THEN 'it.' || lower(r_name) ELSE 'it.auto.' || trim(regexp_replace(lower(n_name), '[^a-z0-9]+', '.', 'g'), '.') END AS channel_id, CASE WHEN s THEN 'NEWS' ELSE 'ALTRO' END AS category, CASE WHEN s THEN r_name || ' (720p)' ELSE n_name END AS name FROM c) SELECT channel_id, any_value(category) AS category, string_agg(DISTINCT name, '|') AS aliases, string_agg('http://' || n_nationkey, '|' ORDER BY n_nationkey) AS streams FROM e GROUP BY channel_id",
-        "q33_code_search": "WITH a AS (SELECT page_id, 'https://raw.githubusercontent.com/' || (page_id % 40) AS u FROM pages WHERE page_id % 6 = 0) SELECT min(page_id) AS ord, 'search-' || substr(sha256(u), 1, 16) AS id, CAST(200 AS INT) AS priority, CAST(35 AS INT) AS trust_score FROM a GROUP BY u",
+        "q33_code_search": "WITH a AS (SELECT page_id, 'https://raw.githubusercontent.com/' || (page_id % 40) || '/a.m3u?x' AS u FROM pages WHERE page_id % 6 = 0) SELECT min(page_id) AS ord, 'discovery_github_' || substr(sha256(u), 1, 16) AS id, 'GitHub a/b/lists/' || min(page_id) || '.m3u' AS name, 'a/b' AS origin, 'rai,it,github,discovered' AS tags, CAST(200 AS INT) AS priority, CAST(35 AS INT) AS trust_score FROM a GROUP BY u",
         "q40_device_filter": f"SELECT event_id FROM events JOIN ({_LAST_HEALTH}) USING (user_id) WHERE user_id % 2 <> 0 OR (status IN ('online', 'reachable') AND score >= 40)",
     }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 
@@ -20,6 +21,8 @@ MODES = ["static", "country", "language", "tags", "search", "api"]
 #: What a code search is asked for and may return.
 SEARCH_SUFFIXES = [".m3u", ".m3u8", ".txt"]
 SEARCH_HOST = "raw.githubusercontent.com"
+#: Ids, names and tags of found sources.
+FOUND_ID, FOUND_NAME, FOUND_TAGS = "discovery_github_", "GitHub ", ["github", "discovered"]
 DEFAULTS = {"id": "", "name": "", "url": "", "enabled": True, "priority": 100, "kind": "playlist", "country": "", "language": "", "discovery_enabled": False, "discovery_mode": "static", "trust_score": 50, "refresh_hours": 24, "origin": ""}
 _TYPES = {bool: "boolean", int: "int", str: "string"}
 
@@ -96,32 +99,38 @@ def is_repository_host() -> Column:
     return urls.host(F.col("url")).isin("github.com", "api.github.com", SEARCH_HOST)
 
 
-def search_results(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+def is_playlist_item() -> Column:
+    """Whether a code-search item (path, download_url) is a playlist on the raw host over https."""
+    ends = rf"(?i)^[^?#]*({'|'.join(re.escape(x) for x in SEARCH_SUFFIXES)})(?:[?#]|$)"
+    url = F.col("download_url")
+    return F.coalesce(F.col("path").rlike(ends) & url.rlike(ends) & (urls.scheme(url) == "https") & (urls.host(url) == SEARCH_HOST), F.lit(False))
+
+
+def search_results(items: DataFrame, labels: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Sources of code-search items (ord, path, repository, download_url), and one row of counts.
 
-    Only playlist paths on the raw host over https; the id is made of a digest of the URL; the first of a URL counts.
+    The id is made of a digest of the URL; the first of a URL counts. labels: tags that all of them get.
     """
-    ending = F.regexp_extract(F.lower("path"), r"(\.[a-z0-9]+)$", 1)
-    safe = (urls.scheme(F.col("download_url")) == "https") & (urls.host(F.col("download_url")) == SEARCH_HOST)
-    good = items.where(ending.isin(SEARCH_SUFFIXES) & safe).withColumn("key", urls.discovery_url(F.col("download_url")))
+    good = items.where(is_playlist_item()).withColumn("key", urls.discovery_url(F.col("download_url")))
     first = good.groupBy("key").agg(F.min_by(F.struct("ord", "path", "repository", "download_url"), "ord").alias("r"), F.count(F.lit(1)).alias("n"))
     digest = F.substring(F.sha2("r.download_url", 256), 1, 16)
+    repository = F.nullif(F.trim("r.repository"), F.lit(""))
     made = first.select(
         F.col("r.ord").alias("ord"),
-        F.concat(F.lit("search-"), digest).alias("id"),
-        F.concat_ws("/", "r.repository", "r.path").alias("name"),
+        F.concat(F.lit(FOUND_ID), digest).alias("id"),
+        F.concat(F.lit(FOUND_NAME), F.coalesce(repository, F.lit("repository")), F.lit("/"), F.trim("r.path")).alias("name"),
         F.col("r.download_url").alias("url"),
         F.lit(True).alias("enabled"),
         F.lit(200).alias("priority"),
         F.lit("playlist").alias("kind"),
-        F.lit("").alias("country"),
-        F.lit("").alias("language"),
+        F.lit("IT").alias("country"),
+        F.lit("it").alias("language"),
         F.lit(True).alias("discovery_enabled"),
         F.lit("search").alias("discovery_mode"),
         F.lit(35).alias("trust_score"),
         F.lit(24).alias("refresh_hours"),
-        F.lit("search").alias("origin"),
-        F.array().cast("array<string>").alias("tags"),
+        F.coalesce(repository, F.lit("github")).alias("origin"),
+        tags(F.array(*[F.lit(x) for x in (*labels, *FOUND_TAGS)])).alias("tags"),
     )
     counts = items.agg(F.count(F.lit(1)).alias("seen")).crossJoin(first.agg(F.count(F.lit(1)).alias("accepted"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates")))  # one row each
     return made, counts.withColumn("rejected", F.expr("seen - accepted - duplicates"))

@@ -53,7 +53,10 @@ class _Redirects(urllib.request.HTTPRedirectHandler):
     def redirect_request(self, request, file, code, message, headers, url):
         if urlsplit(url).scheme not in SCHEMES:
             raise Refused("redirected off http(s)")
-        return super().redirect_request(request, file, code, message, headers, url)
+        new = super().redirect_request(request, file, code, message, headers, url)
+        if new is not None and urlsplit(url).netloc != urlsplit(request.full_url).netloc:
+            new.remove_header("Authorization")  # meant for the first host alone
+        return new
 
 
 def _read(reply, most: int, until: float) -> bytes:
