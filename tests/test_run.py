@@ -34,7 +34,8 @@ def test_whole_run(spark, tmp_path):
     responses = spark.createDataFrame([("http://a", 503, "", "http://a", bytearray(b""), 10), ("https://b", 200, "", "https://b", bytearray(b"#EXTM3U"), 10), ("http://gone", 404, "", "http://gone", bytearray(b""), 10)], "url string, http_status int, content_type string, final_url string, body binary, elapsed_ms int")
     xml = '<tv><channel id="rai1.it"><display-name>Rai 1</display-name><icon src="http://i"/></channel><channel id="other"/><programme channel="rai1.it" start="20240101200000"><title>A &amp; B</title></programme></tv>'
     documents = spark.createDataFrame([(0, "u", "f", bytearray(xml.encode())), (1, "v", "f", bytearray(b"no"))], "doc_ord long, source_url string, filename string, body binary")
-    report = run.run(spark, texts, sources, responses, documents, str(tmp_path), Settings(), now=1)
+    report = run.run(spark, texts, sources, responses, documents, str(tmp_path), Settings(), now=1, log=f"{tmp_path}/log")
+    assert report["history"] == {"known": 3, "never_good": 2, "failing": 0}
     lines = (tmp_path / "playlist.m3u").read_text().splitlines()
     assert lines == ["#EXTM3U", '#EXTINF:-1 tvg-id="rai1.it" tvg-name="Rai 1" tvg-logo="http://i" group-title="RAI",Rai 1 HD', "https://b"]
     guide_text = (tmp_path / "epg.xml").read_text()
@@ -42,7 +43,7 @@ def test_whole_run(spark, tmp_path):
     assert report["recovery"]["recovered"] == 1 and report["policy"]["hard_failures_removed"] == 1 and report["parser"]["missing_url"] == 1 and report["guide"] == "written"
     assert json.loads((tmp_path / "report.json").read_text())["groups"]["groups"] == 2
     none = documents.where("doc_ord = 1")
-    assert run.run(spark, texts, sources, responses, none, str(tmp_path), Settings(), now=1)["guide"] == "kept_after_failed_fetch" and (tmp_path / "epg.xml").read_text() == guide_text
+    assert run.run(spark, texts, sources, responses, none, str(tmp_path), Settings(), now=2)["guide"] == "kept_after_failed_fetch" and (tmp_path / "epg.xml").read_text() == guide_text
 
 
 def test_identities(spark):

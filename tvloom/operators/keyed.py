@@ -92,3 +92,8 @@ def replace_url(registry: DataFrame, old: str, new: DataFrame) -> DataFrame:
 def registry_stats(registry: DataFrame) -> DataFrame:
     distinct = lambda c: F.count_distinct(F.nullif(text_key(c), F.lit("")))
     return registry.agg(F.count(F.lit(1)).alias("channels"), distinct("source_id").alias("sources"), distinct("group").alias("groups"), distinct("tvg_id").alias("tvg_ids"))
+
+
+def clear(registry: DataFrame) -> DataFrame:
+    """A registry of no rows."""
+    return registry.limit(0)

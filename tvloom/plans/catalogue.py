@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import constants as C
 from ..functions import scores, text, urls
-from ..operators import alternates, cluster, dedupe, export, guide, health, keyed, match, numbering, policy, rank, reports, source_registry
+from ..operators import alternates, cluster, dedupe, export, guide, health, history, keyed, match, numbering, policy, rank, reports, source_registry
 from ..sinks import ordered_file, rewrite
 from ..sources import catalog, playlist, probes, xmltv
 
@@ -341,6 +341,23 @@ def q15(spark, sf_dir):
     return health.stats(scored)
 
 
+def q53(spark, sf_dir):
+    """The checks of each quarter of a day as a run, kept in a log that is compacted half way."""
+    path = cluster.fresh(spark, "health-log")
+    checks = _t(spark, sf_dir, "events").select(F.expr("hour(ts) div 6").alias("run"), F.col("event_id").alias("ord"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("stream_url"), F.expr(_STATUS).alias("status"))
+    for run in range(4):
+        history.remember(checks.where(F.col("run") == run).drop("run"), path, run)
+        if run == 1:
+            history.compact(spark, path)
+    return history.known(spark, path)
+
+
+_RUNS_SQL = f"""
+WITH l AS (SELECT user_id, CAST(hour(ts) // 6 AS BIGINT) AS run, arg_max({_STATUS}, event_id) AS status FROM events GROUP BY ALL),
+g AS (SELECT *, max(run) FILTER (status <> 'offline') OVER (PARTITION BY user_id) AS good FROM l)
+"""
+
+
 def q16(spark, sf_dir):
     e = _t(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.concat(F.lit("g"), F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("group_id"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("stream_url"), F.expr(_STATUS).alias("status"))
     initial, final = keyed.first_wins(e, "group_id"), keyed.best(e, ["group_id"], [F.desc("ord")])
@@ -797,7 +814,7 @@ def q43(spark, sf_dir):
 def queries() -> dict:
     return {
         "q34_shallow_verdict": q34, "q35_direct_verdict": q35, "q36_clean_lines": q36, "q37_scores": q37, "q38_entry_keys": q38,
-        "q41_guide_programmes": q41, "q41_guide_channels": q41_channels, "q41_guide_problems": q41_problems, "q41_guide_stats": q41_stats, "q41_guide_refused": q41_refused, "q42_ambiguous_match": q42, "q52_guide_bounds": q52, "q43_deep_probe": q43,
+        "q41_guide_programmes": q41, "q41_guide_channels": q41_channels, "q41_guide_problems": q41_problems, "q41_guide_stats": q41_stats, "q41_guide_refused": q41_refused, "q42_ambiguous_match": q42, "q52_guide_bounds": q52, "q53_health_history": q53, "q43_deep_probe": q43,
         "q49_numbered": q49, "q50_health_report": q50, "q50_health_counts": q50_counts, "q51_source_diagnostics": q51,
         "q44_playlist_written": q44, "q44_category_places": q44_places, "q45_policy_rewrite": q45, "q46_dedupe_rewrite": q46, "q47_guide_written": q47, "q47_channels_written": q47_channels, "q48_unified_json": q48, "q48_unified_xmltv": q48_xmltv,
         "q01_url_key": q01, "q02_url_first_wins": q02, "q02_upsert_keeps_place": q02_upsert, "q03_best_per_key": q03, "q04_selection_reason": q04, "q05_components": q05,
@@ -846,6 +863,7 @@ def oracle_sql() -> dict[str, str]:
         "q41_guide_channels": "SELECT DISTINCT CAST(user_id AS BIGINT) AS doc_ord, 'U' || user_id AS channel_id, 'A,B' AS names, 'i' AS icon_url FROM events WHERE user_id % 17 <> 0",
         "q41_guide_problems": _GUIDE_SQL + "SELECT user_id AS doc_ord, problem, count(*) AS programmes FROM c WHERE problem IS NOT NULL GROUP BY ALL",
         "q41_guide_stats": _GUIDE_SQL + "SELECT u.user_id AS doc_ord, CASE WHEN refused THEN 0 ELSE 3 END::BIGINT AS channels_found, CASE WHEN refused THEN 0 ELSE 1 END::BIGINT AS channels_created, CASE WHEN refused THEN 0 ELSE 1 END::BIGINT AS channel_duplicates, coalesce(programmes, 0) AS programmes_found, coalesce(n, 0) AS programmes_created, coalesce(taken, 0) - coalesce(n, 0) AS programme_duplicates, coalesce(programmes - taken, 0) AS programmes_skipped FROM (SELECT DISTINCT CAST(user_id AS BIGINT) AS user_id, user_id % 17 = 0 AS refused FROM events) u LEFT JOIN (SELECT user_id, count(*) AS programmes, count(*) FILTER (problem IS NULL) AS taken FROM c GROUP BY user_id) p ON u.user_id = p.user_id LEFT JOIN (SELECT user_id, count(*) AS n FROM f GROUP BY user_id) g ON u.user_id = g.user_id",
+        "q53_health_history": _RUNS_SQL + "SELECT 'u' || user_id AS key, min(run) AS first_run, max(run) AS last_run, count(*) AS checks, count(*) FILTER (status = 'offline') AS failures, any_value(good) AS good_run, count(*) FILTER (good IS NULL OR run > good) AS trailing, arg_max(status, run) AS last_status FROM g GROUP BY user_id",
         "q52_guide_bounds": _BOUNDS_SQL + "SELECT doc_ord, reason, CASE WHEN reason = '' THEN kind IN (1, 2) END AS compressed, CASE WHEN reason = '' THEN size END AS xml_bytes, CASE WHEN reason = '' THEN n ELSE 0 END AS programmes FROM r",
         "q41_guide_refused": "SELECT DISTINCT CAST(user_id AS BIGINT) AS doc_ord, user_id % 17 = 0 AS refused FROM events",
         "q42_ambiguous_match": "WITH g AS (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey) SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 AND n > 1 THEN 'ambiguous' ELSE 'matched' END AS status, CASE WHEN c_custkey % 2 = 0 AND n > 1 THEN NULL ELSE n_name || '.it' END AS guide_id, CAST(92 AS DOUBLE) AS score, CASE WHEN c_custkey % 2 = 0 THEN n ELSE 1 END AS candidates FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN g USING (n_regionkey)",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions.constants import ALTERNATE_PRIORITY
-from ..operators import alternates, cluster, export, guide, health, keyed, match, policy, rank, reports
+from ..operators import alternates, cluster, export, guide, health, history, keyed, match, policy, rank, reports
 from ..sinks import rewrite
 from ..sources import playlist, xmltv
 from ..sources.catalog import Settings
@@ -41,8 +41,8 @@ def choose(channels: DataFrame, sources: DataFrame, responses: DataFrame, settin
     return {"clustered": clustered, "health": probed, "selected": selected, "decisions": decisions, "outcomes": outcomes}
 
 
-def run(spark: SparkSession, texts: DataFrame, sources: DataFrame, responses: DataFrame, documents: DataFrame, out: str, settings: Settings, now: int) -> dict:
-    """Write both playlists, the guide and the report under `out`; the report."""
+def run(spark: SparkSession, texts: DataFrame, sources: DataFrame, responses: DataFrame, documents: DataFrame, out: str, settings: Settings, now: int, log: str | None = None) -> dict:
+    """Write both playlists, the guide and the report under `out`; the report. `log`: where what runs find is kept, by `now`."""
     channels, issues, parse_stats = parsed(texts, sources)
     chosen = choose(channels, sources, responses, settings, now)
     selected = chosen["selected"].select(channels.columns)
@@ -67,6 +67,9 @@ def run(spark: SparkSession, texts: DataFrame, sources: DataFrame, responses: Da
     totals = parse_stats.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in parse_stats.columns if c != "source_id"])
     recovery = policy.recovery_stats(chosen["outcomes"])
     reports.health_report(chosen["health"], f"{out}/health.json", recovery=recovery.first().asDict())
+    if log:
+        history.remember(chosen["health"], f"{log}/health", now)
+        history.remember_downloads(responses, f"{log}/downloads", now)
     device = reports.device_report(kept, chosen["health"], f"{out}/device-report.json", minimum=settings.device_min_score)
     document = export.report(
         {"parser": totals, "groups": cluster.cluster_stats(chosen["clustered"]), "health": health.stats(chosen["health"]), "matching": match.stats(matched), "recovery": recovery},
@@ -79,6 +82,8 @@ def run(spark: SparkSession, texts: DataFrame, sources: DataFrame, responses: Da
         decisions=export.reported(chosen["decisions"], ["cluster"]),
         issues=export.reported(issues, ["source_id", "line_number"]),
     )
+    if log:
+        document["history"] = history.summary(spark, f"{log}/health").first().asDict()
     published = applied["files"][0]["entries_published"] - removed[files[0]]
     document["channels"] = reports.run_metrics(document["parser"]["channels_created"], document["groups"]["input_channels"], document["groups"]["groups"], applied["files"][0]["entries_seen"], published)
     export.write_json(document, f"{out}/report.json")
