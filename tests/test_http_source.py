@@ -2,6 +2,7 @@
 
 import threading
 import time
+import urllib.request
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
@@ -129,3 +130,11 @@ def test_slices(spark, server, tmp_path):
     assert len(got) == 51 and sum(r.error_type == "refused" for r in got) == 1 and {r.header_key for r in got if r.http_status} == {f"Referer={i}" for i in range(50)}
     spark.createDataFrame([], ", ".join(map(" ".join, http_source.REQUEST.items()))).write.parquet(f"{path}-none")
     assert spark.read.format("http_responses").option("requests", f"{path}-none").load().collect() == []
+
+
+def test_credentials_stay_with_their_host():
+    request = urllib.request.Request("http://a/x", headers={"Authorization": "t", "Referer": "r"})
+    kept, moved = (http_source._Redirects().redirect_request(request, None, 302, "", {}, url) for url in ("http://a/y", "http://b/x"))
+    assert kept.has_header("Authorization") and moved.has_header("Referer") and not moved.has_header("Authorization")
+    with pytest.raises(http_source.Refused):
+        http_source._Redirects().redirect_request(request, None, 302, "", {}, "file:///x")
