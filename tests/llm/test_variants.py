@@ -109,3 +109,13 @@ def test_query_against_brute_force(spark, small):
     theirs = brute({w: n for w, n in counts.items() if len(w) >= 5 and n >= 3})
     got = grouped(variants.documents_query(spark, small))
     assert got == theirs and any(r[0] for r in got.values())
+
+
+def test_no_table_passes_through_the_driver(spark):
+    """Nothing is broadcast, however small its file."""
+    words = spark.createDataFrame([("letter", 9), ("leter", 3), ("lettter", 1), ("other", 2)], "word string, n long")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1")
+    try:
+        assert grouped(variants.group(words)) == brute({r.word: r.n for r in words.collect()})
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")

@@ -101,6 +101,12 @@ def _keyed(words: DataFrame, lengths: list[Column]) -> DataFrame:
     return rows.select("word", "n", "mask", F.explode(F.array(*keys)).alias("k")).select("k.*", "word", "n", "mask")
 
 
+def _shuffled(rows: DataFrame) -> DataFrame:
+    """rows for a join in which neither side is broadcast. Spark takes a written table to be as small as its compressed file, and
+    a vocabulary's keys, several for each word, would pass through the driver."""
+    return rows.hint("merge")
+
+
 def _first(tests: list[Column]) -> Column:
     """The number of the first test that holds."""
     found = F.when(tests[0], 0)
@@ -128,7 +134,7 @@ def near(words: DataFrame) -> DataFrame:
         & (_first([a == b for a, b in zip(_left_alone(word, n), _left_alone(other, n))]) == F.col("piece"))
         & (F.levenshtein(word, other, 1) == 1)
     )
-    return short.join(long, meet).select("word", "n", F.col("other_word").alias("other"), "other_n")
+    return short.join(_shuffled(long), meet).select("word", "n", F.col("other_word").alias("other"), "other_n")
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -138,7 +144,7 @@ def roots(forms: DataFrame) -> DataFrame:
     """
     found = written(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
-        moved = written(found.join(found.select(F.col("word").alias("root"), F.col("root").alias("beyond")), "root", "left").select("word", F.coalesce("beyond", "root").alias("root"), "beyond"), "roots")
+        moved = written(found.join(_shuffled(found.select(F.col("word").alias("root"), F.col("root").alias("beyond"))), "root", "left").select("word", F.coalesce("beyond", "root").alias("root"), "beyond"), "roots")
         found = moved.select("word", "root")
         if not moved.where("beyond is not null").take(1):
             return found
@@ -157,10 +163,10 @@ def group(words: DataFrame, *, times: int = 2) -> DataFrame:
         both = pairs.select(F.explode(F.array(F.struct("word", F.col("other").alias("of"), F.col("other_n").alias("of_n")), F.struct(F.col("other").alias("word"), F.col("word").alias("of"), F.col("n").alias("of_n")))).alias("p")).select("p.*")
         best = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("of_n")).alias("n"), F.col("of").alias("word"))).alias("best"))
         enough = -F.col("best.n") >= times * F.col("n")
-        found = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(enough, F.col("best.word")).alias("form"), F.when(enough, -F.col("best.n")).alias("form_n"))
+        found = words.join(_shuffled(best), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(enough, F.col("best.word")).alias("form"), F.when(enough, -F.col("best.n")).alias("form_n"))
         found = written(found, "forms", keep=True)
         last = written(roots(found.where("form is not null")), "last", keep=True)
-    return found.join(last, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(_shuffled(last), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 #: The words of op11: of so many letters, so often; of one match in so many a letter goes.
