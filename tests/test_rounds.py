@@ -85,3 +85,24 @@ def test_upsert_of_hot_rows(spark):
     rows = one_id.union(one_url).selectExpr("*", "'n' as name", "'playlist' as kind", "'static' as discovery_mode", "true as enabled", "false as discovery_enabled", "1 as priority", "1 as trust_score", "1 as refresh_hours")
     got = {r.action: (r.n, r.standing) for r in sr.upsert(rows).groupBy("action").agg(F.count("*").alias("n"), F.count("place").alias("standing")).collect()}
     assert got == {"inserted": (2, 1), "replaced": (n - 1, 1), "skipped": (n - 1, 0)}
+
+
+REST = "'n' as name", "'playlist' as kind", "'static' as discovery_mode", "true as enabled", "false as discovery_enabled", "1 as priority", "1 as trust_score", "1 as refresh_hours"
+
+
+@pytest.mark.parametrize("seed,ids,urls,n,block", [(7, 8, 8, 60, 7), (8, 40, 40, 120, 25), (9, 3, 12, 60, 1)])
+def test_upsert_by_blocks(spark, seed, ids, urls, n, block):
+    """Blocks that depend on the ones before."""
+    rng = random.Random(seed)
+    rows = [(3 * k, f"s{rng.randrange(ids)}", f"https://h/{rng.randrange(urls)}") for k in range(n)]
+    df = spark.createDataFrame(rows, "ord long, id string, url string").selectExpr("*", *REST).repartition(3)
+    assert {r.ord: (r.action, r.place) for r in sr.upsert(df, block=block).collect()} == upserted_one_by_one(rows)
+
+
+def test_rounds_of_an_upsert_do_not_follow_the_rows(spark, monkeypatch):
+    """60 ids and 45 URLs in turn, many times over: tables written are as many for more rows."""
+    written, names = sr.written, []
+    monkeypatch.setattr(sr, "written", lambda df, name, keep=False: names.append(name) or written(df, name, keep))
+    rows = spark.range(1, 6_001).selectExpr("id as ord", "concat('s', id % 60) as id", "concat('https://h', id % 45, '/') as url", *REST)
+    got = {r.ord: (r.action, r.place) for r in sr.upsert(rows).collect()}
+    assert got == upserted_one_by_one([(k, f"s{k % 60}", f"u{k % 45}") for k in range(1, 6_001)]) and len(names) < 20

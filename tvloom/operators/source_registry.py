@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..functions.constants import TRUSTED
 from ..sources import catalog
+from . import numbering
 from .cluster import scratch, written
 from .dedupe import greedy
 
+#: Rows of a registry update that a task takes at once.
+BLOCK = 20_000
+
 
 def id_key():
     return F.trim(text.casefold(text.nfkc("id")))
@@ -37,13 +43,12 @@ def add(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return kept, bad, counts.select("inserted", F.lit(0).cast("long").alias("replaced"), F.expr("valid - inserted").alias("skipped"), "invalid")
 
 
-def upsert(rows: DataFrame) -> DataFrame:
+def upsert(rows: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """What becomes of each valid row when known ids are replaced: action (inserted, replaced, skipped, clash), and
     place: of the rows that stand at the end, the place of the id's first row (else null).
 
     A new id is skipped if its URL is owned; a replacement whose URL another id owns is a clash; a replacement gives up
-    the URL before it. Rows are taken in order, but by rounds over tables: each settles all rows whose id and URL no open
-    row before them can change (see `_settled`).
+    the URL before it. Rows are taken in order, but by blocks at once (see `_decided`).
     """
     good, _ = checked(rows)
     with scratch(rows.sparkSession):
@@ -53,50 +58,78 @@ def upsert(rows: DataFrame) -> DataFrame:
         mixed = open_.join(shared, "u", "left_semi").select("i").distinct()
         own = open_.join(mixed, "i", "left_anti")
         ends = own.groupBy("i").agg(F.min("ord").alias("place"), F.max("ord").alias("row"))
-        actions = [written(own.join(ends, "i").select("ord", F.when(F.col("ord") == F.col("place"), "inserted").otherwise("replaced").alias("action")), "actions")]
-        standing = [ends.select("place", "row")]
-        open_ = written(open_.join(mixed, "i", "left_semi"), "open")
-        current = open_.limit(0).select("i", F.col("ord").alias("place"), F.col("ord").alias("row"), "u")
-        while open_.take(1):
-            settled = written(_settled(open_, current), "settled")
-            actions.append(settled.select("ord", "action"))
-            # an id's last row that counts stands, in the place of its first
-            new = settled.where("action in ('inserted', 'replaced')").groupBy("i").agg(F.min("ord").alias("first"), F.max("ord").alias("row"), F.max_by("u", "ord").alias("new_u"))
-            both = current.join(new.withColumnRenamed("row", "new_row"), "i", "full_outer")
-            current = written(both.select("i", F.coalesce("place", "first").alias("place"), F.coalesce("new_row", "row").alias("row"), F.coalesce("new_u", "u").alias("u")), "current")
-            open_ = written(open_.join(settled, "ord", "left_anti"), "open")
-        standing.append(current.select("place", "row"))
-        done = reduce(DataFrame.union, actions).join(reduce(DataFrame.union, standing).withColumnRenamed("row", "ord"), "ord", "left")
-        done = written(done, "decided", keep=True)
+        alone = own.join(ends, "i").select("ord", F.when(F.col("ord") == F.col("place"), "inserted").otherwise("replaced").alias("action"))
+        decided = _decided(open_.join(mixed, "i", "left_semi"), block)
+        # an id's last row that counts stands, in the place of its first
+        current = decided.where("action in ('inserted', 'replaced')").groupBy("i").agg(F.min("ord").alias("place"), F.max("ord").alias("row"))
+        standing = ends.select("place", "row").union(current.select("place", "row")).withColumnRenamed("row", "ord")
+        done = written(alone.union(decided.select("ord", "action")).join(standing, "ord", "left"), "decided", keep=True)
     return good.join(done, "ord")
 
 
-def _settled(open_: DataFrame, current: DataFrame) -> DataFrame:
-    """ord, i, u and action of the open rows that can be told from `current` (id, its place, row and URL), the state that
-    all settled rows before have left.
+def _decided(open_: DataFrame, block: int) -> DataFrame:
+    """ord, i and action of rows (ord, i, u) that are taken in order.
 
-    A URL's holder keeps it up to a row if no open row of the holder comes before. Then the row is a clash, if its id is
-    known, or skipped, if no other open row of its id comes before that might make it known. A row with the URL that its id
-    has replaces it, if no other open row of its id comes before that might change the URL. And a row whose URL is free is
-    settled if it is the first open one of its id and of its URL, and no open row before it has the URL that its id gives up.
+    Blocks of rows in order are taken by tasks at once, each from the state (of its ids and URLs) that the blocks before
+    leave. At first that is held to be none. A block whose state turns out to be another is taken again, until none is:
+    then each follows from the ones before. Every time at least one more block, the first that was wrong, is right for good,
+    so there are at most as many times as blocks and one more, where each block depends on the one before. A task holds a block.
     """
-    firsts = open_.groupBy("i").agg(F.min("ord").alias("first"))
-    holders = current.join(firsts, "i", "left").select("u", F.col("i").alias("holder"), F.col("first").alias("holder_first"))
-    known = current.select("i", F.col("u").alias("own"))
-    rows = open_.join(known, "i", "left").join(holders, "u", "left")
-    held = F.coalesce((F.col("holder") != F.col("i")) & (F.col("holder_first").isNull() | (F.col("holder_first") > F.col("ord"))), F.lit(False))
-    same = F.coalesce(F.col("own") == F.col("u"), F.lit(False))
-    rows = rows.withColumns({"held": held, "same": same})
-    by_id = rows.groupBy("i").agg(F.min(F.when(~F.col("held"), F.col("ord"))).alias("free_first"), F.min(F.when(~F.col("held") & ~F.col("same"), F.col("ord"))).alias("move_first"))
-    by_url = rows.groupBy("u").agg(F.min("ord").alias("u_first"))
-    rows = rows.join(by_id, "i").join(by_url, "u").join(by_url.toDF("own", "own_first"), "own", "left")
-    action = (
-        F.when(F.col("held") & F.col("own").isNotNull(), "clash")
-        .when(F.col("held") & (F.col("free_first").isNull() | (F.col("ord") < F.col("free_first"))), "skipped")
-        .when(F.col("same") & (F.col("move_first").isNull() | (F.col("ord") < F.col("move_first"))), "replaced")
-        .when(F.col("holder").isNull() & (F.col("ord") == F.col("free_first")) & (F.col("ord") == F.col("u_first")) & (F.col("own_first").isNull() | (F.col("own_first") > F.col("ord"))), F.when(F.col("own").isNull(), "inserted").otherwise("replaced"))
-    )
-    return rows.select("ord", "i", "u", action.alias("action")).where("action is not null")
+    numbered_ = numbering.numbered(open_, ["ord"], "nth")
+    placed = written(numbered_.select(F.floor(F.col("nth") / block).alias("block"), "ord", "i", "u"), "blocks")
+    keys = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("key")) for k in ("i", "u")])
+    needs = written(placed.select("block", F.explode(keys).alias("k")).select("block", "k.*").distinct(), "needs")
+    made = written(_taken(placed, needs.limit(0).select("block", "kind", F.col("key").alias("i"), F.col("key").alias("u"))), "made")
+    state = None
+    while True:
+        new = written(_state(needs, made), "state")
+        other = new.withColumn("n", F.lit(1)) if state is None else new.withColumn("n", F.lit(1)).union(state.withColumn("n", F.lit(-1)))
+        changed = written(other.groupBy(*new.columns).agg(F.sum("n").alias("n")).where("n <> 0").select("block").distinct(), "changed")
+        if not changed.take(1):
+            return made.where("ord is not null").select("ord", "i", "action")
+        again = _taken(placed.join(changed, "block", "left_semi"), new.join(changed, "block", "left_semi"))
+        made, state = written(made.join(changed, "block", "left_anti").union(again), "made"), new
+
+
+def _state(needs: DataFrame, made: DataFrame) -> DataFrame:
+    """What the blocks before leave for the keys (block, kind, key) of each: of an id its URL (kind i), of a URL its id (kind u)."""
+    ends = made.where("ord is null").select("block", "i", "u", F.lead("block").over(W.partitionBy("i").orderBy("block")).alias("till"))
+    left = F.struct("i", "u", "till").alias("left")
+    events = reduce(DataFrame.union, [ends.select("block", F.lit(k).alias("kind"), F.col(k).alias("key"), left) for k in ("i", "u")])
+    asked = needs.withColumn("left", F.lit(None).cast(events.schema["left"].dataType))
+    # a block's own end counts for those after it
+    before = W.partitionBy("kind", "key").orderBy("block", F.col("left").isNotNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = asked.union(events).withColumn("found", F.last("left", ignorenulls=True).over(before)).where("left is null and found is not null")
+    return found.where("kind = 'i' or found.till is null or found.till >= block").select("block", "kind", "found.i", "found.u")
+
+
+def _taken(placed: DataFrame, state: DataFrame) -> DataFrame:
+    """block, ord, i, u and action of each row; and where ord is null, the URL that an id of the block has at its end, if it took one."""
+
+    def take(rows: pa.Table) -> pa.Table:
+        current, owner, took, out = {}, {}, {}, []
+        rows = rows.to_pydict()
+        block, lines = rows["block"][0], list(zip(rows["ord"], rows["i"], rows["u"], rows["kind"]))
+        for _, i, u, kind in (x for x in lines if x[0] is None):
+            if kind == "i":
+                current[i] = u
+            else:
+                owner[u] = i
+        for ord, i, u, _ in sorted((x for x in lines if x[0] is not None), key=lambda x: x[0]):
+            known, free = i in current, owner.get(u, i) == i
+            out.append((block, ord, i, u, ("replaced" if free else "clash") if known else "inserted" if free else "skipped"))
+            if free:
+                owner.pop(current.get(i), None)
+                current[i] = took[i] = u
+                owner[u] = i
+        out += [(block, None, i, u, None) for i, u in took.items()]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+
+    kinds = {"block": pa.int64(), "ord": pa.int64(), "i": pa.string(), "u": pa.string(), "action": pa.string()}
+    schema = pa.schema(list(kinds.items()))
+    rows = placed.select("block", F.col("ord").cast("long").alias("ord"), "i", "u", F.lit(None).cast("string").alias("kind"))
+    rows = rows.union(state.select("block", F.lit(None).cast("long"), "i", "u", "kind"))
+    return rows.groupBy("block").applyInArrow(take, "block long, ord long, i string, u string, action string")
 
 
 def search(
