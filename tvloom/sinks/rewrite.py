@@ -24,8 +24,7 @@ POLICY = "remove_only_demonstrated_hard_failures"
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a playlist file; that with ord 0 holds the lines before the first."""
-    text = F.regexp_replace("value", "^﻿", "")
-    return playlist.entries(spark.read.text(path, wholetext=True).select(F.lit("").alias("source_id"), text.alias("text")))
+    return playlist.entries_of(playlist.file_lines(spark, path, ""))
 
 
 def write_entries(entries: DataFrame, path: str) -> None:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_line
+from .lines import read_lines
 
 ATTRIBUTE = r"""([A-Za-z0-9_-]+)\s*=\s*(?:"((?:\\.|[^"])*+)"|'((?:\\.|[^'])*+)'|([^\s,]+))"""
 SIMPLE_ATTRIBUTE = r'([\w-]+)="([^"]*)"'
+#: Lines that are numbered in one group.
+STRETCH = 10_000
 #: Metadata and name around the first comma outside quotes; a backslash escapes.
 INFO = r"""(?s)^((?:[^,"'\\]++|\\.|"(?:[^"\\]++|\\.)*+"|'(?:[^'\\]++|\\.)*+')*+),(.*)$"""
 TRIM = r"(?U)^\s+|\s+$"
@@ -21,6 +24,12 @@ def text_lines(texts: DataFrame) -> DataFrame:
     return texts.select("source_id", F.posexplode(F.split(plain, "\n")).alias("at", "raw")).select("source_id", (F.col("at") + 1).alias("pos"), "raw")
 
 
+def file_lines(spark: SparkSession, path: str, source_id: str) -> DataFrame:
+    """source_id, pos (from 1) and raw of each line of a file, read in splits; a line feed at its end opens no line."""
+    value = F.when(F.col("pos") == 0, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value"))
+    return read_lines(spark, path).select(F.lit(source_id).alias("source_id"), (F.col("pos") + 1).alias("pos"), value.alias("raw"))
+
+
 def _collapsed(value: Column) -> Column:
     return F.trim(F.regexp_replace(value, r"(?U)\s+", " "))
 
@@ -55,18 +64,29 @@ def _with_attribute(attrs: Column, key: str, value: Column) -> Column:
 
 
 def _records(lines: DataFrame) -> DataFrame:
-    """Lines with rec: the running number of info lines of their source."""
-    by = W.partitionBy("source_id").orderBy("pos")
-    return lines.withColumn("rec", F.sum(F.col("is_info").cast("int")).over(by.rowsBetween(W.unboundedPreceding, 0)))
+    """Lines with rec: the running number of info lines of their source, summed by stretches of lines, so that a source of
+    any length never meets in one task."""
+    stretch = F.floor(F.col("pos") / STRETCH)
+    counts = lines.groupBy("source_id", stretch.alias("stretch")).agg(F.sum(F.col("is_info").cast("long")).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("source_id").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    moved = counts.select(F.col("source_id").alias("of"), F.col("stretch").alias("at"), before.alias("before"))
+    placed = lines.withColumn("stretch", stretch).join(moved, F.col("source_id").eqNullSafe(F.col("of")) & (F.col("stretch") == F.col("at")))
+    by = W.partitionBy("source_id", "stretch").orderBy("pos")
+    return placed.withColumn("rec", F.col("before") + F.sum(F.col("is_info").cast("long")).over(by.rowsBetween(W.unboundedPreceding, 0))).drop("stretch", "before", "of", "at")
 
 
 def parse(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """channels, issues and stats of texts (source_id, text).
+    """channels, issues and stats of texts (source_id, text)."""
+    return parse_lines(text_lines(texts))
+
+
+def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """channels, issues and stats of lines (source_id, pos, raw).
 
     An info line opens a record and gives up an open one; `#` lines of an open record are directives; the first other
     line closes it as its URL; lines outside records are orphans.
     """
-    cleaned = text_lines(texts.withColumn("source_id", _collapsed(clean_line(F.col("source_id"))))).withColumn("line", clean_line(F.col("raw")))
+    cleaned = lines.withColumn("source_id", _collapsed(clean_line(F.col("source_id")))).withColumn("line", clean_line(F.col("raw")))
     upper = F.upper("line")
     used = cleaned.where((F.col("line") != "") & ~upper.startswith("#EXTM3U")).withColumn("is_info", F.upper("line").startswith("#EXTINF:"))
     used = _records(used).withColumn("is_url", ~F.col("line").startswith("#"))
@@ -80,10 +100,11 @@ def parse(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.min_by("line", F.when(F.col("is_url"), F.col("pos"))).alias("url_line"),
         F.array_sort(F.collect_list(F.when(~F.col("is_info") & (F.col("urls") == 0), F.struct("pos", "line")))).alias("found"),
     )
-    last = F.col("rec") == F.max("rec").over(W.partitionBy("source_id"))
+    last = F.col("rec") == F.col("last_rec")
     payload = F.substring("info", F.lit(len("#EXTINF:") + 1), F.length("info"))
     records = (
-        records.withColumn("closed", F.col("url_line").isNotNull())
+        records.join(opened.groupBy("source_id").agg(F.max("rec").alias("last_rec")), "source_id")
+        .withColumn("closed", F.col("url_line").isNotNull())
         .withColumn("last", last)
         .withColumn("directives", F.transform("found", lambda d: d["line"]))
         .withColumn("whole", payload.rlike(INFO))
@@ -161,7 +182,12 @@ def parse_ahead(texts: DataFrame, *, swallow: bool, default_group: str = "") ->
 
 def entries(texts: DataFrame) -> DataFrame:
     """Entries of playlists: source_id, ord (0: the lines before the first), info, lines, and url, the last line that isn't a comment."""
-    lines = _records(text_lines(texts).withColumn("is_info", F.col("raw").startswith("#EXTINF:")))
+    return entries_of(text_lines(texts))
+
+
+def entries_of(lines: DataFrame) -> DataFrame:
+    """Entries of lines (source_id, pos, raw)."""
+    lines = _records(lines.withColumn("is_info", F.col("raw").startswith("#EXTINF:")))
     plain = F.regexp_replace("raw", TRIM, "")
     is_url = (F.col("rec") > 0) & (plain != "") & ~plain.startswith("#")
     return lines.groupBy("source_id", F.col("rec").alias("ord")).agg(
