@@ -56,3 +56,17 @@ def test_playlist_keys(spark):
     lines = ['#EXTINF:-1 tvg-id="Rai1.it@SD",Rai 1 (720p)', '#EXTINF:-1 tvg-id="Rai1.it",Rai 1 G', "#EXTINF:-1 none", '#EXTINF:-1 group-title="a,b",X HD 1080p']
     assert column(spark, text.playlist_id_key, lines) == ["rai1it", "rai1it", "", ""]
     assert column(spark, text.playlist_name_key, lines) == ["rai1", "rai1", "", "bx"]
+
+
+def test_texts_go_to_python_in_bounded_batches(spark):
+    """The first use of a text function in a session bounds its batches."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        spark.conf.set(names[0], "10000")
+        rows = spark.range(4_000, numPartitions=1).select(F.concat(F.lit("É"), F.col("id").cast("string")).alias("v"))
+        assert rows.select(text.fold(F.col("v")).alias("v")).where("v = 'e3999'").count() == 1
+        assert int(spark.conf.get(names[0])) <= text.BATCH_ROWS and int(spark.conf.get(names[1])) == text.BATCH_BYTES
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)

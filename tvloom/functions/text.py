@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,25 +25,33 @@ def fold_text(value: str | None) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", value) if not unicodedata.combining(c)).casefold()
 
 
-@F.pandas_udf(T.StringType())
-def fold(values: pd.Series) -> pd.Series:
-    return values.map(fold_text)
+def _by_batches(change: Callable[[str | None], str]) -> Callable[[Column | str], Column]:
+    """change as a column function. Whole texts go to Python in batches of bounded rows and bytes, from its first use in a
+    session on, so that a worker's memory doesn't follow the length of texts."""
 
+    @F.pandas_udf(T.StringType())
+    def made(values: pd.Series) -> pd.Series:
+        return values.map(change)
 
-@F.pandas_udf(T.StringType())
-def nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: "" if v is None else unicodedata.normalize("NFKC", v))
+    def apply(values: Column | str) -> Column:
+        if spark := SparkSession.getActiveSession():
+            rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+            if not 0 < rows <= BATCH_ROWS:
+                spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        return made(values)
 
+    return apply
 
-@F.pandas_udf(T.StringType())
-def casefold(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: "" if v is None else v.casefold())
 
+#: Texts that go to Python at once.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16_000_000
 
-@F.pandas_udf(T.StringType())
-def text_key(values: pd.Series) -> pd.Series:
-    """Composed, white space collapsed, case-folded: the key of names, ids, groups and sources in indexes."""
-    return values.map(lambda v: "" if v is None else " ".join(unicodedata.normalize("NFKC", v).split()).casefold())
+fold = _by_batches(fold_text)
+nfkc = _by_batches(lambda v: "" if v is None else unicodedata.normalize("NFKC", v))
+casefold = _by_batches(lambda v: "" if v is None else v.casefold())
+#: Composed, white space collapsed, case-folded: the key of names, ids, groups and sources in indexes.
+text_key = _by_batches(lambda v: "" if v is None else " ".join(unicodedata.normalize("NFKC", v).split()).casefold())
 
 
 def clean_text(value: Column) -> Column:
