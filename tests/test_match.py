@@ -1,4 +1,9 @@
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import functions as F
+
 from tvloom.operators import match
+from tvloom.plans import catalogue
 
 
 def run(spark, playlist, shown):
@@ -31,3 +36,46 @@ def test_fill(spark):
 
 def test_nothing(spark):
     assert run(spark, [("x", "", "")], GUIDE[:0] or [("none", [])])[0][0][0] == "unmatched"
+
+
+def looked_up(spark, tmp_path, monkeypatch, rows):
+    """What match finds for rows, and the number of texts for which each task made keys."""
+
+    @F.pandas_udf(match.KEYS)
+    def counted(tvg_id: pd.Series, tvg_name: pd.Series, name: pd.Series) -> pd.Series:
+        with open(f"{tmp_path}/{TaskContext.get().taskAttemptId()}", "a") as out:
+            out.write("x" * len(name))
+        return pd.Series([[{"tier": a, "key": b, "shown": c} for a, b, c in match._playlist_keys(*row)] for row in zip(tvg_id, tvg_name, name)], dtype="object")
+
+    monkeypatch.setattr(match, "playlist_keys", counted)
+    return run(spark, rows, GUIDE)[0], sorted(f.stat().st_size for f in tmp_path.iterdir())
+
+
+def test_a_text_is_looked_up_once(spark, tmp_path, monkeypatch):
+    """Rows of equal texts, null or empty, are matched alike, and keys are made for one of them."""
+    texts = [("Rai 1", "", ""), ("Rai 3", None, None), ("Rai 3", "", ""), (None, "rai1.IT", None), ("Tele Norba Barì X", "", ""), ("zzzz", "", None), (None, None, None)]
+    found, sizes = looked_up(spark, tmp_path, monkeypatch, texts * 40)
+    assert sum(sizes) == 6
+    assert found == found[:7] * 40 and found[1] == found[2]
+    assert [f[0] for f in found[:7]] == ["matched", "ambiguous", "ambiguous", "matched", "matched", "unmatched", "unmatched"]
+
+
+def test_texts_are_dealt_by_number(spark, tmp_path, monkeypatch):
+    """However few files different texts are in, no task has all of them."""
+    rows = [(name, f"9{i}qx", "") for i in range(60) for name in ("Rai 1", "Rai 3", "zzzz")]
+    monkeypatch.setattr(match, "TEXTS_A_TASK", 10, raising=False)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64m")
+    try:
+        found, sizes = looked_up(spark, tmp_path, monkeypatch, rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    assert sum(sizes) == 180 and max(sizes) < 40
+    assert [f[:2] for f in found] == [("matched", "Rai1.it"), ("ambiguous", None), ("unmatched", None)] * 60
+
+
+def test_many_customers_are_not_broadcast(spark):
+    """A file says little of its rows: the nations are broadcast, however small the customers' file is."""
+    for query in (catalogue.q08, catalogue.q42):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        joined = plan[: plan.index("c_custkey#", plan.index("Relation [c_custkey#"))].splitlines()
+        assert any("Join Inner" in line and "rightHint=(strategy=broadcast)" in line for line in joined)

@@ -63,24 +63,38 @@ def tier_scores():
     return F.create_map(*[F.lit(x) for pair in C.TIERS.items() for x in pair])
 
 
+#: What a row is matched by, and how many different texts a task looks up.
+TEXT, TEXTS_A_TASK = ("tvg_id", "tvg_name", "name"), 20_000
+
+
 def match(playlist: DataFrame, guide: DataFrame, *, minimum: float = C.LEAST_SIMILARITY) -> DataFrame:
     """playlist (ord, name, tvg_id, tvg_name) with status (matched, ambiguous, unmatched), guide_id, score, method and keys.
 
-    guide: ord, channel_id, display_names. Guide ids that differ only in case are one, the first.
+    guide: ord, channel_id, display_names. Guide ids that differ only in case are one, the first. Rows of equal texts are
+    matched alike, so each different text is looked up once.
     """
     one = guide.withColumn("gid", text.casefold("channel_id"))
     known = one.groupBy("gid").agg(F.min("ord").alias("g_ord"), F.min_by("channel_id", "ord").alias("guide_id"))
     g_keys = one.withColumn("names", F.when(F.size("display_names") == 0, F.array("channel_id")).otherwise(F.col("display_names"))).select("gid", F.explode(guide_keys("channel_id", "names")).alias("k")).select("gid", "k.tier", "k.key").distinct()
-    p_keys = playlist.select("ord", F.posexplode(playlist_keys("tvg_id", "tvg_name", "name")).alias("nth", "k")).select("ord", "nth", "k.*")
-
-    hits = p_keys.join(g_keys, ["tier", "key"]).select("ord", "gid", tier_scores()[F.col("tier")].alias("score"), F.col("tier").alias("method"), F.col("shown").alias("playlist_key"), F.col("shown").alias("guide_key"), "nth")
-    # only rows that no tier reached
-    missed = playlist.join(hits.select("ord").distinct(), "ord", "left_anti")
-    found = hits.unionByName(similar(missed, g_keys, minimum))
-    each = found.groupBy("ord", "gid").agg(F.max(F.struct("score", (-F.col("nth")).alias("early"), "method", "playlist_key", "guide_key")).alias("m")).select("ord", "gid", "m.*")
-    ranked = each.withColumn("place", F.rank().over(W.partitionBy("ord").orderBy(F.desc("score"))))
-    top = ranked.where("place = 1").groupBy("ord").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("gid", "score", "method", "playlist_key", "guide_key"), "gid").alias("m"))
-    out = playlist.join(top, "ord", "left").join(known, F.col("m.gid") == known["gid"], "left")
+    # read several times, and Python made them
+    g_keys = written(g_keys, "guide_keys", keep=True)
+
+    # a text goes by the least number of its rows
+    own = [F.coalesce(playlist[c], F.lit("")) for c in TEXT]
+    texts = written(playlist.groupBy(*[c.alias(name) for c, name in zip(own, TEXT)]).agg(F.min("ord").alias("text")), "texts", keep=True)
+    # a few bytes of input may hold any number of texts, so tasks are dealt by number
+    tasks = max(1, -(-texts.count() // TEXTS_A_TASK))
+    dealt = texts.repartition(tasks, "text")
+    p_keys = dealt.select("text", F.posexplode(playlist_keys(*TEXT)).alias("nth", "k")).select("text", "nth", "k.*")
+    hits = p_keys.join(g_keys, ["tier", "key"]).select("text", "gid", tier_scores()[F.col("tier")].alias("score"), F.col("tier").alias("method"), F.col("shown").alias("playlist_key"), F.col("shown").alias("guide_key"), "nth")
+    by_tier = written(best(hits, tasks), "tiers", keep=True)
+    # only texts that no tier reached; no table of texts is broadcast, for files say little of how many they are
+    missed = dealt.join(by_tier.select("text").hint("merge"), "text", "left_anti")
+    top = by_tier.unionByName(best(similar(missed, g_keys, minimum), tasks))
+
+    of = texts.hint("merge").join(top, "text").select(*[F.col(c).alias(f"of_{c}") for c in TEXT], "n", "m")
+    same = [c == of[f"of_{name}"] for c, name in zip(own, TEXT)]
+    out = playlist.join(of, same, "left").join(known, F.col("m.gid") == known["gid"], "left")
     alone = F.col("n") == 1
     return out.select(
         *[playlist[c] for c in playlist.columns],
@@ -94,17 +108,25 @@ def match(playlist: DataFrame, guide: DataFrame, *, minimum: float = C.LEAST_SIM
     )
 
 
-def similar(playlist: DataFrame, g_keys: DataFrame, minimum: float) -> DataFrame:
-    """Pairs whose informative keys are alike. Each different key is compared once, whatever rows have it."""
-    p = playlist.select("ord", F.posexplode(informative_keys("tvg_id", "tvg_name", "name")).alias("nth", "p_key"))
+def best(hits: DataFrame, tasks: int) -> DataFrame:
+    """text, n (guide channels with its best score) and m (the first of them, and how it was found)."""
+    # dealt as they are: the first of texts can't be hashed, and to take it before would sort all that a task has
+    each = hits.repartition(tasks, "text").groupBy("text", "gid").agg(F.max(F.struct("score", (-F.col("nth")).alias("early"), "method", "playlist_key", "guide_key")).alias("m")).select("text", "gid", "m.*")
+    ranked = each.withColumn("place", F.rank().over(W.partitionBy("text").orderBy(F.desc("score"))))
+    return ranked.where("place = 1").groupBy("text").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("gid", "score", "method", "playlist_key", "guide_key"), "gid").alias("m"))
+
+
+def similar(texts: DataFrame, g_keys: DataFrame, minimum: float) -> DataFrame:
+    """Pairs whose informative keys are alike. Each different key is compared once, whatever texts have it."""
+    p = texts.select("text", F.posexplode(informative_keys(*TEXT)).alias("nth", "p_key"))
     digits = F.col("key").rlike("^[0-9]+$")
     g = g_keys.where("tier = 'search'").where(F.length("key") >= F.when(digits, 2).otherwise(4)).select("gid", F.col("key").alias("g_key"))
-    with scratch(playlist.sparkSession):
-        # both are read several times, and Python made them
-        p, g = written(p, "playlist_keys", keep=True), written(g, "guide_keys", keep=True)
+    with scratch(texts.sparkSession):
+        # read several times, and Python made them
+        p = written(p, "playlist_keys", keep=True)
         pairs = alike(p.select(F.col("p_key").alias("key")).distinct(), g.select(F.col("g_key").alias("key")).distinct(), minimum)
         pairs = written(pairs.toDF("p_key", "g_key", "score"), "alike", keep=True)
-    return p.join(pairs, "p_key").join(g, "g_key").select("ord", "gid", "score", F.lit("similarity").alias("method"), F.col("p_key").alias("playlist_key"), F.col("g_key").alias("guide_key"), "nth")
+    return p.join(pairs, "p_key").join(g, "g_key").select("text", "gid", "score", F.lit("similarity").alias("method"), F.col("p_key").alias("playlist_key"), F.col("g_key").alias("guide_key"), "nth")
 
 
 #: What a common beginning adds to the score, and the least ratio of lengths.
