@@ -79,3 +79,22 @@ def test_fit_against_a_plain_kernel_ridge():
 def test_clash(odd):
     with pytest.raises(ValueError):
         li.predict(odd, li.Model.fit([]), keep=["score"])
+
+def test_only_texts_go_to_python(spark):
+    """Kept columns stay where they are, and a filter on the result runs the model no second time."""
+    rows = [(i, "the and of to in that is was " * 20, "en" if i % 2 else "de", "x" * 10_000) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, payload string")
+    model = li.Model.fit([("the and of to in", "en"), ("der die das und", "de")])
+    found = li.predict(docs, model, keep=docs.columns).where("lang_pred = 'en' and score > 0")
+    assert {(r.doc_id, len(r.payload)) for r in found.collect()} == {(i, 10_000) for i in range(300)}
+    plan, moved = found._jdf.queryExecution().executedPlan(), {"pythonDataSent": 0, "pythonDataReceived": 0}
+    nodes = [plan]
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        for name in moved:
+            if node.metrics().contains(name):
+                moved[name] += node.metrics().apply(name).value()
+    texts = sum(len(r[1]) for r in rows)
+    assert texts <= moved["pythonDataSent"] < 1.5 * texts
+    assert moved["pythonDataReceived"] < texts / 2

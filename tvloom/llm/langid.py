@@ -27,9 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .shared import bounded_batches, packed_up, table, unpacked
+from .shared import bounded_batches, packed_up, table
 from .words import STEP, U, mixed
 
 FEATURES = 1 << 15
@@ -178,14 +177,16 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str
         raise ValueError(f"columns in keep and in the result: {sorted(clash)}")
     bounded_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES floats a language
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("lang_pred string, score double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            names, scores = shipped.value.predict([x.as_py() or "" for x in batch.column(1)])
-            yield pa.RecordBatch.from_arrays([*unpacked(batch, len(keep)), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+            names, scores = shipped.value.predict([x.as_py() or "" for x in batch])
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
-    return docs.select(packed_up(docs, keep), docs[text].alias("text")).mapInArrow(run, schema)
+    # only the text goes to Python, and only what was found comes back; called nondeterministic, it isn't run once more in a filter on that
+    found = docs.select(packed_up(docs, keep), scored.asNondeterministic()(docs[text]).alias("found"))
+    return found.select(*[F.col("kept")[c].alias(c) for c in keep], *[F.col("found")[c].alias(c) for c in ("lang_pred", "score")])
 
 
 def held_out(id: Column) -> Column:
